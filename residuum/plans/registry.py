@@ -29,5 +29,6 @@ def query(key: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every plan module so that its queries register."""
     from residuum.plans import (  # noqa: F401
+        q_annotate,
         q_curate,
     )
