@@ -31,4 +31,5 @@ def load_all() -> None:
     from residuum.plans import (  # noqa: F401
         q_annotate,
         q_curate,
+        q_metrics,
     )

@@ -62,7 +62,7 @@ def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def second_model_embedding(col: str = "embedding", id_col: str = "vec_id"):
     """A second model's vector for the same row (for model comparison)."""
-    return F.transform(F.col(col), lambda x: x * 0.9 + (F.col(id_col) % 5) * 0.01)
+    return F.transform(F.col(col), lambda x: x.cast("double") * 0.9 + (F.col(id_col) % 5) * 0.01)
 
 
 def binary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,8 @@ EMB_SQL = """emb AS (
          embedding[1:10] AS logits
   FROM embeddings)"""
 
+SECOND_SQL = "list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 0.9 + (vec_id % 5) * 0.01)"
+
 BIN_SQL = """bin AS (
   SELECT l.doc_id, l.quality AS y, least(1.0, d.n_chars / 2000.0) AS p1
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
