@@ -39,8 +39,7 @@ ranked AS (SELECT r.*, row_number() OVER (PARTITION BY coalesce(class, chr(0) ||
 strat AS (SELECT ranked.*, CASE WHEN rn <= quota THEN 'validation' ELSE 'train' END AS split
           FROM ranked JOIN quota ON coalesce(class, chr(0) || 'null') = quota.sk)"""
 
-FAMILY_SQL = REC_SQL + """,
-fam AS (SELECT family, count(*) AS n_rows FROM rec WHERE family IS NOT NULL GROUP BY family),
+FAMILY_CTES = """fam AS (SELECT family, count(*) AS n_rows FROM rec WHERE family IS NOT NULL GROUP BY family),
 tot AS (SELECT count(*) AS total FROM rec),
 ord AS (SELECT family, n_rows,
                sum(n_rows) OVER (ORDER BY md5(concat('42', ':', family)), family
@@ -48,6 +47,7 @@ ord AS (SELECT family, n_rows,
                row_number() OVER (ORDER BY md5(concat('42', ':', family)), family) AS cum_families
         FROM fam),
 testf AS (SELECT ord.* FROM ord, tot WHERE cum_rows - n_rows < total * 0.2)"""
+FAMILY_SQL = REC_SQL + ",\n" + FAMILY_CTES
 
 
 def deduped(spark, sf):

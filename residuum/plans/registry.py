@@ -31,5 +31,6 @@ def load_all() -> None:
     from residuum.plans import (  # noqa: F401
         q_annotate,
         q_curate,
+        q_io,
         q_metrics,
     )
