@@ -26,10 +26,12 @@ def truncate_labels(labels: Column, max_length: int) -> Column:
     return F.slice(labels, 1, int(max_length))
 
 
-def tokenize_residues(seq: Column, max_length: int = 512, add_special: bool = False) -> Column:
+def tokenize_residues(seq: Column, max_length: int | None = 512,
+                      add_special: bool = False) -> Column:
     """PRJ9: one token id per residue (unknown letters -> ``<unk>``), cut to
-    ``max_length`` residues; optional begin/end tokens around them."""
-    s = F.substring(seq, 1, int(max_length))
+    ``max_length`` residues (``None``: whole sequence, for encoders without
+    a context limit); optional begin/end tokens around them."""
+    s = seq if max_length is None else F.substring(seq, 1, int(max_length))
     vm = vocab_map()
     ids = F.when(F.length(s) > 0, F.transform(
         F.split(s, ""), lambda c: F.coalesce(F.try_element_at(vm, c), F.lit(UNK_ID)))

@@ -31,6 +31,7 @@ def load_all() -> None:
     from residuum.plans import (  # noqa: F401
         q_annotate,
         q_curate,
+        q_embed,
         q_io,
         q_metrics,
     )
