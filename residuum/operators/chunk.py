@@ -22,11 +22,15 @@ def chunk_sequence(df: DataFrame, size: int = 512, seq_col: str = "seq",
     Runs inside the scan's tasks (explode is a narrow operator).
     """
     others = [c for c in df.columns if c != seq_col and c != labels_col]
-    d = df.select(*others, seq_col, *( [labels_col] if labels_col else []),
-                  F.explode(_chunk_ids(seq_col, size)).alias("chunk_id"))
-    start = F.col("chunk_id") * size + 1
-    cols = [*others, "chunk_id",
-            F.expr(f"substring({seq_col}, chunk_id * {size} + 1, {size})").alias(seq_col)]
-    if labels_col:
-        cols.append(F.slice(labels_col, start, size).alias(labels_col))
-    return d.select(*cols)
+
+    def piece(i):
+        start = i * size + 1
+        f = [i.alias("chunk_id"), F.substring(F.col(seq_col), start, F.lit(size)).alias(seq_col)]
+        if labels_col:
+            f.append(F.slice(F.col(labels_col), start, size).alias(labels_col))
+        return F.struct(*f)
+    # slice first, explode the pieces: no exploded row carries the whole
+    # sequence
+    pieces = F.transform(_chunk_ids(seq_col, size), piece)
+    d = df.select(*others, F.explode(pieces).alias("_c"))
+    return d.select(*others, "_c.*")

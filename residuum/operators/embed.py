@@ -79,8 +79,8 @@ def kmer_profile_sql(df: DataFrame, id_col: str, seq_col: str = "seq", k: int =
     """
     L = F.length(seq_col)
     pos = F.when(L >= k, F.sequence(F.lit(1), L - k + 1)).otherwise(F.array().cast("array<int>"))
-    km = df.select(id_col, F.explode(pos).alias("_p"), seq_col).select(
-        id_col, md5_bucket(F.expr(f"substring({seq_col}, _p, {k})"), n).alias("bucket"))
+    buckets = F.transform(pos, lambda p: md5_bucket(F.substring(F.col(seq_col), p, F.lit(k)), n))
+    km = df.select(id_col, F.explode(buckets).alias("bucket"))
     return _normalised_counts(km, id_col)
 
 
@@ -141,7 +141,9 @@ def weighted_pool(vectors: Column, weights: Column, dim: int) -> Column:
     tot = F.aggregate(z, acc0, lambda acc, x: F.zip_with(
         acc, x["v"], lambda a, b: a + b * x["w"].cast("double")))
     wsum = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w.cast("double"))
-    return F.transform(tot, lambda s: s / wsum)
+    # divide once per vector (the sum is not re-evaluated per element)
+    return F.transform(F.arrays_zip(tot.alias("s"), F.array_repeat(wsum, dim).alias("n")),
+                       lambda x: x["s"] / x["n"])
 
 
 def mean_pool_residues(vectors: Column, n_residues: Column, dim: int,

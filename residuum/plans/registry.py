@@ -33,5 +33,6 @@ def load_all() -> None:
         q_curate,
         q_embed,
         q_io,
+        q_ml,
         q_metrics,
     )

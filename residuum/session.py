@@ -47,6 +47,11 @@ def build_session(master: str | None = None, app: str = "residuum",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         "spark.sql.files.maxPartitionBytes": "128MB",
     }
+    # Python workers run one per core already; a multi-threaded BLAS inside
+    # each forked worker oversubscribes the cores and can deadlock.
+    for var in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS", "MKL_NUM_THREADS"):
+        conf[f"spark.executorEnv.{var}"] = "1"
+        os.environ.setdefault(var, "1")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
