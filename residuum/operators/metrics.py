@@ -269,11 +269,11 @@ def epoch_mean_loss(batch_losses: DataFrame, epoch: str = "epoch", loss: str = "
                                            F.count(F.lit(1)).alias("n_batches"))
 
 
-def population_stats(pop: DataFrame, generation: str = "generation", fitness: str = "fitness"
-                     ) -> DataFrame:
-    """AGG23: avg / min / max fitness per generation."""
-    return pop.groupBy(generation).agg(F.avg(fitness).alias("avg"), F.min(fitness).alias("min"),
-                                       F.max(fitness).alias("max"))
+def population_stats(pop: DataFrame, group_cols=("generation", "candidate_id"),
+                     fitness: str = "fitness") -> DataFrame:
+    """AGG23: avg / min / max fitness per generation (and candidate)."""
+    return pop.groupBy(*group_cols).agg(F.avg(fitness).alias("avg"), F.min(fitness).alias("min"),
+                                        F.max(fitness).alias("max"))
 
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("Window",)]

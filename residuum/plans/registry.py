@@ -34,5 +34,6 @@ def load_all() -> None:
         q_embed,
         q_io,
         q_ml,
+        q_search,
         q_metrics,
     )
