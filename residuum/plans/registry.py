@@ -30,6 +30,7 @@ def load_all() -> None:
     """Import every plan module so that its queries register."""
     from residuum.plans import (  # noqa: F401
         q_annotate,
+        q_catalogue,
         q_curate,
         q_embed,
         q_io,
