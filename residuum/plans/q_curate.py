@@ -42,16 +42,16 @@ strat AS (SELECT ranked.*, CASE WHEN rn <= quota THEN 'validation' ELSE 'train'
 FAMILY_CTES = """fam AS (SELECT family, count(*) AS n_rows FROM rec WHERE family IS NOT NULL GROUP BY family),
 tot AS (SELECT count(*) AS total FROM rec),
 ord AS (SELECT family, n_rows,
-               sum(n_rows) OVER (ORDER BY md5(concat('42', ':', family)), family
-                                 ROWS UNBOUNDED PRECEDING) AS cum_rows,
+               CAST(sum(n_rows) OVER (ORDER BY md5(concat('42', ':', family)), family
+                                      ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_rows,
                row_number() OVER (ORDER BY md5(concat('42', ':', family)), family) AS cum_families
         FROM fam),
 testf AS (SELECT ord.* FROM ord, tot WHERE cum_rows - n_rows < total * 0.2)"""
 FAMILY_SQL = REC_SQL + ",\n" + FAMILY_CTES
 
 
-def deduped(spark, sf):
-    return curate.dedupe_by_sequence(records(spark, sf), CLASS_ORDER)
+def deduped(spark, sf, keep=("record_id", "class")):
+    return curate.dedupe_by_sequence(records(spark, sf), CLASS_ORDER, keep=list(keep))
 
 
 # ------------------------------------------------------------------ flagship
@@ -224,7 +224,8 @@ SELECT r.record_id, r.class, s.split FROM rec r
 JOIN strat s ON r.record_id = s.record_id AND r.class = s.class""")
 def q_split_by_ids(spark, sf):
     recs = records(spark, sf)
-    sp = split.stratified_split(curate.dedupe_by_sequence(recs, CLASS_ORDER), "class", 0.1, SEED)
+    sp = split.stratified_split(curate.dedupe_by_sequence(recs, CLASS_ORDER, keep=["record_id", "class"]),
+                                "class", 0.1, SEED)
     tr = sp.where(F.col("split") == "train").select("record_id", "class")
     va = sp.where(F.col("split") == "validation").select("record_id", "class")
     return curate.split_by_ids(recs, tr, va).select("record_id", "class", "split")

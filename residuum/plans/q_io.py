@@ -245,3 +245,24 @@ def q_attach_predictions(spark, sf):
     return e.select("vec_id", M.argmax(F.col("logits")).alias("prediction"),
                     (F.round(F.array_max(M.softmax(F.col("logits"))), 6) + 0.0)
                     .alias("prediction_probability"))
+
+
+@query("class_from_path", f"""WITH {REC_SQL}
+SELECT record_id, class FROM rec""")
+def q_class_from_path(spark, sf):
+    # one folder per class, named by value; the class comes from the path only
+    path = _tree(spark, sf, name="by-class")
+    r = fasta.read_fasta(spark, path, recursive=True, class_from_folder=True)
+    return r.select("record_id", "class")
+
+
+@query("chunk_sequence_and_labels", f"""WITH {SITES_SQL}
+SELECT m.record_id, i AS chunk_id, md5(substring(m.seq, i * 512 + 1, 512)) AS seq_md5,
+       md5(array_to_string(m.labels[i * 512 + 1: i * 512 + 512], '')) AS labels_md5
+FROM masks m, unnest(range(0, CAST(ceil(length(m.seq) / 512.0) AS BIGINT))) AS t(i)""")
+def q_chunk_sequence_and_labels(spark, sf):
+    s = with_sites(spark, sf).select("record_id", "seq", "labels")
+    ch = chunk_sequence(s, 512, "seq", "labels")
+    return ch.select("record_id", F.col("chunk_id").cast("long"), F.md5("seq").alias("seq_md5"),
+                     F.md5(F.array_join(F.transform("labels", lambda x: x.cast("string")), ""))
+                     .alias("labels_md5"))

@@ -121,7 +121,20 @@ def q_tournament_select(spark, sf):
                       r6(F.col("fitness")).alias("fitness"))
 
 
-@query("uniform_crossover")
+@query("uniform_crossover", f"""WITH {CAND_SQL},
+pop AS (SELECT candidate_id, ind AS individual_id,
+               {_mut_sql(SEED, "concat('0', ':', candidate_id, ':', ind)")} AS seq
+        FROM st, unnest(range(0, 50)) AS t(ind)),
+pr AS (SELECT candidate_id, individual_id // 2 AS pair,
+              max(CASE WHEN individual_id % 2 = 0 THEN seq END) AS a,
+              max(CASE WHEN individual_id % 2 = 1 THEN seq END) AS b FROM pop GROUP BY 1, 2),
+m AS (SELECT *, b IS NOT NULL AND CAST(('0x' || substring(md5(concat('42', ':', '1', ':', candidate_id, ':', pair)), 1, 8))
+                AS BIGINT) / 4294967296.0 < 0.5 AS mate FROM pr),
+kids AS (SELECT candidate_id, pair * 2 AS individual_id,
+                CASE WHEN mate THEN array_to_string(list_transform(string_split(a, ''), lambda c, i: CASE WHEN md5(concat('42-x', ':', '1', ':', candidate_id, ':', pair, ':', i)) < '1999999a' THEN substring(b, i, 1) ELSE c END), '') ELSE a END AS seq FROM m
+         UNION ALL
+         SELECT candidate_id, pair * 2 + 1, CASE WHEN mate THEN array_to_string(list_transform(string_split(b, ''), lambda c, i: CASE WHEN md5(concat('42-x', ':', '1', ':', candidate_id, ':', pair, ':', i)) < '1999999a' THEN substring(a, i, 1) ELSE c END), '') ELSE b END FROM m)
+SELECT candidate_id, individual_id, md5(seq) AS seq_md5, length(seq) AS seq_len FROM kids WHERE seq IS NOT NULL""")
 def q_uniform_crossover(spark, sf):
     c = candidates(spark, sf)
     pop = evolve.mutate_population(evolve.seed_population(c, 50, f"{SEED}-start", 50), SEED, 0, 1.0)
@@ -130,7 +143,13 @@ def q_uniform_crossover(spark, sf):
                        F.length("seq").cast("long").alias("seq_len"))
 
 
-@query("mutate_population")
+@query("mutate_population", f"""WITH {CAND_SQL},
+pop AS (SELECT candidate_id, CAST(i AS INTEGER) AS individual_id, seq FROM st, unnest(range(0, 50)) AS t(i)),
+hit AS (SELECT *, CAST(('0x' || substring(md5(concat('42-m', ':', '1', ':', candidate_id, ':', individual_id)), 1, 8))
+                  AS BIGINT) / 4294967296.0 < 0.2 AS h,
+               concat('1', ':', candidate_id, ':', individual_id) AS k FROM pop)
+SELECT candidate_id, individual_id,
+       md5(CASE WHEN h THEN {_mut_sql(SEED, 'k')} ELSE seq END) AS seq_md5 FROM hit""")
 def q_mutate_population(spark, sf):
     c = candidates(spark, sf)
     pop = evolve.mutate_population(evolve.seed_population(c, 50, f"{SEED}-start", 50), SEED, 1)
