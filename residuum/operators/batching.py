@@ -1,7 +1,8 @@
 """TOP2: length-sorted batches under a token budget (for a model encoder).
 
 Rows are range-partitioned on length and sorted inside each partition;
-each partition then packs its rows greedily in one pass (``mapInPandas``),
+each partition then packs its rows greedily in one streaming pass
+(``mapInPandas``, state carried across Arrow batches),
 so no partition waits for a global sort and no batch crosses partitions.
 """
 
@@ -17,21 +18,22 @@ def _pack(budget: int, extra: int, id_col: str):
     def fn(batches):
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        b = pd.concat(frames, ignore_index=True)  # one partition, already sorted
-        sizes = b["_len"].to_numpy() + extra
-        out = np.empty(len(b), dtype=np.int64)
+        # greedy packing state carried across Arrow batches: a partition is
+        # streamed, never concatenated in memory
         cur, n, mx = 0, 0, 0
-        for i, sz in enumerate(sizes):
-            if n > 0 and max(sz, mx) * (n + 1) > budget:
-                cur, n, mx = cur + 1, 0, 0
-            mx = max(mx, sz)
-            n += 1
-            out[i] = cur
-        yield pd.DataFrame({id_col: b[id_col], "length": b["_len"],
-                            "batch_id": (part << 32) + out})
+        for b in batches:
+            if len(b) == 0:
+                continue
+            sizes = b["_len"].to_numpy() + extra
+            out = np.empty(len(b), dtype=np.int64)
+            for i, sz in enumerate(sizes):
+                if n > 0 and max(sz, mx) * (n + 1) > budget:
+                    cur, n, mx = cur + 1, 0, 0
+                mx = max(mx, sz)
+                n += 1
+                out[i] = cur
+            yield pd.DataFrame({id_col: b[id_col], "length": b["_len"],
+                                "batch_id": (part << 32) + out})
     return fn
 
 
@@ -40,8 +42,10 @@ def length_bucketed_batches(df: DataFrame, id_col: str = "record_id", seq_col: s
                             partitions: int | None = None) -> DataFrame:
     """Batch ids such that ``(longest + extra) * rows <= budget`` in every
     batch (a longer sequence gets a batch of its own).  Whole sequences."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # range on (length, id): many sequences of one length still spread
     d = (df.select(id_col, F.length(seq_col).alias("_len"))
-           .repartitionByRange(n, "_len").sortWithinPartitions("_len", id_col))
+           .repartitionByRange(n, "_len", id_col).sortWithinPartitions("_len", id_col))
     schema = f"{id_col} string, length int, batch_id long"
     return d.mapInPandas(_pack(budget, extra, id_col), schema)

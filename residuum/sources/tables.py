@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,12 +55,14 @@ def read_paged_tsv(spark: SparkSession, path: str, top_n: int | None = None,
     df = df.where(F.col(first).isNull() | (F.col(first) != F.lit(first)))
     if top_n is None:
         return df
-    # page sizes: one row per page, so the running sum is over pages only
+    # page sizes: one row per page; the running sum over pages is bucketed
+    # (``ordered_cumsum``), so even millions of pages never meet in one task
+    from residuum.operators.ranking import ordered_cumsum
     pages = df.groupBy(page_col).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(page_col).rowsBetween(Window.unboundedPreceding, 0)
-    keep = (pages.withColumn("_before", F.sum("_n").over(w) - F.col("_n"))
-            .where(F.col("_before") < F.lit(int(top_n))).select(page_col))
-    return df.join(F.broadcast(keep), page_col, "left_semi")
+    cum = ordered_cumsum(pages, None, [page_col], F.shiftright(F.col(page_col), 12),
+                         F.col("_n"), "_cum")
+    keep = cum.where(F.col("_cum") - F.col("_n") < F.lit(int(top_n))).select(page_col)
+    return df.join(keep, page_col, "left_semi")
 
 
 def read_row_range(spark: SparkSession, path: str, start: int, stop: int,
