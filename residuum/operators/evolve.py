@@ -71,11 +71,12 @@ def class_targets(profiles: DataFrame, group_col: str, vec_col: str = "embedding
                     F.transform("_s", lambda x: x["v"]).alias("target"))
 
 
-def evaluate(pop: DataFrame, targets: DataFrame, encoder=kmer_profile) -> DataFrame:
+def evaluate(pop: DataFrame, targets: DataFrame, encoder=kmer_profile,
+             checked: bool = False) -> DataFrame:
     """GEN5: fitness = R^2 between the encoded individual and its
     candidate's target, prediction passed as truth (the source's argument
-    order)."""
-    t = checked_broadcast(targets.select("candidate_id", "target"))
+    order).  ``checked``: ``targets`` is already a size-checked broadcast."""
+    t = targets if checked else checked_broadcast(targets.select("candidate_id", "target"))
     j = pop.select("candidate_id", "individual_id", "seq").join(t, "candidate_id")
     # the encoder (a Python UDF) is its own column; the R^2 lambdas read it
     j = j.withColumn("_pred", encoder(F.col("seq")))
@@ -148,35 +149,50 @@ def hall_of_fame(pop: DataFrame, k: int = 1) -> DataFrame:
     return d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+def _materialise(df: DataFrame, reliable: bool) -> DataFrame:
+    """Compute a generation once: a reliable checkpoint (shared folder, cuts
+    the lineage, survives lost executors) or a persisted copy (recomputed
+    from the last checkpoint if blocks are lost)."""
+    if reliable:
+        return df.checkpoint()
+    df = df.persist()
+    df.count()
+    return df
+
+
 def run_generations(candidates: DataFrame, targets: DataFrame, ngen: int, n: int = 50,
                     seed=42, cxpb: float = 0.5, mutpb: float = 0.2, step: int = 50,
                     checkpoint_every: int = 4, log_path: str | None = None):
     """GEN6: select -> mate -> mutate -> evaluate, ``ngen`` times.
 
     Returns (final population, generation log, best-ever per candidate).
-    The population is checkpointed (reliably) every ``checkpoint_every``
-    generations so plans stay short; the log is appended per generation
-    when ``log_path`` is given.
+    Each generation is computed once (persisted), and every
+    ``checkpoint_every`` generations reliably checkpointed so plans stay
+    short; the log is appended per generation when ``log_path`` is given.
     """
     spark = candidates.sparkSession
-    pop = evaluate(seed_population(candidates, n, f"{seed}-start", step), targets)
-    pop = pop.checkpoint()
-    best = hall_of_fame(pop)
-    logs = [population_stats(pop.withColumn("generation", F.lit(0)))]
+    # one row per candidate: size-checked once for the whole run
+    targets = checked_broadcast(targets.select("candidate_id", "target"))
+    pop = evaluate(seed_population(candidates, n, f"{seed}-start", step), targets, checked=True)
+    pop = _materialise(pop, True)
+    best = _materialise(hall_of_fame(pop), True)
+    logs = [_materialise(population_stats(pop.withColumn("generation", F.lit(0))), False)]
     for g in range(1, ngen + 1):
         sel = tournament_select(pop, n, seed, g)
         kids = uniform_crossover(sel.drop("fitness"), seed, g, cxpb)
         kids = mutate_population(kids, seed, g, mutpb, step)
-        pop = evaluate(kids, targets)
-        best = hall_of_fame(best.unionByName(pop.select("candidate_id", "seq", "fitness")))
-        if g % checkpoint_every == 0 or g == ngen:
-            pop = pop.checkpoint()
-            best = best.checkpoint()
+        reliable = g % checkpoint_every == 0 or g == ngen
+        old_pop, old_best = pop, best
+        pop = _materialise(evaluate(kids, targets, checked=True), reliable)
+        best = _materialise(
+            hall_of_fame(best.unionByName(pop.select("candidate_id", "seq", "fitness"))), reliable)
+        old_pop.unpersist()
+        old_best.unpersist()
         stats = population_stats(pop.withColumn("generation", F.lit(g)))
         if log_path:
             stats.write.mode("append").parquet(log_path)
         else:
-            logs.append(stats)
+            logs.append(_materialise(stats, False))
     if log_path:
         logs[0].write.mode("append").parquet(log_path)
         log = spark.read.parquet(log_path)
