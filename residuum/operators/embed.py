@@ -85,10 +85,13 @@ def kmer_profile_sql(df: DataFrame, id_col: str, seq_col: str = "seq", k: int =
 
 
 def _normalised_counts(items: DataFrame, id_col: str) -> DataFrame:
+    """Counts per (id, bucket), L2-normalised per id.  The norm is a window
+    over one id's buckets (at most ``n`` rows), not a second aggregate and a
+    join."""
+    from pyspark.sql import Window
     counts = items.groupBy(id_col, "bucket").agg(F.count(F.lit(1)).alias("_n"))
-    norms = counts.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_n") * F.col("_n"))).alias("_norm"))
-    return counts.join(norms, id_col).select(
-        id_col, "bucket", (F.col("_n") / F.col("_norm")).alias("value"))
+    norm = F.sqrt(F.sum(F.col("_n") * F.col("_n")).over(Window.partitionBy(id_col)))
+    return counts.select(id_col, "bucket", (F.col("_n") / norm).alias("value"))
 
 
 def long_to_array(long_df: DataFrame, id_col: str, n: int, out: str = "embedding") -> DataFrame:
