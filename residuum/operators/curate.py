@@ -64,14 +64,15 @@ def split_by_ids(records: DataFrame, train_ids: DataFrame, valid_ids: DataFrame,
 
     Records in neither list are dropped (they were deduplicated away);
     joining on id *and* class keeps a record that sits in two class files
-    from being written twice.  Semi joins: the id lists are shuffled (or
-    broadcast by AQE when they turn out small), never scanned per record.
+    from being written twice.  One equi-join with the tagged id lists (a
+    hash join, shuffled or broadcast by AQE when small), never a scan of
+    the lists per record.
     """
     k = list(keys)
-    tr = records.join(train_ids.select(*k), k, "left_semi").withColumn("split", F.lit("train"))
-    va = records.join(valid_ids.select(*k), k, "left_semi").withColumn(
-        "split", F.lit("validation"))
-    return tr.unionByName(va)
+    ids = (train_ids.select(*k).distinct().withColumn("split", F.lit("train"))
+           .unionByName(valid_ids.select(*k).distinct().withColumn("split", F.lit("validation"))))
+    # one pass over the records; an id in both lists goes to both, as before
+    return records.join(ids, k, "inner")
 
 
 def family_partition(df: DataFrame, test_families: DataFrame,

@@ -96,11 +96,15 @@ def mlm_mask(df: DataFrame, ids_col: str = "input_ids", key_col: str = "record_i
         return (F.when(u < F.lit(P80), F.lit(MASK_ID))
                  .when(u < F.lit(P90), rnd).otherwise(t))
 
-    labels = F.transform(ids_col, lambda t, i: F.when(chosen(t, i), t).otherwise(
-        F.lit(IGNORE_LABEL)))
-    masked = F.transform(ids_col, lambda t, i: F.when(chosen(t, i), new_token(t, i))
-                         .otherwise(t))
-    return df.withColumn("labels", labels).withColumn(ids_col, masked)
+    # one digest per position decides the targets; the two more digests
+    # that pick the replacement are only computed for the ~15 % targets
+    picked = F.transform(ids_col, lambda t, i: F.struct(t.alias("t"), i.alias("i"),
+                                                        chosen(t, i).alias("c")))
+    d = df.withColumn("_mlm", picked)
+    labels = F.transform("_mlm", lambda x: F.when(x["c"], x["t"]).otherwise(F.lit(IGNORE_LABEL)))
+    masked = F.transform("_mlm", lambda x: F.when(x["c"], new_token(x["t"], x["i"]))
+                         .otherwise(x["t"]))
+    return d.withColumn("labels", labels).withColumn(ids_col, masked).drop("_mlm")
 
 
 def ignore_index(labels: Column, other: Column) -> Column:
