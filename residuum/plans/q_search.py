@@ -99,7 +99,31 @@ def _evaluated_start(spark, sf):
     return c, t, pop
 
 
-@query("fitness")
+def _profile_sql(src, key):
+    """Hashed 3-mer profile (64 dims, zeros included) of ``src(key, seq)``."""
+    return f"""(SELECT {key}, d AS bucket, coalesce(v, 0.0) AS value FROM
+  (SELECT DISTINCT {key} FROM {src}) ids CROSS JOIN range(0, 64) AS r(d)
+  LEFT JOIN (SELECT {key} AS k2, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS v FROM
+              (SELECT {key}, CAST(('0x' || substring(md5(substring(seq, p, 3)), 1, 8)) AS BIGINT) % 64 AS bucket,
+                      count(*) AS n
+               FROM {src}, unnest(range(1, length(seq) - 1)) AS t(p) GROUP BY 1, 2)) c
+  ON c.k2 = ids.{key} AND c.bucket = r.d)"""
+
+
+@query("fitness", f"""WITH {CAND_SQL},
+cls AS (SELECT candidate_id, class FROM (
+          SELECT record_id AS candidate_id, class, row_number() OVER (PARTITION BY class ORDER BY record_pos) AS rn
+          FROM rec) WHERE rn = 1),
+prof AS {_profile_sql('rec', 'record_id')},
+cen AS (SELECT r.class, p.bucket, sum(p.value) / count(*) AS t FROM prof p JOIN rec r USING (record_id)
+        GROUP BY 1, 2),
+pp AS {_profile_sql('st', 'candidate_id')},
+y AS (SELECT pp.candidate_id, pp.bucket, pp.value AS y, cen.t FROM pp JOIN cls USING (candidate_id)
+      JOIN cen ON cen.class = cls.class AND cen.bucket = pp.bucket),
+r2 AS (SELECT candidate_id, 1 - sum((y - t) ^ 2) / sum((y - m) ^ 2) AS f FROM
+         (SELECT *, avg(y) OVER (PARTITION BY candidate_id) AS m FROM y) GROUP BY 1)
+SELECT candidate_id, CAST(i AS INTEGER) AS individual_id, round(f, 6) AS fitness
+FROM r2, unnest(range(0, 50)) AS t(i)""")
 def q_fitness(spark, sf):
     _, _, pop = _evaluated_start(spark, sf)
     return pop.select("candidate_id", "individual_id", r6(F.col("fitness")).alias("fitness"))
