@@ -110,7 +110,7 @@ def _profile_sql(src, key):
   ON c.k2 = ids.{key} AND c.bucket = r.d)"""
 
 
-@query("fitness", f"""WITH {CAND_SQL},
+FIT_SQL = f"""{CAND_SQL},
 cls AS (SELECT candidate_id, class FROM (
           SELECT record_id AS candidate_id, class, row_number() OVER (PARTITION BY class ORDER BY record_pos) AS rn
           FROM rec) WHERE rn = 1),
@@ -121,7 +121,10 @@ pp AS {_profile_sql('st', 'candidate_id')},
 y AS (SELECT pp.candidate_id, pp.bucket, pp.value AS y, cen.t FROM pp JOIN cls USING (candidate_id)
       JOIN cen ON cen.class = cls.class AND cen.bucket = pp.bucket),
 r2 AS (SELECT candidate_id, 1 - sum((y - t) ^ 2) / sum((y - m) ^ 2) AS f FROM
-         (SELECT *, avg(y) OVER (PARTITION BY candidate_id) AS m FROM y) GROUP BY 1)
+         (SELECT *, avg(y) OVER (PARTITION BY candidate_id) AS m FROM y) GROUP BY 1)"""
+
+
+@query("fitness", f"""WITH {FIT_SQL}
 SELECT candidate_id, CAST(i AS INTEGER) AS individual_id, round(f, 6) AS fitness
 FROM r2, unnest(range(0, 50)) AS t(i)""")
 def q_fitness(spark, sf):
@@ -129,14 +132,22 @@ def q_fitness(spark, sf):
     return pop.select("candidate_id", "individual_id", r6(F.col("fitness")).alias("fitness"))
 
 
-@query("population_stats")
+@query("population_stats", f"""WITH {FIT_SQL}
+SELECT 0 AS generation, candidate_id, round(f, 6) AS avg, round(f, 6) AS min, round(f, 6) AS max FROM r2""")
 def q_population_stats(spark, sf):
     _, _, pop = _evaluated_start(spark, sf)
     s = population_stats(pop.withColumn("generation", F.lit(0)))
     return s.select("generation", "candidate_id", *[r6(F.col(c)).alias(c) for c in ("avg", "min", "max")])
 
 
-@query("tournament_select")
+@query("tournament_select", f"""WITH {FIT_SQL},
+mut AS (SELECT candidate_id, ind, {_mut_sql(SEED, "concat('0', ':', candidate_id, ':', ind)")} AS seq
+        FROM st, unnest(range(0, 50)) AS t(ind)),
+dr AS (SELECT candidate_id, slot,
+              CAST(('0x' || substring(md5(concat('42', ':', '1', ':', candidate_id, ':', slot, ':', 0)), 1, 8))
+                   AS BIGINT) % 50 AS ind FROM cls, unnest(range(0, 50)) AS t(slot))
+SELECT dr.candidate_id, CAST(slot AS INTEGER) AS individual_id, md5(mut.seq) AS seq_md5, round(r2.f, 6) AS fitness
+FROM dr JOIN mut USING (candidate_id, ind) JOIN r2 USING (candidate_id)""")
 def q_tournament_select(spark, sf):
     _, _, pop = _evaluated_start(spark, sf)
     sel = evolve.tournament_select(evolve.mutate_population(pop, SEED, 0, 1.0).transform(
