@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from residuum.operators import annotate, balance, embed, metrics as M, models, split
 from residuum.plans.classify import classify_fasta
 from residuum.plans.q_annotate import with_sites
+from residuum.plans.q_curate import STRAT_SQL
 from residuum.plans.registry import query
 from residuum.session import scratch_path
 from residuum.sinks import writers
@@ -51,7 +52,8 @@ def q_score_shallow(spark, sf):
                     r6(F.array_max("prediction_probability")).alias("p_max"))
 
 
-@query("save_model")
+@query("save_model", f"""WITH {STRAT_SQL}
+SELECT count(*) AS n_scored, CAST(0 AS BIGINT) AS n_mismatch FROM strat WHERE split = 'validation'""")
 def q_save_model(spark, sf):
     model, sp = fitted(spark, sf)
     path = scratch_path(spark, "model")
