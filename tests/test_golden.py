@@ -210,3 +210,13 @@ def test_ordered_cumsum_matches_window(spark):
             acc += w
             exp[(g, k)] = acc
     assert {(r.g, r.k): r.c for r in got.collect()} == exp
+
+
+def test_resolve_input_and_class_from_path(spark):
+    assert fasta.resolve_input("/data/tree/") == "tree"
+    assert fasta.resolve_input("/data/x.fa.gz") == "file"
+    with pytest.raises(ValueError):
+        fasta.resolve_input("/data/x.txt")
+    df = spark.createDataFrame([("file:/d/cas1/a.fasta",), ("/d/class=cas13/part-0.fasta.gz",)], "p string")
+    got = [r[0] for r in df.select(annotate.class_from_path(F.col("p"))).collect()]
+    assert got == ["cas1", "cas13"]
