@@ -90,3 +90,25 @@ def test_streaming_equals_batch(spark):
     key = ["record_id", "prediction"]
     assert sorted(tuple(x) for x in got.select(*key).collect()) == \
         sorted(tuple(x) for x in batch.select(*key).collect())
+
+
+def test_runs_from_another_directory(tmp_path):
+    """A driver outside the repo, with a plain session: Python workers must
+    still import the package (shipped with addPyFile)."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as E
+assert E.entry(spark).count() > 0
+assert E.queries()["embed_sequences"](spark, {SF!r}).count() > 0
+print("ok")
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True,
+                         text=True, timeout=600)
+    assert out.stdout.strip().endswith("ok"), out.stderr[-2000:]
