@@ -96,9 +96,12 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     for per-row heavy work.  On a cluster a 100 TB scan already has far more
     splits than cores, so this is a no-op there (no extra shuffle).
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Connect session): leave the plan as it is
+        return df
+    if n >= cores:
         return df
     if key is not None:
         return df.repartition(cores, F.col(key))
