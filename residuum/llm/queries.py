@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import language_id, token_counts, topk_search, url_filter
+from residuum.llm import language_id, substring_dedup, token_counts, topk_search, url_filter
 from residuum.llm.common import held_out, table, trainable
 from residuum.llm.registry import query
 
@@ -70,9 +70,9 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_topk_search", """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
@@ -84,3 +84,26 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """)
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op10_substring_dedup", """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT rid, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k
+  FROM d, unnest(range(1, len(w) - 48)) AS t(i) WHERE doc_id IS NOT NULL),
+m AS (SELECT k, min(doc_id) AS m FROM s GROUP BY k),
+gone AS (
+  SELECT DISTINCT rid, i + j AS p FROM (SELECT rid, i FROM s JOIN m USING (k) WHERE m < doc_id), range(50) AS t(j)),
+kept AS (
+  SELECT d.rid, count(g.p) AS n_removed,
+         coalesce(string_agg(w[q], ' ' ORDER BY q) FILTER (WHERE g.p IS NULL), '') AS kept
+  FROM d, unnest(range(1, len(w) + 1)) AS t(q) LEFT JOIN gone g ON g.rid = d.rid AND g.p = q GROUP BY d.rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+""")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")) \
+        .select("doc_id", "n_words", "n_removed", "kept_sha256")
