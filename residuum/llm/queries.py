@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import language_id, substring_dedup, token_counts, topk_search, url_filter
+from residuum.llm import language_id, ngram_jaccard, substring_dedup, token_counts, topk_search, url_filter
 from residuum.llm.common import held_out, table, trainable
 from residuum.llm.registry import query
 
@@ -107,3 +107,8 @@ FROM d LEFT JOIN kept USING (rid)
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")) \
         .select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op6_ngram_jaccard")
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
