@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import language_id, ngram_jaccard, substring_dedup, token_counts, topk_search, url_filter
+from residuum.llm import decontaminate, language_id, ngram_jaccard, substring_dedup, token_counts, topk_search, url_filter
 from residuum.llm.common import held_out, table, trainable
 from residuum.llm.registry import query
 
@@ -112,3 +112,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_ngram_jaccard")
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_decontamination")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -21,8 +21,6 @@ def _table(inside) -> np.ndarray:
 WHITE = _table(lambda b: b == 0x20 or 0x09 <= b <= 0x0D)
 # bytes that part normalised tokens: every ASCII byte but letters and digits
 NOT_ALNUM = _table(lambda b: b < 0x80 and not chr(b).isalnum())
-AS_IS = np.arange(256, dtype=np.uint8)
-ASCII_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -50,7 +48,7 @@ def _sums(values: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = WHITE, fold: np.ndarray = AS_IS):
+def words(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = WHITE):
     """``(row, hash)`` of every word, in order of the texts."""
     n = len(data)
     if not n:
@@ -65,7 +63,7 @@ def words(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = WHITE, fold: np.
     end[:-1] &= gap[1:] | cut[1:n]
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
     base = _BASES[0]
-    sums = _sums(fold[data].astype(np.uint64) + np.uint64(1), base)
+    sums = _sums(data.astype(np.uint64) + np.uint64(1), base)
     h = (sums[end] - sums[start]) * _powers(pow(base, -1, 1 << 64), n)[start]
     row = np.searchsorted(off, start, side="right") - 1
     return row, mix(h ^ (end - start).astype(np.uint64))
