@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import decontaminate, language_id, ngram_jaccard, substring_dedup, token_counts, topk_search, url_filter
+from residuum.llm import (decontaminate, language_id, ngram_jaccard, substring_dedup, token_counts, topk_search,
+                          toxicity, url_filter)
 from residuum.llm.common import held_out, table, trainable
 from residuum.llm.registry import query
 
@@ -117,3 +118,17 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_decontamination")
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TOXIC_SCORE = 0.7
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, doc_id = table(spark, sf_dir, "documents"), F.col("doc_id")
+    model = toxicity.learn(
+        docs.filter(trainable(doc_id)).select(doc_id.alias("id"), "text"),
+        table(spark, sf_dir, "labels").filter(trainable(doc_id)).select(doc_id.alias("id"), F.col("toxic").alias("label")))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out(doc_id).alias("held_out"), "score",
+                        (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"))
