@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import (decontaminate, language_id, ngram_jaccard, substring_dedup, token_counts, topk_search,
+from residuum.llm import (decontaminate, html_extract, language_id, ngram_jaccard, substring_dedup, token_counts, topk_search,
                           toxicity, url_filter)
 from residuum.llm.common import held_out, table, trainable
 from residuum.llm.registry import query
@@ -132,3 +132,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(docs, model)
     return found.select("doc_id", held_out(doc_id).alias("held_out"), "score",
                         (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"))
+
+
+@query("op7_html_extraction")
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
