@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from residuum.llm import (decontaminate, html_extract, language_id, ngram_jaccard, substring_dedup, token_counts, topk_search,
                           toxicity, url_filter)
+from residuum.llm import sentencepiece
 from residuum.llm.common import held_out, table, trainable
 from residuum.llm.registry import query
 
@@ -137,3 +138,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_html_extraction")
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+PIECES = "piece_bpe_32k.model"
+
+
+def encoded(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``keep``, the ids of the text, their number, and whether they decode to the text."""
+    vocab = sentencepiece.Vocabulary.read(tokenizer_path(PIECES))
+    out = sentencepiece.encode(docs, vocab, keep=keep)
+    back = sentencepiece.decode(F.col("ids"), vocab, docs.sparkSession)
+    same = back.eqNullSafe(F.replace(F.col("text"), F.lit(sentencepiece.MARK), F.lit(" ")))
+    return out.select(*keep, "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), same.alias("round_trip"))
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"), ("doc_id",))
