@@ -219,3 +219,21 @@ def identify(docs: DataFrame, samples: dict[str, str], keep: tuple[str, ...] = (
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
     return src.mapInArrow(run, ", ".join(x for x in (fields, "lang_pred string, score double") if x))
+
+
+def recognised(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with all columns. If none
+    could be learned, the rows whose text has a letter."""
+    shared = docs.sparkSession.sparkContext.broadcast(Model(samples))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        model = shared.value
+        for b in batches:
+            if model.langs:
+                keep = [k != UNKNOWN for k in model.judge(b.column(at))[0]]
+            else:
+                keep = [bool(letters(t)) for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from residuum.llm.common import as_binary, slices
@@ -235,3 +235,15 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     rest = src.filter(F.col("id").isNull() | F.col("text").isNull() | ~has_word) \
         .select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     return with_words.unionByName(rest).withColumnRenamed("id", id_col)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without its near duplicates: of each group the row of the smallest id
+    stays, with all columns. Of rows with that same id one stays, the one whose text
+    hash is least. Rows with a null id are not compared and stay."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
+    kept = found.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_kept")).distinct()
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    return docs.join(kept, docs[id_col] == F.col("_kept")).drop("_kept") \
+        .withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") == 1).drop("_nth") \
+        .unionByName(docs.filter(F.col(id_col).isNull()))

@@ -20,4 +20,5 @@ def query(key: str, oracle: str | None = None):
 
 
 def load_all() -> None:
+    import corpus_pipeline  # noqa: F401
     from residuum.llm import queries  # noqa: F401
