@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residuum.session import checked_broadcast
 
 
 def entry_id(header: Column) -> Column:
@@ -63,13 +62,13 @@ def class_dictionary(df: DataFrame, class_col: str = "class") -> DataFrame:
     """PRJ13 dictionary: each distinct non-null class and its 0-based rank
     in lexicographic order (``c1, c10, c11, c2, ...``).
 
-    The window runs over the distinct classes only; the table is checked
-    for size before it is broadcast back.
+    The window runs over the distinct classes only; AQE broadcasts the
+    table back if it measures it small.
     """
     classes = df.where(F.col(class_col).isNotNull()).select(class_col).distinct()
     codes = classes.withColumn("code", (F.row_number().over(Window.orderBy(class_col)) - 1)
                                .cast("int"))
-    return checked_broadcast(codes)
+    return codes
 
 
 def class_code(df: DataFrame, class_col: str = "class", dictionary: DataFrame | None = None,

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from residuum.functions.hashing import rank_key
 from residuum.operators.ranking import prefix_select
-from residuum.session import checked_broadcast
 
 
 def class_rank(class_col: Column, class_order: Sequence[str]) -> Column:
@@ -83,7 +82,7 @@ def family_partition(df: DataFrame, test_families: DataFrame,
     a null family never match, so they stay in train.
     """
     fams = test_families.select(family_col).distinct().withColumn("_in_test", F.lit(True))
-    out = df.join(checked_broadcast(fams), family_col, "left")
+    out = df.join(fams, family_col, "left")
     return out.withColumn("split", F.when(F.col("_in_test"), F.lit("test"))
                           .otherwise(F.lit("train"))).drop("_in_test")
 
@@ -100,7 +99,8 @@ def term_variants(terms: Sequence[str], suffixes: Sequence[str]) -> DataFrame:
 
 
 def union_classes(frames: Sequence[DataFrame]) -> DataFrame:
-    """SET1: concatenate per-class frames by column name."""
+    """SET1: concatenate per-class frames by column name; a column that a frame
+    lacks is null there."""
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -117,16 +117,15 @@ def union_all_ids(frames: Sequence[DataFrame]) -> DataFrame:
 
 def exact_fraction(df: DataFrame, frac, seed, key_col: str) -> DataFrame:
     """FLT5: exactly ``round(frac * n)`` rows (half to even), hash order."""
-    lim = df.agg(F.bround(F.count(F.lit(1)) * F.lit(Decimal(str(frac))), 0)
-                 .cast("long").alias("limit"))
-    sel = prefix_select(df, rank_key(seed, key_col), F.col(key_col), lim)
+    sel = prefix_select(df, rank_key(seed, key_col), F.col(key_col),
+                        lambda t: t.withColumn("limit", F.bround(
+                            F.col("total") * F.lit(Decimal(str(frac))), 0).cast("long")))
     return sel.where("selected").drop("selected")
 
 
 def sample_n(df: DataFrame, n: int, seed, key_col: str) -> DataFrame:
-    """FLT6: ``n`` rows in hash order."""
-    sel = prefix_select(df, rank_key(seed, key_col), F.col(key_col), int(n))
-    return sel.where("selected").drop("selected")
+    """FLT6: ``n`` rows in hash order (a distributed top-n)."""
+    return df.orderBy(rank_key(seed, key_col), key_col).limit(int(n))
 
 
 def first_row(df: DataFrame, order_col: str = "record_pos") -> DataFrame:

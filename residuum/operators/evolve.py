@@ -17,7 +17,6 @@ from residuum.functions.hashing import draw_int, draw_unit, rank_key
 from residuum.functions.residues import aa_array
 from residuum.operators.embed import kmer_profile
 from residuum.operators.metrics import population_stats, row_r2
-from residuum.session import checked_broadcast
 
 # digest prefix below which an event has probability 0.1
 P10 = "1999999a"
@@ -71,12 +70,11 @@ def class_targets(profiles: DataFrame, group_col: str, vec_col: str = "embedding
                     F.transform("_s", lambda x: x["v"]).alias("target"))
 
 
-def evaluate(pop: DataFrame, targets: DataFrame, encoder=kmer_profile,
-             checked: bool = False) -> DataFrame:
+def evaluate(pop: DataFrame, targets: DataFrame, encoder=kmer_profile) -> DataFrame:
     """GEN5: fitness = R^2 between the encoded individual and its
     candidate's target, prediction passed as truth (the source's argument
-    order).  ``checked``: ``targets`` is already a size-checked broadcast."""
-    t = targets if checked else checked_broadcast(targets.select("candidate_id", "target"))
+    order)."""
+    t = targets.select("candidate_id", "target")
     j = pop.select("candidate_id", "individual_id", "seq").join(t, "candidate_id")
     # the encoder (a Python UDF) is its own column; the R^2 lambdas read it
     j = j.withColumn("_pred", encoder(F.col("seq")))
@@ -171,9 +169,8 @@ def run_generations(candidates: DataFrame, targets: DataFrame, ngen: int, n: int
     short; the log is appended per generation when ``log_path`` is given.
     """
     spark = candidates.sparkSession
-    # one row per candidate: size-checked once for the whole run
-    targets = checked_broadcast(targets.select("candidate_id", "target"))
-    pop = evaluate(seed_population(candidates, n, f"{seed}-start", step), targets, checked=True)
+    targets = targets.select("candidate_id", "target").checkpoint()  # one row per candidate
+    pop = evaluate(seed_population(candidates, n, f"{seed}-start", step), targets)
     pop = _materialise(pop, True)
     best = _materialise(hall_of_fame(pop), True)
     logs = [_materialise(population_stats(pop.withColumn("generation", F.lit(0))), False)]
@@ -183,7 +180,7 @@ def run_generations(candidates: DataFrame, targets: DataFrame, ngen: int, n: int
         kids = mutate_population(kids, seed, g, mutpb, step)
         reliable = g % checkpoint_every == 0 or g == ngen
         old_pop, old_best = pop, best
-        pop = _materialise(evaluate(kids, targets, checked=True), reliable)
+        pop = _materialise(evaluate(kids, targets), reliable)
         best = _materialise(
             hall_of_fame(best.unionByName(pop.select("candidate_id", "seq", "fitness"))), reliable)
         old_pop.unpersist()

@@ -10,11 +10,12 @@ before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residuum.functions.residues import IGNORE_LABEL
-from residuum.session import checked_broadcast
 
 
 # ------------------------------------------------------------ row functions
@@ -78,13 +79,13 @@ def confusion_table(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 
 def per_class(cm: DataFrame) -> DataFrame:
-    """Per class: tp, predicted, true, precision, recall, f1 (0 if undefined)."""
-    classes = cm.select(F.col("y").alias("c")).union(cm.select(F.col("p").alias("c"))).distinct()
-    tp = cm.where(F.col("y") == F.col("p")).select(F.col("y").alias("c"), F.col("n").alias("tp"))
-    pred = cm.groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("n_pred"))
-    true = cm.groupBy(F.col("y").alias("c")).agg(F.sum("n").alias("support"))
-    t = (classes.join(tp, "c", "left").join(pred, "c", "left").join(true, "c", "left")
-         .fillna(0, ["tp", "n_pred", "support"]))
+    """Per class: tp, predicted, true, precision, recall, f1 (0 if undefined).
+    Every cell counts once for its true and once for its predicted class."""
+    none = F.lit(0).cast("long")
+    hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(none)
+    both = F.array(F.struct(F.col("y").alias("c"), hit.alias("tp"), none.alias("n_pred"), F.col("n").alias("support")),
+                   F.struct(F.col("p").alias("c"), none.alias("tp"), F.col("n").alias("n_pred"), none.alias("support")))
+    t = cm.select(F.inline(both)).groupBy("c").agg(*[F.sum(x).alias(x) for x in ("tp", "n_pred", "support")])
     prec = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(F.lit(0.0))
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     t = t.withColumn("precision", prec).withColumn("recall", rec)
@@ -143,15 +144,17 @@ def binary_metrics(cm: DataFrame, positive=1) -> DataFrame:
                     f1.alias("f1"), auc.alias("roc_auc"), mcc.alias("mcc"))
 
 
-def confusion_matrix(cm: DataFrame) -> DataFrame:
-    """AGG12: every (true, predicted) cell over the classes seen, zeros
-    included.  The class list is checked for size; the cell grid is k^2
-    for k classes, independent of the row count."""
-    classes = cm.select(F.col("y").alias("c")).union(cm.select(F.col("p").alias("c"))).distinct()
-    classes = checked_broadcast(classes, 10_000)
-    grid = classes.select(F.col("c").alias("y")).crossJoin(classes.select(F.col("c").alias("p")))
-    return grid.join(cm, ["y", "p"], "left").select("y", "p", F.coalesce("n", F.lit(0))
-                                                    .cast("long").alias("n"))
+def confusion_matrix(cm: DataFrame, classes: Sequence | None = None) -> DataFrame:
+    """AGG12: the cells ``(true, predicted, n)`` that occur; with a list of
+    ``classes`` every cell over them, zeros included (k^2 literals that the
+    caller asks for)."""
+    seen = cm.groupBy("y", "p").agg(F.sum("n").cast("long").alias("n"))
+    if classes is None:
+        return seen
+    listed = F.array(*[F.lit(c) for c in classes])
+    one = cm.sparkSession.range(1).select(F.explode(listed).alias("y"))
+    grid = one.select("y", F.explode(listed).alias("p"))
+    return grid.join(seen, ["y", "p"], "left").select("y", "p", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def classification_report(cm: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -163,24 +166,20 @@ def classification_report(cm: DataFrame, names: DataFrame | None = None) -> Data
         label = F.coalesce(F.col("name"), F.col("c").cast("string"))
     else:
         label = F.col("c").cast("string")
-    rows = t.select(label.alias("label"), "precision", "recall", "f1",
-                    F.col("support").cast("long").alias("support"))
-    s = F.sum("support")
-    acc = cm.agg(F.lit("accuracy").alias("label"),
-                 F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"),
-                 (F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n"))
-                 .alias("f1"),
-                 F.sum("n").cast("long").alias("support"))
-    macro = t.agg(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"),
-                  F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
-                  s.cast("long").alias("support"))
-    weighted = t.agg(F.lit("weighted avg").alias("label"),
-                     (F.sum(F.col("precision") * F.col("support")) / s).alias("precision"),
-                     (F.sum(F.col("recall") * F.col("support")) / s).alias("recall"),
-                     (F.sum(F.col("f1") * F.col("support")) / s).alias("f1"),
-                     s.cast("long").alias("support"))
-    return rows.unionByName(acc).unionByName(macro).unionByName(weighted)
+    # each class row counts for itself and for the three summary rows
+    support, zero = F.col("support"), F.lit(0.0)
+    kinds = F.array(*[F.struct(name.alias("label"), F.lit(kind).alias("kind")) for name, kind in (
+        (label, 0), (F.lit("accuracy"), 1), (F.lit("macro avg"), 2), (F.lit("weighted avg"), 3))])
+    each = t.select("precision", "recall", "f1", "tp", "support", F.inline(kinds))
+    weight = F.when(F.col("kind") == 3, support).otherwise(F.lit(1))
+
+    def mean(c):
+        return F.when(F.col("kind") != 1, F.sum(F.col(c) * weight) / F.sum(weight))
+
+    return each.groupBy("label", "kind").agg(
+        mean("precision").alias("precision"), mean("recall").alias("recall"),
+        F.coalesce(mean("f1"), F.sum("tp") / F.sum("support"), zero).alias("f1"),
+        F.sum("support").cast("long").alias("support")).drop("kind")
 
 
 # ------------------------------------------------------------ token metrics
@@ -214,7 +213,7 @@ def perplexity(df: DataFrame, labels: str = "labels", p_true: str = "p_true") ->
 def weighted_cross_entropy(df: DataFrame, weights: DataFrame, logits: str = "logits",
                            label: str = "label", class_col: str = "class") -> DataFrame:
     """AGG17: sum(w[y] * nll) / sum(w[y]); ``weights`` is (class, weight)."""
-    w = checked_broadcast(weights.select(F.col(class_col).alias("_c"), F.col("weight")))
+    w = weights.select(F.col(class_col).alias("_c"), F.col("weight"))
     j = df.join(w, df[label] == w["_c"], "left").fillna(0.0, ["weight"])
     return j.agg((F.sum(F.col("weight") * nll(F.col(logits), F.col(label))) /
                   F.sum("weight")).alias("weighted_ce"),
@@ -234,14 +233,12 @@ def _per_dim(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def regression_metrics(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """AGG18: MSE, RMSE, R^2 per output dimension, then the plain mean over
-    dimensions (RMSE averages the per-dimension roots).  Two passes: the
-    per-dimension means first (a D-row table), then centred sums."""
-    d = _per_dim(df, y, p)
-    means = d.groupBy("dim").agg(F.avg("y").alias("ym"))
-    j = d.join(F.broadcast(means), "dim")  # one row per dimension: bounded by D
-    per = j.groupBy("dim").agg(F.avg((F.col("y") - F.col("p")) ** 2).alias("mse"),
-                               F.sum((F.col("y") - F.col("p")) ** 2).alias("sse"),
-                               F.sum((F.col("y") - F.col("ym")) ** 2).alias("sst"))
+    dimensions (RMSE averages the per-dimension roots).  One pass: the
+    centred sum of squares is the population variance times the count."""
+    error = (F.col("y") - F.col("p")) ** 2
+    per = _per_dim(df, y, p).groupBy("dim").agg(
+        F.avg(error).alias("mse"), F.sum(error).alias("sse"),
+        (F.var_pop("y") * F.count("y")).alias("sst"))
     r2 = F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst")).otherwise(
         F.when(F.col("sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     return per.agg(F.avg("mse").alias("mse"), F.avg(F.sqrt("mse")).alias("rmse"),
@@ -249,12 +246,9 @@ def regression_metrics(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 
 def pooled_r2(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """AGG19: one R^2 over all values of all rows (two passes)."""
-    d = _per_dim(df, y, p)
-    m = d.agg(F.avg("y").alias("ym"))
-    j = d.crossJoin(F.broadcast(m))  # one row
-    return j.agg((1 - F.sum((F.col("y") - F.col("p")) ** 2) /
-                  F.sum((F.col("y") - F.col("ym")) ** 2)).alias("r2"))
+    """AGG19: one R^2 over all values of all rows (one pass)."""
+    return _per_dim(df, y, p).agg(
+        (1 - F.sum((F.col("y") - F.col("p")) ** 2) / (F.var_pop("y") * F.count("y"))).alias("r2"))
 
 
 def dual_task_loss(ce: Column, mse: Column, w_mlm: float = 0.0, w_reg: float = 100.0) -> Column:
@@ -276,4 +270,8 @@ def population_stats(pop: DataFrame, group_cols=("generation", "candidate_id"),
                                         F.max(fitness).alias("max"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Window",)]
+__all__ = ["accuracy", "argmax", "balanced_accuracy", "binary_counts", "binary_metrics",
+           "classification_report", "confusion_matrix", "confusion_table", "dual_task_loss",
+           "epoch_mean_loss", "logsumexp", "masked_token_accuracy", "nll", "per_class", "perplexity",
+           "pooled_r2", "population_stats", "regression_metrics", "row_r2", "softmax",
+           "threshold_label", "weighted_cross_entropy", "weighted_prf"]

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from residuum.session import checked_broadcast
 
 
 def _features(df: DataFrame, col: str) -> DataFrame:
@@ -67,9 +66,8 @@ def weighted_classifier(df: DataFrame, weights: DataFrame, features: str = "embe
                         label: str = "code", class_col: str = "code", max_iter: int = 50
                         ) -> tuple:
     """ML5: multinomial logistic regression with balanced class weights
-    (``weights``: one row per class, checked for size before broadcast)."""
-    w = checked_broadcast(weights.select(F.col(class_col).alias("_c"),
-                                         F.col("weight").alias("_w")))
+    (``weights``: one row per class)."""
+    w = weights.select(F.col(class_col).alias("_c"), F.col("weight").alias("_w"))
     d = _features(df, features).join(w, F.col(label) == F.col("_c"), "left").fillna(0.0, ["_w"])
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="_w",
                             maxIter=max_iter, family="multinomial")

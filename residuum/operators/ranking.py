@@ -10,13 +10,12 @@ per-bucket offsets computed on a tiny ``groupBy(group, bucket)`` table.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residuum.functions.hashing import hash_bucket
-from residuum.session import checked_broadcast
 
 UNBOUNDED = Window.unboundedPreceding
 
@@ -84,52 +83,43 @@ def prefix_select(df: DataFrame, order_hex: Column, tiebreak: Column, limit,
     weights it is "take items until the running total reaches the limit,
     the crossing item included".
 
-    ``limit`` is a number or a DataFrame of ``group_cols + [limit]``.
+    ``limit`` is a number, a DataFrame of ``group_cols + [limit]``, or a
+    function that makes one of the table ``group_cols + [total]`` of the
+    groups' total weights.
 
-    Rows are never shuffled as a whole: one aggregate of weights per
-    ``(group, 4-hex-digit bucket)``, a running sum over at most 65,536
-    buckets per group, and an exact window only over the rows of the one
-    bucket per group where the limit falls.
+    Only ``(group, key, tiebreak, weight)`` is shuffled, once, by group and
+    4-hex-digit bucket of the key, and summed up there; bucket offsets and
+    totals come from the same exchange.  The last selected key of each group
+    is then compared with every row, so wide rows are read once and not
+    shuffled.
     """
     g = _cols(group_cols)
     d = df
     if not g:
-        # one implicit group; its per-group table has exactly one row
-        d = d.withColumn("_g0", F.lit(0))
+        d = d.withColumn("_g0", F.lit(0))  # one implicit group
         g = ["_g0"]
         if isinstance(limit, DataFrame):
             limit = limit.withColumn("_g0", F.lit(0))
-    d = (d.withColumn("_key", order_hex).withColumn("_tie", tiebreak)
-          .withColumn("_bk", hash_bucket(F.col("_key")))
-          .withColumn("_w", (weight if weight is not None else F.lit(1)).cast("long")))
-
-    offs = _bucket_offsets(d, g, "_bk", "_w")
+    d = d.withColumn("_rank", F.struct(order_hex.alias("k"), tiebreak.alias("t")))
+    narrow = d.select(*g, "_rank", hash_bucket(F.col("_rank.k")).alias("_bk"),
+                      (weight if weight is not None else F.lit(1)).cast("long").alias("_w"))
+    win = Window.partitionBy(*g, "_bk").orderBy("_rank").rowsBetween(UNBOUNDED, 0)
+    local = narrow.withColumn("_loc", F.sum("_w").over(win))
+    offs = _bucket_offsets(local, g, "_bk", "_w")
+    totals = offs.groupBy(*g).agg(F.sum("_bw").alias("total"))
+    if callable(limit):
+        limit = limit(totals)
+    ranked = _join_null_safe(local, offs.select(*g, "_bk", "_boff"), [*g, "_bk"], "inner")
     if isinstance(limit, DataFrame):
-        offs = _join_null_safe(offs, limit.select(*g, F.col("limit").alias("_limit")), g,
-                               "inner")
+        ranked = _join_null_safe(ranked, limit.select(*g, F.col("limit").alias("_limit")), g, "inner")
     else:
-        offs = offs.withColumn("_limit", F.lit(limit))
-    # The first bucket whose running total reaches the limit holds the
-    # boundary; everything before it is in, everything after it is out.
-    boundary = (offs.where(F.col("_boff") + F.col("_bw") >= F.col("_limit"))
-                .groupBy(*g)
-                .agg(F.min(F.struct("_bk", "_boff")).alias("_b")))
-    per_group = (_join_null_safe(offs.groupBy(*g).agg(F.first("_limit").alias("_limit")),
-                                 boundary, g, "left")
-                 .select(*g, "_limit", F.col("_b._bk").alias("_bb"),
-                         F.col("_b._boff").alias("_bcb")))
-    # a group without a limit selects nothing, but keeps all its rows
-    joined = _join_null_safe(d, checked_broadcast(per_group), g, "left")
-
-    inside = joined.where(F.col("_bb").isNull() | (F.col("_bk") != F.col("_bb")))
-    inside = inside.withColumn(out, F.col("_limit").isNotNull() & (
-        F.col("_bb").isNull() | (F.col("_bk") < F.col("_bb"))))
-    edge = joined.where(F.col("_bk") == F.col("_bb"))
-    win = Window.partitionBy(*g, "_bk").orderBy("_key", "_tie").rowsBetween(UNBOUNDED, 0)
-    edge = edge.withColumn(
-        out, (F.col("_bcb") + F.sum("_w").over(win) - F.col("_w")) < F.col("_limit"))
-    res = inside.unionByName(edge)
-    return res.drop("_key", "_tie", "_bk", "_w", "_limit", "_bb", "_bcb", "_g0")
+        ranked = ranked.withColumn("_limit", F.lit(limit))
+    # a group without a limit, or with none of its rows inside, selects nothing
+    last = (ranked.where(F.col("_boff") + F.col("_loc") - F.col("_w") < F.col("_limit"))
+            .groupBy(*g).agg(F.max("_rank").alias("_last")))
+    joined = _join_null_safe(d, last, g, "left")
+    return joined.withColumn(out, F.coalesce(F.col("_rank") <= F.col("_last"), F.lit(False))) \
+        .drop("_rank", "_last", "_g0")
 
 
 def hash_rank_select(df: DataFrame, seed, key_col: str, limit, group_cols=None,

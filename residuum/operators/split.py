@@ -19,20 +19,23 @@ NULL_CLASS = "\u0000null"
 
 
 def _family_table(df: DataFrame, family_col: str, seed) -> DataFrame:
-    return (df.where(F.col(family_col).isNotNull())
-              .groupBy(family_col).agg(F.count(F.lit(1)).alias("n_rows"))
+    """Rows per family (null is one), with the families' hash order."""
+    return (df.groupBy(family_col).agg(F.count(F.lit(1)).alias("n_rows"))
               .withColumn("_h", rank_key(seed, family_col)))
 
 
+def _chosen(fam: DataFrame, frac, family_col: str) -> DataFrame:
+    lim = fam.agg((F.sum("n_rows") * F.lit(Decimal(str(frac)))).alias("limit"))
+    named = fam.where(F.col(family_col).isNotNull())
+    return prefix_select(named, F.col("_h"), F.col(family_col), lim, weight=F.col("n_rows")).where("selected")
+
+
 def choose_test_families(df: DataFrame, frac=0.2, seed=42,
                          family_col: str = "family") -> DataFrame:
     """WIN1 core: families moved to test, in hash order, until the moved
     rows reach ``frac`` of all rows (null-family rows count in the total);
     the family that crosses the line is moved too."""
-    fam = _family_table(df, family_col, seed)
-    lim = df.agg((F.count(F.lit(1)) * F.lit(Decimal(str(frac)))).alias("limit"))
-    sel = prefix_select(fam, F.col("_h"), F.col(family_col), lim, weight=F.col("n_rows"))
-    return sel.where("selected").select(family_col, "n_rows")
+    return _chosen(_family_table(df, family_col, seed), frac, family_col).select(family_col, "n_rows")
 
 
 def family_split(df: DataFrame, frac=0.2, seed=42, family_col: str = "family") -> DataFrame:
@@ -43,14 +46,12 @@ def family_split(df: DataFrame, frac=0.2, seed=42, family_col: str = "family") -
 def split_progress(df: DataFrame, frac=0.2, seed=42, family_col: str = "family") -> DataFrame:
     """WIN2: running share of rows and of families as test families are moved."""
     fam = _family_table(df, family_col, seed)
-    moved = choose_test_families(df, frac, seed, family_col).withColumn(
-        "_h", rank_key(seed, family_col))
+    moved = _chosen(fam, frac, family_col).drop("selected")
     cum = ordered_cumsum(moved, None, ["_h", family_col], hash_bucket(F.col("_h")),
                          F.col("n_rows"), "cum_rows")
     cum = ordered_cumsum(cum, None, ["_h", family_col], hash_bucket(F.col("_h")),
                          F.lit(1), "cum_families")
-    totals = df.agg(F.count(F.lit(1)).alias("_total")).crossJoin(
-        fam.agg(F.count(F.lit(1)).alias("_nfam")))
+    totals = fam.agg(F.sum("n_rows").alias("_total"), F.count(family_col).alias("_nfam"))
     return (cum.crossJoin(F.broadcast(totals))
                .select(family_col, "n_rows", "cum_rows", "cum_families",
                        F.round(F.col("cum_rows") * 100.0 / F.col("_total"), 6).alias("pct_rows"),
@@ -58,16 +59,15 @@ def split_progress(df: DataFrame, frac=0.2, seed=42, family_col: str = "family")
                         .alias("pct_families")))
 
 
-def stratified_quotas(df: DataFrame, class_col: str = "class", frac=0.1) -> DataFrame:
+def stratified_quotas(counts: DataFrame, frac=0.1) -> DataFrame:
     """Held-out rows per class, as the common stratified splitter does it.
 
     ``n_test = ceil(frac * n)`` (exact decimal); training quotas by largest
     remainder of ``n_train * c / n`` (integer arithmetic, ties by class),
-    then test quota = class size - training quota.  Runs on the class-count
-    table only (one row per class).
+    then test quota = class size - training quota.  ``counts`` has one row
+    per class: ``(_sk, total)``.
     """
-    cc = (df.withColumn("_sk", F.coalesce(F.col(class_col), F.lit(NULL_CLASS)))
-            .groupBy("_sk").agg(F.count(F.lit(1)).alias("c")))
+    cc = counts.select("_sk", F.col("total").alias("c"))
     every = Window.partitionBy()
     q = (cc.withColumn("n", F.sum("c").over(every))
            .withColumn("n_test", F.ceil(F.col("n") * F.lit(Decimal(str(frac)))).cast("long"))
@@ -87,24 +87,25 @@ def stratified_split(df: DataFrame, class_col: str = "class", frac=0.1, seed=42,
                      key_col: str = "record_id", test_name: str = "validation",
                      train_name: str = "train") -> DataFrame:
     """WIN3: class-proportional exact split; adds ``split``."""
-    quotas = stratified_quotas(df, class_col, frac).select("_sk", "limit")
     d = df.withColumn("_sk", F.coalesce(F.col(class_col), F.lit(NULL_CLASS)))
-    sel = prefix_select(d, rank_key(seed, key_col), F.col(key_col), quotas, ["_sk"])
+    sel = prefix_select(d, rank_key(seed, key_col), F.col(key_col),
+                        lambda counts: stratified_quotas(counts, frac), ["_sk"])
     return sel.withColumn("split", F.when(F.col("selected"), F.lit(test_name))
                           .otherwise(F.lit(train_name))).drop("selected", "_sk")
 
 
 def random_split(df: DataFrame, test_frac=0.2, seed=42, key_col: str = "record_id") -> DataFrame:
     """WIN4: exact ``ceil(frac * n)`` test rows in hash order, not stratified."""
-    lim = df.agg(F.ceil(F.count(F.lit(1)) * F.lit(Decimal(str(test_frac))))
-                 .cast("long").alias("limit"))
-    sel = prefix_select(df, rank_key(seed, key_col), F.col(key_col), lim)
+    sel = prefix_select(df, rank_key(seed, key_col), F.col(key_col),
+                        lambda t: t.withColumn("limit", F.ceil(
+                            F.col("total") * F.lit(Decimal(str(test_frac)))).cast("long")))
     return sel.withColumn("split", F.when(F.col("selected"), F.lit("test"))
                           .otherwise(F.lit("train"))).drop("selected")
 
 
 def topn_per_group(df: DataFrame, group_col: str, n: int, seed=42,
                    key_col: str = "record_id") -> DataFrame:
-    """WIN5: at most ``n`` rows per group, hash order."""
-    sel = prefix_select(df, rank_key(seed, key_col), F.col(key_col), int(n), [group_col])
-    return sel.where("selected").drop("selected")
+    """WIN5: at most ``n`` rows per group, hash order.  Spark limits every
+    group on the map side first, so a hot group sends n rows per task."""
+    first = Window.partitionBy(group_col).orderBy(rank_key(seed, key_col), key_col)
+    return df.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= int(n)).drop("_nth")

@@ -83,27 +83,21 @@ def mlm_mask(df: DataFrame, ids_col: str = "input_ids", key_col: str = "record_i
     random token of the whole vocabulary, 10 % stay.
     """
     specials = F.array(F.lit(CLS_ID), F.lit(EOS_ID), F.lit(PAD_ID))
-    key = F.col(key_col)
-
-    def chosen(t, i):
-        return (~F.array_contains(specials, t)) & (
-            rank_key(seed, key, i) < F.lit(mlm_probability_prefix))
-
-    def new_token(t, i):
-        u = rank_key(f"{seed}-how", key, i)
-        rnd = (F.conv(F.substring(rank_key(f"{seed}-tok", key, i), 1, 8), 16, 10)
-               .cast("long") % F.lit(len(ESM_TOKENS))).cast("int")
-        return (F.when(u < F.lit(P80), F.lit(MASK_ID))
-                 .when(u < F.lit(P90), rnd).otherwise(t))
-
-    # one digest per position decides the targets; the two more digests
-    # that pick the replacement are only computed for the ~15 % targets
-    picked = F.transform(ids_col, lambda t, i: F.struct(t.alias("t"), i.alias("i"),
-                                                        chosen(t, i).alias("c")))
-    d = df.withColumn("_mlm", picked)
+    # one digest per position: digits 1-8 choose the targets, 9-16 the kind of
+    # replacement, 17-24 the random token
+    d = df.withColumn("_mlm", F.transform(ids_col, lambda t, i: F.struct(
+        t.alias("t"), rank_key(seed, F.col(key_col), i).alias("h"))))
+    d = d.withColumn("_mlm", F.transform("_mlm", lambda x: F.struct(
+        x["t"].alias("t"), x["h"].alias("h"),
+        (~F.array_contains(specials, x["t"]) & (x["h"] < F.lit(mlm_probability_prefix))).alias("c"))))
+
+    def new_token(x):
+        how = F.substring(x["h"], 9, 8)
+        rnd = (F.conv(F.substring(x["h"], 17, 8), 16, 10).cast("long") % F.lit(len(ESM_TOKENS))).cast("int")
+        return F.when(how < F.lit(P80), F.lit(MASK_ID)).when(how < F.lit(P90), rnd).otherwise(x["t"])
+
     labels = F.transform("_mlm", lambda x: F.when(x["c"], x["t"]).otherwise(F.lit(IGNORE_LABEL)))
-    masked = F.transform("_mlm", lambda x: F.when(x["c"], new_token(x["t"], x["i"]))
-                         .otherwise(x["t"]))
+    masked = F.transform("_mlm", lambda x: F.when(x["c"], new_token(x)).otherwise(x["t"]))
     return d.withColumn("labels", labels).withColumn(ids_col, masked).drop("_mlm")
 
 

@@ -30,9 +30,16 @@ def _kw_sql(col):
 
 # token id of a residue letter: ids 4..30 are the single-letter tokens in order
 LETTERS = "".join(t for t in ESM_TOKENS[4:31])
-TOK_SQL = (f"list_transform(string_split(substring(seq, 1, 1024), ''), "
-           f"lambda c: 3 + instr('{LETTERS}', c))")
-IDS_SQL = f"CASE WHEN length(seq) = 0 THEN [0, 2] ELSE list_concat([0], {TOK_SQL}, [2]) END"
+
+
+def _ids_sql(seq):
+    letters = f"list_transform(string_split({seq}, ''), lambda c: 3 + instr('{LETTERS}', c))"
+    return f"CASE WHEN length(seq) = 0 THEN [0, 2] ELSE list_concat([0], {letters}, [2]) END"
+
+
+IDS_SQL = _ids_sql("seq")
+# the cut is the feature of ``tokenize_residues`` alone
+CUT_IDS_SQL = _ids_sql("substring(seq, 1, 1024)")
 
 
 def with_sites(spark, sf):
@@ -136,17 +143,17 @@ def q_truncate_labels(spark, sf):
                     F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_sites"))
 
 
-def tokenized(spark, sf):
+def tokenized(spark, sf, max_length=None):
     return records(spark, sf).withColumn(
-        "input_ids", tokens.tokenize_residues(F.col("seq"), 1024, add_special=True))
+        "input_ids", tokens.tokenize_residues(F.col("seq"), max_length, add_special=True))
 
 
 @query("tokenize_residues", f"""WITH {REC_SQL},
-tok AS (SELECT record_id, {IDS_SQL} AS input_ids FROM rec)
+tok AS (SELECT record_id, {CUT_IDS_SQL} AS input_ids FROM rec)
 SELECT record_id, len(input_ids) AS n_tokens, CAST(list_sum(input_ids) AS BIGINT) AS id_sum,
        md5(array_to_string(input_ids, ',')) AS ids_md5 FROM tok""")
 def q_tokenize_residues(spark, sf):
-    t = tokenized(spark, sf)
+    t = tokenized(spark, sf, 1024)
     return t.select("record_id", F.size("input_ids").cast("long").alias("n_tokens"),
                     F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x)
                     .alias("id_sum"),
@@ -198,19 +205,20 @@ tok AS (SELECT record_id, {IDS_SQL} AS ids FROM rec),
 pos AS (SELECT record_id, ids,
           list_transform(ids, lambda t, i: struct_pack(
             t := t,
-            ch := NOT list_contains([0, 2, 1], t)
-                  AND md5(concat('42', ':', record_id, ':', i - 1)) < '26666666',
-            u := md5(concat('42-how', ':', record_id, ':', i - 1)),
-            r := CAST(('0x' || substring(md5(concat('42-tok', ':', record_id, ':', i - 1)), 1, 8))
-                      AS BIGINT) % 33)) AS p
+            ch := NOT list_contains([0, 2, 1], t),
+            d := md5(concat('42', ':', record_id, ':', i - 1)))) AS h
         FROM tok),
+drawn AS (SELECT record_id, ids, list_transform(h, lambda x: struct_pack(
+            t := x.t, ch := x.ch AND x.d < '26666666', u := substring(x.d, 9, 8),
+            r := CAST(('0x' || substring(x.d, 17, 8)) AS BIGINT) % 33)) AS p
+          FROM pos),
 mlm AS (SELECT record_id, ids,
           list_transform(p, lambda x: CASE WHEN x.ch THEN x.t ELSE -100 END) AS labels,
           list_transform(p, lambda x: CASE WHEN NOT x.ch THEN x.t
                                            WHEN x.u < 'cccccccc' THEN 32
                                            WHEN x.u < 'e6666666' THEN CAST(x.r AS INTEGER)
                                            ELSE x.t END) AS input_ids
-        FROM pos)"""
+        FROM drawn)"""
 
 
 def masked(spark, sf):

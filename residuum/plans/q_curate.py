@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from residuum.operators import balance, curate, split
 from residuum.operators.chunk import chunk_sequence
 from residuum.plans.registry import query
+from residuum.session import scratch_path
 from residuum.sources.testbed import CLASS_ORDER, CLASS_RANK_SQL, REC_SQL, records
-from residuum.session import checked_broadcast
 
 SEED = 42
 
@@ -71,7 +71,7 @@ def training_set_summary(spark, sf, size: int = 512):
         F.sum(F.length("seq")).cast("long").alias("n_residues"))
     w = balance.class_weights(chunks.where(F.col("split") == "train")).select(
         "class", F.round("weight", 6).alias("class_weight"))
-    return per.join(checked_broadcast(w), "class", "left")
+    return per.join(w, "class", "left")
 
 
 TRAINING_SET_SUMMARY_SQL = f"""WITH {DEDUP_STRAT_SQL.removeprefix('')} ,
@@ -249,7 +249,7 @@ SELECT term, suffix, concat(term, suffix) AS variant FROM terms, suffixes""")
 def q_term_variants(spark, sf):
     terms = records(spark, sf).select(F.col("class").alias("term")).distinct()
     suff = spark.createDataFrame([(s,) for s in ["", "a", "b", "c", "d"]], "suffix string")
-    return (checked_broadcast(terms).crossJoin(F.broadcast(suff))
+    return (terms.crossJoin(F.broadcast(suff))
             .select("term", "suffix", F.concat("term", "suffix").alias("variant")))
 
 
@@ -257,8 +257,12 @@ def q_term_variants(spark, sf):
 SELECT class, count(*) AS n_records, CAST(sum(length(seq)) AS BIGINT) AS n_residues
 FROM rec GROUP BY class""")
 def q_union_classes(spark, sf):
-    recs = records(spark, sf)
-    parts = [recs.where(F.col("class") == c) for c in CLASS_ORDER]
-    u = curate.union_classes(parts)
+    """The per-class tables of SRC1 + SNK2, one Hive folder each (null too), are
+    read back as one table: all classes found, in one read."""
+    out = scratch_path(spark, "union")
+    recs = records(spark, sf).select("record_id", "seq", "class")
+    recs.write.partitionBy("class").parquet(out)
+    found = spark.read.option("recursiveFileLookup", "false").parquet(out)
+    u = curate.union_classes([found.select("record_id", "seq", F.col("class").cast("string").alias("class"))])
     return u.groupBy("class").agg(F.count(F.lit(1)).alias("n_records"),
                                   F.sum(F.length("seq")).cast("long").alias("n_residues"))

@@ -1,4 +1,4 @@
-"""Spark session, shared scratch folders and size-checked joins.
+"""Spark session and shared scratch folders.
 
 Everything here is plain Spark configuration; no scheduling of our own.
 """
@@ -9,16 +9,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Broadcast sides whose row count was checked against this bound. Beyond it
-# the join stays a shuffle join (and AQE may still pick broadcast at run time
-# from measured stage sizes).
-MAX_BROADCAST_ROWS = 2_000_000
-
-
 def build_session(master: str | None = None, app: str = "residuum",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
@@ -39,8 +32,8 @@ def build_session(master: str | None = None, app: str = "residuum",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Static (estimate-based) broadcast off: estimates after filters and
         # explodes are unreliable.  Broadcasts happen either through an
-        # explicit hint on a side with a checked size, or through AQE which
-        # measures the materialised stage first.
+        # explicit hint on a literal or one-row side, or through AQE, which
+        # measures the bytes of the materialised stage first.
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -67,8 +60,9 @@ def build_session(master: str | None = None, app: str = "residuum",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
-    A cluster names it in ``spark.checkpoint.dir``; we only invent one
-    (under the local temp folder) when it is unset, as in tests.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local master, as in
+    tests, gets a temporary folder when it is unset: other executors would not
+    see one, so elsewhere that is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -76,6 +70,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
+    if not d and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="residuum-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
@@ -108,18 +104,6 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.repartition(cores)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count.
-
-    The small side (a per-group table, a model table, ...) is persisted so
-    the count does not run its lineage twice; above ``max_rows`` it is
-    returned unhinted and the join stays a shuffle join.
-    """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 _SHIPPED: set[str] = set()
 
 

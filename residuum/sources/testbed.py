@@ -49,15 +49,17 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` with truth, a stand-in prediction and logits.
 
-    ``prediction`` is wrong on every 7th row; ``logits`` are the first 10
-    embedding dimensions (10 classes).
+    ``prediction`` is wrong on every 7th row; logit c of 10 is the sum of all
+    embedding values whose index is c modulo 10.
     """
     e = read_table(spark, sf_dir, "embeddings")
     return e.select(
         "vec_id", "embedding", "label",
         F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10)
          .otherwise(F.col("label")).alias("prediction"),
-        F.slice("embedding", 1, 10).alias("logits"),
+        F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.aggregate(
+            F.filter("embedding", lambda x, i: i % 10 == c), F.lit(0.0),
+            lambda a, x: a + x.cast("double"))).alias("logits"),
     )
 
 
@@ -89,7 +91,9 @@ REC_SQL = """rec AS (
 EMB_SQL = """emb AS (
   SELECT vec_id, embedding, label,
          CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS prediction,
-         embedding[1:10] AS logits
+         list_transform(range(0, 10), lambda c: coalesce(list_reduce(list_transform(
+             list_filter(embedding, lambda x, i: (i - 1) % 10 = c), lambda x: CAST(x AS DOUBLE)),
+             lambda a, x: a + x), 0.0)) AS logits
   FROM embeddings)"""
 
 SECOND_SQL = "list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 0.9 + (vec_id % 5) * 0.01)"
