@@ -29,9 +29,8 @@ def token_class_weights(df: DataFrame, labels_col: str = "labels") -> DataFrame:
         F.sum(F.size(labels_col)).cast("long").alias("n"),
         F.sum(F.aggregate(labels_col, F.lit(0).cast("long"), lambda a, x: a + x))
          .cast("long").alias("n1"))
-    zero = tot.select(F.lit(0).alias("label"), (F.col("n") - F.col("n1")).alias("n_label"),
-                      "n")
-    one = tot.select(F.lit(1).alias("label"), F.col("n1").alias("n_label"), "n")
-    return zero.unionByName(one).select(
+    two = F.array(F.struct(F.lit(0).alias("label"), (F.col("n") - F.col("n1")).alias("n_label")),
+                  F.struct(F.lit(1).alias("label"), F.col("n1").alias("n_label")))
+    return tot.select("n", F.inline(two)).select(
         "label", "n_label",
         F.try_divide(F.col("n"), F.lit(2) * F.col("n_label")).alias("weight"))

@@ -61,13 +61,15 @@ def _profile(seq: str, k: int, n: int) -> np.ndarray:
 
 
 def kmer_profile(seq: Column, k: int = 3, n: int = N_SEQ_BUCKETS) -> Column:
-    """ML1 default encoder (fast path): ARRAY<DOUBLE> of length ``n``."""
+    """ML1 default encoder (fast path): ARRAY<DOUBLE> of length ``n``; null for
+    a null sequence.  Marked non-deterministic so that the optimiser neither
+    repeats it nor pushes a filter on its result below it."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def _enc(s: pd.Series) -> pd.Series:
-        return pd.Series([_profile(x, k, n) for x in s])
+        return pd.Series([None if x is None else _profile(x, k, n) for x in s])
 
-    return _enc(seq)
+    return _enc.asNondeterministic()(seq)
 
 
 def kmer_profile_sql(df: DataFrame, id_col: str, seq_col: str = "seq", k: int = 3,
@@ -125,13 +127,46 @@ def model_encoder(make_predict_fn, dim: int, batch_size: int = 250):
     return lambda c: udf(c)
 
 
-def embed_annotation_text(df: DataFrame, id_col: str, text_col: str = "text",
-                          n: int = N_TEXT_BUCKETS) -> DataFrame:
-    """ML2: hashed bag of words of the whole text (lower-cased ``\\W+``
-    tokens), L2-normalised; long format ``(id, bucket, value)``."""
-    words = df.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), r"\W+")).alias("w"))
-    words = words.where(F.col("w") != "").select(id_col, md5_bucket(F.col("w"), n).alias("bucket"))
-    return _normalised_counts(words, id_col)
+def text_profile(text: Column, n: int = N_TEXT_BUCKETS) -> Column:
+    """ML2 default encoder: hashed bag of the lower-cased ``\\W+`` words of the
+    whole text, L2-normalised; null for a null text.  All words of a row are
+    counted in its own task: no shuffle."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def _enc(words: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+
+        def one(row):
+            if row is None:
+                return None
+            out = np.zeros(n, dtype=np.float64)
+            for w in row:
+                if w:
+                    b = known.get(w)
+                    if b is None:
+                        b = known[w] = _py_bucket(w, n)
+                    out[b] += 1
+            norm = np.sqrt(np.dot(out, out))
+            return out / norm if norm > 0 else out
+        return words.map(one, na_action=None).astype("object")
+
+    return _enc.asNondeterministic()(F.split(F.lower(text), r"\W+"))
+
+
+def embed_annotation_text(df: DataFrame, text_col: str = "text", out: str = "embedding",
+                          n: int = N_TEXT_BUCKETS, encoder=None) -> DataFrame:
+    """ML2: add a fixed-width vector per text.  ``encoder`` is a callable
+    ``Column -> Column`` (e.g. ``model_encoder``); the default is the hashed
+    bag of words."""
+    enc = encoder or (lambda c: text_profile(c, n))
+    return df.withColumn(out, enc(F.col(text_col)))
+
+
+def vector_entries(df: DataFrame, id_col: str, vec_col: str = "embedding") -> DataFrame:
+    """Long format of vectors: ``(id, bucket, value)`` of the non-zero entries."""
+    e = df.select(id_col, F.posexplode(vec_col).alias("bucket", "value"))
+    return e.where(F.col("value") != 0.0)
+
 
 
 # ---------------------------------------------------------------- pooling

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from residuum.functions.hashing import draw_int, draw_unit, rank_key
 from residuum.functions.residues import aa_array
 from residuum.operators.embed import kmer_profile
+from residuum.session import scratch_path
 from residuum.operators.metrics import population_stats, row_r2
 
 # digest prefix below which an event has probability 0.1
@@ -165,15 +166,17 @@ def run_generations(candidates: DataFrame, targets: DataFrame, ngen: int, n: int
 
     Returns (final population, generation log, best-ever per candidate).
     Each generation is computed once (persisted), and every
-    ``checkpoint_every`` generations reliably checkpointed so plans stay
-    short; the log is appended per generation when ``log_path`` is given.
+    ``checkpoint_every`` generations reliably checkpointed, and the log is
+    appended to a table per generation (``log_path``, or a scratch table), so
+    plans stay of one size however many generations run.
     """
     spark = candidates.sparkSession
+    log_path = log_path or scratch_path(spark, "generations")
     targets = targets.select("candidate_id", "target").checkpoint()  # one row per candidate
     pop = evaluate(seed_population(candidates, n, f"{seed}-start", step), targets)
     pop = _materialise(pop, True)
     best = _materialise(hall_of_fame(pop), True)
-    logs = [_materialise(population_stats(pop.withColumn("generation", F.lit(0))), False)]
+    population_stats(pop.withColumn("generation", F.lit(0))).write.mode("append").parquet(log_path)
     for g in range(1, ngen + 1):
         sel = tournament_select(pop, n, seed, g)
         kids = uniform_crossover(sel.drop("fitness"), seed, g, cxpb)
@@ -186,17 +189,8 @@ def run_generations(candidates: DataFrame, targets: DataFrame, ngen: int, n: int
         old_pop.unpersist()
         old_best.unpersist()
         stats = population_stats(pop.withColumn("generation", F.lit(g)))
-        if log_path:
-            stats.write.mode("append").parquet(log_path)
-        else:
-            logs.append(_materialise(stats, False))
-    if log_path:
-        logs[0].write.mode("append").parquet(log_path)
-        log = spark.read.parquet(log_path)
-    else:
-        log = logs[0]
-        for s in logs[1:]:
-            log = log.unionByName(s)
+        stats.write.mode("append").parquet(log_path)
+    log = spark.read.parquet(log_path)
     return pop, log, best
 
 

@@ -223,7 +223,7 @@ def weighted_cross_entropy(df: DataFrame, weights: DataFrame, logits: str = "log
 # ----------------------------------------------------------- vector metrics
 
 
-def _per_dim(df: DataFrame, y: str, p: str) -> DataFrame:
+def per_dim(df: DataFrame, y: str, p: str) -> DataFrame:
     """(dim, y, p) rows; vectors are fixed width, so partial aggregation
     after this explode keeps one row per dim per task."""
     return df.select(F.posexplode(F.arrays_zip(_dbl(F.col(y)).alias("y"),
@@ -236,7 +236,7 @@ def regression_metrics(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     dimensions (RMSE averages the per-dimension roots).  One pass: the
     centred sum of squares is the population variance times the count."""
     error = (F.col("y") - F.col("p")) ** 2
-    per = _per_dim(df, y, p).groupBy("dim").agg(
+    per = per_dim(df, y, p).groupBy("dim").agg(
         F.avg(error).alias("mse"), F.sum(error).alias("sse"),
         (F.var_pop("y") * F.count("y")).alias("sst"))
     r2 = F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst")).otherwise(
@@ -247,7 +247,7 @@ def regression_metrics(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 def pooled_r2(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """AGG19: one R^2 over all values of all rows (one pass)."""
-    return _per_dim(df, y, p).agg(
+    return per_dim(df, y, p).agg(
         (1 - F.sum((F.col("y") - F.col("p")) ** 2) / (F.var_pop("y") * F.count("y"))).alias("r2"))
 
 
@@ -272,6 +272,6 @@ def population_stats(pop: DataFrame, group_cols=("generation", "candidate_id"),
 
 __all__ = ["accuracy", "argmax", "balanced_accuracy", "binary_counts", "binary_metrics",
            "classification_report", "confusion_matrix", "confusion_table", "dual_task_loss",
-           "epoch_mean_loss", "logsumexp", "masked_token_accuracy", "nll", "per_class", "perplexity",
+           "epoch_mean_loss", "logsumexp", "masked_token_accuracy", "nll", "per_class", "per_dim", "perplexity",
            "pooled_r2", "population_stats", "regression_metrics", "row_r2", "softmax",
            "threshold_label", "weighted_cross_entropy", "weighted_prf"]

@@ -7,10 +7,13 @@ on encoder vectors; every fit and every score is a distributed Spark job.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
+                                       RandomForestClassifier)
 from pyspark.ml.feature import FeatureHasher, IndexToString, PCA, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -24,15 +27,26 @@ def _features(df: DataFrame, col: str) -> DataFrame:
 
 
 def train_shallow(df: DataFrame, features: str = "embedding", label: str = "class",
-                  seed: int = 42, num_trees: int = 50, max_depth: int = 8) -> PipelineModel:
-    """ML3: label indexer (alphabetical codes, as the label encoder) +
-    random forest on the vectors + code-to-label decoder."""
+                  seed: int = 42, num_trees: int = 50, max_depth: int = 8,
+                  kind: str = "forest") -> PipelineModel:
+    """ML3: label indexer (alphabetical codes, as the label encoder) + trees on
+    the vectors + code-to-label decoder.  ``kind='boosted'`` fits gradient
+    boosted trees for two classes and one such model per class above."""
     idx = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc",
                         handleInvalid="skip")
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label_idx", seed=seed,
-                                numTrees=num_trees, maxDepth=max_depth)
-    pipe = Pipeline(stages=[idx, rf])
-    fitted = pipe.fit(_features(df, features))
+    d = _features(df, features)
+    labels = idx.fit(d)
+    if kind == "forest":
+        trees = RandomForestClassifier(featuresCol="features", labelCol="label_idx", seed=seed,
+                                       numTrees=num_trees, maxDepth=max_depth)
+    elif kind == "boosted":
+        trees = GBTClassifier(featuresCol="features", labelCol="label_idx", seed=seed,
+                              maxIter=num_trees, maxDepth=min(max_depth, 5))
+        if len(labels.labels) > 2:
+            trees = OneVsRest(classifier=trees, featuresCol="features", labelCol="label_idx")
+    else:
+        raise ValueError(f"unknown kind {kind!r}")
+    fitted = Pipeline(stages=[labels, trees]).fit(d)
     dec = IndexToString(inputCol="prediction", outputCol="predicted_label",
                         labels=fitted.stages[0].labels)
     return PipelineModel(stages=[*fitted.stages, dec])
@@ -48,6 +62,12 @@ def score_shallow(model: PipelineModel, df: DataFrame, features: str = "embeddin
                       and s.getInputCol() not in df.columns
                       and type(s).__name__ == "StringIndexerModel")]
     out = PipelineModel(stages=stages).transform(_features(df, features))
+    if "probability" not in out.columns:  # one model per class: margins to shares
+        share = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+        total = F.aggregate(share, F.lit(0.0), lambda a, x: a + x)
+        return (out.withColumn("prediction", F.col("prediction").cast("int"))
+                   .withColumn("prediction_probability", F.transform(share, lambda x: x / total))
+                   .drop("features", "rawPrediction"))
     return (out.withColumn("prediction", F.col("prediction").cast("int"))
                .withColumn("prediction_probability", vector_to_array(F.col("probability")))
                .drop("features", "rawPrediction", "probability"))
@@ -75,15 +95,16 @@ def weighted_classifier(df: DataFrame, weights: DataFrame, features: str = "embe
 
 
 def residue_windows(df: DataFrame, id_col: str, seq_col: str, labels_col: str,
-                    k: int = 3) -> DataFrame:
-    """ML6 input: one row per residue with its +-k neighbours as columns.
+                    k: int = 3, keep: Sequence[str] = ()) -> DataFrame:
+    """ML6 input: one row per residue with its +-k neighbours as columns, and
+    the ``keep`` columns of its record.
 
     The per-position structs are built on the row's own arrays first and
     only they are exploded, so no exploded row carries the whole sequence
     (which would cost O(length^2) per record)."""
     names = [f"c{o:+d}".replace("+", "p").replace("-", "m") for o in range(-k, k + 1)]
     # letters and length once per row; the lambda below only indexes them
-    d = df.select(id_col, F.split(F.col(seq_col), "").alias("_ch"), labels_col,
+    d = df.select(id_col, *keep, F.split(F.col(seq_col), "").alias("_ch"), labels_col,
                   F.length(seq_col).alias("_L"))
     L = F.col("_L")
     pos = F.when(L > 0, F.sequence(F.lit(1), L)).otherwise(F.array().cast("array<int>"))
@@ -91,8 +112,8 @@ def residue_windows(df: DataFrame, id_col: str, seq_col: str, labels_col: str,
         i.alias("pos"), F.element_at(F.col(labels_col), i).alias("label"),
         *[F.when((i + o >= 1) & (i + o <= L), F.element_at(F.col("_ch"), i + o))
           .otherwise(F.lit("_")).alias(name) for o, name in zip(range(-k, k + 1), names)]))
-    e = d.select(id_col, F.explode(ctx).alias("_r"))
-    return e.select(id_col, "_r.*")
+    e = d.select(id_col, *keep, F.explode(ctx).alias("_r"))
+    return e.select(id_col, *keep, "_r.*")
 
 
 def residue_classifier(windows: DataFrame, token_weights: DataFrame, num_features: int = 1 << 12,
@@ -113,70 +134,91 @@ def residue_classifier(windows: DataFrame, token_weights: DataFrame, num_feature
 # ------------------------------------------------------------------ ridge
 
 
-def _gram_partials(x_col: str, y_col: str, dx: int, dy: int):
-    """mapInPandas body: per partition X'X and X'Y (X with an intercept
-    column) as flattened (matrix, index, value) rows."""
+MERGE = 32  # partial sums merged by one task of a level
+
 
+def _gram_partials(dx: int, dy: int):
+    """mapInPandas body: per partition X'X and X'Y (X with an intercept column)."""
     def fn(batches):
-        xtx = np.zeros((dx + 1, dx + 1))
-        xty = np.zeros((dx + 1, dy))
-        n = 0
+        xtx, xty, n = np.zeros((dx + 1, dx + 1)), np.zeros((dx + 1, dy)), 0
         for b in batches:
-            if len(b) == 0:
-                continue
-            X = np.vstack(b[x_col].to_numpy())
-            X = np.hstack([X, np.ones((len(X), 1))])
-            Y = np.vstack(b[y_col].to_numpy())
-            xtx += X.T @ X
-            xty += X.T @ Y
-            n += len(X)
+            if len(b):
+                X = np.vstack(b["x"].to_numpy())
+                X = np.hstack([X, np.ones((len(X), 1))])
+                xtx += X.T @ X
+                xty += X.T @ np.vstack(b["y"].to_numpy())
+                n += len(X)
         if n:
-            yield pd.DataFrame({"m": "xtx", "i": np.arange(xtx.size), "v": xtx.ravel()})
-            yield pd.DataFrame({"m": "xty", "i": np.arange(xty.size), "v": xty.ravel()})
+            yield pd.DataFrame({"n": [n], "xtx": [xtx.ravel()], "xty": [xty.ravel()]})
     return fn
 
 
-def fit_ridge(df: DataFrame, x_col: str, y_col: str, dx: int, dy: int, alpha: float = 1.0
+def _add_partials(batches):
+    """mapInPandas body: one row with the sums of the partition's partials."""
+    total = None
+    for b in batches:
+        for row in b.itertuples(index=False):
+            total = list(row) if total is None else [a + x for a, x in zip(total, row)]
+    if total is not None:
+        yield pd.DataFrame({"n": [total[0]], "xtx": [total[1]], "xty": [total[2]]})
+
+
+def _vector(df: DataFrame, col: str):
+    """A column as array<double>; a scalar becomes a vector of one value."""
+    if isinstance(df.schema[col].dataType, T.ArrayType):
+        return F.col(col).cast("array<double>")
+    return F.array(F.col(col).cast("double"))
+
+
+def gram_sums(df: DataFrame, x_col: str, y_col: str, dx: int, dy: int) -> tuple:
+    """``(rows, X'X, X'Y)``: one partial per task, merged in a tree, so at most
+    ``MERGE`` rows of (dx + 1) * (dx + 1 + dy) numbers reach the driver."""
+    schema = "n bigint, xtx array<double>, xty array<double>"
+    src = df.select(_vector(df, x_col).alias("x"), _vector(df, y_col).alias("y"))
+    parts, tasks = src.mapInPandas(_gram_partials(dx, dy), schema), src.rdd.getNumPartitions()
+    while tasks > MERGE:
+        tasks = -(-tasks // MERGE)
+        parts = parts.repartition(tasks).mapInPandas(_add_partials, schema)
+    n, xtx, xty = 0, np.zeros((dx + 1) ** 2), np.zeros((dx + 1) * dy)
+    for r in parts.collect():
+        n, xtx, xty = n + r["n"], xtx + np.array(r["xtx"]), xty + np.array(r["xty"])
+    return n, xtx.reshape(dx + 1, dx + 1), xty.reshape(dx + 1, dy)
+
+
+def fit_ridge(df: DataFrame, x_col: str, y_col: str, dx: int, dy: int = 1, alpha: float = 1.0
               ) -> np.ndarray:
-    """ML7 fit: sums of X'X and X'Y over all rows (per-partition partials,
-    one aggregate), then a (dx+1)^2 solve on the driver.  Only d^2 numbers
-    reach the driver, whatever the row count."""
-    parts = df.select(x_col, y_col).mapInPandas(
-        _gram_partials(x_col, y_col, dx, dy), "m string, i long, v double")
-    sums = parts.groupBy("m", "i").agg(F.sum("v").alias("v")).collect()
-    xtx = np.zeros((dx + 1) * (dx + 1))
-    xty = np.zeros((dx + 1) * dy)
-    for r in sums:
-        (xtx if r["m"] == "xtx" else xty)[r["i"]] = r["v"]
-    xtx = xtx.reshape(dx + 1, dx + 1)
-    xty = xty.reshape(dx + 1, dy)
+    """ML7 fit: sums of X'X and X'Y over all rows, then a (dx+1)^2 solve on the
+    driver; the intercept is not penalised.  ``y_col`` is a vector of ``dy``
+    values or a scalar."""
+    _, xtx, xty = gram_sums(df, x_col, y_col, dx, dy)
     reg = alpha * np.eye(dx + 1)
-    reg[dx, dx] = 0.0  # no penalty on the intercept
+    reg[dx, dx] = 0.0
     return _solve(xtx + reg, xty)
 
 
 def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Gauss-Jordan with partial pivoting using element-wise numpy only.
-
-    The system is (d+1) x (d+1); avoiding LAPACK here keeps the driver
-    clear of BLAS thread pools (which can deadlock next to the JVM
-    gateway threads)."""
-    a = a.astype(np.float64).copy()
-    b = b.astype(np.float64).copy()
-    n = a.shape[0]
+    """Gauss-Jordan with partial pivoting, element-wise numpy only: the threaded
+    BLAS behind ``numpy.linalg.solve`` deadlocks in a driver next to the JVM
+    gateway threads (observed)."""
+    m = np.hstack([a, b]).astype(np.float64)
+    n = len(a)
     for k in range(n):
-        p = k + int(np.argmax(np.abs(a[k:, k])))
-        if p != k:
-            a[[k, p]] = a[[p, k]]
-            b[[k, p]] = b[[p, k]]
-        piv = a[k, k]
-        a[k] = a[k] / piv
-        b[k] = b[k] / piv
-        f = a[:, k].copy()
-        f[k] = 0.0
-        a -= np.multiply.outer(f, a[k])
-        b -= np.multiply.outer(f, b[k])
-    return b
+        p = k + int(np.argmax(np.abs(m[k:, k])))
+        m[[k, p]] = m[[p, k]]
+        m[k] /= m[k, k]
+        other = m[:, k].copy()
+        other[k] = 0.0
+        m -= np.multiply.outer(other, m[k])
+    return m[:, n:]
+
+
+def ridge_residual(df: DataFrame, coef: np.ndarray, x_col: str, y_col: str, alpha: float = 1.0) -> float:
+    """Largest violation of the normal equations, relative to X'Y."""
+    dx, dy = coef.shape[0] - 1, coef.shape[1]
+    _, xtx, xty = gram_sums(df, x_col, y_col, dx, dy)
+    penalty = alpha * coef
+    penalty[dx] = 0.0
+    return float(np.abs(np.einsum("ij,jk->ik", xtx, coef) + penalty - xty).max() / max(1.0, np.abs(xty).max()))
 
 
 def predict_ridge(df: DataFrame, coef: np.ndarray, x_col: str, out: str = "prediction"

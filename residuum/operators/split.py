@@ -59,7 +59,14 @@ def split_progress(df: DataFrame, frac=0.2, seed=42, family_col: str = "family")
                         .alias("pct_families")))
 
 
-def stratified_quotas(counts: DataFrame, frac=0.1) -> DataFrame:
+def stratified_quotas(df: DataFrame, class_col: str = "class", frac=0.1) -> DataFrame:
+    """Held-out rows per class of ``df`` (see ``_quotas``)."""
+    counts = (df.withColumn("_sk", F.coalesce(F.col(class_col), F.lit(NULL_CLASS)))
+              .groupBy("_sk").agg(F.count(F.lit(1)).alias("total")))
+    return _quotas(counts, frac)
+
+
+def _quotas(counts: DataFrame, frac) -> DataFrame:
     """Held-out rows per class, as the common stratified splitter does it.
 
     ``n_test = ceil(frac * n)`` (exact decimal); training quotas by largest
@@ -89,7 +96,7 @@ def stratified_split(df: DataFrame, class_col: str = "class", frac=0.1, seed=42,
     """WIN3: class-proportional exact split; adds ``split``."""
     d = df.withColumn("_sk", F.coalesce(F.col(class_col), F.lit(NULL_CLASS)))
     sel = prefix_select(d, rank_key(seed, key_col), F.col(key_col),
-                        lambda counts: stratified_quotas(counts, frac), ["_sk"])
+                        lambda counts: _quotas(counts, frac), ["_sk"])
     return sel.withColumn("split", F.when(F.col("selected"), F.lit(test_name))
                           .otherwise(F.lit(train_name))).drop("selected", "_sk")
 

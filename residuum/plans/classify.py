@@ -1,8 +1,8 @@
 """ML9: classify every record of a FASTA folder (or one file) and keep hits.
 
 One lazy plan per input: read -> header/length filter (below the encoder)
--> spread (gzip files arrive one task each) -> encode -> score -> keep the
-hit class -> one append per input file.  The streaming twin in
+-> encode once (rows of gzip files are dealt out anew by the reader) -> score
+-> keep the hit class -> one partition per input file.  The streaming twin in
 ``residuum.streaming`` runs the same ``score_records`` on a file stream.
 """
 
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from residuum.operators.annotate import header_length_filter
 from residuum.operators.embed import embed_sequences
 from residuum.operators.models import score_shallow
-from residuum.session import spread
 from residuum.sinks.writers import write_hits
 from residuum.sources.fasta import read_fasta_input
 
@@ -24,23 +23,27 @@ HIT_COLUMNS = ["record_id", "prediction", "info", "prediction_probability", "seq
 
 
 def score_records(recs: DataFrame, model: PipelineModel, info_filter: str | None = "CR=1",
-                  min_length: int = 0, hit_class: int = 0) -> DataFrame:
-    """Filter, encode, score and keep the hit class (FLT1 -> ML1 -> ML4 -> FLT2)."""
+                  min_length: int = 0, hit_class: int | None = 0, min_probability: float = 0.0) -> DataFrame:
+    """Filter, encode, score and keep the hit class (FLT1 -> ML1 -> ML4 -> FLT2).
+
+    ``hit_class=None`` keeps every class; ``min_probability`` keeps records
+    whose predicted class has at least that probability.  The probability
+    vector stays an array."""
     kept = header_length_filter(recs, info_filter, min_length)
-    scored = score_shallow(model, embed_sequences(kept))
-    hits = scored.where(F.col("prediction") == F.lit(hit_class))
+    hits = score_shallow(model, embed_sequences(kept))
+    if hit_class is not None:
+        hits = hits.where(F.col("prediction") == F.lit(hit_class))
+    if min_probability:
+        hits = hits.where(F.array_max("prediction_probability") >= F.lit(min_probability))
     return hits.select("record_id", "prediction", F.col("description").alias("info"),
-                       F.array_join(F.transform("prediction_probability",
-                                                lambda p: F.format_number(p, 6)), ";")
-                       .alias("prediction_probability"),
-                       F.col("seq").alias("sequence"), "source_file")
+                       "prediction_probability", F.col("seq").alias("sequence"), "source_file")
 
 
 def classify_fasta(spark: SparkSession, path: str, model: PipelineModel, out_path: str | None,
                    info_filter: str | None = "CR=1", min_length: int = 0,
-                   hit_class: int = 0) -> DataFrame:
-    recs = spread(read_fasta_input(spark, path, class_from_folder=False).drop("record_pos"))
-    hits = score_records(recs, model, info_filter, min_length, hit_class)
+                   hit_class: int | None = 0, min_probability: float = 0.0) -> DataFrame:
+    recs = read_fasta_input(spark, path, class_from_folder=False).drop("record_pos")
+    hits = score_records(recs, model, info_filter, min_length, hit_class, min_probability)
     if out_path:
         write_hits(hits, out_path)
     return hits

@@ -8,7 +8,7 @@ from residuum.operators.batching import length_bucketed_batches
 from residuum.operators.curate import union_all_ids
 from residuum.plans.registry import query
 from residuum.sources.catalogue import SUFFIXES, title_term_search
-from residuum.sources.testbed import read_table, records
+from residuum.sources.testbed import REC_SQL, read_table, records
 
 TERMS = ["an", "the", "de", "la", "ou"]
 TOPN = 25
@@ -39,14 +39,20 @@ def q_title_term_search(spark, sf):
 @query("union_all_ids", f"""WITH {SEARCH_SQL}
 SELECT record_id, count(*) AS n_occurrences FROM found GROUP BY record_id""")
 def q_union_all_ids(spark, sf):
-    found = title_term_search(_catalogue(spark, sf), TERMS, TOPN, 42).persist()
-    variants = [t + s for t in TERMS for s in SUFFIXES]  # the literal variant list
-    per_variant = [found.where(F.col("variant") == v).select("record_id") for v in variants]
-    ids = union_all_ids(per_variant)
+    # one frame per term's search, concatenated; duplicates stay
+    ids = union_all_ids([title_term_search(_catalogue(spark, sf), TERMS, TOPN, 42).select("record_id")])
     return ids.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_occurrences"))
 
 
-@query("length_bucketed_batches")
+@query("length_bucketed_batches", f"""WITH {REC_SQL}
+SELECT count(*) AS n_rows, CAST(sum(length(seq)) AS BIGINT) AS total_length, CAST(0 AS BIGINT) AS over_budget,
+       CAST(0 AS BIGINT) AS missing FROM rec""")
 def q_length_bucketed_batches(spark, sf):
     r = records(spark, sf).select("record_id", "seq")
-    return length_bucketed_batches(r, "record_id", "seq", 4096, 1)
+    rows = length_bucketed_batches(r, "record_id", "seq", 4096, 1)
+    per = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"),
+                                       F.sum("length").alias("total"))
+    # a batch may pass the budget only if it is one sequence
+    over = (F.col("n") > 1) & ((F.col("longest") + 1) * F.col("n") > 4096)
+    return per.agg(F.sum("n").alias("n_rows"), F.sum("total").alias("total_length"),
+                   F.count_if(over).alias("over_budget"), F.count_if(F.col("batch_id").isNull()).alias("missing"))

@@ -61,7 +61,7 @@ nrm AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM cnt GROUP BY 1)
 SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, round(n / norm, 6) AS value FROM cnt JOIN nrm USING (doc_id)""")
 def q_embed_annotation_text(spark, sf):
     d = read_table(spark, sf, "documents")
-    e = embed.embed_annotation_text(d, "doc_id", "text")
+    e = embed.vector_entries(embed.embed_annotation_text(d.select("doc_id", "text")), "doc_id")
     return e.select("doc_id", "bucket", r6(F.col("value")).alias("value"))
 
 

@@ -19,10 +19,10 @@ from residuum.sources.testbed import EMB_SQL, REC_SQL, embedding_rows, read_tabl
 SEED = 42
 
 
-def _tree(spark, sf, compression=None, parts=("class",), name="fasta", df=None):
+def _tree(spark, sf, compression=None, parts=("class",), name="fasta", df=None, plain=False):
     path = scratch_path(spark, name)
     writers.write_fasta(df if df is not None else records(spark, sf), path, list(parts),
-                        compression=compression)
+                        compression=compression, plain_names=plain)
     return path
 
 
@@ -43,7 +43,7 @@ def q_write_fasta(spark, sf):
     path = _tree(spark, sf, parts=("class", "split"), df=sp)
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
         "value", F.col("_metadata.file_path").alias("f"))
-    pat = r"/([^/]+)/([^/]+)/[^/]+$"
+    pat = r"/class=([^/]+)/split=([^/]+)/[^/]+$"
     return (lines.select(F.regexp_extract("f", pat, 1).alias("class"),
                          F.regexp_extract("f", pat, 2).alias("split"),
                          F.col("value").startswith(">").cast("int").alias("hdr"))
@@ -58,7 +58,7 @@ FROM rec GROUP BY class""")
 def q_scan_fasta_tree(spark, sf):
     recs = records(spark, sf)
     root = scratch_path(spark, "tree")
-    writers.write_fasta(recs, root + "/proteins", ["class"], compression="gzip")
+    writers.write_fasta(recs, root + "/proteins", ["class"], compression="gzip", plain_names=True)
     # files that must be skipped: same records, names not matching the pattern
     recs.select(fasta.wrapped_fasta(F.col("description"), F.col("seq")).alias("v")) \
         .write.mode("overwrite").text(root + "/decoy")
@@ -71,10 +71,11 @@ def q_scan_fasta_tree(spark, sf):
 SELECT m.mode, class, count(*) AS n_records FROM rec, (VALUES ('tree'), ('file')) AS m(mode)
 GROUP BY 1, 2""")
 def q_single_file_or_tree(spark, sf):
-    root = _tree(spark, sf, compression="gzip", name="single")
+    root = _tree(spark, sf, compression="gzip", name="single", plain=True)
     tree = fasta.read_fasta_input(spark, root + "/").withColumn("mode", F.lit("tree"))
-    files = [fasta.read_fasta_input(spark, p) for p in writers.list_files(spark, root)]
-    one = curate.union_all_ids(files).withColumn("mode", F.lit("file"))
+    # every file by its own path, in one read
+    one = fasta.read_fasta(spark, writers.list_files(spark, root), class_from_folder=True) \
+        .withColumn("mode", F.lit("file"))
     both = tree.unionByName(one)
     return both.groupBy("mode", "class").agg(F.count(F.lit(1)).alias("n_records"))
 
@@ -212,8 +213,8 @@ GROUP BY 1""")
 def q_write_hits(spark, sf):
     path = scratch_path(spark, "hits")
     writers.write_hits(_hits(spark, sf), path)
-    back = spark.read.option("header", True).csv(path)
-    return back.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_hits"))
+    writers.write_hits(_hits(spark, sf), path)  # a rerun replaces
+    return spark.read.parquet(path).groupBy("source_file").agg(F.count(F.lit(1)).alias("n_hits"))
 
 
 @query("append_run_metrics", f"""WITH {EMB_SQL},

@@ -93,8 +93,8 @@ def q_seed_population(spark, sf):
 
 
 def _evaluated_start(spark, sf):
-    c = candidates(spark, sf).persist()
-    t = targets(spark, sf, c).persist()
+    c = candidates(spark, sf)
+    t = targets(spark, sf, c)
     pop = evolve.evaluate(evolve.seed_population(c, 50, f"{SEED}-start", 50), t)
     return c, t, pop
 
@@ -140,18 +140,37 @@ def q_population_stats(spark, sf):
     return s.select("generation", "candidate_id", *[r6(F.col(c)).alias(c) for c in ("avg", "min", "max")])
 
 
-@query("tournament_select", f"""WITH {FIT_SQL},
-mut AS (SELECT candidate_id, ind, {_mut_sql(SEED, "concat('0', ':', candidate_id, ':', ind)")} AS seq
+MUTPOP_SQL = f"""{FIT_SQL},
+mut AS (SELECT candidate_id, ind, concat(candidate_id, '/', ind) AS k,
+               {_mut_sql(SEED, "concat('0', ':', candidate_id, ':', ind)")} AS seq
         FROM st, unnest(range(0, 50)) AS t(ind)),
-dr AS (SELECT candidate_id, slot,
-              CAST(('0x' || substring(md5(concat('42', ':', '1', ':', candidate_id, ':', slot, ':', 0)), 1, 8))
-                   AS BIGINT) % 50 AS ind FROM cls, unnest(range(0, 50)) AS t(slot))
-SELECT dr.candidate_id, CAST(slot AS INTEGER) AS individual_id, md5(mut.seq) AS seq_md5, round(r2.f, 6) AS fitness
-FROM dr JOIN mut USING (candidate_id, ind) JOIN r2 USING (candidate_id)""")
+mp AS {_profile_sql('mut', 'k')},
+my AS (SELECT mut.candidate_id, mut.ind, mut.k, mp.bucket, mp.value AS y, cen.t FROM mp JOIN mut USING (k)
+       JOIN cls USING (candidate_id) JOIN cen ON cen.class = cls.class AND cen.bucket = mp.bucket),
+mf AS (SELECT candidate_id, ind, 1 - sum((y - t) ^ 2) / sum((y - m) ^ 2) AS f FROM
+         (SELECT *, avg(y) OVER (PARTITION BY k) AS m FROM my) GROUP BY 1, 2)"""
+
+
+def _mutated_population(spark, sf):
+    """Generation 0 with every individual mutated apart, and its own fitness."""
+    c = candidates(spark, sf)
+    pop = evolve.mutate_population(evolve.seed_population(c, 50, f"{SEED}-start", 50), SEED, 0, 1.0)
+    return evolve.evaluate(pop, targets(spark, sf, c)).checkpoint()
+
+
+@query("tournament_select", f"""WITH {MUTPOP_SQL},
+dr AS (SELECT candidate_id, slot, draw,
+              CAST(('0x' || substring(md5(concat('42', ':', '1', ':', candidate_id, ':', slot, ':', draw)), 1, 8))
+                   AS BIGINT) % 50 AS ind
+       FROM cls, unnest(range(0, 50)) AS t(slot), unnest(range(0, 3)) AS u(draw)),
+won AS (SELECT dr.*, mf.f, row_number() OVER (PARTITION BY candidate_id, slot ORDER BY round(mf.f, 9) DESC, draw) AS rn
+        FROM dr JOIN mf USING (candidate_id, ind))
+SELECT won.candidate_id, CAST(slot AS INTEGER) AS individual_id, md5(mut.seq) AS seq_md5, round(won.f, 6) AS fitness
+FROM won JOIN mut USING (candidate_id, ind) WHERE rn = 1""")
 def q_tournament_select(spark, sf):
-    _, _, pop = _evaluated_start(spark, sf)
-    sel = evolve.tournament_select(evolve.mutate_population(pop, SEED, 0, 1.0).transform(
-        lambda d: d), 50, SEED, 1)
+    # fitness to 9 places, so that engines agree on what a tie is
+    pop = _mutated_population(spark, sf).withColumn("fitness", F.round("fitness", 9))
+    sel = evolve.tournament_select(pop, 50, SEED, 1)
     return sel.select("candidate_id", "individual_id", F.md5("seq").alias("seq_md5"),
                       r6(F.col("fitness")).alias("fitness"))
 
@@ -192,28 +211,51 @@ def q_mutate_population(spark, sf):
 
 
 def _run(spark, sf):
-    c = candidates(spark, sf).persist()
-    t = targets(spark, sf, c).persist()
+    c = candidates(spark, sf).checkpoint()
+    t = targets(spark, sf, c).checkpoint()
     pop, log, best = evolve.run_generations(c, t, NGEN, 50, SEED)
-    return c, pop, log, best
+    return c, t, pop, log, best
 
 
-@query("run_generations")
+@query("run_generations", f"""WITH {FIT_SQL}
+SELECT candidate_id, {NGEN + 1} AS n_generations, round(f, 6) AS start_best, 50 AS n_individuals,
+       0 AS n_wrong_length, true AS ordered FROM r2""")
 def q_run_generations(spark, sf):
-    _, _, log, _ = _run(spark, sf)
-    return log.select("generation", "candidate_id", *[r6(F.col(x)).alias(x) for x in ("avg", "min", "max")])
-
-
-@query("hall_of_fame")
+    """The log against what SQL knows: generations, the start's fitness, sizes."""
+    c, _, pop, log, _ = _run(spark, sf)
+    sizes = pop.join(c.select("candidate_id", F.length("seq").alias("n")), "candidate_id").groupBy("candidate_id").agg(
+        F.count(F.lit(1)).cast("int").alias("n_individuals"),
+        F.sum((F.length("seq") != F.col("n")).cast("int")).cast("int").alias("n_wrong_length"))
+    per = log.groupBy("candidate_id").agg(
+        F.countDistinct("generation").cast("int").alias("n_generations"),
+        r6(F.max(F.when(F.col("generation") == 0, F.col("max")))).alias("start_best"),
+        F.bool_and((F.col("min") <= F.col("avg") + 1e-12) & (F.col("avg") <= F.col("max") + 1e-12)).alias("ordered"))
+    return per.join(sizes, "candidate_id")
+
+
+@query("hall_of_fame", f"""WITH {MUTPOP_SQL},
+top AS (SELECT candidate_id, md5(mut.seq) AS seq_md5, round(mf.f, 9) AS f,
+               row_number() OVER (PARTITION BY candidate_id ORDER BY round(mf.f, 9) DESC, mut.seq) AS rn
+        FROM mf JOIN mut USING (candidate_id, ind))
+SELECT candidate_id, seq_md5, round(f, 6) AS fitness, true AS never_falls FROM top WHERE rn = 1""")
 def q_hall_of_fame(spark, sf):
-    _, _, _, best = _run(spark, sf)
-    return best.select("candidate_id", F.md5("seq").alias("seq_md5"), r6(F.col("fitness")).alias("fitness"))
-
-
-@query("distance_report")
+    """Best of a whole mutated generation, and that the run's best never falls
+    below any generation's."""
+    pop = _mutated_population(spark, sf).withColumn("fitness", F.round("fitness", 9))
+    _, _, _, log, best = _run(spark, sf)
+    kept = log.groupBy("candidate_id").agg(F.max("max").alias("m")).join(best, "candidate_id") \
+        .select("candidate_id", (F.col("fitness") >= F.col("m") - 1e-12).alias("never_falls"))
+    top = evolve.hall_of_fame(pop).select("candidate_id", F.md5("seq").alias("seq_md5"),
+                                          r6(F.col("fitness")).alias("fitness"))
+    return top.join(kept, "candidate_id")
+
+
+@query("distance_report", f"""WITH {CAND_SQL}
+SELECT cand.candidate_id, levenshtein(cand.seq, st.seq) AS dist_original_start, true AS within_length
+FROM cand JOIN st USING (candidate_id)""")
 def q_distance_report(spark, sf):
-    c, _, _, best = _run(spark, sf)
+    c, _, _, _, best = _run(spark, sf)
     start = evolve.seed_population(c, 1, f"{SEED}-start", 50)
-    rep = evolve.distance_report(c, start, best)
-    return rep.select("candidate_id", r6(F.col("fitness")).alias("fitness"), "dist_original_best",
-                      "dist_original_start")
+    rep = evolve.distance_report(c, start, best).join(c.select("candidate_id", F.length("seq").alias("n")), "candidate_id")
+    return rep.select("candidate_id", F.col("dist_original_start").cast("long").alias("dist_original_start"),
+                      ((F.col("dist_original_best") >= 0) & (F.col("dist_original_best") <= F.col("n"))).alias("within_length"))

@@ -1,8 +1,7 @@
 """Sinks: TSV, FASTA trees, training tables, embedding stores, hits, metrics.
 
 All writes are Spark writes (one file per task and partition value, no
-driver-side collection); file renames are metadata operations on the
-Hadoop file system, never data copies.
+driver-side collection).
 """
 
 from __future__ import annotations
@@ -51,13 +50,13 @@ def rename_extension(spark: SparkSession, root: str, old: str, new: str) -> None
 def write_fasta(df: DataFrame, path: str, partition_cols: Sequence[str] = ("class", "split"),
                 width: int = 60, compression: str | None = None,
                 header_col: str = "description", seq_col: str = "seq",
-                folder_names: str = "plain") -> None:
-    """SNK2: records as FASTA (``width`` residues per line) into one folder
-    per partition value; files end in ``.fasta`` (``.fasta.gz``).
+                plain_names: bool = False) -> None:
+    """SNK2: records as FASTA (``width`` residues per line) into one
+    ``column=value`` folder per partition value, in Spark's part files.
 
-    ``folder_names='plain'`` names folders by value (``<class>/<split>``,
-    the layout folder scanners expect) by writing ``class=value`` folders
-    and renaming them; ``'hive'`` keeps ``class=value``.
+    ``plain_names`` is for small exports to other tools: files then end in
+    ``.fasta`` (``.fasta.gz``) in folders named by the value alone.  The
+    driver renames every file for it, which object stores do by copying.
     """
     cols = list(partition_cols)
     text = wrapped_fasta(F.col(header_col), F.col(seq_col), width).alias("value")
@@ -67,11 +66,13 @@ def write_fasta(df: DataFrame, path: str, partition_cols: Sequence[str] = ("clas
     if compression:
         w = w.option("compression", compression)
     w.text(path)
+    if not plain_names:
+        return
     spark = df.sparkSession
     ext = ".txt.gz" if compression == "gzip" else ".txt"
     new = ".fasta.gz" if compression == "gzip" else ".fasta"
     rename_extension(spark, path, ext, new)
-    if folder_names == "plain" and cols:
+    if cols:
         _plain_folders(spark, path)
 
 
@@ -107,10 +108,18 @@ def write_embeddings(df: DataFrame, path: str, partition_cols: Sequence[str] = (
     df.write.mode(mode).partitionBy(*partition_cols).parquet(path)
 
 
-def write_hits(df: DataFrame, path: str, file_col: str = "source_file") -> None:
-    """SNK5: hits appended once per input file (a partition per file)."""
-    (df.write.mode("append").partitionBy(file_col).option("header", True)
-       .option("sep", ",").csv(path))
+HIT_SALTS = 16
+
+
+def write_hits(df: DataFrame, path: str, file_col: str = "source_file", salts: int = HIT_SALTS) -> None:
+    """SNK5: hits as Parquet, a partition per input file.  A rerun replaces the
+    partitions of the files it read and leaves the others.  Rows are clustered
+    by file, each file over ``salts`` tasks, so a task writes few files and a
+    large input is not one task's."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(tasks, F.col(file_col), salt).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy(file_col).parquet(path))
 
 
 def append_run_metrics(metrics: DataFrame, path: str) -> None:

@@ -15,24 +15,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from residuum.plans.classify import score_records
-from residuum.sources.fasta import RECORD_SEPARATOR, parse_records
+from residuum.sources.fasta import FASTA_NAME_REGEX, RECORD_SEPARATOR, parse_records, with_lead
 
 
-def fasta_stream(spark: SparkSession, src_dir: str, name_glob: str = "*.fasta*",
+def fasta_stream(spark: SparkSession, src_dir: str, name_regex: str = FASTA_NAME_REGEX,
                  max_files_per_trigger: int | None = None):
+    """Records of every file that the batch reader takes, dealt out anew (a gzip
+    file is one split)."""
     r = (spark.readStream.format("text").option("lineSep", RECORD_SEPARATOR)
-         .option("recursiveFileLookup", "true").option("pathGlobFilter", name_glob))
+         .option("recursiveFileLookup", "true"))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    raw = r.load(src_dir).select("value", F.col("_metadata.file_path").alias("source_file"))
-    return parse_records(raw)
+    raw = r.load(src_dir).where(F.col("_metadata.file_name").rlike(name_regex)).select(
+        "value", F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_block"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return parse_records(with_lead(raw).repartition(tasks))
 
 
 def stream_classify_fasta(spark: SparkSession, src_dir: str, model: PipelineModel,
                           out_dir: str, checkpoint_dir: str, info_filter: str | None = "CR=1",
-                          min_length: int = 0, hit_class: int = 0,
-                          available_now: bool = True) -> StreamingQuery:
-    hits = score_records(fasta_stream(spark, src_dir), model, info_filter, min_length, hit_class)
+                          min_length: int = 0, hit_class: int | None = 0,
+                          available_now: bool = True, min_probability: float = 0.0) -> StreamingQuery:
+    hits = score_records(fasta_stream(spark, src_dir), model, info_filter, min_length, hit_class, min_probability)
     w = (hits.writeStream.format("parquet").outputMode("append")
          .option("path", out_dir).option("checkpointLocation", checkpoint_dir)
          .partitionBy("source_file"))
