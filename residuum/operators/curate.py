@@ -20,23 +20,27 @@ def class_rank(class_col: Column, class_order: Sequence[str]) -> Column:
 
 def dedupe_by_sequence(df: DataFrame, class_order: Sequence[str], seq_col: str = "seq",
                        order_cols: Sequence[str] = ("record_pos",),
-                       class_col: str = "class", keep: Sequence[str] | None = None) -> DataFrame:
+                       class_col: str = "class", keep: Sequence[str] | None = None,
+                       with_seq: bool = True) -> DataFrame:
     """AGG1: keep the first row of every distinct sequence.
 
-    "First" is class-list order, then record order.  Written as a grouped
-    ``min(struct(rank, order..., payload...))`` rather than a
-    ``row_number`` window: the aggregate is partial on the map side, so a
-    sequence repeated across a third of the input collapses before the
-    shuffle instead of landing whole in one task.  ``keep`` limits the
-    payload carried through the shuffle (struct fields inside an aggregate
-    are not pruned by the optimizer).
+    "First" is class-list order, then record order.  Rows are grouped by the
+    sequence's SHA-256 with a grouped ``min(struct(rank, order..., payload...))``:
+    the aggregate is partial on the map side, so a sequence repeated across a
+    third of the input collapses before the shuffle, and sorts compare digests,
+    not sequences.  ``keep`` limits the payload carried through the shuffle
+    (struct fields inside an aggregate are not pruned by the optimizer);
+    ``with_seq=False`` leaves the sequence itself out, so it never moves.
     """
     payload = [c for c in (keep if keep is not None else df.columns)
                if c != seq_col and c not in order_cols]
-    d = df.withColumn("_crank", class_rank(F.col(class_col), class_order))
-    first = F.min(F.struct("_crank", *order_cols, *payload)).alias("_first")
-    out = d.groupBy(seq_col).agg(first)
-    cols = [c for c in df.columns if c == seq_col or c in order_cols or c in payload]
+    d = df.withColumn("_crank", class_rank(F.col(class_col), class_order)) \
+        .withColumn("_digest", F.unhex(F.sha2(F.col(seq_col), 256)))
+    aggs = [F.min(F.struct("_crank", *order_cols, *payload)).alias("_first")]
+    if with_seq:
+        aggs.append(F.any_value(seq_col).alias(seq_col))
+    out = d.groupBy("_digest").agg(*aggs)
+    cols = [c for c in df.columns if (c == seq_col and with_seq) or c in order_cols or c in payload]
     return out.select(*[F.col(f"_first.{c}").alias(c) if c != seq_col else F.col(c)
                         for c in cols])
 

@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from residuum.functions.hashing import hash_bucket
 
@@ -30,20 +31,31 @@ def _cols(xs) -> list[str]:
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str],
                     how: str) -> DataFrame:
-    """Equi-join on ``keys`` where null matches null (a null group is a group)."""
+    """Equi-join on ``keys`` where null matches null (a null group is a group).
+    Buckets and their runs are never null, so they join by plain equality."""
     r = right
     for k in keys:
         r = r.withColumnRenamed(k, f"_r_{k}")
-    cond = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
+    cond = [left[k] == r[f"_r_{k}"] if k in ("_bk", "_run", "_g0") else left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
     out = left.join(r, cond, how)
     return out.drop(*[f"_r_{k}" for k in keys])
 
 
 def _bucket_offsets(d: DataFrame, g: list[str], bucket: str, w: str) -> DataFrame:
-    """Per ``(group, bucket)``: total weight and weight of earlier buckets."""
-    stats = d.groupBy(*g, bucket).agg(F.sum(w).alias("_bw"))
-    win = Window.partitionBy(*g).orderBy(bucket).rowsBetween(UNBOUNDED, 0)
-    return stats.withColumn("_boff", F.sum("_bw").over(win) - F.col("_bw"))
+    """Per ``(group, bucket)``: total weight and weight of earlier buckets.
+
+    Buckets are summed up in runs (one of the first two digits of a digest, or
+    65,536 positions) and the runs apart, so that no task sees more than one run
+    of a group or one row for each of its runs."""
+    text = isinstance(d.schema[bucket].dataType, StringType)
+    run = F.substring(bucket, 1, 2) if text else F.shiftright(bucket, 16)
+    stats = d.groupBy(*g, bucket).agg(F.sum(w).alias("_bw")).withColumn("_run", run)
+    within = Window.partitionBy(*g, "_run").orderBy(bucket).rowsBetween(UNBOUNDED, 0)
+    runs = stats.groupBy(*g, "_run").agg(F.sum("_bw").alias("_rw"))
+    before = Window.partitionBy(*g).orderBy("_run").rowsBetween(UNBOUNDED, 0)
+    runs = runs.withColumn("_roff", F.sum("_rw").over(before) - F.col("_rw")).drop("_rw")
+    out = _join_null_safe(stats.withColumn("_boff", F.sum("_bw").over(within) - F.col("_bw")), runs, [*g, "_run"], "inner")
+    return out.withColumn("_boff", F.col("_boff") + F.col("_roff")).drop("_run", "_roff")
 
 
 def ordered_cumsum(df: DataFrame, group_cols, order_cols: Sequence, bucket: Column,

@@ -48,29 +48,31 @@ def attention_mask(ids: Column) -> Column:
 def assign_batches(df: DataFrame, batch_size: int, group_cols=None,
                    order_col: str = "record_pos", out: str = "batch_id") -> DataFrame:
     """PRJ16: consecutive groups of ``batch_size`` rows in record order
-    (per file when ``group_cols`` names the file).  The row index is exact
-    and computed per (group, position bucket), so one huge file does not
-    become one task."""
+    (per file when ``group_cols`` names the file).  The exact row index is
+    computed per (group, position bucket) on narrow rows, so one huge file does
+    not become one task; give it a narrow frame and join (see ``pad_batch``)."""
     idx = row_index(df, group_cols, [order_col], F.shiftright(F.col(order_col), 12), "_ri")
     return idx.withColumn(out, F.floor(F.col("_ri") / F.lit(int(batch_size))).cast("long")
                           ).drop("_ri")
 
 
-def pad_batch(df: DataFrame, ids_col: str = "input_ids", batch_col: str = "batch_id",
-              group_cols=None) -> DataFrame:
-    """PRJ10: pad every id array to the longest in its batch; mask 0 on pads.
-
-    The window is per batch (bounded by the batch size)."""
-    g = ([group_cols] if isinstance(group_cols, str) else list(group_cols or []))
-    w = Window.partitionBy(*g, batch_col)
-    longest = F.max(F.size(ids_col)).over(w)
-    pad = F.greatest(longest - F.size(ids_col), F.lit(0))
-    return (df.withColumn("_pad", pad)
-              .withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), F.size(ids_col)),
-                                                     F.array_repeat(F.lit(0), F.col("_pad"))))
-              .withColumn(ids_col, F.concat(F.col(ids_col),
-                                            F.array_repeat(F.lit(PAD_ID), F.col("_pad"))))
-              .drop("_pad"))
+def pad_batch(df: DataFrame, batch_size: int, ids_col: str = "input_ids", order_col: str = "record_pos",
+              batch_col: str = "batch_id") -> DataFrame:
+    """PRJ10: batches of ``batch_size`` rows in ``order_col`` (unique) order; every
+    id array is padded to the longest of its batch, with mask 0 on pads.
+
+    Batch ids and longest lengths are computed on (position, length) rows; the
+    arrays themselves cross the network once, in the join."""
+    sizes = df.select(order_col, F.size(ids_col).alias("_n"))
+    longest = F.max("_n").over(Window.partitionBy(batch_col))  # at most batch_size rows
+    plan = assign_batches(sizes, batch_size, None, order_col, batch_col).withColumn("_longest", longest)
+    d = df.join(plan.select(order_col, batch_col, "_longest"), order_col)
+    pad = F.greatest(F.col("_longest") - F.size(ids_col), F.lit(0))
+    return (d.withColumn("_pad", pad)
+             .withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), F.size(ids_col)),
+                                                    F.array_repeat(F.lit(0), F.col("_pad"))))
+             .withColumn(ids_col, F.concat(F.col(ids_col), F.array_repeat(F.lit(PAD_ID), F.col("_pad"))))
+             .drop("_pad", "_longest"))
 
 
 def mlm_mask(df: DataFrame, ids_col: str = "input_ids", key_col: str = "record_id",

@@ -165,8 +165,8 @@ SELECT record_id, source_file,
        (row_number() OVER (PARTITION BY source_file ORDER BY record_pos) - 1) // 25 AS batch_id
 FROM rec""")
 def q_assign_batches(spark, sf):
-    return tokens.assign_batches(records(spark, sf), 25, "source_file").select(
-        "record_id", "source_file", "batch_id")
+    r = records(spark, sf).select("record_id", "record_pos", "source_file")
+    return tokens.assign_batches(r, 25, "source_file").select("record_id", "source_file", "batch_id")
 
 
 PAD_SQL = REC_SQL + f""",
@@ -176,8 +176,7 @@ pad AS (SELECT *, max(len(input_ids)) OVER (PARTITION BY batch_id) - len(input_i
 
 
 def padded(spark, sf):
-    t = tokens.assign_batches(tokenized(spark, sf), 8)
-    return tokens.pad_batch(t)
+    return tokens.pad_batch(tokenized(spark, sf), 8)
 
 
 @query("pad_batch", f"""WITH {PAD_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from residuum.operators import balance, curate, split
@@ -50,8 +51,11 @@ testf AS (SELECT ord.* FROM ord, tot WHERE cum_rows - n_rows < total * 0.2)"""
 FAMILY_SQL = REC_SQL + ",\n" + FAMILY_CTES
 
 
-def deduped(spark, sf, keep=("record_id", "class")):
-    return curate.dedupe_by_sequence(records(spark, sf), CLASS_ORDER, keep=list(keep))
+def deduped(spark, sf):
+    """First record of each sequence with the sequence's length and md5; the
+    sequences themselves do not move."""
+    r = records(spark, sf).withColumn("seq_len", F.length("seq").cast("long")).withColumn("seq_md5", F.md5("seq"))
+    return curate.dedupe_by_sequence(r, CLASS_ORDER, keep=["record_id", "class", "seq_len", "seq_md5"], with_seq=False)
 
 
 # ------------------------------------------------------------------ flagship
@@ -60,18 +64,19 @@ def deduped(spark, sf, keep=("record_id", "class")):
 def training_set_summary(spark, sf, size: int = 512):
     """Minimum slice: dedupe -> stratified 90/10 split of records -> chunks
     of 512 -> per class and split: records, chunks, residues, and balanced
-    class weights over the training chunks."""
-    recs = deduped(spark, sf)
-    sp = split.stratified_split(recs, "class", 0.1, SEED)
-    chunks = chunk_sequence(sp, size)
-    per = chunks.groupBy("class", "split").agg(
-        # every chunked record has exactly one chunk 0: exact, no distinct
-        F.sum(F.when(F.col("chunk_id") == 0, 1).otherwise(0)).cast("long").alias("n_records"),
-        F.count(F.lit(1)).alias("n_chunks"),
-        F.sum(F.length("seq")).cast("long").alias("n_residues"))
-    w = balance.class_weights(chunks.where(F.col("split") == "train")).select(
-        "class", F.round("weight", 6).alias("class_weight"))
-    return per.join(w, "class", "left")
+    class weights over the training chunks.  A summary needs the lengths of the
+    chunked sequences only, so the rows that move are narrow, and the weights
+    come from the same aggregate."""
+    sp = split.stratified_split(deduped(spark, sf).select("record_id", "class", "seq_len"), "class", 0.1, SEED)
+    per = sp.where(F.col("seq_len") > 0).groupBy("class", "split").agg(
+        F.count(F.lit(1)).alias("n_records"),
+        F.sum(F.ceil(F.col("seq_len") / F.lit(float(size)))).cast("long").alias("n_chunks"),
+        F.sum("seq_len").cast("long").alias("n_residues"))
+    # one row per class and split from here on
+    train = F.when(F.col("split") == "train", F.col("n_chunks"))
+    every, own = Window.partitionBy(), Window.partitionBy("class")
+    weight = F.sum(train).over(every) / (F.count(train).over(every) * F.max(train).over(own))
+    return per.withColumn("class_weight", F.when(F.col("class").isNotNull(), F.round(weight, 6)))
 
 
 TRAINING_SET_SUMMARY_SQL = f"""WITH {DEDUP_STRAT_SQL.removeprefix('')} ,
@@ -93,9 +98,7 @@ query("training_set_summary", TRAINING_SET_SUMMARY_SQL)(training_set_summary)
 @query("dedupe_by_sequence", f"""WITH {DEDUP_SQL}
 SELECT record_id, class, md5(seq) AS seq_md5, length(seq) AS seq_len FROM dd""")
 def q_dedupe(spark, sf):
-    return deduped(spark, sf).select(
-        "record_id", "class", F.md5("seq").alias("seq_md5"),
-        F.length("seq").cast("long").alias("seq_len"))
+    return deduped(spark, sf).select("record_id", "class", "seq_md5", "seq_len")
 
 
 @query("count_per_class", f"""WITH {REC_SQL}
@@ -225,8 +228,8 @@ SELECT r.record_id, r.class, s.split FROM rec r
 JOIN strat s ON r.record_id = s.record_id AND r.class = s.class""")
 def q_split_by_ids(spark, sf):
     recs = records(spark, sf)
-    sp = split.stratified_split(curate.dedupe_by_sequence(recs, CLASS_ORDER, keep=["record_id", "class"]),
-                                "class", 0.1, SEED)
+    firsts = curate.dedupe_by_sequence(recs, CLASS_ORDER, keep=["record_id", "class"], with_seq=False)
+    sp = split.stratified_split(firsts, "class", 0.1, SEED)
     tr = sp.where(F.col("split") == "train").select("record_id", "class")
     va = sp.where(F.col("split") == "validation").select("record_id", "class")
     return curate.split_by_ids(recs, tr, va).select("record_id", "class", "split")
