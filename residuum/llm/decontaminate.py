@@ -161,6 +161,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that overlap with no benchmark item, with all columns."""
+    judged = "_judged"
+    while judged in docs.columns:
+        judged += "_"
     for shared in seed_blocks(benchmark):
         def run(batches, shared=shared):
             for b in batches:
@@ -169,5 +172,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
                     for r, *_ in shared.value.overlaps(data, off):
                         keep[first + r] = False
                 yield pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1])).filter(pa.array(keep))
-        docs = docs.select("*", F.lower(text_col).alias("_judged")).mapInArrow(run, docs.schema)
+        docs = docs.select("*", F.lower(text_col).alias(judged)).mapInArrow(run, docs.schema)
     return docs

@@ -99,11 +99,14 @@ class Model:
         self.bits = np.array([math.log2(max(2, len(samples[k]))) for k in self.langs])
         for k in self.langs:
             nxt = SuffixAutomaton([SPACE if c == " " else self.known[c] for c in samples[k]]).next
-            t = np.full((len(nxt), self.width), -1, np.int64)
+            # the last state follows a character that the sample lacks, which is a
+            # phrase of its own: whatever comes next starts another
+            novel = len(nxt)
+            t = np.full((novel + 1, self.width), -1, np.int64)
             for s, edges in enumerate(nxt):
                 for c, to in edges.items():
                     t[s, c] = to
-            root = np.where(t[0] < 0, 0, t[0])  # a character the sample lacks is a phrase of its own
+            root = np.where(t[0] < 0, novel, t[0])
             t = np.where(t < 0, root | self.PHRASE, t)
             t[:, self.pad] = 0
             state = (t & (self.PHRASE - 1)) * self.width + at

@@ -49,7 +49,7 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashe
     best = None
     for rows in range(1, max_hashes + 1):
         p = threshold ** rows
-        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - p)) if p > 0 else math.inf
+        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-p)) if p > 0 else math.inf
         if bands * rows <= max_hashes:
             best = (bands, rows)
     if best is None:

@@ -97,7 +97,7 @@ def _classes(window: int):
                 new = np.ones(len(d), bool)
                 new[1:] = (np.diff(anchor) != 0) | (np.diff(whole) != 0)
                 start = np.flatnonzero(new)
-                last = np.append(start[1:], len(d)) - 1
+                last = np.append(start[1:], len(d))[:len(start)] - 1
                 yield pa.record_batch([_signed(anchor[start]), _signed(whole[start]), pa.array(d[start], pa.int64()),
                                        pa.array(d[last], pa.int64())], ["a", "r", "lo_id", "hi_id"])
     return run

@@ -131,7 +131,7 @@ class Model:
         y = np.repeat([1.0, 0.0], [len(found[0]), len(found[1])])
         w = np.where(y == 1, share / len(found[0]), (1 - share) / len(found[1])) * len(y)
         self.curve = logistic(x, y, w)
-        self.curve[0] += np.log(DECISION / (1 - DECISION)) - best_cut(self.curve[0] + x @ self.curve[1:], y, w)
+        self.curve[0] += np.log(DECISION / (1 - DECISION)) - best_cut(self.curve[0] + (x * self.curve[1:]).sum(axis=1), y, w)
 
     def _open(self) -> None:
         made = []
@@ -173,15 +173,27 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -
     x = np.column_stack([np.ones(len(x)), x])
     b = np.zeros(x.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b))
-        step = np.linalg.solve(h, x.T @ (w * (y - p)) - ridge * b)
+        p = 1 / (1 + np.exp(-np.clip((x * b).sum(axis=1), -30, 30)))
+        h = np.einsum("ni,n,nj->ij", x, w * p * (1 - p), x) + ridge * np.eye(len(b))
+        step = solved(h, (x * (w * (y - p))[:, None]).sum(axis=0) - ridge * b)
         b = b + step
         if np.abs(step).max() < 1e-8:
             break
     return b
 
 
+def solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solution of a small positive definite system, by elimination (a threaded
+    BLAS in the driver can deadlock next to the JVM gateway)."""
+    m = np.column_stack([a, b])
+    for i in range(len(b)):
+        m[i] /= m[i, i]
+        for j in range(len(b)):
+            if j != i:
+                m[j] -= m[j, i] * m[i]
+    return m[:, -1]
+
+
 def best_cut(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     """The cut of best weighted F1, half way to the next lower value."""
     order = np.argsort(-z, kind="stable")
