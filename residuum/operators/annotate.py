@@ -32,6 +32,7 @@ def keyword_label(header: Column, keywords: Sequence[str]) -> Column:
 def mod_res_positions(mod_res: Column) -> Column:
     """PRJ4: 1-based positions after ``MOD_RES ``; a range gives its start;
     a null annotation gives no positions."""
+    # fixed value: the feature name of a modified residue in annotations
     found = F.regexp_extract_all(mod_res, F.lit(r"MOD_RES (\d+)"), F.lit(1))
     return F.coalesce(F.transform(found, lambda x: x.cast("int")),
                       F.array().cast("array<int>"))

@@ -101,6 +101,16 @@ def stratified_split(df: DataFrame, class_col: str = "class", frac=0.1, seed=42,
                           .otherwise(F.lit(train_name))).drop("selected", "_sk")
 
 
+def chunk_split(chunks: DataFrame, class_col: str = "class", frac=0.1, seed=42,
+                key_col: str = "record_id", **names) -> DataFrame:
+    """WIN3 on chunks: chunks, not records, are dealt to the splits, so pieces of
+    one record may fall on both sides (the source's older behaviour; split
+    records first to keep them together)."""
+    key = F.concat_ws(":", F.col(key_col), F.col("chunk_id"))
+    return stratified_split(chunks.withColumn("_chunk_key", key), class_col, frac, seed, "_chunk_key",
+                            **names).drop("_chunk_key")
+
+
 def random_split(df: DataFrame, test_frac=0.2, seed=42, key_col: str = "record_id") -> DataFrame:
     """WIN4: exact ``ceil(frac * n)`` test rows in hash order, not stratified."""
     sel = prefix_select(df, rank_key(seed, key_col), F.col(key_col),

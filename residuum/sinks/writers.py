@@ -104,7 +104,8 @@ def write_training_table(df: DataFrame, path: str, split_col: str = "split") ->
 
 def write_embeddings(df: DataFrame, path: str, partition_cols: Sequence[str] = ("model", "split"),
                      mode: str = "overwrite") -> None:
-    """SNK4: embedding store, Parquet partitioned by model and split."""
+    """SNK4: embedding store, Parquet partitioned by model and split (and by
+    ``layer``, if the caller lists it: a store of several layers)."""
     df.write.mode(mode).partitionBy(*partition_cols).parquet(path)
 
 

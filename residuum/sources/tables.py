@@ -65,6 +65,18 @@ def read_paged_tsv(spark: SparkSession, path: str, top_n: int | None = None,
     return df.join(keep, page_col, "left_semi")
 
 
+def paged_tsv_rejects(spark: SparkSession, path: str, page_col: str = "page",
+                      schema: T.StructType = ANNOTATION_SCHEMA) -> DataFrame:
+    """Ragged rows of an annotation export: ``(page, line, n_cells)`` of every line
+    whose number of cells is not the schema's.  ``read_paged_tsv`` keeps such rows,
+    with nulls for missing cells and without surplus ones."""
+    lines = spark.read.schema(T.StructType([T.StructField("value", T.StringType()),
+                                            T.StructField(page_col, T.LongType())])).text(path)
+    cells = F.size(F.split("value", "\t"))
+    return lines.where((cells != F.lit(len(schema.fields))) & (F.length("value") > 0)) \
+        .select(page_col, F.col("value").alias("line"), cells.alias("n_cells"))
+
+
 def read_row_range(spark: SparkSession, path: str, start: int, stop: int,
                    pos_col: str) -> DataFrame:
     """SRC6: rows ``[start, stop)`` of a stored table by position column.
@@ -77,14 +89,26 @@ def read_row_range(spark: SparkSession, path: str, start: int, stop: int,
 
 
 def read_embeddings(spark: SparkSession, path: str, id_col: str = "record_id",
-                    label_col: str = "class", vec_col: str = "embeddings") -> DataFrame:
-    """SRC7: saved embeddings as ``entry_id, label, mean_representation``."""
-    return spark.read.parquet(path).select(
+                    label_col: str = "class", vec_col: str = "embeddings", layer: int | None = None) -> DataFrame:
+    """SRC7: saved embeddings as ``entry_id, label, mean_representation``;
+    ``layer`` reads one layer of a store that holds several (a partition)."""
+    store = spark.read.parquet(path)
+    if layer is not None:
+        store = store.where(F.col("layer") == F.lit(layer))
+    return store.select(
         F.col(id_col).cast("string").alias("entry_id"),
         F.col(label_col).cast("string").alias("label"),
         F.col(vec_col).alias("mean_representation"))
 
 
+def read_layer_map(spark: SparkSession, path: str, id_col: str = "record_id",
+                   vec_col: str = "embeddings") -> DataFrame:
+    """Saved embeddings as ``entry_id, representations``: a map from layer to vector."""
+    pairs = spark.read.parquet(path).groupBy(F.col(id_col).cast("string").alias("entry_id")).agg(
+        F.collect_list(F.struct(F.col("layer").cast("int"), vec_col)).alias("_e"))
+    return pairs.select("entry_id", F.map_from_entries("_e").alias("representations"))
+
+
 def capped_per_class_load(df: DataFrame, class_col: str, max_samples: int, seed,
                           key_col: str) -> DataFrame:
     """SRC8: at most ``max_samples`` rows per class (exact cap, hash order)."""
