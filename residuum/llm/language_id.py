@@ -10,9 +10,9 @@ in windows of ``WINDOW`` characters, so a worker parses thousands of windows at
 once: one table look-up advances every window in every language. Every character
 of every text is parsed.
 
-Learning reads at most ``SAMPLE_ROWS`` labelled texts of each language (those of
-the lowest hash), ``SAMPLE_CHARS`` characters from the middle of each, and at
-most ``MAX_CHARS`` characters over all languages; that bounds the automata, which
+Learning reads at most ``SAMPLE_ROWS`` labelled texts of each of the ``MAX_LANGS``
+most frequent languages (drawn by their hash), ``SAMPLE_CHARS`` characters from the
+middle of each, and at most ``MAX_CHARS`` characters over all languages; that bounds the automata, which
 are broadcast, at about 30 bytes * alphabet * MAX_CHARS.
 
 A null text, or one without letters, gets ``und`` and score 0; so does every text
@@ -37,6 +37,7 @@ WINDOW = 256
 SAMPLE_ROWS = 160
 SAMPLE_CHARS = 160
 MAX_CHARS = 1_000_000
+MAX_LANGS = 256   # the most frequent ones are learned
 LANES = 8192
 UNKNOWN = "und"
 SPACE, OTHER = 0, 1  # codes: word break, letter that no sample holds; then the letters
@@ -199,6 +200,12 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     rows = labelled.filter(text.isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.substr(text, mid, F.lit(SAMPLE_CHARS)).alias("part"),
         F.xxhash64(text, key if key is not None else F.lit(0)).alias("h"))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    if not counts:
+        return {}
+    # about twice the rows needed are drawn by their hash, so that few are ranked
+    drawn = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * SAMPLE_ROWS / r["count"]))])
+    rows = rows.filter(F.pmod(F.col("h"), F.lit(1 << 30)) < F.try_element_at(drawn, F.col("lang")) * (1 << 30))
     first = Window.partitionBy("lang").orderBy("h")
     rows = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_ROWS)
     parts: dict[str, list[str]] = {}

@@ -13,8 +13,8 @@ summed over all windows of a text, and a logistic curve turns sum and mean into
 score. The curve is placed so that ``DECISION`` is the threshold of best F1 on those
 texts, at the class shares of the labels.
 
-Learning reads at most ``SAMPLE`` labelled texts of each class (of the lowest id
-hash), those of at most ``MAX_CHARS`` characters; every window of every text is
+Learning reads at most ``SAMPLE`` labelled texts of each class (drawn by a hash of
+the id), those of at most ``MAX_CHARS`` characters; every window of every text is
 scored. A document with several labels counts as toxic if one says so.
 
 Null and blank texts have no windows and get the curve's value there. If a class
@@ -210,8 +210,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     by_id = labels.filter(F.col("id").isNotNull() & F.col("label").isin(0, 1)) \
         .groupBy("id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("id"))
     shares = {r["label"]: r["count"] for r in by_id.groupBy("label").count().collect()}
+    # about twice the rows needed are drawn by their hash, so that few are ranked
+    drawn = {k: min(1.0, 2 * SAMPLE / n) for k, n in shares.items()}
+    share = F.when(F.col("label") == 1, drawn.get(1, 0.0)).otherwise(drawn.get(0, 0.0))
     nth = Window.partitionBy("label").orderBy("h", "id")
-    chosen = by_id.withColumn("k", F.row_number().over(nth)).filter(F.col("k") <= SAMPLE).select("id", "label", "h")
+    chosen = by_id.filter(F.pmod(F.col("h"), F.lit(1 << 30)) < share * (1 << 30)).withColumn("k", F.row_number().over(nth)).filter(F.col("k") <= SAMPLE).select("id", "label", "h")
     # at most 2 * SAMPLE rows: bounded, so they are broadcast and their texts collected
     texts = docs.filter(F.length("text") <= MAX_CHARS).join(F.broadcast(chosen), "id") \
         .groupBy("id", "label", "h").agg(F.min("text").alias("text")).orderBy("h", "id").collect()
