@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text is turned into units that no piece can span: a unit starts at a run of word
+A text is turned into units that no piece can span: a cut comes before a run of word
 marks, around characters that no piece of two or more characters holds, and before
 punctuation that no piece joins to a letter. So units are encoded on their own, each
 distinct one once:
@@ -31,19 +31,18 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
 import struct
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"             # stands for a space
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 32 << 20
+PART_BYTES = 1 << 20   # of text that is packed together
 MASK_CHARS = 60
 UNIGRAM, BPE = 1, 2         # fixed values of the model file: model types
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6  # and piece types
@@ -116,18 +115,20 @@ class Vocabulary:
         return merge(unit, self.usable, self.bytes) if self.kind == BPE else \
             best_path(unit, self.usable, self.bytes, self.longest, self.worst)
 
-    def units(self) -> re.Pattern:
-        """Pattern whose matches cut a text (spaces as marks) where no piece can span."""
+    def cuts(self) -> list[tuple[str, str | None]]:
+        """Pairs of patterns between which no piece can span; with None for the
+        second, a character around which none can."""
         long = [p for p in self.usable if len(p) > 1]
         if any(MARK in p.lstrip(MARK) for p in long):  # a piece goes on after a mark: no cut is safe
-            return re.compile("(?s).+")
+            return []
         inside = {c for p in long for c in p}
-        solo = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in inside)
-        joined = {b for p in long for a, b in zip(p, p[1:]) if re.match(r"[^\W\d_]", a)}
-        enders = "".join(re.escape(chr(c)) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in joined | {"_"})
-        first = rf"{MARK}*+[^\W\d_]++(?=[{enders}])|" if enders else ""
-        last = rf"|[{solo}]" if solo else ""
-        return re.compile(rf"{first}{MARK}*+[^{MARK}{solo}]++|{MARK}++{last}")
+        solo = "".join(rf"\x{{{c:X}}}" for c in range(128) if chr(c) not in inside)
+        joined = {b for p in long for a, b in zip(p, p[1:]) if a.isalpha()}
+        enders = "".join(rf"\x{{{c:X}}}" for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in joined)
+        out = [("", MARK)]
+        if enders:
+            out.append((r"\p{L}", f"[{enders}]"))
+        return out + ([(f"[{solo}]", None)] if solo else [])
 
     def marked(self, text: str) -> str:
         return ((" " if self.prefix else "") + text).replace(" ", MARK) if text else ""
@@ -188,23 +189,43 @@ def best_path(unit: str, vocab: dict[str, tuple[int, float]], byte_ids: dict[int
     return [x for part in reversed(out) for x in part]
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``(unit, n, edges)`` for each row of ``units`` (``unit``, distinct, not empty):
-    edges ``(score, i, id, ends, inner)`` by descending score, then place. ``ends``
-    has the bits of places i and j, ``inner`` those between."""
-    spans = F.expr(f"""flatten(transform(sequence(0, n - 1), i ->
-        transform(sequence(1, least({longest}, n - i)), l -> struct(i AS i, l AS l))))""")
-    subs = units.withColumn("n", F.length("unit")) \
-        .withColumn("s", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("l"))), spans))) \
-        .select("unit", "n", F.col("s.i").alias("i"), F.col("s.l").alias("l"),
-                F.expr("substring(unit, s.i + 1, s.l)").alias("piece"))
-    # the empty piece keeps a unit of which nothing else matches
-    edges = subs.join(F.broadcast(pieces), "piece").select(
-        "unit", "n", F.struct(
-            F.col("score"), (-F.col("i")).alias("minus_i"), F.col("id"),
+# Characters below this code point are looked up in an array; those beyond are
+# joined to the piece table like longer substrings.
+LOOKED_UP = 0x2600
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+
+
+def lattice(units: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """The columns of ``units`` (``unit``, distinct, of 1 to ``MASK_CHARS``
+    characters), its length ``n`` and its ``edges``, best first.
+
+    An edge from place i to j is ``(key, id, ends, inner, score)``: ``key`` orders by
+    score, then i; ``ends`` has the bits of i and j, ``inner`` those between."""
+    rank = {score: k for k, score in enumerate(sorted({s for _, s in vocab.usable.values()}, reverse=True))}
+    rows = [(p, i, rank[s] * 64, float(s)) for p, (i, s) in vocab.usable.items()
+            if len(p) > 1 or ord(p) >= LOOKED_UP] + [("", -1, 0, 0.0)]
+    pieces = units.sparkSession.createDataFrame(rows, "piece string, id int, rank bigint, score double")
+    others = [c for c in units.columns if c != "unit"]
+    # at each place: the substrings of two characters and more, one character only
+    # if it is not looked up, and once for each unit the empty one, which keeps a
+    # unit of which nothing matches
+    lengths = F.expr(f"""concat(if(i = 0, array(0), array()),
+        if(ascii(substring(unit, i + 1, 1)) >= {LOOKED_UP}, array(1), array()),
+        if(n - i >= 2, sequence(2, least({vocab.longest}, n - i)), array()))""")
+    subs = units.withColumn("n", F.length("unit")).withColumn("i", F.explode(F.expr("sequence(0, n - 1)"))) \
+        .withColumn("l", F.explode(lengths)).withColumn("piece", F.expr("substring(unit, i + 1, l)"))
+    edge = [(F.col("rank") + F.col("i")).alias("key"), F.col("id"),
             F.expr("shiftleft(1L, i) | shiftleft(1L, i + l)").alias("ends"),
-            F.expr("(shiftleft(1L, i + l) - 1L) & ~(shiftleft(1L, i + 1) - 1L)").alias("inner")).alias("e"))
-    return edges.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("e"), asc=False).alias("edges"))
+            F.expr("(shiftleft(1L, i + l) - 1L) & ~(shiftleft(1L, i + 1) - 1L)").alias("inner")]
+    if vocab.kind == UNIGRAM:
+        edge.append(F.col("score"))
+    edges = subs.join(F.broadcast(pieces), "piece").select(
+        *units.columns, "n", F.when(F.col("id") >= 0, F.struct(*edge)).alias("e"))
+    return edges.groupBy("unit").agg(*[F.first(c).alias(c) for c in [*others, "n"]],
+                                     F.sort_array(F.collect_list("e")).alias("edges"))
 
 
 def fold_merges(edges: Column, n: Column) -> Column:
@@ -214,86 +235,234 @@ def fold_merges(edges: Column, n: Column) -> Column:
                         & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1))
         return cuts.bitwiseAND(F.bitwise_not(F.coalesce(F.get(fits, F.lit(0))["inner"], F.lit(0).cast("bigint"))))
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.expr("shiftleft(1L, n + 1) - 1L"), step)
+    every = _bit(n + 1) - F.lit(1).cast("bigint")
+    return F.when(F.size(edges) == 0, every).otherwise(F.aggregate(F.sequence(F.lit(1), n), every, step))
 
 
-def fold_viterbi(edges: Column, n: Column, worst: float) -> Column:
+def fold_viterbi(edges: Column, n: Column, one_score: Column, unit: Column) -> Column:
     """Bit mask of the cuts of the path of highest score. The state holds, for each
-    place, the best score and the cuts that lead to it; a character without a piece
-    is an edge of score ``worst``."""
+    place, the best score and the cuts that lead to it. ``one_score``: array of the
+    scores of single characters by code point."""
     start = F.transform(F.sequence(F.lit(0), n), lambda k: F.struct(
         F.when(k == 0, F.lit(0.0)).otherwise(F.lit(float("-inf"))).alias("score"), F.lit(1).cast("bigint").alias("cuts")))
 
     def reach(best, j):
-        into = F.filter(edges, lambda e: (e["ends"] >= F.call_function("shiftleft", F.lit(1).cast("bigint"), j))
-                        & (e["ends"] < F.call_function("shiftleft", F.lit(1).cast("bigint"), j + 1)) & (e["id"] >= 0))
-        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), j)
+        into = F.filter(edges, lambda e: (e["ends"] >= _bit(j)) & (e["ends"] < _bit(j + 1)))
+        point = F.ascii(F.substring(unit, j, F.lit(1)))
+        single = F.when(point < LOOKED_UP, F.get(one_score, point)).otherwise(F.get(one_score, F.lit(0)))
+        before = F.get(best, j - 1)
         paths = F.concat(
             F.transform(into, lambda e: F.struct(
-                (F.get(best, -e["minus_i"])["score"] + e["score"]).alias("score"),
-                F.get(best, -e["minus_i"])["cuts"].bitwiseOR(bit).alias("cuts"))),
-            F.array(F.struct((F.get(best, j - 1)["score"] + F.lit(worst)).alias("score"),
-                             F.get(best, j - 1)["cuts"].bitwiseOR(bit).alias("cuts"))))
-        top = F.array_max(paths)
-        return F.transform(best, lambda b, k: F.when(k == j, top).otherwise(b))
+                (F.get(best, (e["key"] % 64).cast("int"))["score"] + e["score"]).alias("score"),
+                F.get(best, (e["key"] % 64).cast("int"))["cuts"].bitwiseOR(_bit(j)).alias("cuts"))),
+            F.array(F.struct((before["score"] + single).alias("score"), before["cuts"].bitwiseOR(_bit(j)).alias("cuts"))))
+        return F.transform(best, lambda b, k: F.when(k == j, F.array_max(paths)).otherwise(b))
 
     return F.aggregate(F.sequence(F.lit(1), n), start, reach, lambda best: F.get(best, n)["cuts"])
 
 
-def path_ids(cuts: Column, edges: Column, n: Column, first_byte: Column) -> Column:
-    """Ids of the spans between cuts; a character without a piece gives its bytes."""
-    spans = F.filter(edges, lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"])
-                     & (cuts.bitwiseAND(e["inner"]) == 0) & (e["id"] >= 0))
-    known = F.transform(spans, lambda e: F.struct((-e["minus_i"]).alias("i"), F.array(e["id"]).alias("ids")))
-    one = F.filter(edges, lambda e: (e["inner"] == 0) & (e["id"] >= 0))
-    have = F.transform(one, lambda e: -e["minus_i"])
-    bare = F.array_except(F.sequence(F.lit(0), n - 1), have)
-    bare = F.filter(bare, lambda i: F.call_function("shiftright", cuts, i).bitwiseAND(F.lit(3).cast("bigint")) == 3)
-    raw = F.transform(bare, lambda i: F.struct(i.alias("i"), F.transform(
-        F.sequence(F.lit(1), F.octet_length(F.substring(F.col("unit"), i + 1, F.lit(1)))),
-        lambda k: F.get(first_byte, F.conv(F.substring(F.hex(F.substring(F.col("unit"), i + 1, F.lit(1))), k * 2 - 1, F.lit(2)),
-                                           16, 10).cast("int"))).alias("ids")))
-    return F.flatten(F.transform(F.array_sort(F.concat(known, F.when(F.size(bare) > 0, raw).otherwise(F.array()))),
-                                 lambda s: s["ids"]))
-
-
-def encode_units(units: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """``(unit, ids)`` for each row of ``units`` (``unit``, distinct, of at most
-    ``MASK_CHARS`` characters). Keeps a partitioning by unit."""
-    rows = [(p, i, float(s)) for p, (i, s) in vocab.usable.items()] + [("", -1, float("-inf"))]
-    pieces = units.sparkSession.createDataFrame(rows, "piece string, id int, score double")
-    byte_ids = F.array(*[F.lit(vocab.bytes[b]) for b in range(256)])
-    edges, n = F.col("edges"), F.col("n")
-    cuts = fold_merges(edges, n) if vocab.kind == BPE else fold_viterbi(edges, n, vocab.worst)
-    return lattice(units, pieces, vocab.longest).withColumn("cuts", cuts) \
-        .select("unit", path_ids(F.col("cuts"), edges, n, byte_ids).alias("ids"))
+def path_ids(cuts: Column, edges: Column, n: Column, unit: Column, one_id: Column, first_byte: Column) -> Column:
+    """Ids of the spans between cuts, in order; a character without a piece gives
+    its bytes. Ids are sorted as ``(4 * place + byte) << 32 | id``."""
+    def at(place, i):
+        return F.call_function("shiftleft", place.cast("bigint"), F.lit(32)).bitwiseOR(i.cast("bigint"))
 
+    def char(i):
+        return F.substring(unit, i + 1, F.lit(1))
 
-def short_units(units: set[str]) -> list[str]:
-    """The units that go through the lattice, in an order that both sides know."""
-    return sorted(u for u in units if len(u) <= MASK_CHARS)
+    spans = F.filter(edges, lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (cuts.bitwiseAND(e["inner"]) == 0))
+    known = F.transform(spans, lambda e: at(e["key"] % 64 * 4, e["id"]))
+    three = F.lit(3).cast("bigint")
+    alone = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("shiftright", cuts, i).bitwiseAND(three) == three)
+    joined = F.transform(F.filter(spans, lambda e: e["inner"] == 0), lambda e: (e["key"] % 64).cast("int"))
+    alone = F.when(F.size(joined) > 0, F.array_except(alone, joined)).otherwise(alone)
+    single = F.transform(alone, lambda i: at(i * 4, F.coalesce(F.get(one_id, F.ascii(char(i))), F.lit(-1))))
+    bare = F.filter(alone, lambda i: F.coalesce(F.get(one_id, F.ascii(char(i))), F.lit(-1)) < 0)
+    raw = F.flatten(F.transform(bare, lambda i: F.transform(
+        F.sequence(F.lit(0), F.octet_length(char(i)) - 1), lambda k: at(i * 4 + k, F.get(
+            first_byte, F.conv(F.substring(F.hex(char(i)), k * 2 + 1, F.lit(2)), 16, 10).cast("int"))))))
+    some_bare = F.exists(single, lambda x: x < 0)
+    every = F.when(some_bare, F.concat(known, F.filter(single, lambda x: x >= 0), raw)).otherwise(F.concat(known, single))
+    return F.transform(F.sort_array(every), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint")).cast("int"))
 
 
-def _unpacked(blobs) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in blobs])
+def encode_units(units: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """The columns of ``units`` (``unit``, distinct, of 1 to ``MASK_CHARS`` characters)
+    and its ``ids``. Keeps a partitioning by unit."""
+    edges, n, unit = F.col("edges"), F.col("n"), F.col("unit")
+    chars = [vocab.usable.get(chr(c), (-1, vocab.worst)) for c in range(LOOKED_UP)]
+    one_id = F.split(F.lit(",".join(str(i) for i, _ in chars)), ",").cast("array<int>")
+    byte_ids = F.array(*[F.lit(vocab.bytes[b]) for b in range(256)])
+    if vocab.kind == BPE:
+        cuts = fold_merges(edges, n)
+    else:  # code point 0 stands for characters that are not looked up
+        one_score = F.split(F.lit(",".join(repr(s) for _, s in [(0, vocab.worst), *chars[1:]])), ",").cast("array<double>")
+        cuts = fold_viterbi(edges, n, one_score, unit)
+    return lattice(units, vocab).withColumn("cuts", cuts) \
+        .select(*units.columns, path_ids(F.col("cuts"), edges, n, unit, one_id, byte_ids).alias("ids"))
+
+
+def cut_units(texts: pa.Array, cuts: list[tuple[str, str]], prefix: bool) -> pa.ListArray:
+    """Units of each text (null for a null or empty one), spaces as marks."""
+    texts = pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts)
+    # a character that no text holds marks the cuts (U+FDD0 to U+FDEF are no characters)
+    sign = next(c for c in map(chr, range(0xFDD0, 0xFDF0)) if not pc.any(pc.match_substring(texts, c)).as_py())
+    at_marks = bool(cuts)
+    marked = pc.replace_substring(texts, " ", sign + MARK if at_marks else MARK)
+    if prefix:
+        marked = pc.binary_join_element_wise(MARK, marked, "")
+    for _ in range(2 * at_marks):  # a run of marks stays together: every second cut in it goes at a time
+        marked = pc.replace_substring(marked, MARK + sign + MARK, MARK + MARK)
+    for before, after in cuts[1:]:
+        if after is None:
+            marked = pc.replace_substring_regex(marked, f"({before})", rf"{sign}\1{sign}")
+        else:
+            marked = pc.replace_substring_regex(marked, f"({before})({after})", rf"\1{sign}\2")
+    parts = pc.split_pattern(marked, sign)
+    flat, size = parts.flatten(), np.asarray(pc.fill_null(parts.value_lengths(), 0))
+    some = np.asarray(pc.greater(pc.binary_length(flat), 0))
+    ends = np.concatenate([[0], totals(some.astype(np.int64), size).cumsum()]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, flat.filter(pa.array(some)))
+
+
+def decodes_wrong(ids_of: "Ragged", units: pa.Array, table: list[bytes]) -> np.ndarray:
+    """1 for each unit whose ids do not decode to it."""
+    of_id = Ragged(np.frombuffer(b"".join(table), np.uint8), np.array(list(map(len, table)), np.int64))
+    out = np.zeros(len(units), np.int64)
+    for lo in range(0, len(units), 100_000):
+        part = pc.replace_substring(units.slice(lo, 100_000), MARK, " ").cast(pa.binary())
+        ids, n_ids = ids_of.rows(np.arange(lo, lo + len(part)))
+        raw, width = of_id.rows(ids)
+        width, want = totals(width, n_ids), np.asarray(pc.binary_length(part))
+        have = np.frombuffer(b"".join(part.to_pylist()), np.uint8)
+        if len(raw) == len(have) and np.array_equal(raw, have) and np.array_equal(width, want):
+            continue
+        a, b = raw.tobytes(), part.to_pylist()
+        ends = np.concatenate([[0], np.cumsum(width)])
+        out[lo:lo + len(part)] = [a[x:y] != z for x, y, z in zip(ends[:-1], ends[1:], b)]
+    return out
 
 
-def encode(docs: DataFrame, vocab: Vocabulary, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """``keep`` columns, the text and its ``ids`` for each row of ``docs``."""
+def units_of(blob: pa.BinaryScalar, cuts, prefix: bool) -> pa.ListArray:
+    return cut_units(_unpacked(blob).column("text").combine_chunks(), cuts, prefix)
+
+
+def block_units(parts) -> tuple[pa.Array, pa.Array]:
+    """Distinct units of a block, sorted: those that go through the lattice, and the
+    longer ones. ``parts``: arrays of units."""
+    units = pa.chunked_array(parts, pa.string()).unique()
+    units = units.take(pc.sort_indices(units))
+    short = pc.less_equal(pc.utf8_length(units), MASK_CHARS)
+    return units.filter(short), units.filter(pc.invert(short))
+
+
+class Ragged:
+    """Rows of different lengths in one array."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray):
+        self.values, self.lengths = values, lengths
+        self.starts = np.cumsum(lengths) - lengths
+
+    def rows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the rows ``which``, end to end, and the length of each."""
+        length = self.lengths[which]
+        before = np.cumsum(length) - length
+        return self.values[np.repeat(self.starts[which] - before, length) + np.arange(length.sum())], length
+
+
+def totals(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``sizes`` values."""
+    ends = np.concatenate([[0], np.cumsum(values)])
+    stop = np.cumsum(sizes)
+    return ends[stop] - ends[stop - sizes]
+
+
+def _unpacked(blob: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(blob.as_buffer()).read_all()
+
+
+def byte_table(vocab: Vocabulary) -> list[bytes]:
+    """The bytes that each id stands for."""
+    return [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() if t == NORMAL else b""
+            for p, _, t in vocab.pieces]
+
+
+def text_of(ids, table: list[bytes], prefix: bool) -> str:
+    """Text of a sequence of ids: pieces and byte pieces as bytes, marks as spaces."""
+    raw = b"".join(map(table.__getitem__, ids))
+    return (raw[1:] if prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
+
+
+def block_table(packed: pa.Table, cuts, prefix: bool) -> pa.Table:
+    """``place, unit``: the distinct units of a block that go through the lattice."""
+    short, _ = block_units([units_of(blob, cuts, prefix).flatten().unique() for blob in packed.column("blob")])
+    block = packed.column("block")[0].as_py()
+    pa.default_memory_pool().release_unused()
+    return pa.table({"place": pa.array(np.arange(len(short), dtype=np.int64) + (block << 32)), "unit": short})
+
+
+def unit_ids(coded: pa.Table, short: pa.Array, long: pa.Array, vocab: Vocabulary) -> Ragged:
+    """Ids of a block's units in their order, the longer ones last."""
+    lists = coded.column("ids").combine_chunks().take(
+        pa.array(np.argsort(np.asarray(coded.column("nth")), kind="stable")))
+    if len(lists) != len(short):
+        raise ValueError("a block's units and their ids differ in number")
+    folded = [vocab.fold(u) for u in long.to_pylist()]
+    return Ragged(
+        np.concatenate([np.asarray(lists.flatten(), np.int32), *[np.array(x, np.int32) for x in folded]]),
+        np.concatenate([np.asarray(lists.value_lengths(), np.int64), [len(x) for x in folded]]).astype(np.int64))
+
+
+def assembled(packed: pa.Table, coded: pa.Table, vocab: Vocabulary, cuts, round_trip: bool) -> pa.Table:
+    """The documents of a block with their ids."""
+    parts = []  # of each packed part: units by place in its own list, that list, units of each text
+    for blob in packed.column("blob"):
+        lists = units_of(blob, cuts, vocab.prefix)
+        codes = lists.flatten().dictionary_encode()
+        parts.append((np.asarray(codes.indices), codes.dictionary, np.asarray(lists.value_lengths())))
+    short, long = block_units([own for _, own, _ in parts])
+    ids_of = unit_ids(coded, short, long, vocab)
+    every = pa.concat_arrays([short, long])
+    wrong = decodes_wrong(ids_of, every, byte_table(vocab)) if round_trip else None
+    # places of all parts' own units in the block's list, looked up at once
+    places = np.asarray(pc.index_in(pa.concat_arrays([own for _, own, _ in parts]), value_set=every))
+    starts = np.cumsum([0] + [len(own) for _, own, _ in parts])
+    out = []
+    for blob, (codes, _, size), lo, hi in zip(packed.column("blob"), parts, starts, starts[1:]):
+        done = _unpacked(blob)
+        units = places[lo:hi][codes]
+        ids, length = ids_of.rows(units)
+        ends = np.concatenate([[0], np.cumsum(totals(length, size))]).astype(np.int32)
+        missing = done.column("text").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        offsets = pa.array(ends, mask=np.append(missing, False))
+        done = done.drop_columns("text").append_column("ids", pa.ListArray.from_arrays(offsets, pa.array(ids)))
+        if round_trip:  # a text is its units end to end
+            done = done.append_column("round_trip", pa.array(totals(wrong[units], size) == 0))
+        out.append(done)
+    pa.default_memory_pool().release_unused()
+    return pa.concat_tables(out)
+
+
+def encode(docs: DataFrame, vocab: Vocabulary, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text",
+           round_trip: bool = False) -> DataFrame:
+    """``keep`` columns and ``ids`` for each row of ``docs``; with ``round_trip`` also
+    whether the ids decode to the text (a mark in a text decodes to a space)."""
     src = docs.select(F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"k_{c}") for c in keep])
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    pattern, shared = vocab.units().pattern, docs.sparkSession.sparkContext.broadcast(vocab)
+    cuts, shared = vocab.cuts(), docs.sparkSession.sparkContext.broadcast(vocab)
 
     def pack(batches):
-        how = pa.ipc.IpcWriteOptions(compression="zstd")
+        how = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
         for b in batches:
             where = b.column(0).to_numpy()
             part = pa.RecordBatch.from_arrays(b.columns[1:], names=b.schema.names[1:])
             order = np.argsort(where, kind="stable")
-            edges = np.flatnonzero(np.diff(where[order], prepend=-1))
+            # runs of one block, and in them of about PART_BYTES, as each part is cut at once
+            size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0).take(pa.array(order))))
+            cut = (np.diff(where[order], prepend=-1) != 0) | (np.diff(size // PART_BYTES, prepend=-1) != 0)
             out_block, out_blob = [], []
-            for rows in np.split(order, edges[1:]) if len(order) else []:
+            for rows in np.split(order, np.flatnonzero(cut)[1:]) if len(order) else []:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema, options=how) as w:
                     w.write_batch(part.take(pa.array(rows)))
@@ -301,71 +470,37 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: tuple[str, ...] = ("doc_id"
                 out_blob.append(sink.getvalue().to_pybytes())
             yield pa.record_batch([pa.array(out_block, pa.int32()), pa.array(out_blob, pa.binary())], ["block", "blob"])
 
-    def cut(texts: pa.ChunkedArray) -> list[list[str]]:
-        find, marked = re.compile(pattern).findall, shared.value.marked
-        return [find(marked(t)) if t else [] for t in texts.to_pylist()]
-
     def distinct(table: pa.Table) -> pa.Table:
-        found: set[str] = set()
-        for blob in table.column("blob"):
-            for units in cut(_unpacked([blob]).column("text")):
-                found.update(units)
-        short = short_units(found)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(short), pa.int32()),
-                         "nth": pa.array(range(len(short)), pa.int32()), "unit": pa.array(short, pa.string())})
+        return block_table(table, cuts, shared.value.prefix)
 
     def assemble(packed: pa.Table, coded: pa.Table) -> pa.Table:
-        docs_of = _unpacked(packed.column("blob")).combine_chunks()
-        texts = docs_of.column("text")
-        units = cut(texts)
-        found = {u for row in units for u in row}
-        order = np.argsort(np.asarray(coded.column("nth")), kind="stable")
-        ids = coded.column("ids").combine_chunks().take(pa.array(order)).to_pylist()
-        by_unit = dict(zip(short_units(found), ids, strict=True))
-        for u in found:
-            if len(u) > MASK_CHARS:
-                by_unit[u] = np.array(shared.value.fold(u), np.int32).tobytes()
-        joined = [b"".join(map(by_unit.__getitem__, row)) for row in units]
-        width = np.cumsum([0] + [len(x) // 4 for x in joined]).astype(np.int64)
-        values = pa.array(np.frombuffer(b"".join(joined), np.int32))
-        missing = pa.array([not t.is_valid for t in texts], pa.bool_())
-        lists = pa.LargeListArray.from_arrays(width, values).cast(pa.list_(pa.int32()))
-        lists = pc.if_else(missing, pa.scalar(None, pa.list_(pa.int32())), lists)
-        return docs_of.append_column("ids", lists)
+        return assembled(packed, coded, shared.value, cuts, round_trip)
 
     key = F.pmod(F.xxhash64("text", *[f"k_{c}" for c in keep]), F.lit(blocks)).cast("int").alias("block")
     packed = src.select(key, "*").mapInArrow(pack, "block int, blob binary")
-    pairs = packed.groupBy("block").applyInArrow(distinct, "block int, nth int, unit string").repartition("unit")
-    coded = encode_units(pairs.select("unit").distinct(), vocab)
-    back = pairs.join(coded, "unit").select("block", "nth", "ids")
-
-    def slim(batches):
-        for b in batches:
-            ids = b.column(2)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(
-                [np.asarray(x.values, np.int32).tobytes() for x in ids], pa.binary())], ["block", "nth", "ids"])
-
-    back = back.mapInArrow(slim, "block int, nth int, ids binary")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
-    out = packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, f"{fields}, ids array<int>")
-    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], F.col("text").alias(text_col), "ids")
+    # both sides of the join read one exchange: it has the same columns and filter
+    # for either, as the first place of a unit is part of the join condition
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = packed.groupBy("block").applyInArrow(distinct, "place bigint, unit string") \
+        .filter(F.col("place").isNotNull() & F.col("unit").isNotNull()).repartition(tasks, "unit")
+    small = "smallint" if len(vocab.pieces) <= 1 << 15 else "int"
+    coded = encode_units(places.groupBy("unit").agg(F.min("place").alias("first")), vocab)
+    back = places.join(coded.withColumnRenamed("unit", "of"), (F.col("unit") == F.col("of")) & (F.col("first") <= F.col("place"))) \
+        .select(F.shiftright("place", 32).cast("int").alias("block"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("nth"),
+                F.col("ids").cast(f"array<{small}>").alias("ids"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:]]
+    out = packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
+        assemble, ", ".join([*fields, "ids array<int>", *["round_trip boolean"] * round_trip]))
+    return out.select(*[F.col(f"`k_{c}`").alias(c) for c in keep], "ids", *["round_trip"] * round_trip)
 
 
 def decode(ids: Column, vocab: Vocabulary, spark) -> Column:
-    """Text of an array of ids: pieces and byte pieces as bytes, marks as spaces."""
-    table = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() if t == NORMAL else b""
-             for p, _, t in vocab.pieces]
-    shared, skip = spark.sparkContext.broadcast(table), int(vocab.prefix)
-
-    @F.pandas_udf("string")
-    def text(column: pd.Series) -> pd.Series:
-        get = shared.value.__getitem__
-
-        def one(row):
-            if row is None:
-                return None
-            raw = b"".join(map(get, row.tolist()))
-            return (raw[1:] if skip and raw[:1] == b" " else raw).decode("utf-8", "replace")
-        return column.map(one, na_action=None).astype("object")
+    """Text of an array of ids; null for null."""
+    shared = spark.sparkContext.broadcast((byte_table(vocab), vocab.prefix))
+
+    @F.arrow_udf("string")
+    def text(column: pa.Array) -> pa.Array:
+        table, prefix = shared.value
+        return pa.array([None if row is None else text_of(row, table, prefix) for row in column.to_pylist()], pa.string())
 
     return text(ids)
