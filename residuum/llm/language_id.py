@@ -12,8 +12,8 @@ of every text is parsed.
 
 Learning reads at most ``SAMPLE_ROWS`` labelled texts of each of the ``MAX_LANGS``
 most frequent languages (drawn by their hash), ``SAMPLE_CHARS`` characters from the
-middle of each, and at most ``MAX_CHARS`` characters over all languages; that bounds the automata, which
-are broadcast, at about 30 bytes * alphabet * MAX_CHARS.
+middle of each, and at most ``MAX_CHARS`` characters over all languages; that bounds
+the automata, which are broadcast, at about 8 bytes * alphabet * MAX_CHARS.
 
 A null text, or one without letters, gets ``und`` and score 0; so does every text
 if nothing could be learned. Ties go to the first language by name. The score is
