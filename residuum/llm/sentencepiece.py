@@ -29,6 +29,7 @@ documents are kept as they are; other columns are not read unless asked for.
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import math
 import struct
@@ -43,6 +44,7 @@ from pyspark.sql import functions as F
 MARK = "▁"             # stands for a space
 BLOCK_BYTES = 32 << 20
 PART_BYTES = 1 << 20   # of text that is packed together
+LATTICE_TASKS = 5      # for each block, so that a task gathers the edges of few units
 MASK_CHARS = 60
 UNIGRAM, BPE = 1, 2         # fixed values of the model file: model types
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6  # and piece types
@@ -343,6 +345,14 @@ def decodes_wrong(ids_of: "Ragged", units: pa.Array, table: list[bytes]) -> np.n
     return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker stays idle during the lattice."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def units_of(blob: pa.BinaryScalar, cuts, prefix: bool) -> pa.ListArray:
     return cut_units(_unpacked(blob).column("text").combine_chunks(), cuts, prefix)
 
@@ -397,7 +407,7 @@ def block_table(packed: pa.Table, cuts, prefix: bool) -> pa.Table:
     """``place, unit``: the distinct units of a block that go through the lattice."""
     short, _ = block_units([units_of(blob, cuts, prefix).flatten().unique() for blob in packed.column("blob")])
     block = packed.column("block")[0].as_py()
-    pa.default_memory_pool().release_unused()
+    give_back()
     return pa.table({"place": pa.array(np.arange(len(short), dtype=np.int64) + (block << 32)), "unit": short})
 
 
@@ -439,7 +449,7 @@ def assembled(packed: pa.Table, coded: pa.Table, vocab: Vocabulary, cuts, round_
         if round_trip:  # a text is its units end to end
             done = done.append_column("round_trip", pa.array(totals(wrong[units], size) == 0))
         out.append(done)
-    pa.default_memory_pool().release_unused()
+    give_back()
     return pa.concat_tables(out)
 
 
@@ -480,7 +490,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: tuple[str, ...] = ("doc_id"
     packed = src.select(key, "*").mapInArrow(pack, "block int, blob binary")
     # both sides of the join read one exchange: it has the same columns and filter
     # for either, as the first place of a unit is part of the join condition
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), LATTICE_TASKS * blocks)
     places = packed.groupBy("block").applyInArrow(distinct, "place bigint, unit string") \
         .filter(F.col("place").isNotNull() & F.col("unit").isNotNull()).repartition(tasks, "unit")
     small = "smallint" if len(vocab.pieces) <= 1 << 15 else "int"
