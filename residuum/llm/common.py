@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,3 +53,11 @@ def slices(column: pa.LargeBinaryArray, limit: int = SLICE_BYTES):
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
         yield lo, data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
         lo = hi
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers stay idle between their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residuum.llm.common import as_binary, slices
+from residuum.llm.common import as_binary, give_back, slices
 from residuum.llm.wordhash import NOT_ALNUM, mix, row_bounds, words
 
 MASKS = ("1101100110101", "1110010100111", "1010110011011", "1111111000000")
@@ -154,6 +154,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                         [b.column(0).take(pa.array([first + r for r in cols[0]], pa.int64())),
                          pa.array(cols[1], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[2:]]],
                         ["id", "item_id", "doc_token", "item_token", "n_tokens", "n_equal"])
+                give_back()
         part = src.mapInArrow(run, "id bigint, item_id bigint, doc_token int, item_token int, n_tokens int, n_equal int")
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("id", id_col)
@@ -171,6 +172,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
                 for first, data, off in slices(as_binary(b.column(b.num_columns - 1))):
                     for r, *_ in shared.value.overlaps(data, off):
                         keep[first + r] = False
+                give_back()
                 yield pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1])).filter(pa.array(keep))
         docs = docs.select("*", F.lower(text_col).alias(judged)).mapInArrow(run, docs.schema)
     return docs

@@ -31,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residuum.llm.common import as_binary, slices
+from residuum.llm.common import as_binary, give_back, slices
 
 WINDOW = 256
 SAMPLE_ROWS = 160
 SAMPLE_CHARS = 160
 MAX_CHARS = 1_000_000
 MAX_LANGS = 256   # the most frequent ones are learned
-LANES = 8192
+LANES = 4096
+TEXT_BYTES = 1 << 20  # of text turned into codes at once
 UNKNOWN = "und"
 SPACE, OTHER = 0, 1  # codes: word break, letter that no sample holds; then the letters
 
@@ -135,7 +136,7 @@ class Model:
         langs, scores = [UNKNOWN] * len(column), [0.0] * len(column)
         if not self.langs:
             return langs, scores
-        for first, data, off in slices(column):
+        for first, data, off in slices(column, TEXT_BYTES):
             codes, start = self._codes(data, off)
             size = np.diff(start)
             some = np.flatnonzero(size)
@@ -224,6 +225,7 @@ def identify(docs: DataFrame, samples: dict[str, str], keep: tuple[str, ...] = (
         model = shared.value
         for b in batches:
             lang, score = model.judge(b.column(0))
+            give_back()
             yield pa.record_batch([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                                   [*b.schema.names[1:], "lang_pred", "score"])
 
@@ -244,6 +246,7 @@ def recognised(docs: DataFrame, samples: dict[str, str], text_col: str = "text")
                 keep = [k != UNKNOWN for k in model.judge(b.column(at))[0]]
             else:
                 keep = [bool(letters(t)) for t in b.column(at).to_pylist()]
+            give_back()
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

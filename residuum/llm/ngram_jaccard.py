@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from residuum.llm.common import as_binary, slices
+from residuum.llm.common import as_binary, give_back, slices
 from residuum.llm.components import components
 from residuum.llm.wordhash import Grams, mix, row_bounds, words
 
@@ -110,6 +110,7 @@ def _signatures(n: int, bands: int, rows: int):
                      pa.array(np.diff(np.append(start, len(row))), pa.int32()),
                      pa.ListArray.from_arrays(np.arange(len(have) + 1, dtype=np.int32) * bands, _signed(band.ravel()))],
                     ["id", "key", "n", "bands"])
+            give_back()
     return run
 
 
@@ -125,6 +126,7 @@ def _sets(n: int):
                 grams = pa.ListArray.from_arrays(bounds, _signed(g))
                 right = pa.array([x == y.as_py() for x, y in zip(set_keys(g, start), part.column("key"))], pa.bool_())
                 yield pa.record_batch([*part.columns[2:], grams], [*b.schema.names[2:], "grams"]).filter(right)
+            give_back()
     return run
 
 

@@ -29,7 +29,6 @@ documents are kept as they are; other columns are not read unless asked for.
 
 from __future__ import annotations
 
-import ctypes
 import heapq
 import math
 import struct
@@ -41,6 +40,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from residuum.llm.common import give_back
+
 MARK = "▁"             # stands for a space
 BLOCK_BYTES = 32 << 20
 PART_BYTES = 1 << 20   # of text that is packed together
@@ -345,14 +346,6 @@ def decodes_wrong(ids_of: "Ragged", units: pa.Array, table: list[bytes]) -> np.n
     return out
 
 
-def give_back() -> None:
-    """Return freed memory to the system: a worker stays idle during the lattice."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim:
-        trim(0)
-
-
 def units_of(blob: pa.BinaryScalar, cuts, prefix: bool) -> pa.ListArray:
     return cut_units(_unpacked(blob).column("text").combine_chunks(), cuts, prefix)
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from residuum.llm.common import as_binary, slices
+from residuum.llm.common import as_binary, give_back, slices
 from residuum.llm.wordhash import Grams, mix, row_bounds, words
 
 WINDOW_WORDS = 50
@@ -100,6 +100,7 @@ def _classes(window: int):
                 last = np.append(start[1:], len(d))[:len(start)] - 1
                 yield pa.record_batch([_signed(anchor[start]), _signed(whole[start]), pa.array(d[start], pa.int64()),
                                        pa.array(d[last], pa.int64())], ["a", "r", "lo_id", "hi_id"])
+            give_back()
     return run
 
 
@@ -119,6 +120,7 @@ def _occurrences(window: int):
                     [_signed(anchor[ok]), _signed(whole[ok]), pa.array(ids[row[ok]], pa.int64()),
                      pa.array(keys[row[ok]], pa.int64()), pa.array(at[ok], pa.int32()), pa.array(count[ok], pa.int32())],
                     ["a", "r", "id", "th", "at", "n"])
+            give_back()
     return run
 
 
@@ -142,6 +144,7 @@ def _windows(window: int):
                 yield pa.record_batch([pa.array(anchor, pa.int64()), _signed(grams.of(s, s + window)),
                                        b.column(0).take(pick), b.column(1).take(pick), pa.array(at, pa.int32())],
                                       ["a", "w", "id", "th", "at"])
+            give_back()
     return run
 
 
