@@ -176,10 +176,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, id_col: str = "d
                    keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``n_words``, ``n_removed``, ``kept`` (the text's kept
     words joined by one space) and its ``kept_sha256`` for each row."""
+    others = [c for c in keep if c != text_col]  # the text itself moves once
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"),
-                       F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"k_{c}") for c in keep])
+                       F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"k_{c}") for c in others])
     spans = repeats(rows.select("id", "th", "text"), window)
-    joined = rows.join(spans, ["id", "th"], "left").select("text", "spans", *[f"k_{c}" for c in keep])
+    joined = rows.join(spans, ["id", "th"], "left").select("text", "spans", *[f"k_{c}" for c in others])
 
     def run(batches):
         for b in batches:
@@ -201,8 +202,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, id_col: str = "d
                     n_words.append(len(ws))
                 n_removed.append(gone)
                 kept.append(b" ".join(ws))
+            own = dict(zip(others, b.columns[2:])) | {text_col: b.column(0)}
             yield pa.record_batch(
-                [*b.columns[2:], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                [*[own[c] for c in keep], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])],
                 [*keep, "n_words", "n_removed", "kept", "kept_sha256"])
 
