@@ -4,9 +4,10 @@ A seed is a fixed mask over ``SPAN`` consecutive tokens: some positions count, t
 others are ignored, so a seed still hits when an ignored token was substituted.
 The seed hashes of all positions of all benchmark items are joined with those of
 all positions of all documents. Around each hit the two texts are aligned without
-gaps and compared token by token; the stretch of the alignment that scores best
-(+1 for an equal token, ``-MISMATCH`` for a substituted one) is an overlap if it
-has at least ``MIN_TOKENS`` tokens, of which a share of ``IDENTITY`` is equal.
+gaps and compared token by token; a stretch of the alignment is an overlap if it has
+at least ``MIN_TOKENS`` tokens, of which a share of ``IDENTITY`` is equal. Of an
+alignment the longest such stretch is reported, less unequal tokens at its ends as far
+as ``MIN_TOKENS`` remain.
 
 Tokens are runs of ASCII letters, digits and non-ASCII characters of the
 lower-cased text. Nothing of a document is sent through a shuffle: the benchmark's
@@ -37,7 +38,7 @@ MASKS = ("1101100110101", "1110010100111", "1010110011011", "1111111000000")
 SPAN = 13
 MIN_TOKENS = 13
 IDENTITY = 0.75
-MISMATCH = 1
+PENALTY = int(IDENTITY / (1 - IDENTITY))  # equal tokens that make up for an unequal one
 BLOCK_TOKENS = 500_000
 FILTER_BITS = 22
 
@@ -111,8 +112,11 @@ class Seeds:
             hi = min(self.bounds[i + 1], bounds[r + 1] - shift)
             equal = self.h[lo:hi] == h[lo + shift:hi + shift]
             a, z = best_stretch(equal)
-            same = int(equal[a:z].sum())
-            if z - a >= MIN_TOKENS and same >= IDENTITY * (z - a):
+            if z - a >= MIN_TOKENS:
+                inside = a + np.flatnonzero(equal[a:z])
+                same = len(inside)
+                z = max(int(inside[-1]) + 1, a + MIN_TOKENS)
+                a = min(int(inside[0]), z - MIN_TOKENS)
                 got = (-same, int(lo + a + shift - bounds[r]), int(lo + a - self.bounds[i]), int(z - a))
                 if (r, i) not in best or got < best[r, i]:
                     best[r, i] = got
@@ -120,11 +124,13 @@ class Seeds:
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """The stretch of greatest score; the first such, and the shortest."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    return int(np.flatnonzero(total[:end + 1] == low[end])[-1]) if end else 0, end
+    """The longest stretch of which a share of ``IDENTITY`` is equal; the first such."""
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -PENALTY))])
+    # the greatest total from each place on, last place first: the farthest end for each start
+    rest = np.maximum.accumulate(total[::-1])
+    end = len(equal) - np.searchsorted(rest, total, side="left")
+    start = int(np.argmax(end - np.arange(len(total))))
+    return (start, int(end[start])) if end[start] > start else (0, 0)
 
 
 def seed_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):

@@ -180,6 +180,37 @@ def test_best_stretch():
     assert decontaminate.best_stretch(np.zeros(3, bool)) == (0, 0)
 
 
+def found_overlaps(items, texts):
+    """Overlaps without Spark: ``(text, item, document token, item token, tokens, equal)``."""
+    import pyarrow as pa
+    from residuum.llm.common import as_binary, slices
+    seeds = decontaminate.Seeds(list(enumerate(items)))
+    return [(first + r[0], *r[1:]) for first, data, off in slices(as_binary(pa.array(texts))) for r in seeds.overlaps(data, off)]
+
+
+@pytest.mark.parametrize("parts", [(13, 8, 9), (13, 12, 13), (20, 18, 20), (13, 8, 0), (20, 18, 0)])
+def test_decontamination_with_a_middle_part_replaced(spark, parts):
+    head, changed, tail = parts
+    item = [f"w{i}" for i in range(sum(parts))]
+    copy = item[:head] + [f"x{i}" for i in range(changed)] + item[head + changed:]
+    text = " ".join(f"y{i}" for i in range(40)) + " " + " ".join(copy) + " z" * 40
+    (row, item_id, doc_token, item_token, n, equal), = found_overlaps([" ".join(item)], [text])
+    assert (row, item_id, doc_token - item_token) == (0, 0, 40) and n >= 13 and equal >= max(head, 0.75 * n)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert decontaminate.clean(documents(spark, [text, "y " * 60]), bench).select("doc_id").collect() == [(1,)]
+
+
+def test_best_stretch_is_the_longest_allowed():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    for _ in range(500):
+        bits = rng.random(rng.integers(0, 40)) < rng.choice([0.5, 0.7, 0.8])
+        fits = [(z - a, -a) for a in range(len(bits)) for z in range(a + 1, len(bits) + 1)
+                if 4 * bits[a:z].sum() >= 3 * (z - a)]
+        n, a = max(fits, default=(0, 0))
+        assert decontaminate.best_stretch(bits) == (-a, n - a)
+
+
 # ----------------------------------------------------------------- pipeline
 
 
