@@ -1,7 +1,10 @@
 """Benchmark decontamination with spaced seeds.
 
-A seed is a fixed mask over ``SPAN`` consecutive tokens: some positions count, the
-others are ignored, so a seed still hits when an ignored token was substituted.
+A seed is a fixed mask over consecutive tokens: some positions count, the others are
+ignored, so a seed still hits when an ignored token was substituted. No overlap (see
+below) escapes ``MASKS``: halving an overlap leaves a half that is one, down to 25
+tokens, so each holds 13 tokens with 3 unequal ones at most, or 16 with 4, 20 with 5 or
+24 with 6, and each such pattern has a place where a mask fits (tested for all of them).
 The seed hashes of all positions of all benchmark items are joined with those of
 all positions of all documents. Around each hit the two texts are aligned without
 gaps and compared token by token; a stretch of the alignment is an overlap if it has
@@ -34,8 +37,7 @@ from pyspark.sql import functions as F
 from residuum.llm.common import as_binary, give_back, slices
 from residuum.llm.wordhash import NOT_ALNUM, mix, row_bounds, words
 
-MASKS = ("1101100110101", "1110010100111", "1010110011011", "1111111000000")
-SPAN = 13
+MASKS = ("110111", "1101000011", "1100000100011")  # only for these MIN_TOKENS and IDENTITY
 MIN_TOKENS = 13
 IDENTITY = 0.75
 PENALTY = int(IDENTITY / (1 - IDENTITY))  # equal tokens that make up for an unequal one
@@ -49,9 +51,15 @@ def tokens(data: np.ndarray, off: np.ndarray):
     return words(data, off, NOT_ALNUM)
 
 
+def fits(row: np.ndarray, mask: int) -> np.ndarray:
+    """Whether the mask's span lies in one text, at each token where it fits into the slice."""
+    span = len(MASKS[mask])
+    return row[:max(0, len(row) - span + 1)] == row[span - 1:]
+
+
 def seeds(h: np.ndarray, mask: int) -> np.ndarray:
     """Seed hash at each token where the mask's span fits into the slice."""
-    n = len(h) - SPAN + 1
+    n = len(h) - len(MASKS[mask]) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     s = np.full(n, mask + 1, np.uint64)
@@ -73,10 +81,9 @@ class Seeds:
             hashes.append(h)
         self.row, self.h = np.concatenate(rows), np.concatenate(hashes)
         self.bounds = row_bounds(self.row, len(items))
-        at = np.flatnonzero(self.row[:len(self.row) - SPAN + 1] == self.row[SPAN - 1:]) \
-            if len(self.row) >= SPAN else np.zeros(0, np.int64)
         self.key, self.at, self.filter = [], [], []
         for m in range(len(MASKS)):
+            at = np.flatnonzero(fits(self.row, m))
             s = seeds(self.h, m)[at]
             order = np.argsort(s, kind="stable")
             self.key.append(s[order])
@@ -87,14 +94,10 @@ class Seeds:
 
     def hits(self, row: np.ndarray, h: np.ndarray) -> set[tuple[int, int, int]]:
         """``(text, item, document token - item token)`` of every equal seed."""
-        n = len(h) - SPAN + 1
         found: set[tuple[int, int, int]] = set()
-        if n <= 0 or not len(self.key[0]):
-            return found
-        inside = row[:n] == row[SPAN - 1:]
         for m in range(len(MASKS)):
             s = seeds(h, m)
-            pos = np.flatnonzero(self.filter[m][s >> np.uint64(64 - FILTER_BITS)] & inside)
+            pos = np.flatnonzero(self.filter[m][s >> np.uint64(64 - FILTER_BITS)] & fits(row, m))
             lo = np.searchsorted(self.key[m], s[pos], side="left")
             hi = np.searchsorted(self.key[m], s[pos], side="right")
             for p, a, b in zip(pos[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):

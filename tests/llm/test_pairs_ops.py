@@ -211,6 +211,28 @@ def test_best_stretch_is_the_longest_allowed():
         assert decontaminate.best_stretch(bits) == (-a, n - a)
 
 
+@pytest.mark.parametrize("n, unequal", [(13, 3), (16, 4), (20, 5), (24, 6)])
+def test_a_mask_fits_every_pattern(n, unequal):
+    from itertools import combinations
+    spots = [sum(1 << (k + i) for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for k in range(n - len(m) + 1)]
+    gone = (sum(1 << i for i in c) for c in combinations(range(n), unequal))
+    assert all(any(not s & g for s in spots) for g in gone)
+
+
+def test_decontamination_finds_every_substituted_copy():
+    rng = random.Random(12)
+    items, texts = [], []
+    for n in (13, 14, 15, 16, 17, 18, 20, 26, 40, 57, 400):
+        for gone in [range(k, n, 4) for k in range(4) if n < 40 or not k] + [rng.sample(range(n), share) for _ in range(6)
+                                                                          for share in (n // 5, n // 4)]:
+            if len(gone) * 4 > n:
+                continue
+            item = [f"i{len(items)}w{i}" for i in range(n)]
+            items.append(" ".join(item))
+            texts.append("a " * 20 + " ".join("x" if i in gone else w for i, w in enumerate(item)) + " b" * 20)
+    assert [r[:2] for r in found_overlaps(items, texts)] == [(i, i) for i in range(len(items))]
+
+
 # ----------------------------------------------------------------- pipeline
 
 
