@@ -25,6 +25,12 @@ navbar navigation breadcrumb cookie consent gdpr notice popup modal overlay news
 login share sharing social comment disqus respond reply related recommended recommendation widget footer masthead
 topbar search copyright pagination pager tagcloud toc skip hidden""".split())
 ARTICLE_WORDS = frozenset("article content post story entry main body text".split())
+# Furniture words of parts that hold articles of their own: readers' comments and teasers.
+COMMENT_WORDS = frozenset("comment disqus respond reply related recommended".split())
+# In a name, these make what follows a feature of the element ("has-sidebar", "overflow-hidden").
+QUALIFIERS = frozenset("has have with without no non not overflow backface".split())
+# A name that ends in one of these and holds an article word tells what is wrapped ("content-sidebar-wrap").
+WRAP_WORDS = frozenset("wrap wrapper container layout grid".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -47,14 +53,17 @@ class Block:
     article: bool
     heading: bool
     item: bool
+    cleared: bool  # in an article element that lies in a wrapper with a furniture name
 
 
 @dataclass
 class _Open:
-    tag: str
-    furniture: bool
-    article: bool
-    silent: bool
+    tag: str = ""
+    furniture: bool = False
+    named: bool = False  # furniture by class and id names alone
+    cleared: bool = False
+    article: bool = False
+    silent: bool = False
 
 
 @dataclass
@@ -76,10 +85,10 @@ class _Reader:
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            top = self.stack[-1] if self.stack else _Open("", False, False, False)
+            top = self.stack[-1] if self.stack else _Open()
             tags = {o.tag for o in self.stack[-3:]}
-            self.blocks.append(Block(text, len(text.split()), self.linked, top.furniture, top.article,
-                                     bool(tags & HEADINGS), bool(tags & {"li", "dt", "dd", "td", "th"})))
+            self.blocks.append(Block(text, len(text.split()), self.linked, top.furniture or top.named, top.article,
+                                     bool(tags & HEADINGS), bool(tags & {"li", "dt", "dd", "td", "th"}), top.cleared))
         self.parts, self.linked = [], 0
 
     def start(self, tag: str, attributes: str) -> None:
@@ -96,12 +105,14 @@ class _Reader:
             return
         if tag not in BLOCK_TAGS and tag not in SILENT_TAGS and "class" not in attributes and "role" not in attributes:
             return
-        top = self.stack[-1] if self.stack else _Open("", False, False, False)
-        furniture, article = named(tag, attributes)
+        top = self.stack[-1] if self.stack else _Open()
+        furniture, by_name, article, article_element = marks(tag, attributes)
         if tag == "header" and not top.article:
             furniture = True
-        self.stack.append(_Open(tag, top.furniture or furniture, top.article or article or tag in ARTICLE_TAGS,
-                                top.silent or tag in SILENT_TAGS))
+        by_name |= top.named
+        cleared = by_name and article_element
+        self.stack.append(_Open(tag, top.furniture or furniture, by_name and not cleared, top.cleared or cleared,
+                                top.article or article, top.silent or tag in SILENT_TAGS))
 
     def _imply_end(self, tag: str) -> None:
         """A new paragraph or item ends the one still open, and links with it."""
@@ -127,27 +138,47 @@ class _Reader:
                 return
 
 
-def named(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element's tag, names and role mark furniture, and an article."""
-    furniture, article = tag in FURNITURE_TAGS, False
+def marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is furniture by its tag, role or a name of ``COMMENT_WORDS``,
+    furniture by other names, an article by any of these, and an article element."""
+    furniture, by_name, article, element = tag in FURNITURE_TAGS, False, False, tag in ARTICLE_TAGS
     if attributes and not attributes.isspace():
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "role":
                 furniture |= value.strip().lower() in FURNITURE_ROLES
-                article |= value.strip().lower() in ("main", "article")
+                element |= value.strip().lower() in ("main", "article")
             elif key in ("hidden", "aria-hidden"):
                 furniture |= value.lower() != "false"
             elif tag not in ("html", "body"):
-                for w in NAME_WORDS.findall(value):
-                    w = w.lower()
-                    furniture |= w in FURNITURE_WORDS or (w.endswith("s") and w[:-1] in FURNITURE_WORDS)
-                    article |= w in ARTICLE_WORDS
-    return furniture, article
+                for name in value.split():
+                    words = [w.lower() for w in NAME_WORDS.findall(name)]
+                    article |= not ARTICLE_WORDS.isdisjoint(words)
+                    found = furniture_words(words)
+                    furniture |= not COMMENT_WORDS.isdisjoint(found)
+                    by_name |= bool(found)
+    return furniture, by_name, article or element, element
+
+
+def furniture_words(words: list[str]) -> list[str]:
+    """The words of one name, in the singular, that mark its element as furniture."""
+    found = []
+    for w in words:
+        if w in QUALIFIERS:
+            break
+        w = w[:-1] if w.endswith("s") and w[:-1] in FURNITURE_WORDS else w
+        if w in FURNITURE_WORDS:
+            found.append(w)
+    if found and words[-1] in WRAP_WORDS and not ARTICLE_WORDS.isdisjoint(words):
+        found = [w for w in found if w in COMMENT_WORDS]
+    return found
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order; markup, scripts, styles and comments are gone."""
+    """The text blocks of a page in order; markup, scripts, styles and comments are gone.
+
+    Articles in wrappers with furniture names are the page's text if they hold more
+    words than its other articles, and teasers or the like if not."""
     r = _Reader()
     at = 0
     for m in TOKEN.finditer(page):
@@ -163,6 +194,11 @@ def blocks(page: str) -> list[Block]:
                 r.start(tag, m[4])
     r.text(page[at:])
     r.end_block()
+    inside = [b for b in r.blocks if b.article and not b.furniture]
+    cleared = [b for b in inside if b.cleared]
+    if cleared and 2 * sum(b.words for b in cleared) <= sum(b.words for b in inside):
+        for b in cleared:
+            b.furniture = True
     return r.blocks
 
 

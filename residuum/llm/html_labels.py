@@ -79,6 +79,22 @@ LAYOUTS = (
 + <p>{3}</p><p>{2}</p>
  </main>
 - <div>{2}</div><nav>{2@}</nav></body>""",
+    """
+ <body><div class="overflow-hidden"><div class="content-sidebar-wrap">
+- <div class="menu">{1@} {2@}</div><div class="sidebar"><p>{24}</p></div>
++ <h1>{5}</h1><p>{50}</p><p>{3}</p><p>{36}</p>
+- <div class="share">{3@}</div></div></div>
+- <footer>{9}</footer></body>""",
+    """
+ <body><div class="sidebar-right"><main>
++ <h1>{4}</h1><p>{65}</p><p>{2}</p><p>{33}</p>
+ </main>
+- <div class="widget"><p>{21}</p></div><div class="comments"><article><p>{26}</p></article></div></div></body>""",
+    """
+ <body><article>
++ <h1>{4}</h1><p>{70}</p>
+ </article>
+- <div class="sidebar"><article><p>{28}</p></article></div></body>""",
 )
 
 

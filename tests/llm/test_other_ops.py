@@ -167,6 +167,34 @@ def test_main_text():
                    "Short.", "Another a < b paragraph with a link inside."]
 
 
+ARTICLE = "<h1>A title</h1><p>" + "first " * 40 + "</p><p>Short.</p><p>" + "second " * 30 + "</p>"
+ARTICLE_TEXTS = ["A title", ("first " * 40).strip(), "Short.", ("second " * 30).strip()]
+
+
+def main_texts(page):
+    return [b.text for b in html_extract.main_blocks(page, html_extract.trained())]
+
+
+@pytest.mark.parametrize("names", ["overflow-hidden", "content-sidebar-wrap", "has-sidebar", "has-left-sidebar", "page-with-toc",
+                                   "no-comments", "md:overflow-x-hidden flex"])
+def test_plain_names_that_mention_furniture(names):
+    for inner in (ARTICLE, f"<div>{ARTICLE}</div>", f"<article>{ARTICLE}</article>", f"<div role=main>{ARTICLE}</div>"):
+        page = f"<body><header>Site name</header><div class='{names}'>{inner}<div class=ad>Buy {'now ' * 30}</div></div>" \
+               "<footer>Rights</footer></body>"
+        assert main_texts(page) == ARTICLE_TEXTS
+
+
+@pytest.mark.parametrize("names", ["sidebar-right", "menu-open", "nav", "widget"])
+def test_articles_in_wrappers_with_furniture_names(names):
+    teaser = f"<div class='sidebar'><article><p>{'teaser ' * 25}</p></article></div>"
+    comments = f"<div id='comments'><article><p>{'comment ' * 99}</p></article></div>"
+    for inner in (f"<article>{ARTICLE}</article>", f"<main>{ARTICLE}</main>", f"<div role='main'>{ARTICLE}</div>"):
+        page = f"<body><div class='{names}'><p>{'aside ' * 20}</p>{inner}{comments}</div></body>"
+        assert main_texts(page) == ARTICLE_TEXTS
+    assert main_texts(f"<body><article class='post tag-social'>{ARTICLE}</article></body>") == ARTICLE_TEXTS
+    assert main_texts(f"<body><article>{ARTICLE}</article>{teaser}{comments}</body>") == ARTICLE_TEXTS
+
+
 def test_html_query(spark, tmp_path):
     pages = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p"), (5, "u", "<script>x"), (1, "u", PAGE),
              (6, "u", "<article>" + "<p>" + "word " * 200_000 + "</p></article>"), (None, None, "<!-- open")]
