@@ -15,6 +15,8 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 # Elements whose text is never content.
 SILENT_TAGS = frozenset("head title select option button textarea noscript template svg math iframe object canvas audio "
                         "video datalist map".split())
+# The start tags that leave a head open whose end tag was left out.
+HEAD_TAGS = frozenset("title meta link base basefont bgsound noframes style script noscript template".split())
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu "
@@ -76,6 +78,8 @@ class _Reader:
     in_link: int = 0
 
     def text(self, raw: str) -> None:
+        if self.in_head() and not raw.isspace():
+            self.end("head")
         if raw and not (self.stack and self.stack[-1].silent):
             raw = html.unescape(raw) if "&" in raw else raw
             self.parts.append(raw)
@@ -91,7 +95,12 @@ class _Reader:
                                      bool(tags & HEADINGS), bool(tags & {"li", "dt", "dd", "td", "th"}), top.cleared))
         self.parts, self.linked = [], 0
 
+    def in_head(self) -> bool:
+        return bool(self.stack) and self.stack[-1].tag == "head"
+
     def start(self, tag: str, attributes: str) -> None:
+        if self.in_head() and tag not in HEAD_TAGS:
+            self.end("head")
         if tag == "br" or tag == "wbr":
             self.parts.append(" ")
             return

@@ -195,6 +195,16 @@ def test_articles_in_wrappers_with_furniture_names(names):
     assert main_texts(f"<body><article>{ARTICLE}</article>{teaser}{comments}</body>") == ARTICLE_TEXTS
 
 
+def test_head_without_an_end_tag():
+    head = "<html><head><meta charset=utf-8>\n<title>T</title><noscript><img src=x><p>No script</p></noscript><style>p{}</style>"
+    for rest in (f"<article>{ARTICLE}</article>", f"</head><article>{ARTICLE}</article>", f"<body><article>{ARTICLE}</article>",
+                 f"<img src=y><article>{ARTICLE}</article>"):
+        assert main_texts(head + rest) == ARTICLE_TEXTS
+    assert main_texts("<head><title>T</title>" + ARTICLE) == ARTICLE_TEXTS
+    assert main_texts("<head><title>T</title>" + "plain " * 40) == [("plain " * 40).strip()]
+    assert main_texts(head) == []
+
+
 def test_html_query(spark, tmp_path):
     pages = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p"), (5, "u", "<script>x"), (1, "u", PAGE),
              (6, "u", "<article>" + "<p>" + "word " * 200_000 + "</p></article>"), (None, None, "<!-- open")]
