@@ -13,7 +13,8 @@ alignment the longest such stretch is reported, less unequal tokens at its ends
 as ``MIN_TOKENS`` remain.
 
 Tokens are runs of ASCII letters, digits and non-ASCII characters of the
-lower-cased text. Nothing of a document is sent through a shuffle: the benchmark's
+lower-cased text; each character of a script without spaces between words (``UNSPACED``)
+is a token of its own. Nothing of a document is sent through a shuffle: the benchmark's
 seeds are the broadcast side of the join. The benchmark is taken in blocks of
 about ``BLOCK_TOKENS`` tokens (items dealt by hash), so what is collected and
 broadcast at a time is bounded however large it is; documents are read once for
@@ -44,11 +45,32 @@ PENALTY = int(IDENTITY / (1 - IDENTITY))  # equal tokens that make up for an une
 BLOCK_TOKENS = 500_000
 FILTER_BITS = 22
 
+# Tibetan, Thai, Lao; Burmese; Khmer; Tai and others of the south-east; radicals; kana and
+# bopomofo; ideographs; Yi; Javanese; Burmese and Tai Viet; ideographs; half-width kana.
+# Ideographs beyond U+FFFF are tokens, too.
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x1AAF), (0x2E80, 0x2FDF),
+            (0x3040, 0x312F), (0x31A0, 0x9FFF), (0xA000, 0xA4CF), (0xA980, 0xA9DF), (0xA9E0, 0xAADF),
+            (0xF900, 0xFAFF), (0xFF66, 0xFF9F))
+_UNSPACED = np.zeros(1 << 16, bool)
+for _first, _last in UNSPACED:
+    _UNSPACED[_first:_last + 1] = True
+
 _OFFSETS = [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS]
 
 
 def tokens(data: np.ndarray, off: np.ndarray):
-    return words(data, off, NOT_ALNUM)
+    return words(data, off, NOT_ALNUM, unspaced(data))
+
+
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Where characters of scripts without spaces start and end in UTF-8 bytes."""
+    three = np.flatnonzero((data & 0xF0) == 0xE0)  # lead bytes of U+0800 to U+FFFF
+    a, b, c = (data[three + i].astype(np.int32) for i in range(3))
+    three = three[_UNSPACED[(a & 0x0F) << 12 | (b & 0x3F) << 6 | c & 0x3F]]
+    four = np.flatnonzero(data >= 0xF0)
+    a, b = (data[four + i].astype(np.int32) for i in range(2))
+    four = four[np.isin((a & 0x07) << 2 | (b & 0x3F) >> 4, (2, 3))]  # planes of ideographs
+    return np.concatenate([three, three + 3, four, four + 4])
 
 
 def fits(row: np.ndarray, mask: int) -> np.ndarray:

@@ -48,8 +48,9 @@ def _sums(values: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = WHITE):
-    """``(row, hash)`` of every word, in order of the texts."""
+def words(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = WHITE, cuts: np.ndarray | None = None):
+    """``(row, hash)`` of every word, in order of the texts. ``cuts``: places where
+    words part without a gap."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -57,6 +58,8 @@ def words(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = WHITE):
     cut = np.zeros(n + 1, bool)  # a text starts here
     cut[off] = True
     cut[0] = cut[n] = True
+    if cuts is not None:
+        cut[cuts] = True
     inside = ~gap
     start, end = inside.copy(), inside.copy()
     start[1:] &= gap[:-1] | cut[1:n]

@@ -233,6 +233,15 @@ def test_decontamination_finds_every_substituted_copy():
     assert [r[:2] for r in found_overlaps(items, texts)] == [(i, i) for i in range(len(items))]
 
 
+@pytest.mark.parametrize("first", [0x4E00, 0x3041, 0x0E01, 0x1780, 0x20000])
+def test_decontamination_in_scripts_without_spaces(first):
+    item = "".join(chr(first + i) for i in range(20))
+    copy = item[:9] + chr(first + 40) + item[10:]
+    texts = ["ab " + chr(first + 41) * 30 + copy + "cd", "ab " + chr(first + 41) * 30 + "cd", "ab" + item + "cd"]
+    (_, *one), two = found_overlaps([item], texts)
+    assert one == [0, 31, 0, 20, 19] and two == (2, 0, 1, 0, 20, 20)
+
+
 # ----------------------------------------------------------------- pipeline
 
 
