@@ -146,8 +146,10 @@ PIECES = "piece_bpe_32k.model"
 def encoded(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """``keep``, the ids of the text, their number, and whether they decode to the text."""
     vocab = sentencepiece.Vocabulary.read(tokenizer_path(PIECES))
-    out = sentencepiece.encode(docs, vocab, keep=keep, round_trip=True)
-    return out.select(*keep, "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), "round_trip")
+    marked = F.coalesce(F.col("text").contains(sentencepiece.MARK), F.lit(False))  # a mark decodes to a space
+    out = sentencepiece.encode(docs.withColumn("_marked", marked), vocab, keep=(*keep, "_marked"), round_trip=True)
+    return out.select(*keep, "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"),
+                      (F.col("round_trip") & ~F.col("_marked")).alias("round_trip"))
 
 
 @query("op3_sentencepiece")

@@ -38,6 +38,16 @@ def test_encoding_equals_the_library(spark, monkeypatch, block):
         assert r.round_trip and r.back == (None if t is None else t.replace("\u2581", " "))
 
 
+def test_round_trip_of_the_query_is_decoding_to_the_text(spark, tmp_path):
+    vocab = sentencepiece.Vocabulary.read(tokenizer_path("piece_bpe_32k.model"))
+    docs = documents(spark, TEXTS + ["\u2581", "a \u2581 b", "plain"])
+    out = query("op3")(spark, table_dir(tmp_path, documents=docs))
+    got = {r.doc_id: r for r in out.withColumn("back", sentencepiece.decode(F.col("ids"), vocab, spark)).collect()}
+    assert len(got) == len(TEXTS) + 3
+    for r in docs.collect():
+        assert got[r.doc_id].round_trip == (got[r.doc_id].back == r.text), repr(r.text)
+
+
 def test_long_units_fold_like_short_ones(spark):
     path = tokenizer_path("piece_bpe_32k.model")
     vocab = sentencepiece.Vocabulary.read(path)
