@@ -21,4 +21,4 @@ def query(key: str, oracle: str | None = None):
 
 def load_all() -> None:
     import corpus_pipeline  # noqa: F401
-    from residuum.llm import conversation_queries, queries  # noqa: F401
+    from residuum.llm import conversation_queries, license_queries, queries  # noqa: F401
