@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from functools import lru_cache
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -127,6 +128,44 @@ def model_encoder(make_predict_fn, dim: int, batch_size: int = 250):
     return lambda c: udf(c)
 
 
+def padded_batches(lengths, budget: int, max_rows: int) -> list[np.ndarray]:
+    """Positions of ``lengths`` in batches, longest first: ``rows * longest <= budget``
+    (a longer item is a batch of its own) and ``rows <= max_rows``."""
+    order = np.argsort(-np.asarray(lengths, dtype=np.int64), kind="stable")
+    out, at = [], 0
+    while at < len(order):
+        rows = max(1, min(max_rows, budget // max(1, int(lengths[order[at]]))))
+        out.append(order[at:at + rows])
+        at += rows
+    return out
+
+
+def budget_encoder(make_predict_fn, dim: int, token_budget: int = 4096, extra: int = 2, max_rows: int = 250):
+    """Plug-in encoder whose batches hold at most ``token_budget`` padded tokens (a
+    sequence's residues and ``extra`` special ones), as an accelerator's memory asks
+    for.  ``make_predict_fn()`` is called once per Python worker and returns
+    ``f(list[str]) -> array[batch, dim]``.  Each Arrow batch is cut by length and put
+    back in row order; null sequences get null vectors and are never encoded."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def _enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict = make_predict_fn()
+        for seqs in batches:
+            out = np.empty(len(seqs), dtype=object)
+            there = np.flatnonzero(seqs.notna().to_numpy())
+            texts = [seqs.iloc[i] for i in there]
+            for rows in padded_batches([len(t) + extra for t in texts], token_budget, max_rows):
+                found = np.asarray(predict([texts[i] for i in rows]), dtype=np.float32)
+                if found.shape != (len(rows), dim):
+                    raise ValueError(f"the encoder gave {found.shape} for {len(rows)} sequences of {dim} values")
+                for i, vector in zip(rows, found):
+                    out[there[i]] = vector
+            yield pd.Series(out)
+
+    udf = _enc.asNondeterministic()  # planned once, as in ``model_encoder``
+    return lambda c: udf(c)
+
+
 def text_profile(text: Column, n: int = N_TEXT_BUCKETS) -> Column:
     """ML2 default encoder: hashed bag of the lower-cased ``\\W+`` words of the
     whole text, L2-normalised; null for a null text.  All words of a row are

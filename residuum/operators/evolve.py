@@ -17,11 +17,14 @@ from residuum.functions.hashing import draw_int, draw_unit, rank_key
 from residuum.functions.residues import aa_array
 from residuum.operators.embed import kmer_profile
 from residuum.session import scratch_path
-from residuum.operators.metrics import population_stats, row_r2
+from residuum.operators.metrics import population_stats, row_cosine, row_r2
 
 # digest prefix below which an event has probability 0.1
 P10 = "1999999a"
 
+# widths of the bands that ``edit_distance`` tries in turn
+BANDS = (8, 32, 128, 512, 2048, 8192)
+
 
 def point_mutate(seq: Column, key: Column, seed, step: int = 50,
                  max_pos: int | None = None) -> Column:
@@ -42,10 +45,14 @@ def point_mutate(seq: Column, key: Column, seed, step: int = 50,
 def edit_distance(a: Column, b: Column, bound: Column | None = None) -> Column:
     """PRJ21: Levenshtein distance.  With ``bound`` (any known upper bound,
     e.g. the number of substituted positions) the computation is banded and
-    still exact."""
-    if bound is None:
-        return F.levenshtein(a, b)
-    return F.call_function("levenshtein", a, b, bound.cast("int"))
+    still exact.  Without one the band is widened (8, 32, 128, ...) until the
+    distance lies in it, so two sequences of length n at distance d cost
+    about n * d steps and not n * n; only distances beyond the widest band
+    take the plain computation."""
+    if bound is not None:
+        return F.call_function("levenshtein", a, b, bound.cast("int"))
+    widened = [F.nullif(F.call_function("levenshtein", a, b, F.lit(w)), F.lit(-1)) for w in BANDS]
+    return F.coalesce(*widened, F.levenshtein(a, b))
 
 
 def compose_sequence(chars: Column) -> Column:
@@ -71,16 +78,53 @@ def class_targets(profiles: DataFrame, group_col: str, vec_col: str = "embedding
                     F.transform("_s", lambda x: x["v"]).alias("target"))
 
 
-def evaluate(pop: DataFrame, targets: DataFrame, encoder=kmer_profile) -> DataFrame:
-    """GEN5: fitness = R^2 between the encoded individual and its
-    candidate's target, prediction passed as truth (the source's argument
-    order)."""
+def evaluate(pop: DataFrame, targets: DataFrame, encoder=kmer_profile, measure: str = "r2") -> DataFrame:
+    """GEN5: fitness of every row of ``pop`` (``candidate_id``, ``seq`` and any other
+    columns) = R^2 between the encoded individual and its candidate's target,
+    prediction passed as truth (the source's argument order), or with
+    ``measure='cosine'`` their cosine."""
+    if measure not in ("r2", "cosine"):
+        raise ValueError(f"unknown measure {measure!r}")
     t = targets.select("candidate_id", "target")
-    j = pop.select("candidate_id", "individual_id", "seq").join(t, "candidate_id")
-    # the encoder (a Python UDF) is its own column; the R^2 lambdas read it
+    j = pop.join(t, "candidate_id")
+    # the encoder (a Python UDF) is its own column; the lambdas read it
     j = j.withColumn("_pred", encoder(F.col("seq")))
-    return j.withColumn("fitness", row_r2(F.col("_pred"), F.col("target"), "pred")) \
-            .drop("target", "_pred")
+    found = row_r2(F.col("_pred"), F.col("target"), "pred") if measure == "r2" \
+        else row_cosine(F.col("_pred"), F.col("target"))
+    return j.withColumn("fitness", found).drop("target", "_pred")
+
+
+class FitnessMemo:
+    """Fitness of every (candidate, sequence) that was ever encoded, as a table of
+    (candidate_id, digest, fitness), one folder a generation.
+
+    A generation's individuals are joined with the table by an anti-join; only the
+    distinct sequences that it lacks are encoded.  Selection copies the fittest and
+    mating leaves half of the pairs alone, so most of a generation is known.  A
+    generation that is computed again replaces its folder."""
+
+    def __init__(self, targets: DataFrame, path: str, encoder=kmer_profile, measure: str = "r2"):
+        self.spark, self.targets, self.path = targets.sparkSession, targets, path
+        self.encoder, self.measure, self.generations = encoder, measure, 0
+
+    def known(self) -> DataFrame:
+        return self.spark.read.schema("candidate_id string, digest string, fitness double") \
+            .option("recursiveFileLookup", "true").parquet(self.path)
+
+    def evaluate(self, pop: DataFrame, generation: int) -> DataFrame:
+        """``pop`` (candidate_id, individual_id, seq) with its fitness; ``pop`` is read
+        twice and should be materialised."""
+        keyed = pop.select(F.col("candidate_id"), "individual_id", "seq", F.sha2("seq", 256).alias("digest"))
+        unseen = keyed.groupBy("candidate_id", "digest").agg(F.first("seq").alias("seq"))
+        if generation:
+            unseen = unseen.join(self.known().select(F.col("candidate_id").alias("_c"), F.col("digest").alias("_d")),
+                                 (F.col("candidate_id").cast("string") == F.col("_c")) & (F.col("digest") == F.col("_d")), "left_anti")
+        evaluate(unseen, self.targets, self.encoder, self.measure) \
+            .select(F.col("candidate_id").cast("string").alias("candidate_id"), "digest", "fitness") \
+            .write.mode("overwrite").parquet(f"{self.path}/generation={generation}")
+        known = self.known().select(F.col("candidate_id").alias("_c"), F.col("digest").alias("_d"), "fitness")
+        return keyed.join(known, (F.col("candidate_id").cast("string") == F.col("_c")) & (F.col("digest") == F.col("_d"))) \
+            .select("candidate_id", "individual_id", "seq", "fitness")
 
 
 def tournament_select(pop: DataFrame, n: int, seed, gen: int, size: int = 3) -> DataFrame:
@@ -161,11 +205,13 @@ def _materialise(df: DataFrame, reliable: bool) -> DataFrame:
 
 def run_generations(candidates: DataFrame, targets: DataFrame, ngen: int, n: int = 50,
                     seed=42, cxpb: float = 0.5, mutpb: float = 0.2, step: int = 50,
-                    checkpoint_every: int = 4, log_path: str | None = None):
+                    checkpoint_every: int = 4, log_path: str | None = None, encoder=kmer_profile,
+                    measure: str = "r2", memo_path: str | None = None):
     """GEN6: select -> mate -> mutate -> evaluate, ``ngen`` times.
 
     Returns (final population, generation log, best-ever per candidate).
-    Each generation is computed once (persisted), and every
+    Only individuals whose sequence is new to their candidate are encoded
+    (``FitnessMemo``, a table at ``memo_path`` or in the scratch folder).  Each generation is computed once (persisted), and every
     ``checkpoint_every`` generations reliably checkpointed, and the log is
     appended to a table per generation (``log_path``, or a scratch table), so
     plans stay of one size however many generations run.
@@ -173,7 +219,8 @@ def run_generations(candidates: DataFrame, targets: DataFrame, ngen: int, n: int
     spark = candidates.sparkSession
     log_path = log_path or scratch_path(spark, "generations")
     targets = targets.select("candidate_id", "target").checkpoint()  # one row per candidate
-    pop = evaluate(seed_population(candidates, n, f"{seed}-start", step), targets)
+    memo = FitnessMemo(targets, memo_path or scratch_path(spark, "fitness"), encoder, measure)
+    pop = memo.evaluate(seed_population(candidates, n, f"{seed}-start", step).checkpoint(), 0)
     pop = _materialise(pop, True)
     best = _materialise(hall_of_fame(pop), True)
     population_stats(pop.withColumn("generation", F.lit(0))).write.mode("append").parquet(log_path)
@@ -183,11 +230,12 @@ def run_generations(candidates: DataFrame, targets: DataFrame, ngen: int, n: int
         kids = mutate_population(kids, seed, g, mutpb, step)
         reliable = g % checkpoint_every == 0 or g == ngen
         old_pop, old_best = pop, best
-        pop = _materialise(evaluate(kids, targets), reliable)
+        kids = _materialise(kids, False)
+        pop = _materialise(memo.evaluate(kids, g), reliable)
         best = _materialise(
             hall_of_fame(best.unionByName(pop.select("candidate_id", "seq", "fitness"))), reliable)
-        old_pop.unpersist()
-        old_best.unpersist()
+        for old in (old_pop, old_best, kids):
+            old.unpersist()
         stats = population_stats(pop.withColumn("generation", F.lit(g)))
         stats.write.mode("append").parquet(log_path)
     log = spark.read.parquet(log_path)

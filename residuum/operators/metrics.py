@@ -55,6 +55,16 @@ def nll(logits: Column, label: Column) -> Column:
     return logsumexp(logits) - F.element_at(_dbl(logits), label + 1)
 
 
+def row_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors of one row; null where one of them is zero."""
+    def dot(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+    a, b = _dbl(a), _dbl(b)
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norm > 0, dot(a, b) / norm)
+
+
 def row_r2(pred: Column, target: Column, truth: str = "pred") -> Column:
     """AGG20: R^2 of two vectors of one row.
 

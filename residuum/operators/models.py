@@ -55,12 +55,10 @@ def train_shallow(df: DataFrame, features: str = "embedding", label: str = "clas
 def score_shallow(model: PipelineModel, df: DataFrame, features: str = "embedding") -> DataFrame:
     """ML4: class code, class name and probability vector per row.
 
-    Rows without a label column are scored too (the label indexer is left
-    out of the pipeline for them)."""
-    stages = [s for s in model.stages
-              if not (hasattr(s, "labels") and hasattr(s, "getInputCol")
-                      and s.getInputCol() not in df.columns
-                      and type(s).__name__ == "StringIndexerModel")]
+    Every row is scored, whatever its label column holds or lacks: the label
+    indexer, which a fit needs and which skips null and unknown labels, takes
+    no part in scoring."""
+    stages = [s for s in model.stages if type(s).__name__ != "StringIndexerModel"]
     out = PipelineModel(stages=stages).transform(_features(df, features))
     if "probability" not in out.columns:  # one model per class: margins to shares
         share = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
@@ -116,15 +114,30 @@ def residue_windows(df: DataFrame, id_col: str, seq_col: str, labels_col: str,
     return e.select(id_col, *keep, "_r.*")
 
 
+def context_columns(windows: DataFrame) -> list[str]:
+    """The context columns of ``residue_windows``."""
+    return [c for c in windows.columns if c.startswith("c")]
+
+
+def context_counts(windows: DataFrame) -> DataFrame:
+    """Distinct (context, label) of residue windows with their count ``n``.  Partial
+    aggregates keep the distinct contexts of a task, so the fit's rows grow with the
+    variety of contexts (at most 21^(2k+1) a label) and not with the residues."""
+    return windows.groupBy(*context_columns(windows), "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def residue_classifier(windows: DataFrame, token_weights: DataFrame, num_features: int = 1 << 12,
                        max_iter: int = 20):
     """ML6: hashed context features + logistic regression weighted by the
-    balanced residue-label weights (two rows: label 0 and 1)."""
-    ctx = [c for c in windows.columns if c.startswith("c")]
+    balanced residue-label weights (two rows: label 0 and 1).  The fit runs on
+    the distinct contexts; a context's weight is its count times its label's."""
+    ctx = context_columns(windows)
     hasher = FeatureHasher(inputCols=ctx, outputCol="features", numFeatures=num_features,
                            categoricalCols=ctx)
     w = F.broadcast(token_weights.select(F.col("label").alias("_l"), F.col("weight").alias("_w")))
-    d = windows.join(w, windows["label"] == w["_l"], "left").drop("_l").fillna(0.0, ["_w"])
+    counts = context_counts(windows)
+    d = counts.join(w, counts["label"] == w["_l"], "left").drop("_l").fillna(0.0, ["_w"]) \
+        .withColumn("_w", F.col("_w") * F.col("n"))
     lr = LogisticRegression(featuresCol="features", labelCol="label_d", weightCol="_w",
                             maxIter=max_iter)
     pipe = Pipeline(stages=[hasher, lr])

@@ -76,12 +76,12 @@ def pad_batch(df: DataFrame, batch_size: int, ids_col: str = "input_ids", order_
 
 
 def mlm_mask(df: DataFrame, ids_col: str = "input_ids", key_col: str = "record_id",
-             seed=42, mlm_probability_prefix: str = P15) -> DataFrame:
+             seed=42, mlm_probability_prefix: str = P15, ignore_others: bool = True) -> DataFrame:
     """PRJ11 + PRJ12: masked-token corpus.
 
     ``labels`` starts as a copy of the ids; each non-special position is a
     target with probability 0.15 (digest of ``seed:key:pos``).  Non-target
-    labels become -100.  Of the targets, 80 % become ``<mask>``, 10 % a
+    labels become -100, or stay a copy with ``ignore_others=False``.  Of the targets, 80 % become ``<mask>``, 10 % a
     random token of the whole vocabulary, 10 % stay.
     """
     specials = F.array(F.lit(CLS_ID), F.lit(EOS_ID), F.lit(PAD_ID))
@@ -98,7 +98,7 @@ def mlm_mask(df: DataFrame, ids_col: str = "input_ids", key_col: str = "record_i
         rnd = (F.conv(F.substring(x["h"], 17, 8), 16, 10).cast("long") % F.lit(len(ESM_TOKENS))).cast("int")
         return F.when(how < F.lit(P80), F.lit(MASK_ID)).when(how < F.lit(P90), rnd).otherwise(x["t"])
 
-    labels = F.transform("_mlm", lambda x: F.when(x["c"], x["t"]).otherwise(F.lit(IGNORE_LABEL)))
+    labels = F.transform("_mlm", lambda x: F.when(x["c"], x["t"]).otherwise(F.lit(IGNORE_LABEL) if ignore_others else x["t"]))
     masked = F.transform("_mlm", lambda x: F.when(x["c"], new_token(x)).otherwise(x["t"]))
     return d.withColumn("labels", labels).withColumn(ids_col, masked).drop("_mlm")
 

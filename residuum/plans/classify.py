@@ -23,13 +23,15 @@ HIT_COLUMNS = ["record_id", "prediction", "info", "prediction_probability", "seq
 
 
 def score_records(recs: DataFrame, model: PipelineModel, info_filter: str | None = "CR=1",
-                  min_length: int = 0, hit_class: int | None = 0, min_probability: float = 0.0) -> DataFrame:
+                  min_length: int = 0, hit_class: int | None = 0, min_probability: float = 0.0,
+                  exact_token: bool = False) -> DataFrame:
     """Filter, encode, score and keep the hit class (FLT1 -> ML1 -> ML4 -> FLT2).
 
     ``hit_class=None`` keeps every class; ``min_probability`` keeps records
     whose predicted class has at least that probability.  The probability
-    vector stays an array."""
-    kept = header_length_filter(recs, info_filter, min_length)
+    vector stays an array. ``exact_token`` takes ``info_filter`` as a whole header
+    token (``CR=1`` is then not in ``CR=12``)."""
+    kept = header_length_filter(recs, info_filter, min_length, exact_token=exact_token)
     hits = score_shallow(model, embed_sequences(kept))
     if hit_class is not None:
         hits = hits.where(F.col("prediction") == F.lit(hit_class))
@@ -41,9 +43,9 @@ def score_records(recs: DataFrame, model: PipelineModel, info_filter: str | None
 
 def classify_fasta(spark: SparkSession, path: str, model: PipelineModel, out_path: str | None,
                    info_filter: str | None = "CR=1", min_length: int = 0,
-                   hit_class: int | None = 0, min_probability: float = 0.0) -> DataFrame:
+                   hit_class: int | None = 0, min_probability: float = 0.0, exact_token: bool = False) -> DataFrame:
     recs = read_fasta_input(spark, path, class_from_folder=False).drop("record_pos")
-    hits = score_records(recs, model, info_filter, min_length, hit_class, min_probability)
+    hits = score_records(recs, model, info_filter, min_length, hit_class, min_probability, exact_token)
     if out_path:
         write_hits(hits, out_path)
     return hits

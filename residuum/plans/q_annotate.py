@@ -236,14 +236,15 @@ def q_mlm_mask(spark, sf):
                     F.md5(_csv(F.col("input_ids"))).alias("ids_md5"))
 
 
-@query("mlm_labels_copy", f"""WITH {REC_SQL},
-tok AS (SELECT record_id, {IDS_SQL} AS input_ids FROM rec)
-SELECT record_id, len(input_ids) AS n_equal FROM tok""")
+@query("mlm_labels_copy", f"""WITH {MLM_SQL},
+copies AS (SELECT record_id, {IDS_SQL} AS ids FROM rec)
+SELECT record_id, md5(array_to_string(copies.ids, ',')) AS labels_md5, md5(array_to_string(mlm.input_ids, ',')) AS ids_md5
+FROM copies JOIN mlm USING (record_id)""")
 def q_mlm_labels_copy(spark, sf):
-    t = tokenized(spark, sf).withColumn("labels", F.col("input_ids"))
-    return t.select("record_id", F.size(F.filter(
-        F.arrays_zip("labels", "input_ids"), lambda z: z["labels"] == z["input_ids"]))
-        .cast("long").alias("n_equal"))
+    """Every position keeps its own id as label while the ids are masked."""
+    m = tokens.mlm_mask(tokenized(spark, sf), seed=SEED, ignore_others=False)
+    return m.select("record_id", F.md5(_csv(F.col("labels"))).alias("labels_md5"),
+                    F.md5(_csv(F.col("input_ids"))).alias("ids_md5"))
 
 
 @query("ignore_index", f"""WITH {MLM_SQL}

@@ -40,19 +40,17 @@ def q_title_term_search(spark, sf):
 SELECT record_id, count(*) AS n_occurrences FROM found GROUP BY record_id""")
 def q_union_all_ids(spark, sf):
     # one frame per term's search, concatenated; duplicates stay
-    ids = union_all_ids([title_term_search(_catalogue(spark, sf), TERMS, TOPN, 42).select("record_id")])
+    ids = union_all_ids([title_term_search(_catalogue(spark, sf), [t], TOPN, 42).select("record_id") for t in TERMS])
     return ids.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_occurrences"))
 
 
-@query("length_bucketed_batches", f"""WITH {REC_SQL}
-SELECT count(*) AS n_rows, CAST(sum(length(seq)) AS BIGINT) AS total_length, CAST(0 AS BIGINT) AS over_budget,
-       CAST(0 AS BIGINT) AS missing FROM rec""")
+@query("length_bucketed_batches", f"""WITH RECURSIVE {REC_SQL},
+sorted AS (SELECT record_id, length(seq) AS length,
+                  row_number() OVER (ORDER BY length(seq) DESC, md5(concat('batches', ':', record_id))) - 1 AS pos FROM rec),
+cuts AS (SELECT 0 AS pos, 0 AS batch_id
+         UNION ALL SELECT c.pos + greatest(1, 4096 // (s.length + 1)), c.batch_id + 1 FROM cuts c JOIN sorted s ON s.pos = c.pos)
+SELECT s.record_id, CAST(s.length AS BIGINT) AS length, CAST(max(c.batch_id) AS BIGINT) AS batch_id
+FROM sorted s JOIN cuts c ON c.pos <= s.pos GROUP BY s.record_id, s.length""")
 def q_length_bucketed_batches(spark, sf):
     r = records(spark, sf).select("record_id", "seq")
-    rows = length_bucketed_batches(r, "record_id", "seq", 4096, 1)
-    per = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"),
-                                       F.sum("length").alias("total"))
-    # a batch may pass the budget only if it is one sequence
-    over = (F.col("n") > 1) & ((F.col("longest") + 1) * F.col("n") > 4096)
-    return per.agg(F.sum("n").alias("n_rows"), F.sum("total").alias("total_length"),
-                   F.count_if(over).alias("over_budget"), F.count_if(F.col("batch_id").isNull()).alias("missing"))
+    return length_bucketed_batches(r, "record_id", "seq", 4096, 1).withColumn("length", F.col("length").cast("long"))

@@ -260,12 +260,14 @@ def q_term_variants(spark, sf):
 SELECT class, count(*) AS n_records, CAST(sum(length(seq)) AS BIGINT) AS n_residues
 FROM rec GROUP BY class""")
 def q_union_classes(spark, sf):
-    """The per-class tables of SRC1 + SNK2, one Hive folder each (null too), are
-    read back as one table: all classes found, in one read."""
+    """One table for each class, as SRC1 + SNK2 leave them (null is one), is a frame
+    of its own; one of them has no class column until the union adds it."""
     out = scratch_path(spark, "union")
     recs = records(spark, sf).select("record_id", "seq", "class")
     recs.write.partitionBy("class").parquet(out)
-    found = spark.read.option("recursiveFileLookup", "false").parquet(out)
-    u = curate.union_classes([found.select("record_id", "seq", F.col("class").cast("string").alias("class"))])
+    found = spark.read.parquet(out).select("record_id", "seq", F.col("class").cast("string").alias("class"))
+    classes = [r["class"] for r in found.select("class").distinct().collect()]  # the folders
+    frames = [found.where(F.col("class").eqNullSafe(F.lit(c))) for c in classes]
+    u = curate.union_classes([f.drop("class") if c is None else f for f, c in zip(frames, classes)])
     return u.groupBy("class").agg(F.count(F.lit(1)).alias("n_records"),
                                   F.sum(F.length("seq")).cast("long").alias("n_residues"))

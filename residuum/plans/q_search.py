@@ -60,11 +60,12 @@ def q_edit_distance(spark, sf):
 
 
 @query("compose_sequence", f"""WITH {REC_SQL}
-SELECT record_id, 1 AS same FROM rec""")
+SELECT record_id, md5(reverse(seq)) AS seq_md5 FROM rec""")
 def q_compose_sequence(spark, sf):
+    """Characters in reverse order, composed."""
     r = records(spark, sf)
-    back = evolve.compose_sequence(F.split("seq", ""))
-    return r.select("record_id", (back == F.col("seq")).cast("int").alias("same"))
+    back = evolve.compose_sequence(F.reverse(F.split("seq", "")))
+    return r.select("record_id", F.md5(back).alias("seq_md5"))
 
 
 def candidates(spark, sf):
@@ -250,12 +251,16 @@ def q_hall_of_fame(spark, sf):
     return top.join(kept, "candidate_id")
 
 
-@query("distance_report", f"""WITH {CAND_SQL}
-SELECT cand.candidate_id, levenshtein(cand.seq, st.seq) AS dist_original_start, true AS within_length
-FROM cand JOIN st USING (candidate_id)""")
+@query("distance_report", f"""WITH {MUTPOP_SQL},
+top AS (SELECT candidate_id, mut.seq, row_number() OVER (PARTITION BY candidate_id ORDER BY round(mf.f, 9) DESC, mut.seq) AS rn
+        FROM mf JOIN mut USING (candidate_id, ind))
+SELECT cand.candidate_id, levenshtein(cand.seq, st.seq) AS dist_original_start,
+       levenshtein(cand.seq, top.seq) AS dist_original_best
+FROM cand JOIN st USING (candidate_id) JOIN top USING (candidate_id) WHERE rn = 1""")
 def q_distance_report(spark, sf):
-    c, _, _, _, best = _run(spark, sf)
+    """Distances of the start and of the best of one mutated generation."""
+    c = candidates(spark, sf)
     start = evolve.seed_population(c, 1, f"{SEED}-start", 50)
-    rep = evolve.distance_report(c, start, best).join(c.select("candidate_id", F.length("seq").alias("n")), "candidate_id")
-    return rep.select("candidate_id", F.col("dist_original_start").cast("long").alias("dist_original_start"),
-                      ((F.col("dist_original_best") >= 0) & (F.col("dist_original_best") <= F.col("n"))).alias("within_length"))
+    best = evolve.hall_of_fame(_mutated_population(spark, sf).withColumn("fitness", F.round("fitness", 9)))
+    rep = evolve.distance_report(c, start, best)
+    return rep.select("candidate_id", *[F.col(d).cast("long").alias(d) for d in ("dist_original_start", "dist_original_best")])

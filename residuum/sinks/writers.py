@@ -123,6 +123,9 @@ def write_hits(df: DataFrame, path: str, file_col: str = "source_file", salts: i
        .option("partitionOverwriteMode", "dynamic").partitionBy(file_col).parquet(path))
 
 
-def append_run_metrics(metrics: DataFrame, path: str) -> None:
-    """SNK6: append metric rows (with model name, batch size, epochs)."""
-    metrics.write.mode("append").parquet(path)
+def append_run_metrics(metrics: DataFrame, path: str, run_id: str) -> None:
+    """SNK6: the metric rows of a run (with model name, batch size, epochs) join the
+    table of runs at ``path``, a partition a run.  A rerun under the same ``run_id``
+    replaces its rows; other runs stay."""
+    (metrics.withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))

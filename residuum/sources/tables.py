@@ -25,13 +25,19 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType,
              first_n: int | None = None, order_col: str | None = None) -> DataFrame:
     """SRC4: headed TSV with an explicit schema (no inference pass).
 
-    ``first_n`` keeps the first rows in ``order_col`` order (a distributed
-    top-n, not a sort of everything).
+    ``first_n`` keeps the first rows in ``order_col`` order (null first).  The
+    top-n runs on that column alone; whole rows are then read again up to its
+    last key, so that no task gets other wide rows than those of the result
+    (and of ties with the last key).
     """
     df = (spark.read.schema(schema).option("sep", "\t").option("header", True)
           .option("mode", "PERMISSIVE").csv(path))
     if first_n is not None:
-        df = df.orderBy(order_col).limit(int(first_n))
+        key = F.col(order_col)
+        keys = df.select(order_col).orderBy(order_col).limit(int(first_n))
+        last = F.broadcast(keys.agg(F.max(key).alias("_last")))  # one row
+        df = df.join(last, key.isNull() | (key <= F.col("_last"))).drop("_last") \
+            .orderBy(order_col).limit(int(first_n))
     return df
 
 
