@@ -67,6 +67,16 @@ def q_scan_fasta_tree(spark, sf):
                                   F.sum(F.length("seq")).cast("long").alias("n_residues"))
 
 
+@query("scan_fasta_ranges", f"""WITH {REC_SQL}
+SELECT record_id, md5(seq) AS seq_md5, length(seq) AS seq_len FROM rec""")
+def q_scan_fasta_ranges(spark, sf):
+    """Block-compressed files, cut between their members."""
+    root = scratch_path(spark, "blocks")
+    writers.write_block_fasta(records(spark, sf), root)
+    r = fasta.scan_fasta_tree(spark, root, class_from_folder=False, range_bytes=256 << 10)
+    return r.select("record_id", F.md5("seq").alias("seq_md5"), F.length("seq").cast("long").alias("seq_len"))
+
+
 @query("single_file_or_tree", f"""WITH {REC_SQL}
 SELECT m.mode, class, count(*) AS n_records FROM rec, (VALUES ('tree'), ('file')) AS m(mode)
 GROUP BY 1, 2""")

@@ -197,6 +197,18 @@ def q_classify_fasta(spark, sf):
     return _scored(spark.read.parquet(out))
 
 
+@query("stream_classify_ranges", SCORED_FASTA_SQL)
+def q_stream_classify_ranges(spark, sf):
+    """The stream whose offset lies inside files, a megabyte a step."""
+    model, _ = fitted(spark, sf)
+    out = scratch_path(spark, "range-hits")
+    q = stream_classify_fasta(spark, _fasta_inputs(spark, sf), model, out, scratch_path(spark, "range-ckpt"),
+                              hit_class=None, step_bytes=1 << 20)
+    q.processAllAvailable()
+    q.stop()
+    return _scored(spark.read.parquet(out))
+
+
 @query("stream_classify_fasta", SCORED_FASTA_SQL)
 def q_stream_classify_fasta(spark, sf):
     model, _ = fitted(spark, sf)

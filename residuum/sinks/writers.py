@@ -109,6 +109,48 @@ def write_embeddings(df: DataFrame, path: str, partition_cols: Sequence[str] = (
     df.write.mode(mode).partitionBy(*partition_cols).parquet(path)
 
 
+def _block_files(root: str, block_bytes: int):
+    def fn(batches):
+        import gzip
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        from residuum.sources.ranges import file_system
+        context = TaskContext.get()
+        fs, folder = file_system(root)
+        fs.create_dir(folder, recursive=True)
+        name = f"{folder}/part-{context.partitionId():05d}.fasta.gz"
+        attempt, rows, block, size = f"{folder}/_attempt-{context.taskAttemptId()}", 0, [], 0
+        with fs.open_output_stream(attempt, compression=None) as out:
+            for b in batches:
+                for text in b.column("value").to_pylist():
+                    data = text.encode() + b"\n"
+                    rows += 1
+                    for at in range(0, len(data), block_bytes):  # blocks end anywhere, as others' do
+                        block.append(data[at:at + block_bytes])
+                        size += len(block[-1])
+                        if size >= block_bytes:
+                            out.write(gzip.compress(b"".join(block), mtime=0))
+                            block, size = [], 0
+            if block:
+                out.write(gzip.compress(b"".join(block), mtime=0))
+        if rows:
+            fs.move(attempt, name)
+        else:
+            fs.delete_file(attempt)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows], pa.int64())], names=["file", "n"])
+    return fn
+
+
+def write_block_fasta(df: DataFrame, path: str, block_bytes: int = 1 << 16) -> int:
+    """SNK2 in block-compressed form: a file for each partition, of gzip members of about
+    ``block_bytes`` of text, so that readers can split it.  A task that runs again replaces
+    its file.  Returns the number of records."""
+    text = df.select(wrapped_fasta(F.col("description"), F.col("seq")).alias("value"))
+    return text.mapInArrow(_block_files(path, block_bytes), "file string, n long").agg(F.sum("n")).first()[0] or 0
+
+
 HIT_SALTS = 16
 
 

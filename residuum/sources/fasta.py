@@ -123,8 +123,14 @@ def fasta_rejects(spark: SparkSession, paths, recursive: bool = False, file_rege
 
 
 def scan_fasta_tree(spark: SparkSession, root: str, name_regex: str = FASTA_GZ_REGEX,
-                    class_from_folder: bool = True) -> DataFrame:
-    """SRC2: every file under ``root`` whose name matches ``name_regex``."""
+                    class_from_folder: bool = True, range_bytes: int | None = None) -> DataFrame:
+    """SRC2: every file under ``root`` whose name matches ``name_regex``.  With
+    ``range_bytes`` large files are cut into ranges of about that size, gzip files
+    between their members, and each range is read by a task of its own."""
+    if range_bytes:
+        from residuum.sources.ranges import raw_ranges
+        out = parse_records(raw_ranges(spark, root, name_regex, range_bytes))
+        return out.withColumn("class", class_from_path(F.col("source_file"))) if class_from_folder else out
     return read_fasta(spark, root, recursive=True, file_regex=name_regex,
                       class_from_folder=class_from_folder)
 

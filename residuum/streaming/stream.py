@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from residuum.plans.classify import score_records
+from residuum.streaming.ranges import fasta_range_stream
 from residuum.sources.fasta import FASTA_NAME_REGEX, RECORD_SEPARATOR, parse_records, with_lead
 
 
@@ -36,10 +37,23 @@ def fasta_stream(spark: SparkSession, src_dir: str, name_regex: str = FASTA_NAME
 def stream_classify_fasta(spark: SparkSession, src_dir: str, model: PipelineModel,
                           out_dir: str, checkpoint_dir: str, info_filter: str | None = "CR=1",
                           min_length: int = 0, hit_class: int | None = 0,
-                          available_now: bool = True, min_probability: float = 0.0) -> StreamingQuery:
-    hits = score_records(fasta_stream(spark, src_dir), model, info_filter, min_length, hit_class, min_probability)
+                          available_now: bool = True, min_probability: float = 0.0, exact_token: bool = False,
+                          step_bytes: int | None = None, max_steps: int = 8) -> StreamingQuery:
+    """The job as a stream.  With ``step_bytes`` files are read in steps of that size,
+    ``max_steps`` of them a trigger (see ``ranges``), and a restart goes on inside a file;
+    such a query ends with ``processAllAvailable()`` and ``stop()``, as it takes many
+    triggers."""
+    if step_bytes:
+        recs = fasta_range_stream(spark, src_dir, checkpoint_dir.rstrip("/") + "-steps.json", step_bytes, max_steps)
+        available_now = False
+    else:
+        recs = fasta_stream(spark, src_dir)
+    hits = score_records(recs, model, info_filter, min_length, hit_class, min_probability, exact_token)
     w = (hits.writeStream.format("parquet").outputMode("append")
          .option("path", out_dir).option("checkpointLocation", checkpoint_dir)
          .partitionBy("source_file"))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    if available_now:
+        w = w.trigger(availableNow=True)
+    else:
+        w = w.trigger(processingTime="0 seconds" if step_bytes else "30 seconds")
     return w.start()
