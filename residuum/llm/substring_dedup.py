@@ -125,10 +125,12 @@ def _occurrences(window: int):
 
 
 def _windows(window: int):
-    """A row for each window of the open stretches of a document."""
+    """A row for each window of the open stretches of a document (``opened``, the last
+    column; rows without any are passed over)."""
     def run(batches):
         for b in batches:
-            opened = b.column(3).to_pylist()
+            b = b.filter(b.column(b.num_columns - 1).is_valid())
+            opened = b.column(b.num_columns - 1).to_pylist()
             for first, data, off in slices(as_binary(b.column(2))):
                 row, h = words(data, off)
                 bounds, grams = row_bounds(row, len(off) - 1), Grams(h)
@@ -148,10 +150,15 @@ def _windows(window: int):
     return run
 
 
-def repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
+def repeats(rows: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """``(id, th, spans)``: the repeated windows of each document as
-    ``(first window, windows)``. ``docs``: ``id, th, text``; ``th`` tells apart
-    texts of one id."""
+    ``(first window, windows)``. ``rows``: ``id, th, text`` and other columns; ``th``
+    tells apart texts of one id.
+
+    The open stretches meet their texts in a left join on ``(id, th)`` with all columns
+    of ``rows``, as the caller's join with the spans does, so that both read one exchange
+    and the texts are written once; texts without an open stretch stay in the JVM."""
+    docs = rows.select("id", "th", "text")
     classes = docs.select("id", "text").mapInArrow(_classes(window), "a bigint, r bigint, lo_id bigint, hi_id bigint")
     by_anchor = Window.partitionBy("a")
     classes = classes.repartition("a").groupBy("a", "r").agg(F.min("lo_id").alias("lo_id"), F.max("hi_id").alias("hi_id")) \
@@ -163,7 +170,9 @@ def repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     whole = found.filter(F.col("lo_id") < F.col("id")).select("id", "th", "at", "n")
     opened = found.filter((F.col("lo_id") == F.col("id")) & (F.col("kinds") > 1)) \
         .groupBy("id", "th").agg(F.collect_set(F.struct("a", "at", "n")).alias("opened"))
-    tried = docs.join(opened, ["id", "th"]).select("id", "th", "text", "opened") \
+    needed = F.col("opened").isNotNull()
+    tried = rows.join(opened, ["id", "th"], "left") \
+        .select("id", "th", *[F.when(needed, F.col(c)).alias(c) for c in rows.columns if c not in ("id", "th")], "opened") \
         .mapInArrow(_windows(window), "a bigint, w bigint, id bigint, th bigint, at int")
     first = tried.groupBy("a", "w").agg(F.min("id").alias("lo_id"), F.max("id").alias("hi_id")) \
         .filter(F.col("lo_id") < F.col("hi_id")).select("a", "w", "lo_id")
@@ -179,7 +188,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, id_col: str = "d
     others = [c for c in keep if c != text_col]  # the text itself moves once
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"),
                        F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"k_{c}") for c in others])
-    spans = repeats(rows.select("id", "th", "text"), window)
+    spans = repeats(rows, window)
     joined = rows.join(spans, ["id", "th"], "left").select("text", "spans", *[f"k_{c}" for c in others])
 
     def run(batches):
