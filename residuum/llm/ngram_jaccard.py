@@ -94,7 +94,7 @@ def _signatures(n: int, bands: int, rows: int):
 
     def run(batches):
         for b in batches:
-            for first, data, off in slices(as_binary(b.column(1))):
+            for first, data, off in slices(as_binary(b.column(2))):
                 row, g = gram_sets(data, off, n)
                 start = np.flatnonzero(np.diff(row, prepend=-1))
                 have = row[start]
@@ -106,16 +106,17 @@ def _signatures(n: int, bands: int, rows: int):
                     band = mix(band ^ np.arange(1, bands + 1, dtype=np.uint64))
                 pick = pa.array(have + first, pa.int64())
                 yield pa.record_batch(
-                    [b.column(0).take(pick), pa.array(set_keys(g, start), pa.binary()),
+                    [b.column(0).take(pick), b.column(1).take(pick), pa.array(set_keys(g, start), pa.binary()),
                      pa.array(np.diff(np.append(start, len(row))), pa.int32()),
                      pa.ListArray.from_arrays(np.arange(len(have) + 1, dtype=np.int32) * bands, _signed(band.ravel()))],
-                    ["id", "key", "n", "bands"])
+                    ["id", "th", "key", "n", "bands"])
             give_back()
     return run
 
 
 def _sets(n: int):
-    """N-gram set of each representative's text; other texts of its id are left out."""
+    """N-gram set of each representative's text (``key`` guards against another text of
+    its hash)."""
     def run(batches):
         for b in batches:
             for first, data, off in slices(as_binary(b.column(1))):
@@ -192,18 +193,23 @@ def verify(group: pa.Table, share: Fraction) -> pa.Table:
                      "links": pa.array(links, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL,
-                    max_hashes: int = MAX_HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, class_id, n_links)`` for each row: the smallest id of its group of
-    linked texts, and how many other rows are similar to it (copies included)."""
+HAS_WORD = r"[^\x20\x09-\x0D]"
+
+
+def linked_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL,
+                   max_hashes: int = MAX_HASHES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(id, th, key)`` of each row with an id and words, ``th`` the hash of its text and
+    ``key`` its n-gram set, and for each key ``(key, comp, rep, n_links)``: its group of
+    linked texts, the smallest ``(id, th)`` with this set, and how many other rows a row
+    of it is similar to (copies included)."""
     bands, rows = choose_bands(threshold, recall, max_hashes)
     share = Fraction(threshold).limit_denominator(10_000)
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    sig = src.filter(F.col("id").isNotNull()).mapInArrow(
-        _signatures(n, bands, rows), "id bigint, key binary, n int, bands array<bigint>")
+    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")) \
+        .filter(F.col("id").isNotNull())
+    sig = src.mapInArrow(_signatures(n, bands, rows), "id bigint, th bigint, key binary, n int, bands array<bigint>")
     # one row for each text with words: its key, and for the class its size and first id
     sig = sig.checkpoint()
-    classes = sig.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size"),
+    classes = sig.groupBy("key").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("size"),
                                      F.any_value("bands").alias("bands")).checkpoint()
     in_bucket = classes.select("key", F.explode("bands").alias("h"))
     low = in_bucket.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")) \
@@ -214,7 +220,7 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     packs = max(1, math.ceil((blocks.agg(F.sum("m")).first()[0] or 0) / PACK))
     reps = cand.join(blocks.select("comp", "nb"), "comp").join(
         classes.select(F.col("key").alias("node"), "rep", "size"), "node")
-    texts = src.join(reps.select(F.col("rep").alias("id"), F.col("node").alias("want"), "comp", "nb", "size"), "id") \
+    texts = src.join(reps.select("rep.id", "rep.th", F.col("node").alias("want"), "comp", "nb", "size"), ["id", "th"]) \
         .select("id", "text", "comp", "nb", F.col("want").alias("key"), "size")
     dealt = texts.mapInArrow(_sets(n), "comp binary, nb int, key binary, size bigint, grams array<bigint>") \
         .withColumn("blk", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int")) \
@@ -230,22 +236,33 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
         .join(comp.withColumnRenamed("node", "key"), "key", "left") \
         .select("key", "rep", F.coalesce("comp", "key").alias("comp"),
                 (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    first = group.groupBy("comp").agg(F.min("rep").alias("class_id"))
+    return sig.select("id", "th", "key"), group
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``(id, class_id, n_links)`` for each row: the smallest id of its group of
+    linked texts, and how many other rows are similar to it (copies included)."""
+    rows, group = linked_classes(docs, id_col=id_col, text_col=text_col, **how)
+    first = group.groupBy("comp").agg(F.min("rep.id").alias("class_id"))
     by_key = group.join(first, "comp").select("key", "class_id", "n_links")
-    with_words = sig.select("id", "key").join(by_key, "key").select("id", "class_id", "n_links")
-    has_word = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    rest = src.filter(F.col("id").isNull() | F.col("text").isNull() | ~has_word) \
-        .select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    with_words = rows.select("id", "key").join(by_key, "key").select("id", "class_id", "n_links")
+    id_, text = F.col(id_col).cast("bigint"), F.col(text_col)
+    rest = docs.filter(id_.isNull() | text.isNull() | ~text.rlike(HAS_WORD)) \
+        .select(id_.alias("id"), id_.alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     return with_words.unionByName(rest).withColumnRenamed("id", id_col)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without its near duplicates: of each group the row of the smallest id
-    stays, with all columns. Of rows with that same id one stays, the one whose text
-    hash is least. Rows with a null id are not compared and stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    kept = found.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_kept")).distinct()
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    return docs.join(kept, docs[id_col] == F.col("_kept")).drop("_kept") \
-        .withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") == 1).drop("_nth") \
-        .unionByName(docs.filter(F.col(id_col).isNull()))
+    """``docs`` without its near duplicates: of each group of linked texts one row stays,
+    with all columns, that of the smallest id, and of several texts of this id the one of
+    least hash. Ids need not be unique: texts that are linked with no other all stay.
+    Rows with a null id or without words are not compared and stay."""
+    _, group = linked_classes(docs, id_col=id_col, text_col=text_col, **how)
+    kept = group.groupBy("comp").agg(F.min("rep").alias("rep")) \
+        .select(F.col("rep.id").alias("_id"), F.col("rep.th").alias("_th"))
+    id_, text = F.col(id_col).cast("bigint"), F.col(text_col)
+    compared = id_.isNotNull() & text.isNotNull() & F.coalesce(text.rlike(HAS_WORD), F.lit(False))
+    found = docs.filter(compared).join(kept, (id_ == F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")))
+    # repeated rows: the first of them, with a partial limit before the shuffle
+    nth = F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id"))
+    return found.withColumn("_nth", nth).filter(F.col("_nth") == 1).drop("_nth", "_id", "_th").unionByName(docs.filter(~compared))

@@ -67,7 +67,17 @@ def test_near_duplicates_repeated_ids(spark):
     got = sorted(map(str, ngram_jaccard.near_duplicates(docs).collect()))
     assert len(got) == 4 and sum("n_links=1" in g for g in got) == 2 and sum("class_id=None" in g for g in got) == 1
     kept = ngram_jaccard.one_of_each(docs.withColumn("key", F.lit("clash"))).collect()
-    assert sorted(str(r.doc_id) for r in kept) == ["5", "None"]
+    # one row for each group of texts, whatever their ids: the other text of id 5 is no copy
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [
+        ("5", "a b c d e f g"), ("5", "other words are here now"), ("None", "a b c d e f g")]
+
+
+def test_one_of_each_loses_no_text_of_a_shared_id(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu", "one two three four five six seven",
+               "red orange yellow green blue indigo violet")
+    docs = documents(spark, [(3, a), (5, a + " x"), (5, b), (5, c), (5, c), (6, None), (6, None), (7, " "), (None, b)])
+    kept = sorted((str(r.doc_id), str(r.text)) for r in ngram_jaccard.one_of_each(docs).collect())
+    assert kept == sorted([("3", a), ("5", b), ("5", c), ("6", "None"), ("6", "None"), ("7", " "), ("None", b)])
 
 
 def test_bands_reach_the_recall():
