@@ -20,8 +20,15 @@ about ``BLOCK_TOKENS`` tokens (items dealt by hash), so what is collected and
 broadcast at a time is bounded however large it is; documents are read once for
 each block.
 
-Null or blank texts and items have no tokens and no overlaps; so do items with
-fewer tokens than ``MIN_TOKENS``. Repeated items (same id and text) count once;
+An item of fewer tokens than ``MIN_TOKENS`` overlaps where all of its tokens stand in
+the document one after another, if it has ``SHORT_TOKENS`` at least; still shorter ones
+say too little and overlap with nothing.
+
+Repetitive texts: equal seeds are reduced to alignments with arrays, ``PAIRS`` at a
+time, and a text and an item with more equal seeds than alignments have all their
+alignments tried, so work is bounded by the product of their lengths.
+
+Null or blank texts and items have no tokens and no overlaps. Repeated items (same id and text) count once;
 repeated documents are each reported. Of several overlaps of a document row and an
 item the one with the most equal tokens is reported, on ties the first.
 """
@@ -36,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residuum.llm.common import as_binary, give_back, slices
-from residuum.llm.wordhash import NOT_ALNUM, mix, row_bounds, words
+from residuum.llm.wordhash import NOT_ALNUM, Grams, mix, row_bounds, words
 
 MASKS = ("110111", "1101000011", "1100000100011")  # only for these MIN_TOKENS and IDENTITY
 MIN_TOKENS = 13
@@ -44,6 +51,8 @@ IDENTITY = 0.75
 PENALTY = int(IDENTITY / (1 - IDENTITY))  # equal tokens that make up for an unequal one
 BLOCK_TOKENS = 500_000
 FILTER_BITS = 22
+SHORT_TOKENS = 5
+PAIRS = 1 << 20   # equal seeds looked at in one go
 
 # Tibetan, Thai, Lao; Burmese; Khmer; Tai and others of the south-east; radicals; kana and
 # bopomofo; ideographs; Yi; Javanese; Burmese and Tai Viet; ideographs; half-width kana.
@@ -103,39 +112,95 @@ class Seeds:
             hashes.append(h)
         self.row, self.h = np.concatenate(rows), np.concatenate(hashes)
         self.bounds = row_bounds(self.row, len(items))
-        self.key, self.at, self.filter = [], [], []
+        # places of each seed in order of seed and item, and the runs of one seed and item
+        self.at, self.run, self.key, self.item, self.filter = [], [], [], [], []
         for m in range(len(MASKS)):
             at = np.flatnonzero(fits(self.row, m))
             s = seeds(self.h, m)[at]
-            order = np.argsort(s, kind="stable")
-            self.key.append(s[order])
-            self.at.append(at[order])
+            order = np.lexsort((at, s))
+            at, s = at[order], s[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (np.diff(s) != 0) | (np.diff(self.row[at]) != 0)
+            run = np.flatnonzero(new)
+            self.at.append(at)
+            self.run.append(np.append(run, len(at)))
+            self.key.append(s[run])
+            self.item.append(self.row[at[run]])
             bits = np.zeros(1 << FILTER_BITS, bool)
             bits[s >> np.uint64(64 - FILTER_BITS)] = True
             self.filter.append(bits)
+        count, grams = np.diff(self.bounds), Grams(self.h)
+        self.short = {}  # length: hashes of whole items, and the items
+        for n in range(SHORT_TOKENS, MIN_TOKENS):
+            which = np.flatnonzero(count == n)
+            if len(which):
+                whole = grams.of(self.bounds[which], self.bounds[which] + n)
+                order = np.argsort(whole, kind="stable")
+                self.short[n] = whole[order], which[order]
+
+    def equal_seeds(self, row: np.ndarray, h: np.ndarray, m: int):
+        """``(place in the text, run)`` of every seed of the mask that an item has, in parts."""
+        s = seeds(h, m)
+        pos = np.flatnonzero(self.filter[m][s >> np.uint64(64 - FILTER_BITS)] & fits(row, m))
+        lo = np.searchsorted(self.key[m], s[pos], side="left")
+        n = np.searchsorted(self.key[m], s[pos], side="right") - lo
+        for part in parts(n):
+            yield np.repeat(pos[part], n[part]), spread(lo[part], n[part])
 
-    def hits(self, row: np.ndarray, h: np.ndarray) -> set[tuple[int, int, int]]:
-        """``(text, item, document token - item token)`` of every equal seed."""
-        found: set[tuple[int, int, int]] = set()
+    def hits(self, row: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
+        """``(text, item, document token - item token)`` of alignments: all with an equal
+        seed, and all of a text and an item that have more equal seeds than alignments."""
+        items = len(self.ids)
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for m in range(len(MASKS)):
-            s = seeds(h, m)
-            pos = np.flatnonzero(self.filter[m][s >> np.uint64(64 - FILTER_BITS)] & fits(row, m))
-            lo = np.searchsorted(self.key[m], s[pos], side="left")
-            hi = np.searchsorted(self.key[m], s[pos], side="right")
-            for p, a, b in zip(pos[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                for q in self.at[m][a:b].tolist():
-                    found.add((int(row[p]), int(self.row[q]), p - q))
-        return found
+            for pos, run in self.equal_seeds(row, h, m):
+                pair, at = np.unique(row[pos] * items + self.item[m][run], return_inverse=True)
+                keys.append(pair)
+                counts.append(np.bincount(at, weights=np.diff(self.run[m])[run], minlength=len(pair)).astype(np.int64))
+        pair, at = np.unique(np.concatenate(keys), return_inverse=True)
+        seen = np.bincount(at, weights=np.concatenate(counts), minlength=len(pair))
+        text, item = pair // items, pair % items
+        size, own = np.diff(bounds)[text], np.diff(self.bounds)[item]
+        dense = seen > size + own
+        found = [np.zeros(0, np.int64)]
+        for m in range(len(MASKS)):
+            for pos, run in self.equal_seeds(row, h, m):
+                k = np.searchsorted(pair, row[pos] * items + self.item[m][run])
+                pos, run, k = (x[~dense[k]] for x in (pos, run, k))
+                n = np.diff(self.run[m])[run]
+                for part in parts(n):
+                    shift = np.repeat(pos[part], n[part]) - self.at[m][spread(self.run[m][run[part]], n[part])]
+                    found.append(np.unique((np.repeat(k[part], n[part]) << 34) + shift + (1 << 33)))
+        sparse = np.unique(np.concatenate(found))
+        out = list(zip(text[sparse >> 34].tolist(), item[sparse >> 34].tolist(), ((sparse & ((1 << 34) - 1)) - (1 << 33)).tolist()))
+        for t, i in zip(text[dense].tolist(), item[dense].tolist()):
+            first = int(bounds[t] - self.bounds[i + 1]) + MIN_TOKENS
+            out += [(t, i, shift) for shift in range(first, int(bounds[t + 1] - self.bounds[i]) - MIN_TOKENS + 1)]
+        return out
+
+    def whole_items(self, row: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple]:
+        """Short items that a text holds whole, each at its first place."""
+        out, grams = {}, Grams(h)
+        for n, (whole, which) in self.short.items():
+            at = np.flatnonzero(row[:max(0, len(row) - n + 1)] == row[n - 1:])
+            s = grams.of(at, at + n)
+            lo, hi = np.searchsorted(whole, s, side="left"), np.searchsorted(whole, s, side="right")
+            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+                for i in which[a:b].tolist():
+                    out.setdefault((int(row[p]), i), (-n, int(p - bounds[row[p]]), 0, n))
+        return out
 
     def overlaps(self, data: np.ndarray, off: np.ndarray) -> list[tuple]:
         """``(text, item id, document token, item token, tokens, equal)`` of a slice."""
         row, h = tokens(data, off)
         bounds = row_bounds(row, len(off) - 1)
-        best: dict[tuple[int, int], tuple] = {}
-        for r, i, shift in self.hits(row, h):
+        best: dict[tuple[int, int], tuple] = self.whole_items(row, h, bounds)
+        for r, i, shift in self.hits(row, h, bounds):
             lo = max(self.bounds[i], bounds[r] - shift)
             hi = min(self.bounds[i + 1], bounds[r + 1] - shift)
             equal = self.h[lo:hi] == h[lo + shift:hi + shift]
+            if np.count_nonzero(equal) < MIN_TOKENS * IDENTITY:
+                continue
             a, z = best_stretch(equal)
             if z - a >= MIN_TOKENS:
                 inside = a + np.flatnonzero(equal[a:z])
@@ -148,6 +213,18 @@ class Seeds:
         return [(r, self.ids[i], d, q, n, -same) for (r, i), (same, d, q, n) in sorted(best.items())]
 
 
+def parts(n: np.ndarray) -> list[np.ndarray]:
+    """Positions of ``n`` in runs whose sum is about ``PAIRS``."""
+    there = np.flatnonzero(n)
+    cut = np.flatnonzero(np.diff(np.cumsum(n[there]) // PAIRS)) + 1
+    return np.split(there, cut) if len(there) else []
+
+
+def spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``lo, lo + 1, ...``, ``n`` numbers each."""
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     """The longest stretch of which a share of ``IDENTITY`` is equal; the first such."""
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -PENALTY))])

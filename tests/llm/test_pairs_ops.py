@@ -177,6 +177,60 @@ def test_decontamination_finds_planted_passages(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in clean} and "_judged" in kept.columns
 
 
+def test_short_items_are_matched_whole(spark):
+    """Verbatim copies of short items count, parts and changed ones do not; five tokens at least."""
+    items = ["one two three four five six seven", "alpha beta gamma delta epsilon", "too short here now"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = documents(spark, ["so One, two three-four five six seven!", "one two three four five six eight", "x alpha beta gamma delta epsilon",
+                             "too short here now", items[0], "one two three four five", items[0] + " " + items[1] + " " + items[0], None, ""])
+    got = sorted((r.doc_id, r.item_id, r.doc_token, r.n_tokens, r.n_equal) for r in decontaminate.overlaps(docs, bench).collect())
+    assert got == [(0, 0, 1, 7, 7), (2, 1, 1, 5, 5), (4, 0, 0, 7, 7), (6, 0, 0, 7, 7), (6, 1, 7, 5, 5)]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [1, 3, 5, 7, 8]
+
+
+def plain_overlaps(text, item):
+    """Whether any alignment without gaps holds 13 tokens or more of which 75 % are equal."""
+    import re
+    a, b = (re.findall("[a-z0-9]+", t.lower()) for t in (text, item))
+    for shift in range(-len(b) + 1, len(a)):
+        lo, hi = max(0, -shift), min(len(b), len(a) - shift)
+        equal = [a[q + shift] == b[q] for q in range(lo, hi)]
+        for i in range(len(equal)):
+            for j in range(i + 13, len(equal) + 1):
+                if 4 * sum(equal[i:j]) >= 3 * (j - i):
+                    return True
+    return False
+
+
+def test_decontamination_equals_all_alignments(spark):
+    """A random corpus over few words, so that overlaps of all kinds come about by chance too."""
+    rng = random.Random(21)
+    vocabulary = ["a", "b", "c", "d", "e", "f"]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(13, 30))) for _ in range(12)]
+    items += ["q r " * 10, "z " * 40]
+    texts = []
+    for _ in range(60):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(5, 60))]
+        source = rng.choice(items).split()
+        cut = source[rng.randint(0, 5):][:rng.randint(8, 40)]
+        cut = [x if rng.random() > rng.choice([0, .1, .25, .3]) else rng.choice(vocabulary) for x in cut]
+        texts.append(" ".join(w + cut + w[:10]))
+    texts += ["q r " * 30, "r q " * 7, "z " * 13, "z " * 12, "z y " * 20]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(documents(spark, texts + texts[:3]), bench).collect()}
+    rows = list(enumerate(texts + texts[:3]))
+    assert got == {(d, i) for d, t in rows for i, item in enumerate(items) if plain_overlaps(t, item)}
+
+
+def test_repetitive_texts_stay_bounded(spark):
+    import time
+    bench = spark.createDataFrame([(0, "la " * 2000), (1, "la di " * 1000)], "item_id long, text string")
+    docs = documents(spark, ["la " * 8000, "la di " * 4000, "la di da " * 3000])
+    t = time.time()
+    got = {(r.doc_id, r.item_id): r.n_tokens for r in decontaminate.overlaps(docs, bench).collect()}
+    assert {k: got[k] for k in [(0, 0), (1, 1)]} == {(0, 0): 2000, (1, 1): 2000} and time.time() - t < 20
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, query("op8")(spark, SF).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 300)
