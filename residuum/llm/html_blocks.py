@@ -17,7 +17,7 @@ SILENT_TAGS = frozenset("head title select option button textarea noscript templ
                         "video datalist map".split())
 # The start tags that leave a head open whose end tag was left out.
 HEAD_TAGS = frozenset("title meta link base basefont bgsound noframes style script noscript template".split())
-FURNITURE_TAGS = frozenset("nav footer aside form menu dialog".split())
+FURNITURE_TAGS = frozenset("nav footer aside menu dialog".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu "
                             "menubar toolbar".split())
@@ -34,14 +34,16 @@ QUALIFIERS = frozenset("has have with without no non not overflow backface".spli
 # A name that ends in one of these and holds an article word tells what is wrapped ("content-sidebar-wrap").
 WRAP_WORDS = frozenset("wrap wrapper container layout grid".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+# One attribute, or the end of the tag. Names hold anything but white space, "/", ">" and
+# (after the first character) "="; values without quotes end at white space or ">".
+ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)|(?=>)))?)""")
+RAW_TAGS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "xmp", "title", "textarea")}
+TOLD_BY = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
+PAGE_FORM_SHARE = 2 / 3  # of the words that are no other furniture
+
 FEATURES = ("furniture", "article", "heading", "item", "words", "link_density",
             "words_before", "link_density_before", "words_after", "link_density_after")
 
@@ -55,7 +57,8 @@ class Block:
     article: bool
     heading: bool
     item: bool
-    cleared: bool  # in an article element that lies in a wrapper with a furniture name
+    cleared: bool  # in an article element that lies in a form or a wrapper with a furniture name
+    form: bool  # furniture by a form alone
 
 
 @dataclass
@@ -63,6 +66,7 @@ class _Open:
     tag: str = ""
     furniture: bool = False
     named: bool = False  # furniture by class and id names alone
+    form: bool = False
     cleared: bool = False
     article: bool = False
     silent: bool = False
@@ -91,14 +95,15 @@ class _Reader:
         if text:
             top = self.stack[-1] if self.stack else _Open()
             tags = {o.tag for o in self.stack[-3:]}
-            self.blocks.append(Block(text, len(text.split()), self.linked, top.furniture or top.named, top.article,
-                                     bool(tags & HEADINGS), bool(tags & {"li", "dt", "dd", "td", "th"}), top.cleared))
+            self.blocks.append(Block(text, len(text.split()), self.linked, top.furniture or top.named or top.form, top.article,
+                                     bool(tags & HEADINGS), bool(tags & {"li", "dt", "dd", "td", "th"}), top.cleared,
+                                     top.form and not (top.furniture or top.named)))
         self.parts, self.linked = [], 0
 
     def in_head(self) -> bool:
         return bool(self.stack) and self.stack[-1].tag == "head"
 
-    def start(self, tag: str, attributes: str) -> None:
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
         if self.in_head() and tag not in HEAD_TAGS:
             self.end("head")
         if tag == "br" or tag == "wbr":
@@ -119,8 +124,9 @@ class _Reader:
         if tag == "header" and not top.article:
             furniture = True
         by_name |= top.named
-        cleared = by_name and article_element
-        self.stack.append(_Open(tag, top.furniture or furniture, by_name and not cleared, top.cleared or cleared,
+        form = top.form or tag == "form"
+        cleared = (by_name or form) and article_element
+        self.stack.append(_Open(tag, top.furniture or furniture, by_name and not cleared, form and not cleared, top.cleared or cleared,
                                 top.article or article, top.silent or tag in SILENT_TAGS))
 
     def _imply_end(self, tag: str) -> None:
@@ -147,25 +153,23 @@ class _Reader:
                 return
 
 
-def marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+def marks(tag: str, attributes: dict[str, str]) -> tuple[bool, bool, bool, bool]:
     """Whether an element is furniture by its tag, role or a name of ``COMMENT_WORDS``,
     furniture by other names, an article by any of these, and an article element."""
     furniture, by_name, article, element = tag in FURNITURE_TAGS, False, False, tag in ARTICLE_TAGS
-    if attributes and not attributes.isspace():
-        for m in ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key == "role":
-                furniture |= value.strip().lower() in FURNITURE_ROLES
-                element |= value.strip().lower() in ("main", "article")
-            elif key in ("hidden", "aria-hidden"):
-                furniture |= value.lower() != "false"
-            elif tag not in ("html", "body"):
-                for name in value.split():
-                    words = [w.lower() for w in NAME_WORDS.findall(name)]
-                    article |= not ARTICLE_WORDS.isdisjoint(words)
-                    found = furniture_words(words)
-                    furniture |= not COMMENT_WORDS.isdisjoint(found)
-                    by_name |= bool(found)
+    for key, value in attributes.items():
+        if key == "role":
+            furniture |= value.strip().lower() in FURNITURE_ROLES
+            element |= value.strip().lower() in ("main", "article")
+        elif key in ("hidden", "aria-hidden"):
+            furniture |= value.lower() != "false"
+        elif tag not in ("html", "body"):
+            for name in value.split():
+                words = [w.lower() for w in NAME_WORDS.findall(name)]
+                article |= not ARTICLE_WORDS.isdisjoint(words)
+                found = furniture_words(words)
+                furniture |= not COMMENT_WORDS.isdisjoint(found)
+                by_name |= bool(found)
     return furniture, by_name, article or element, element
 
 
@@ -183,26 +187,73 @@ def furniture_words(words: list[str]) -> list[str]:
     return found
 
 
+def attributes_from(page: str, at: int) -> tuple[int, dict[str, str]]:
+    """Where the tag whose attributes begin at ``at`` ends, and those of ``TOLD_BY`` (the
+    first of a name, values as written). A tag that never ends takes the rest of the page."""
+    if page.startswith(">", at):
+        return at + 1, {}
+    found: dict[str, str] = {}
+    while m := ATTRIBUTE.match(page, at):
+        at = m.end()
+        if m[1]:
+            return at, found
+        name = m[2].lower()
+        if name in TOLD_BY:
+            found.setdefault(name, m[3] or m[4] or m[5] or "")
+    return len(page), found
+
+
+def read(page: str, r: _Reader) -> None:
+    """One pass over the page: text, comments, raw elements and tags. Every character is
+    looked at a bounded number of times, whatever is left open."""
+    done = at = 0
+    open_ended = set()  # raw elements without an end tag from here on
+    while (at := page.find("<", at)) >= 0:
+        tag = None
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            end = end + 3 if end >= 0 else len(page)
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            end = end + 1 if end >= 0 else len(page)
+        elif m := TAG.match(page, at):
+            tag = m[2].lower()
+            end, attributes = attributes_from(page, m.end())
+        else:  # a sign, not a tag
+            at += 1
+            continue
+        if at > done:
+            r.text(page[done:at])
+        at = done = end
+        if tag and m[1]:
+            r.end(tag)
+        elif tag in RAW_TAGS:
+            close = None if tag in open_ended else RAW_TAGS[tag].search(page, at)
+            if not close:
+                open_ended.add(tag)
+            if close or tag not in ("title", "textarea"):  # without an end these two hold markup
+                at = done = close.start() if close else len(page)
+            if tag in SILENT_TAGS:
+                r.start(tag, attributes)
+        elif tag:
+            r.start(tag, attributes)
+    r.text(page[done:])
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; markup, scripts, styles and comments are gone.
 
-    Articles in wrappers with furniture names are the page's text if they hold more
-    words than its other articles, and teasers or the like if not."""
+    Articles in forms and in wrappers with furniture names are the page's text if they
+    hold more words than its other articles, and teasers or the like if not. A form
+    around the page (it holds most of the words, and no article is elsewhere) is no
+    furniture."""
     r = _Reader()
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            r.text(page[at:m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag:
-            tag = tag.lower()
-            if m[2]:
-                r.end(tag)
-            else:
-                r.start(tag, m[4])
-    r.text(page[at:])
+    read(page, r)
     r.end_block()
+    formed = sum(b.words for b in r.blocks if b.form)
+    if not any(b.article and not b.furniture for b in r.blocks) and formed > PAGE_FORM_SHARE * sum(b.words for b in r.blocks if not b.furniture or b.form):
+        for b in r.blocks:
+            b.furniture &= not b.form
     inside = [b for b in r.blocks if b.article and not b.furniture]
     cleared = [b for b in inside if b.cleared]
     if cleared and 2 * sum(b.words for b in cleared) <= sum(b.words for b in inside):

@@ -91,6 +91,16 @@ LAYOUTS = (
  </main>
 - <div class="widget"><p>{21}</p></div><div class="comments"><article><p>{26}</p></article></div></div></body>""",
     """
+ <body>
+- <p>{3}</p><p>{4}</p><p>{2}</p>
++ <p>{44}</p><p>{3}</p><p>{52}</p><p>{4}</p><p>{39}</p>
+- <p>{2}</p><p>{5}</p><p>{3}</p><p>{24@}</p><p>{31@} {2}</p><p>{28@}</p></body>""",
+    """
+ <body>
+- <div>{26@} {4}</div><div>{3}</div><div>{29@}</div>
++ <div>{30}</div><div>{4}</div><div>{61}</div><div>{3}</div><div>{27}</div>
+- <div>{3}</div><div>{2}</div><div>{5}</div></body>""",
+    """
  <body><article>
 + <h1>{4}</h1><p>{70}</p>
  </article>

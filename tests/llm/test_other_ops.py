@@ -215,6 +215,46 @@ def test_head_without_an_end_tag():
     assert main_texts(head) == []
 
 
+SEVENTY = " ".join(f"w{i}" for i in range(70))
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><nav><a href=/>Home</a></nav><div style='overflow: hidden'><p>{SEVENTY}</p></div></body>",
+    f"<body><article data-title='Hidden gems'><p>{SEVENTY}</p></article><footer>f</footer></body>",
+    f"<body><article data-id='comment-7'><p>{SEVENTY}</p></article></body>",
+    f"<body><article title='class = related'><p>{SEVENTY}</p></article></body>",
+    f"<body><p title='the hidden truth'>{SEVENTY}</p></body>",
+    f"<body><p data-x=it's>{SEVENTY}</p></body>",
+    f"<body><form id='aspnetForm'><div><a href=/>Home</a></div><article><p>{SEVENTY}</p></article></form><footer>f</footer></body>",
+    f"<body><form id=aspnetForm><div id=menu><a href=/>Home</a></div><div><p>{SEVENTY}</p></div></form><footer>f</footer></body>",
+    f"<body><article class=a class=hidden><p>{SEVENTY}</p></article></body>",
+    f"<body><article><p>{SEVENTY}</p></article><form><p>Your name please</p><input value='a>b'></form></body>",
+    f"<body><article><p>{SEVENTY}</p></article><script>if (a<b) x='</div>';</script></body>",
+    f"<title>a <p> b</title><body><article><p>{SEVENTY}</p></article><p open 'tag",
+    f"<body><main><!-- > --><!--><p>{SEVENTY}</p></main></body>",
+    f"<body><article><P\nCLASS = 'x'\n>{SEVENTY}</P ></article><div HIDDEN>{SEVENTY}</div><div aria-hidden='true'>x</div></body>",
+])
+def test_attributes_do_not_hide_articles(page):
+    from residuum.llm import html_extract
+    assert "\n\n".join(b.text for b in html_extract.main_blocks(page, html_extract.trained())) == SEVENTY
+
+
+@pytest.mark.parametrize("piece", ["<a b ", "<p x='", '<p x="', "<script>", "<!--", "<!", "</", "<a" + " " * 50, "<title>", "<a =", "<<", "&", "<div class='a'>"])
+def test_pages_of_unclosed_pieces_take_linear_time(piece):
+    import time
+    from residuum.llm import html_extract
+    tree = html_extract.trained()
+    t = time.time()
+    html_extract.main_blocks(piece * (1_000_000 // len(piece)), tree)
+    assert time.time() - t < 4
+
+
+def test_tree_splits_on_neighbours():
+    from residuum.llm import html_blocks, html_extract
+    used = {html_blocks.FEATURES[n[0]] for n in html_extract.trained().nodes if n[0] is not None}
+    assert used >= {"words", "link_density", "furniture"} and used & {"words_before", "words_after"}
+
+
 def test_html_query(spark, tmp_path):
     pages = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p"), (5, "u", "<script>x"), (1, "u", PAGE),
              (6, "u", "<article>" + "<p>" + "word " * 200_000 + "</p></article>"), (None, None, "<!-- open")]
