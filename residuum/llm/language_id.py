@@ -7,13 +7,15 @@ the language that needs the fewest phrases, normalised as bits for each characte
 
 Texts are reduced to lower-case letters with one space between words and parsed
 in windows of ``WINDOW`` characters, so a worker parses thousands of windows at
-once: one table look-up advances every window in every language. Every character
+once: one step of table look-ups advances every window in every language. Every character
 of every text is parsed.
 
-Learning reads at most ``SAMPLE_ROWS`` labelled texts of each of the ``MAX_LANGS``
-most frequent languages (drawn by their hash), ``SAMPLE_CHARS`` characters from the
-middle of each, and at most ``MAX_CHARS`` characters over all languages; that bounds
-the automata, which are broadcast, at about 8 bytes * alphabet * MAX_CHARS.
+Learning reads at most ``SAMPLE_ROWS`` labelled texts of each language (drawn by their
+hash), ``SAMPLE_CHARS`` characters from the middle of each; with many languages fewer of
+each, so that all share ``MAX_CHARS`` characters evenly and none is left out. More than
+``MAX_LANGS`` languages are an error. The automata's transitions, about three for each
+character, lie in one table that is broadcast: 60 bytes a character, 60 MB at most,
+whatever the alphabets.
 
 A null text, or one without letters, gets ``und`` and score 0; so does every text
 if nothing could be learned. Ties go to the first language by name. The score is
@@ -37,7 +39,7 @@ WINDOW = 256
 SAMPLE_ROWS = 160
 SAMPLE_CHARS = 160
 MAX_CHARS = 1_000_000
-MAX_LANGS = 256   # the most frequent ones are learned
+MAX_LANGS = 512
 LANES = 4096
 TEXT_BYTES = 1 << 20  # of text turned into codes at once
 UNKNOWN = "und"
@@ -80,16 +82,45 @@ class SuffixAutomaton:
             last = cur
 
 
+class Transitions:
+    """Automata in one table by row displacement: state ``s`` has its transition by ``c``
+    at ``base[s] + c``, if the entry there names ``s``. States of many transitions look
+    for a place first; those of one go where room is left. So the table grows with the
+    transitions, not with states times alphabet."""
+
+    FILL = 0.4
+
+    def __init__(self, edges: list[dict], width: int):
+        size = width * 2 + int(sum(map(len, edges)) / self.FILL)
+        self.base = np.zeros(len(edges), np.int32)
+        self.entry = np.full(size + width, -1, np.int64)  # owner << 32 | next state
+        taken, rng = np.zeros(size + width, bool), np.random.default_rng(7)
+        for s in sorted((s for s, e in enumerate(edges) if len(e) > 1), key=lambda s: -len(edges[s])):
+            codes = np.fromiter(edges[s], np.int64, len(edges[s]))
+            at = int(rng.integers(size))
+            while taken[at + codes].any():
+                at = int(rng.integers(size))
+            taken[at + codes] = True
+            self.base[s] = at
+            self.entry[at + codes] = (s << 32) + np.fromiter(edges[s].values(), np.int64, len(codes))
+        single = [(s, *next(iter(e.items()))) for s, e in enumerate(edges) if len(e) == 1]
+        if single:
+            s, c, to = np.array(single, np.int64).T
+            free = np.flatnonzero(~taken[:size])
+            free = free[free >= width][:len(s)]  # so that no base is negative
+            self.base[s] = free - c
+            self.entry[free] = (s << 32) + to
+
+
 class Model:
-    """Tables of all languages: ``table[state * width + code]`` is the next state's
-    row, plus ``PHRASE`` if a phrase ends before the character."""
+    """The automata of all languages, and how windows are parsed against them."""
 
     PHRASE = 1 << 30
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(k for k, v in samples.items() if v)
         alphabet = sorted({c for v in samples.values() for c in v} - {" "})
-        self.code_of = np.full(0x110000, SPACE, np.uint16)
+        self.code_of = np.full(0x110000, SPACE, np.int32)
         self.known = {c: i + 2 for i, c in enumerate(alphabet)}
         self.width = len(alphabet) + 3
         self.pad = self.width - 1
@@ -97,37 +128,39 @@ class Model:
             if not 0xD800 <= cp < 0xE000 and chr(cp).isalpha():
                 low = chr(cp).lower()[0]
                 self.code_of[cp] = self.known.get(low, OTHER)
-        self.starts, tables, at = [], [], 0
         self.bits = np.array([math.log2(max(2, len(samples[k]))) for k in self.langs])
-        for k in self.langs:
-            nxt = SuffixAutomaton([SPACE if c == " " else self.known[c] for c in samples[k]]).next
+        # where a phrase begins with each code: the state after it
+        self.start = np.zeros((len(self.langs), self.width), np.int32)
+        edges: list[dict] = []
+        for k, lang in enumerate(self.langs):
+            nxt = SuffixAutomaton([SPACE if c == " " else self.known[c] for c in samples[lang]]).next
+            at = len(edges)
+            edges += [{c: to + at for c, to in e.items()} for e in nxt]
             # the last state follows a character that the sample lacks, which is a
             # phrase of its own: whatever comes next starts another
-            novel = len(nxt)
-            t = np.full((novel + 1, self.width), -1, np.int64)
-            for s, edges in enumerate(nxt):
-                for c, to in edges.items():
-                    t[s, c] = to
-            root = np.where(t[0] < 0, novel, t[0])
-            t = np.where(t < 0, root | self.PHRASE, t)
-            t[:, self.pad] = 0
-            state = (t & (self.PHRASE - 1)) * self.width + at
-            tables.append((state | (t & self.PHRASE)).astype(np.int32).ravel())
-            self.starts.append(at)
-            at += len(tables[-1])
-        if at >= self.PHRASE:
+            self.start[k] = len(edges)
+            edges.append({})
+            for c, to in nxt[0].items():
+                self.start[k, c] = to + at
+            self.start[k, self.pad] = at
+        if len(edges) >= self.PHRASE:
             raise ValueError("the automata exceed the table's index range")
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        table = Transitions(edges, self.width)
+        self.base, self.entry = table.base, table.entry
+        self.again = self.start | self.PHRASE
+        self.again[:, self.pad] = self.start[:, self.pad]
 
     def phrases(self, windows: np.ndarray) -> np.ndarray:
         """Phrases of each window (rows of codes, padded) in each language."""
-        n = len(windows)
-        state = np.repeat(np.array(self.starts, np.int32)[:, None], n, axis=1)
-        count = np.ones((len(self.langs), n), np.int32)
-        for c in np.ascontiguousarray(windows.T).astype(np.int32):
-            got = self.table.take(state + c)
-            count += got >> 30
-            state = got & (self.PHRASE - 1)
+        columns = np.ascontiguousarray(windows.T).astype(np.int32)
+        count = np.ones((len(self.langs), len(windows)), np.int32)
+        state = self.start.take(columns[0], axis=1)
+        for c in columns[1:]:
+            found = self.entry.take(self.base.take(state) + c)
+            goes_on = (found >> 32) == state
+            state = np.where(goes_on, found.astype(np.int32), self.again.take(c, axis=1))
+            count += state >> 30
+            state &= self.PHRASE - 1
         return count
 
     def judge(self, column) -> tuple[list[str], list[float]]:
@@ -201,16 +234,19 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     rows = labelled.filter(text.isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.substr(text, mid, F.lit(SAMPLE_CHARS)).alias("part"),
         F.xxhash64(text, key if key is not None else F.lit(0)).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
     if not counts:
         return {}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages among the labels")
+    each = max(1, min(SAMPLE_ROWS, MAX_CHARS // SAMPLE_CHARS // len(counts)))
     # about twice the rows needed are drawn by their hash, so that few are ranked
-    drawn = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * SAMPLE_ROWS / r["count"]))])
+    drawn = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2 * each + 20) / r["count"]))])
     rows = rows.filter(F.pmod(F.col("h"), F.lit(1 << 30)) < F.try_element_at(drawn, F.col("lang")) * (1 << 30))
     first = Window.partitionBy("lang").orderBy("h")
-    rows = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_ROWS)
+    rows = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= each)
     parts: dict[str, list[str]] = {}
-    for r in rows.orderBy("n", "lang").limit(MAX_CHARS // SAMPLE_CHARS).collect():
+    for r in rows.orderBy("n", "lang").collect():
         parts.setdefault(r["lang"], []).append(letters(r["part"]))
     return {k: " ".join(v for v in vs if v) for k, vs in parts.items()}
 

@@ -1,5 +1,6 @@
 """op1, op2, op9: operators that answer for each document by itself."""
 
+import math
 import random
 import zlib
 
@@ -61,42 +62,79 @@ def test_null_ids_do_not_crash(spark, tmp_path):
 
 
 def brute_phrases(text: str, sample: str) -> int:
-    """Greedy longest-match phrases of windows of the reduced text."""
+    """Longest-match phrases of windows of the reduced text, counted one by one; a
+    character that the sample lacks is a phrase."""
     reduced = language_id.letters(text)
     total = 0
     for lo in range(0, len(reduced), language_id.WINDOW):
-        w, at, n = reduced[lo:lo + language_id.WINDOW], 0, 1
+        w, at = reduced[lo:lo + language_id.WINDOW], 0
         while at < len(w):
-            end = at
-            while end < len(w) and w[at:end + 1] in sample:
+            end = at + 1
+            while end <= len(w) and w[at:end] in sample:
                 end += 1
-            if end == len(w):
-                break
-            n += 1
-            at = end if end > at else end + 1
-        total += n
+            at = max(at + 1, end - 1)
+            total += 1
     return total
 
 
-def test_cross_parsing_counts_longest_match_phrases(spark):
+def brute_language(text, samples):
+    """The language of least cost, first by name on ties, and the margin to the next."""
+    size = len(language_id.letters(text))
+    if not size or not samples:
+        return "und", 0.0
+    cost = sorted((brute_phrases(text, v) * math.log2(max(2, len(v))) / size, k) for k, v in samples.items())
+    return cost[0][1], (cost[1][0] / (cost[0][0] + cost[1][0]) if len(cost) > 1 else 1.0)
+
+
+def check_languages(samples, texts):
+    import pyarrow as pa
+    langs, scores = language_id.Model(samples).judge(pa.array(texts))
+    for text, lang, score in zip(texts, langs, scores):
+        expected = brute_language(text, samples)
+        assert lang == expected[0] and score == pytest.approx(expected[1], abs=1e-12), text
+
+
+def test_predictions_equal_a_parse_of_the_samples():
     rng = random.Random(3)
-    samples = {"aa": words(rng, 60, "abcd"), "bb": words(rng, 60, "cdef")}
+    alphabets = {"aa": "abcd", "bb": "cdef", "cc": "abxyz", "dd": "é日本語"}
+    samples = {k: words(rng, 60, v) for k, v in alphabets.items()}
+    texts = [words(rng, rng.randint(1, 120), rng.choice([*alphabets.values(), "abcdef", "qrs", "aé日"])) for _ in range(120)]
+    check_languages(samples, texts + [None, "", "123 *** !!", "a", "Q", samples["aa"], samples["bb"] * 3, "日本" * 300, "a  b\n\tc"])
+    check_languages({"aa": samples["aa"]}, texts[:9])
+
+
+def test_predictions_of_the_test_table_equal_a_parse(spark):
+    from residuum.llm.queries import language_sample
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    samples = language_sample(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in query("op2")(spark, SF).collect()}
+    for r in sorted(docs.collect(), key=lambda r: len(r.text or ""))[:60]:
+        lang, score = brute_language(r.text, samples)
+        assert got[r.doc_id] == (lang, pytest.approx(score, abs=1e-12))
+
+
+def test_wide_alphabets_stay_small():
+    """Eight languages of thousands of ideographs each."""
+    rng = random.Random(4)
+    alphabets = {f"l{k}": [chr(0x4E00 + k * 1500 + i) for i in range(6000)] for k in range(8)}
+    samples = {k: "".join(rng.choices(v, k=24_000)) for k, v in alphabets.items()}
     model = language_id.Model(samples)
-    import numpy as np
+    assert sum(a.nbytes for a in (model.base, model.entry, model.code_of, model.start, model.again)) < 40 << 20
+    texts = ["".join(rng.choices(v, k=40)) for v in alphabets.values()] + [samples[k][100:400] for k in samples]
     import pyarrow as pa
-    for _ in range(20):
-        text = words(rng, 90, "abcdef")
-        codes, start = model._codes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
-        total = np.zeros(2)
-        for lo in range(0, len(codes), language_id.WINDOW):
-            w = codes[lo:lo + language_id.WINDOW]
-            total += model.phrases(w[None, :])[:, 0]
-        for k, name in enumerate(("aa", "bb")):
-            # a window that ends in the middle of a phrase counts it, as the brute force does
-            assert abs(total[k] - brute_phrases(text, samples[name])) <= 1 + len(codes) // language_id.WINDOW
-    lang, score = model.judge(pa.array([None, "", "123 *** !!", samples["aa"], samples["bb"] * 3]))
-    assert lang == ["und", "und", "und", "aa", "bb"]
-    assert score[:3] == [0.0, 0.0, 0.0] and all(0.5 <= s <= 1 for s in score[3:])
+    langs, _ = model.judge(pa.array(texts))
+    assert langs[8:] == sorted(samples)
+    check_languages(samples, texts[6:10])
+
+
+def test_no_language_is_left_out(spark):
+    rng = random.Random(6)
+    rows = [(i, words(rng, 30, chr(0x4E00 + k) + chr(0x5E00 + k) + "ab"), f"l{k:03}") for i, k in enumerate([0] * 400 + list(range(300)) * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language_id.learn(docs)) == {f"l{k:03}" for k in range(300)}
+    many = spark.range(language_id.MAX_LANGS + 1).selectExpr("'some text' as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError):
+        language_id.learn(many)
 
 
 def test_language_query_on_held_out(spark):
