@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from residuum.functions.hashing import hash_bucket
+from residuum.session import ensure_checkpoint_dir
 
 UNBOUNDED = Window.unboundedPreceding
 
@@ -84,6 +85,34 @@ def row_index(df: DataFrame, group_cols, order_cols: Sequence, bucket: Column,
         out, F.col("_c") - 1).drop("_c")
 
 
+RADIX_DIGITS = 2           # of the key, in the histogram: 256 buckets a group
+BROADCAST_GROUPS = 20_000  # groups whose bounds (one narrow row each) are broadcast
+
+
+def _bounds(narrow: DataFrame, g: list[str], limit) -> DataFrame:
+    """Per group: the bucket in which the running weight passes the limit, and the weight
+    before it.  Only the histogram moves, ``16 ** RADIX_DIGITS`` rows a group and task at
+    most.  A group without a limit, or with one of nothing, has no row."""
+    hist = narrow.groupBy(*g, "_b1").agg(F.sum("_w").alias("_bw"))
+    before = Window.partitionBy(*g).orderBy("_b1").rowsBetween(UNBOUNDED, 0)
+    hist = hist.withColumn("_before", F.sum("_bw").over(before) - F.col("_bw"))
+    if callable(limit):
+        limit = limit(hist.groupBy(*g).agg(F.sum("_bw").alias("total")))
+    if isinstance(limit, DataFrame):
+        hist = _join_null_safe(hist, limit.select(*g, F.col("limit").alias("_limit")), g, "inner")
+    else:
+        hist = hist.withColumn("_limit", F.lit(limit))
+    return hist.where(F.col("_before") < F.col("_limit")).groupBy(*g).agg(
+        F.max_by(F.struct("_b1", "_before", "_limit"), "_b1").alias("_c")).select(*g, "_c.*")
+
+
+def _edge_rows(narrow: DataFrame, bounds: DataFrame, g: list[str], small: bool) -> DataFrame:
+    """The rows of each group's bucket of ``_bounds``: one row in 256 of a large group."""
+    b = F.broadcast(bounds) if small else bounds
+    return _join_null_safe(narrow.withColumnRenamed("_b1", "_bk"), b.withColumnRenamed("_b1", "_bk"), [*g, "_bk"], "inner") \
+        .drop("_bk")
+
+
 def prefix_select(df: DataFrame, order_hex: Column, tiebreak: Column, limit,
                   group_cols=None, weight: Column | None = None,
                   out: str = "selected") -> DataFrame:
@@ -99,11 +128,13 @@ def prefix_select(df: DataFrame, order_hex: Column, tiebreak: Column, limit,
     function that makes one of the table ``group_cols + [total]`` of the
     groups' total weights.
 
-    Only ``(group, key, tiebreak, weight)`` is shuffled, once, by group and
-    4-hex-digit bucket of the key, and summed up there; bucket offsets and
-    totals come from the same exchange.  The last selected key of each group
-    is then compared with every row, so wide rows are read once and not
-    shuffled.
+    Radix selection: a histogram of the key's first digits says in which
+    bucket of a group the limit is passed (computed when this is called, one
+    row a group); only the narrow rows of that bucket, one in 256, are
+    shuffled and ranked; the last selected key of each group is compared with
+    every row.  Up to ``BROADCAST_GROUPS`` groups (counted) their bounds are
+    broadcast, so that no other row, narrow or wide, is shuffled; of more
+    groups, which are then small, rows and bounds are joined by a shuffle.
     """
     g = _cols(group_cols)
     d = df
@@ -112,24 +143,21 @@ def prefix_select(df: DataFrame, order_hex: Column, tiebreak: Column, limit,
         g = ["_g0"]
         if isinstance(limit, DataFrame):
             limit = limit.withColumn("_g0", F.lit(0))
+    ensure_checkpoint_dir(df.sparkSession)
     d = d.withColumn("_rank", F.struct(order_hex.alias("k"), tiebreak.alias("t")))
-    narrow = d.select(*g, "_rank", hash_bucket(F.col("_rank.k")).alias("_bk"),
+    narrow = d.select(*g, "_rank", hash_bucket(F.col("_rank.k"), RADIX_DIGITS).alias("_b1"),
                       (weight if weight is not None else F.lit(1)).cast("long").alias("_w"))
+    bounds = _bounds(narrow, g, limit).checkpoint()
+    small = bounds.count() <= BROADCAST_GROUPS
+    edge = _edge_rows(narrow, bounds, g, small).withColumn(
+        "_bk", F.substring("_rank.k", RADIX_DIGITS + 1, 4))
     win = Window.partitionBy(*g, "_bk").orderBy("_rank").rowsBetween(UNBOUNDED, 0)
-    local = narrow.withColumn("_loc", F.sum("_w").over(win))
-    offs = _bucket_offsets(local, g, "_bk", "_w")
-    totals = offs.groupBy(*g).agg(F.sum("_bw").alias("total"))
-    if callable(limit):
-        limit = limit(totals)
-    ranked = _join_null_safe(local, offs.select(*g, "_bk", "_boff"), [*g, "_bk"], "inner")
-    if isinstance(limit, DataFrame):
-        ranked = _join_null_safe(ranked, limit.select(*g, F.col("limit").alias("_limit")), g, "inner")
-    else:
-        ranked = ranked.withColumn("_limit", F.lit(limit))
-    # a group without a limit, or with none of its rows inside, selects nothing
-    last = (ranked.where(F.col("_boff") + F.col("_loc") - F.col("_w") < F.col("_limit"))
+    local = edge.withColumn("_loc", F.sum("_w").over(win))
+    offs = _bucket_offsets(local, g, "_bk", "_w").select(*g, "_bk", "_boff")
+    ranked = _join_null_safe(local, offs, [*g, "_bk"], "inner")
+    last = (ranked.where(F.col("_before") + F.col("_boff") + F.col("_loc") - F.col("_w") < F.col("_limit"))
             .groupBy(*g).agg(F.max("_rank").alias("_last")))
-    joined = _join_null_safe(d, last, g, "left")
+    joined = _join_null_safe(d, F.broadcast(last) if small else last, g, "left")
     return joined.withColumn(out, F.coalesce(F.col("_rank") <= F.col("_last"), F.lit(False))) \
         .drop("_rank", "_last", "_g0")
 

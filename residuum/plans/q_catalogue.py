@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from residuum.operators.batching import length_bucketed_batches
 from residuum.operators.curate import union_all_ids
 from residuum.plans.registry import query
-from residuum.sources.catalogue import SUFFIXES, title_term_search
+from residuum.session import scratch_path
+from residuum.sources.catalogue import SUFFIXES, search_title_index, title_term_search, write_title_index
 from residuum.sources.testbed import REC_SQL, read_table, records
 
 TERMS = ["an", "the", "de", "la", "ou"]
@@ -36,6 +37,13 @@ def q_title_term_search(spark, sf):
         "term", "variant", "record_id")
 
 
+@query("title_index_search", f"WITH {SEARCH_SQL} SELECT * FROM found")
+def q_title_index_search(spark, sf):
+    path = scratch_path(spark, "title-index")
+    write_title_index(_catalogue(spark, sf), path)
+    return search_title_index(spark, path, TERMS, TOPN, 42).select("term", "variant", "record_id")
+
+
 @query("union_all_ids", f"""WITH {SEARCH_SQL}
 SELECT record_id, count(*) AS n_occurrences FROM found GROUP BY record_id""")
 def q_union_all_ids(spark, sf):

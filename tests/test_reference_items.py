@@ -162,3 +162,58 @@ def test_first_rows_with_ties_and_nulls(spark, tmp_path):
     for n in (0, 1, 2, 3, 5, 8, 20):
         got = tables.read_tsv(spark, f"{tmp_path}/t", schema, n, "k")
         assert sorted((r.k is not None, r.k or 0) for r in got.collect()) == sorted((k is not None, k or 0) for k, _ in rows)[:n]
+
+
+def _exchanged(plan: str) -> list[str]:
+    return [line for line in plan.split("\n") if "Exchange" in line and "Broadcast" not in line]
+
+
+@pytest.mark.parametrize("group", [None, "class"])
+def test_selection_moves_few_rows(spark, tmp_path, group, monkeypatch):
+    """Radix selection ranks the rows of the boundary buckets only; others are not shuffled."""
+    from residuum.functions.hashing import rank_key
+    from residuum.operators import ranking
+    n = 400_000
+    spark.range(n).select(F.col("id").cast("string").alias("record_id"), F.when(F.col("id") % 3 > 0, "a").when(F.col("id") % 2 > 0, "b").alias("class"),
+                          F.repeat(F.lit("x"), 20).alias("payload")).write.parquet(f"{tmp_path}/w")
+    df = spark.read.parquet(f"{tmp_path}/w")
+    edges, plain = [], ranking._edge_rows
+    monkeypatch.setattr(ranking, "_edge_rows", lambda *a: edges.append(plain(*a)) or edges[-1])
+    sel = ranking.prefix_select(df, rank_key(3, "record_id"), F.col("record_id"), 12_345, [group] if group else None)
+    assert edges[0].count() < 0.01 * n
+    assert not any("payload" in line for line in _exchanged(sel._jdf.queryExecution().executedPlan().toString()))
+    counts = {r["class"]: r["count"] for r in sel.where("selected").groupBy("class").count().collect()}
+    assert counts == {"a": 12_345, "b": 12_345, None: 12_345} if group else sum(counts.values()) == 12_345
+
+
+@pytest.mark.parametrize("groups", [0, 3, 20_000])
+def test_selection_equals_a_plain_rank(spark, monkeypatch, groups):
+    """With broadcast bounds and, beyond their number, with a shuffle; weights, ties, null groups, limits of 0 and none."""
+    from pyspark.sql import Window
+    from residuum.functions.hashing import rank_key
+    from residuum.operators import ranking
+    monkeypatch.setattr(ranking, "BROADCAST_GROUPS", groups)
+    df = spark.range(3000).select((F.col("id") % 1500).cast("string").alias("k"), (F.col("id") % 7 + 1).alias("w"),
+                                  F.when(F.col("id") % 5 > 0, (F.col("id") % 4).cast("string")).alias("g"), F.col("id"))
+    limits = spark.createDataFrame([("0", 500), ("1", 0), (None, 77), ("2", 10 ** 6)], "g string, `limit` long")
+    got = ranking.prefix_select(df, rank_key(1, "k"), F.col("id"), limits, ["g"], F.col("w")).where("selected").select("id")
+    w = Window.partitionBy("g").orderBy(rank_key(1, "k"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    plain = df.withColumn("c", F.sum("w").over(w) - F.col("w")).join(limits.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h"))) \
+        .where("c < limit").select("id")
+    assert sorted(got.collect()) == sorted(plain.collect())
+
+
+def test_title_index_reads_matching_partitions(spark, tmp_path):
+    from residuum.sources import catalogue
+    rng = random.Random(0)
+    names = ["kinase", "kinases", "ligase", "the", "of", "protein"] + [f"w{i}" for i in range(500)]
+    rows = [(f"r{i % 900}", " ".join(rng.choices(names, k=8)) + rng.choice(["", " Kinase", " the-the"])) for i in range(1000)] + [("x", None), (None, "the")]
+    df = spark.createDataFrame(rows, "record_id string, title string")
+    path = f"{tmp_path}/index"
+    catalogue.write_title_index(df, path)
+    got = catalogue.search_title_index(spark, path, ["kinase", "the", "absent"], 20)
+    assert sorted(map(str, got.collect())) == sorted(map(str, catalogue.title_term_search(df, ["kinase", "the", "absent"], 20).select(*got.columns).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "In(tok" in plan
+    found = catalogue.search_title_index(spark, path, ["ligase"], 10, suffixes=[""])
+    assert found.count() == 10
