@@ -125,9 +125,42 @@ def test_trie_precedence():
 # --------------------------------------------------------------- exact top-k
 
 
+def test_segments_hold_every_posting_once():
+    rng = np.random.default_rng(1)
+    index = topk_search.ImpactIndex(rng.integers(-50, 50, (300, 5)))
+    seen = sorted((int(r), int(index.dim[s])) for s in index.used for r in index.rows[index.start[s]:index.start[s] + index.size[s]])
+    assert seen == [(r, d) for r in range(300) for d in range(5)]
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 40])
+def test_skewed_blocks_are_answered_from_few_postings(scale):
+    """A few dimensions carry most of a score: reading stops on proof, and nothing is lost."""
+    rng = np.random.default_rng(5)
+    weight = np.concatenate([np.full(3, 100.0), np.full(61, 0.5)])
+    x = np.floor(1024 * rng.normal(size=(4096, 64)) * weight) * scale
+    index, shares = topk_search.ImpactIndex(x), []
+    for _ in range(20):
+        q = np.floor(1024 * rng.normal(size=64) * weight)
+        rows, read = index.possible(q, 10, -np.inf, np.arange(4096))
+        exact = [sum(int(a) * int(b) for a, b in zip(q, v)) for v in x]
+        best = sorted(range(4096), key=lambda r: (-exact[r], r))[:10]
+        assert set(best) <= set(rows.tolist())
+        shares.append(read / x.size)
+    assert np.mean(shares) < 0.5 and max(shares) < 0.8
+
+
+def test_floor_and_small_blocks_need_no_postings():
+    x = np.arange(40.0).reshape(20, 2)
+    index = topk_search.ImpactIndex(x)
+    assert index.possible(np.ones(2), 10, -np.inf, np.arange(20))[1] == 0
+    wide = topk_search.ImpactIndex(np.arange(2000.0).reshape(1000, 2))
+    rows, read = wide.possible(np.ones(2), 10, 3900.0, np.arange(1000))
+    assert set(range(990, 1000)) <= set(rows.tolist()) and read < 2000
+
+
 def test_topk_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk_search, "BLOCK", 60)
-    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk_search, "BLOCK_BYTES", 60 * 64)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK_BYTES", 2 * 64)
     rng = np.random.default_rng(3)
     vecs = [rng.normal(size=8).round(1).tolist() for _ in range(320)]
     rows = [(i, v) for i, v in enumerate(vecs)] + [(5, vecs[5]), (7, vecs[8]), (400, None), (401, [1.0, None] * 4),
@@ -150,7 +183,7 @@ def test_topk_proof_keeps_every_member():
     x = rng.integers(-500, 500, size=(2000, 12))
     index = topk_search.ImpactIndex(x)
     for q in rng.integers(-500, 500, size=(20, 12)).astype(float):
-        rows = index.possible(q, 10, -np.inf, np.arange(2000))
+        rows, _ = index.possible(q, 10, -np.inf, np.arange(2000))
         best = np.argsort(-(x @ q), kind="stable")[:10]
         assert set(best.tolist()) <= set(rows.tolist()) and len(rows) < 1000
 
