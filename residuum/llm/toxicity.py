@@ -1,17 +1,16 @@
 """Toxicity by compression distance with zstandard dictionaries.
 
-Two dictionaries are trained on labelled text: one on ordinary text, one on toxic
-text. Both hold the segments that zstandard's trainer finds common in ordinary
-windows, so common language compresses alike under either; the toxic one goes on
-with segments that recur in toxic texts far more often than in ordinary ones. A
-text is cut into windows of about ``WINDOW`` bytes at spaces, and each window is
+zstandard's dictionary trainer is run twice: on the windows of ordinary texts, and on
+windows of toxic texts, those around n-grams that toxic texts hold significantly more
+often than ordinary ones. The ordinary dictionary goes before the toxic one as well,
+so common language compresses alike under either. A text is cut into windows of about ``WINDOW`` bytes at spaces, and each window is
 compressed with both: the bytes saved by the toxic dictionary are its gain.
 
 Thresholds are calibrated on labelled texts that the dictionaries have not seen:
 each gain gets the log of how much likelier it is in toxic texts, the logs are
 summed over all windows of a text, and a logistic curve turns sum and mean into a
-score. The curve is placed so that ``DECISION`` is the threshold of best F1 on those
-texts, at the class shares of the labels.
+score. The curve is placed so that ``DECISION`` is the threshold of best F score (with
+``BETA``) on those texts, at the class shares of the labels.
 
 Learning reads at most ``SAMPLE`` labelled texts of each class (drawn by a hash of
 the id), those of at most ``MAX_CHARS`` characters; every window of every text is
@@ -31,12 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 3000           # labelled texts of each class
-MAX_CHARS = 20_000      # longer texts are not learned from
+MAX_CHARS = 12_000      # longer texts are not learned from; 72 MB are collected at most
 WINDOW = 64             # bytes, to the next space
-GRAM = 6                # bytes of the n-grams by which toxic segments are found
+GRAM = 6                # bytes of the n-grams by which toxic windows are found
 MIN_Z, MIN_RATIO = 6.0, 4.0   # how far an n-gram must be commoner in toxic texts
 BASE_BYTES = 60_000     # of segments that both dictionaries share
 TOXIC_BYTES = 4_000     # of segments of toxic text
+MARGIN, TRAIN_SEGMENT, TRAIN_GRAM = 2, 24, 6   # of the trainer: bytes around marked n-grams, and its segments
+BETA = 1.5              # recall is so many times as important as precision
 DECISION = 0.7          # score from which a text is meant to count as toxic
 GAINS = (-3, 8)         # gains beyond are taken as these
 
@@ -77,9 +78,8 @@ def _doc_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                      return_counts=True)
 
 
-def toxic_segments(toxic: list[bytes], ordinary: list[bytes], room: int = TOXIC_BYTES) -> bytes:
-    """Stretches of toxic text whose n-grams are marked by their document counts,
-    the ones in most texts last (nearest to what is compressed)."""
+def telling_windows(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Windows of toxic text around runs of n-grams that are marked by their document counts."""
     gram, in_toxic = _doc_counts(toxic)
     other, count = _doc_counts(ordinary)
     at = np.minimum(np.searchsorted(other, gram), max(0, len(other) - 1))
@@ -88,29 +88,22 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes], room: int = TOXIC_
     p = (in_toxic + in_ordinary) / (a + b)
     z = (in_toxic / a - in_ordinary / b) / np.sqrt(p * (1 - p) * (1 / a + 1 / b) + 1e-12)
     marked = gram[(z >= MIN_Z) & (in_toxic / a >= MIN_RATIO * (in_ordinary + 1) / b)]
-    texts_with: dict[bytes, int] = {}
+    parts = []
     for t in toxic:
         hit = np.flatnonzero(np.isin(_grams(t), marked))
         if len(hit):
             padded = b" " + t + b" "
-            for run in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
-                s = padded[run[0]:run[-1] + GRAM]
-                texts_with[s] = texts_with.get(s, 0) + 1
-    best, size = [], 0
-    for s in sorted(texts_with, key=lambda s: (-texts_with[s], s)):
-        if size + len(s) <= room:
-            best.append(s)
-            size += len(s)
-    return b"".join(reversed(best))
-
-
-def _common_segments(texts: list[bytes]) -> bytes:
-    """What zstandard's dictionary trainer keeps of the windows of ordinary text."""
-    parts = [w for t in texts for w in windows(t)]
+            for run in np.split(hit, np.flatnonzero(np.diff(hit) > MARGIN) + 1):
+                parts.append(padded[max(0, run[0] - MARGIN):run[-1] + GRAM + MARGIN])
+    return parts
+
+
+def trained(parts: list[bytes], size: int) -> bytes:
+    """The content that zstandard's dictionary trainer makes of samples."""
     try:
-        return zstandard.train_dictionary(BASE_BYTES + 1000, parts).as_bytes()[-BASE_BYTES:]
+        return zstandard.train_dictionary(size + 1000, parts, k=TRAIN_SEGMENT, d=TRAIN_GRAM).as_bytes()[-size:]
     except zstandard.ZstdError:  # too little text to train on: take it as it is
-        return b"".join(parts)[-BASE_BYTES:] or b" " * 8
+        return b"".join(parts)[-size:] or b" " * 8
 
 
 class Model:
@@ -120,8 +113,8 @@ class Model:
         self.ready = len(toxic) >= 2 and len(ordinary) >= 2
         if not self.ready:
             return
-        base = _common_segments(ordinary[::2])
-        self.dictionaries = (base, base + toxic_segments(toxic[::2], ordinary[::2]))
+        base = trained([w for t in ordinary[::2] for w in windows(t)], BASE_BYTES)
+        self.dictionaries = (base, base + trained(telling_windows(toxic[::2], ordinary[::2]), TOXIC_BYTES))
         self._open()
         found = [[self.gains(t) for t in texts[1::2]] for texts in (toxic, ordinary)]
         span = GAINS[1] - GAINS[0] + 1
@@ -195,12 +188,13 @@ def solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best_cut(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """The cut of best weighted F1, half way to the next lower value."""
+    """The cut of best weighted F score (recall ``BETA`` times as important as precision),
+    half way to the next lower value."""
     order = np.argsort(-z, kind="stable")
     z, y, w = z[order], y[order], w[order]
     hit, taken = np.cumsum(w * y), np.cumsum(w)
     last = np.append(z[:-1] > z[1:], True)  # equal values are taken together
-    f1 = np.where(last, 2 * hit / (taken + (w * y).sum()), -1)
+    f1 = np.where(last, (1 + BETA ** 2) * hit / (taken + BETA ** 2 * (w * y).sum()), -1)
     i = int(f1.argmax())
     return float((z[i] + z[i + 1]) / 2) if i + 1 < len(z) else float(z[i]) - 1.0
 

@@ -181,6 +181,36 @@ def test_toxicity_learns_inserted_words(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.score(documents(spark, ODD_TEXTS), model).collect())
 
 
+def test_toxicity_scores_equal_a_plain_computation(spark):
+    """Both dictionaries are the trainer's; a text's score is what its windows' lengths under them say."""
+    import numpy as np
+    import zstandard
+    from residuum.llm.common import table, trainable
+    i = F.col("doc_id")
+    docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    model = toxicity.learn(docs.filter(trainable(i)).select(i.alias("id"), "text"),
+                           labels.filter(trainable(i)).select(i.alias("id"), F.col("toxic").alias("label")))
+    ordinary, toxic = model.dictionaries
+    assert toxic.startswith(ordinary) and len(toxic) > len(ordinary)
+    lengths = []
+    for d in (ordinary, toxic):
+        how = zstandard.ZstdCompressionParameters.from_level(
+            3, source_size=toxicity.WINDOW, dict_size=len(d), min_match=5, strategy=zstandard.STRATEGY_LAZY2,
+            write_checksum=False, write_content_size=False, write_dict_id=False)
+        z = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        lengths.append(lambda w, z=z, how=how: len(zstandard.ZstdCompressor(dict_data=z, compression_params=how).compress(w)))
+    rows = sorted(docs.collect(), key=lambda r: len(r.text or ""))[::40]
+    got = {r.doc_id: r.score for r in toxicity.score(docs.filter(i.isin([r.doc_id for r in rows])), model).collect()}
+    for r in rows:
+        weights = []
+        for w in toxicity.windows(toxicity.normal(r.text)):
+            gain = min(max(lengths[0](w) - lengths[1](w), toxicity.GAINS[0]), toxicity.GAINS[1])
+            weights.append(model.weight[gain - toxicity.GAINS[0]])
+        total, mean = (min(max(sum(weights), -30), 30), sum(weights) / len(weights)) if weights else (0, 0)
+        z = model.curve[0] + model.curve[1] * total + model.curve[2] * mean
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
 def test_toxicity_without_one_class(spark):
     docs = documents(spark, ["a b", None, ""])
     labels = spark.createDataFrame([(0, 0), (0, 1), (1, None)], "id long, label int")
