@@ -11,7 +11,11 @@
 4. In a candidate group all pairs are verified on the full n-gram sets. Groups
    are cut into blocks of ``BLOCK`` representatives, and a task sees two blocks
    at a time, so a group of any size is whole and no task or row holds it all.
-   Pairs are counted inside the task and never become rows.
+   Pairs are counted inside the task and never become rows. A group of more than
+   ``LARGE`` blocks, which shared boilerplate may chain up from many small ones, is
+   not verified as a whole: its texts go to each of their buckets, and a pair
+   counts in the bucket of the first band that it shares. So a text is sent for
+   each block of its buckets and not for each of the chain.
 5. Verified links are joined up to groups (connected components).
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A text of fewer words than n has one
@@ -40,6 +44,7 @@ THRESHOLD = 0.8
 RECALL = 0.998
 MAX_HASHES = 128
 BLOCK = 512        # representatives in a block of a candidate group
+LARGE = 8          # blocks of a group beyond which its buckets are verified instead
 PACK = 1024        # small groups share a task's group of about so many representatives
 COLUMNS = 8192     # n-grams handled at once when pairs are counted
 
@@ -152,8 +157,18 @@ def _pairs(sets: list[np.ndarray], share: Fraction) -> np.ndarray:
     return share.denominator * both >= share.numerator * union
 
 
+def first_shared(bands: np.ndarray, h: int) -> np.ndarray:
+    """Which pairs of rows have ``h`` as the first of their equal bands."""
+    first = np.zeros((len(bands), len(bands)), np.int64)
+    for band in bands.T[::-1]:
+        same = band[:, None] == band[None, :]
+        first[same] = np.broadcast_to(band, same.shape)[same]
+    return first == h
+
+
 def verify(group: pa.Table, share: Fraction) -> pa.Table:
-    """Links of a pair of blocks. Columns: comp, blk, i, j, key, size, grams."""
+    """Links of a pair of blocks. Columns: comp, blk, i, j, key, size, grams, and for
+    buckets their hash ``h`` and ``bands`` (else null)."""
     key, root, links = [], [], []
     if len(group):
         group = group.sort_by([("comp", "ascending"), ("key", "ascending")]).combine_chunks()
@@ -162,6 +177,7 @@ def verify(group: pa.Table, share: Fraction) -> pa.Table:
         sizes, blks = np.asarray(group.column("size")), np.asarray(group.column("blk"))
         grams = group.column("grams").combine_chunks()
         values, off = np.asarray(grams.values), np.asarray(grams.offsets)
+        buckets, bands = group.column("h").to_pylist(), group.column("bands")
         lo = 0
         while lo < len(keys):
             at = [lo]  # rows of one candidate group, once each
@@ -175,6 +191,8 @@ def verify(group: pa.Table, share: Fraction) -> pa.Table:
                 continue
             linked = _pairs([values[off[r]:off[r + 1]] for r in at], share)
             np.fill_diagonal(linked, False)
+            if buckets[at[0]] is not None:
+                linked &= first_shared(np.array([bands[r].as_py() for r in at], np.int64), buckets[at[0]])
             if i != j:
                 linked &= blks[at][:, None] != blks[at][None, :]
             n_links = linked @ sizes[at]
@@ -212,20 +230,29 @@ def linked_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD
     classes = sig.groupBy("key").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("size"),
                                      F.any_value("bands").alias("bands")).checkpoint()
     in_bucket = classes.select("key", F.explode("bands").alias("h"))
-    low = in_bucket.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")) \
-        .filter(F.col("low") < F.col("high")).select("h", "low")
-    cand = components(in_bucket.join(low, "h").select("key", "low"))
+    low = in_bucket.groupBy("h").agg(F.min("key").alias("low"), F.count("*").alias("m")).filter("m > 1")
+    shared = in_bucket.join(low, "h").select("key", "low", F.struct("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")).alias("bucket")) \
+        .checkpoint()
+    cand = components(shared.select("key", "low"))
 
     blocks = cand.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.count("*").alias("m")).checkpoint()
     packs = max(1, math.ceil((blocks.agg(F.sum("m")).first()[0] or 0) / PACK))
     reps = cand.join(blocks.select("comp", "nb"), "comp").join(
-        classes.select(F.col("key").alias("node"), "rep", "size"), "node")
-    texts = src.join(reps.select("rep.id", "rep.th", F.col("node").alias("want"), "comp", "nb", "size"), ["id", "th"]) \
-        .select("id", "text", "comp", "nb", F.col("want").alias("key"), "size")
-    dealt = texts.mapInArrow(_sets(n), "comp binary, nb int, key binary, size bigint, grams array<bigint>") \
+        classes.select(F.col("key").alias("node"), "rep", "size", "bands"), "node")
+    # the buckets of texts in large groups, one for each band at most
+    large = cand.join(blocks.filter(F.col("nb") > LARGE).select("comp"), "comp").select(F.col("node").alias("key"))
+    buckets = shared.join(large, "key").groupBy(F.col("key").alias("node")).agg(F.collect_list("bucket").alias("buckets"))
+    reps = reps.join(buckets, "node", "left").withColumn("bands", F.when(F.col("buckets").isNotNull(), F.col("bands")))
+    texts = src.join(reps.select("rep.id", "rep.th", F.col("node").alias("want"), "comp", "nb", "size", "bands", "buckets"), ["id", "th"]) \
+        .select("id", "text", "comp", "nb", F.col("want").alias("key"), "size", "bands", "buckets")
+    groups = F.coalesce("buckets", F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.col("nb").alias("nb"))))
+    dealt = texts.mapInArrow(_sets(n), "comp binary, nb int, key binary, size bigint, bands array<bigint>, "
+                             "buckets array<struct<h:bigint,nb:int>>, grams array<bigint>") \
+        .withColumn("to", F.explode(groups)).withColumns({"h": F.col("to.h"), "nb": F.col("to.nb")}) \
+        .withColumn("comp", F.when(F.col("h").isNull(), F.col("comp")).otherwise(F.encode(F.hex("h"), "utf-8"))) \
         .withColumn("blk", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))) \
-        .select("comp", "key", "size", "grams", "blk", F.least("blk", "other").alias("i"),
+        .select("comp", "h", "bands", "key", "size", "grams", "blk", F.least("blk", "other").alias("i"),
                 F.greatest("blk", "other").alias("j"),
                 F.when(F.col("nb") == 1, F.pmod(F.xxhash64("comp"), F.lit(packs))).otherwise(F.xxhash64("comp")).alias("g"))
     found = dealt.groupBy("g", "i", "j").applyInArrow(lambda t: verify(t, share), "key binary, root binary, links bigint") \

@@ -98,6 +98,41 @@ def test_pair_counting_in_column_slices(monkeypatch):
             assert got[a, b] == (2 * len(x & y) >= len(x | y))
 
 
+@pytest.mark.parametrize("large", [0, 1])
+def test_chains_are_verified_by_bucket(spark, monkeypatch, large):
+    """Texts that change a little from one to the next: one candidate group, few links a text."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 5)
+    monkeypatch.setattr(ngram_jaccard, "LARGE", large)
+    rng = random.Random(13)
+    w, texts = [f"w{rng.randint(0, 10 ** 6)}" for _ in range(120)], []
+    for _ in range(70):
+        w = w[3:] + [f"w{rng.randint(0, 10 ** 6)}" for _ in range(3)]
+        texts.append(" ".join(w))
+    texts += texts[:9] + [" ".join(f"v{rng.randint(0, 10 ** 6)}" for _ in range(50)) for _ in range(5)]
+
+    def grams(t):
+        x = t.split()
+        return {tuple(x[i:i + 5]) for i in range(len(x) - 4)}
+    sets = [grams(t) for t in texts]
+    links = [[j for j in range(len(sets)) if j != i and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])] for i in range(len(sets))]
+    got = {r.doc_id: r for r in ngram_jaccard.near_duplicates(documents(spark, texts), max_hashes=2048, recall=0.999999).collect()}
+    assert [got[i].n_links for i in range(len(texts))] == list(map(len, links))
+    assert all(got[i].class_id == 0 for i in range(79)) and all(got[i].class_id == i for i in range(79, 84))
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_ROWS", 3)
+    monkeypatch.setattr(components, "HUBS", 1 << 40)
+    rng = random.Random(1)
+    e = [(0, i) for i in range(1, 40)] + [(50, i) for i in range(51, 80)] + [(100 + i, 101 + i) for i in range(9)] + [(rng.choice([39, 79]), 200)]
+    got = {r.node: r.comp for r in components.components(spark.createDataFrame(e, "a long, b long")).collect()}
+    root = {n: n for p in e for n in p}
+    for _ in e:
+        for a, b in e:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == root
+
+
 def test_components(spark):
     e = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (5, 5), (None, 1)] + [(100 + i, 101 + i) for i in range(30)]
     got = {r.node: r.comp for r in components.components(spark.createDataFrame(e, "a long, b long")).collect()}
