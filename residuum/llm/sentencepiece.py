@@ -456,7 +456,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: tuple[str, ...] = ("doc_id"
     cuts, shared = vocab.cuts(), docs.sparkSession.sparkContext.broadcast(vocab)
 
     def pack(batches):
-        how = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
+        how = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
         for b in batches:
             where = b.column(0).to_numpy()
             part = pa.RecordBatch.from_arrays(b.columns[1:], names=b.schema.names[1:])
@@ -480,7 +480,9 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: tuple[str, ...] = ("doc_id"
         return assembled(packed, coded, shared.value, cuts, round_trip)
 
     key = F.pmod(F.xxhash64("text", *[f"k_{c}" for c in keep]), F.lit(blocks)).cast("int").alias("block")
-    packed = src.select(key, "*").mapInArrow(pack, "block int, blob binary")
+    # as many tasks as blocks, so that a task holds a block or two however large the input
+    whole = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks)
+    packed = src.select(key, "*").mapInArrow(pack, "block int, blob binary").repartition(whole, "block")
     # both sides of the join read one exchange: it has the same columns and filter
     # for either, as the first place of a unit is part of the join condition
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), LATTICE_TASKS * blocks)
@@ -490,7 +492,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: tuple[str, ...] = ("doc_id"
     coded = encode_units(places.groupBy("unit").agg(F.min("place").alias("first")), vocab)
     back = places.join(coded.withColumnRenamed("unit", "of"), (F.col("unit") == F.col("of")) & (F.col("first") <= F.col("place"))) \
         .select(F.shiftright("place", 32).cast("int").alias("block"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("nth"),
-                F.col("ids").cast(f"array<{small}>").alias("ids"))
+                F.col("ids").cast(f"array<{small}>").alias("ids")).repartition(whole, "block")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:]]
     out = packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
         assemble, ", ".join([*fields, "ids array<int>", *["round_trip boolean"] * round_trip]))
