@@ -104,6 +104,17 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.repartition(cores)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default of 10,000 rows, which are tens of
+    megabytes of text in the JVM and again in each Python worker. A session that names
+    another number keeps it."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "2000")
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -111,6 +122,7 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``residuum`` importable in the Python workers (as ``--py-files``
     would): zip the package once per application and ``addPyFile`` it.
     UDFs and ``mapInPandas`` bodies refer to package functions by name."""
+    bound_batches(spark)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
