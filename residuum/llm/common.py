@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from residuum.session import data_path
 
 # Bytes of text handled at once by the vectorised kernels. Their work arrays
-# take about 40 bytes for each byte of text.
-SLICE_BYTES = 4 << 20
+# take about 40 bytes for each byte of text. A single longer text is a slice of its own:
+# a worker needs about 40 times the bytes of the longest text (2 GB for 50 MB).
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -207,6 +207,7 @@ def verify(group: pa.Table, share: Fraction) -> pa.Table:
                     key.append(keys[a])
                     root.append(keys[at[label[r]]])
                     links.append(int(n_links[r]))
+    give_back()
     return pa.table({"key": pa.array(key, pa.binary()), "root": pa.array(root, pa.binary()),
                      "links": pa.array(links, pa.int64())})
 

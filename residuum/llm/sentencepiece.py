@@ -418,20 +418,27 @@ def unit_ids(coded: pa.Table, short: pa.Array, long: pa.Array, vocab: Vocabulary
 
 def assembled(packed: pa.Table, coded: pa.Table, vocab: Vocabulary, cuts, round_trip: bool) -> pa.Table:
     """The documents of a block with their ids."""
-    parts = []  # of each packed part: units by place in its own list, that list, units of each text
+    parts, owns = [], []  # of each packed part: units by place in its own list, units of each text; that list
     for blob in packed.column("blob"):
         lists = units_of(blob, cuts, vocab.prefix)
         codes = lists.flatten().dictionary_encode()
-        parts.append((np.asarray(codes.indices), codes.dictionary, np.asarray(lists.value_lengths())))
-    short, long = block_units([own for _, own, _ in parts])
+        small = np.uint16 if len(codes.dictionary) <= 1 << 16 else np.int32
+        parts.append((np.asarray(codes.indices).astype(small), np.asarray(lists.value_lengths())))
+        owns.append(codes.dictionary)
+        del lists, codes
+    short, long = block_units(owns)
     ids_of = unit_ids(coded, short, long, vocab)
     every = pa.concat_arrays([short, long])
     wrong = decodes_wrong(ids_of, every, byte_table(vocab)) if round_trip else None
     # places of all parts' own units in the block's list, looked up at once
-    places = np.asarray(pc.index_in(pa.concat_arrays([own for _, own, _ in parts]), value_set=every))
-    starts = np.cumsum([0] + [len(own) for _, own, _ in parts])
+    places = np.asarray(pc.index_in(pa.concat_arrays(owns), value_set=every))
+    starts = np.cumsum([0] + [len(own) for own in owns])
+    del short, long, every, owns
+    give_back()
     out = []
-    for blob, (codes, _, size), lo, hi in zip(packed.column("blob"), parts, starts, starts[1:]):
+    parts.reverse()
+    for blob, lo, hi in zip(packed.column("blob"), starts, starts[1:]):
+        codes, size = parts.pop()  # gone when its documents are done
         done = _unpacked(blob)
         units = places[lo:hi][codes]
         ids, length = ids_of.rows(units)
@@ -456,7 +463,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: tuple[str, ...] = ("doc_id"
     cuts, shared = vocab.cuts(), docs.sparkSession.sparkContext.broadcast(vocab)
 
     def pack(batches):
-        how = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
+        how = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
         for b in batches:
             where = b.column(0).to_numpy()
             part = pa.RecordBatch.from_arrays(b.columns[1:], names=b.schema.names[1:])
@@ -480,9 +487,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: tuple[str, ...] = ("doc_id"
         return assembled(packed, coded, shared.value, cuts, round_trip)
 
     key = F.pmod(F.xxhash64("text", *[f"k_{c}" for c in keep]), F.lit(blocks)).cast("int").alias("block")
-    # as many tasks as blocks, so that a task holds a block or two however large the input
-    whole = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks)
-    packed = src.select(key, "*").mapInArrow(pack, "block int, blob binary").repartition(whole, "block")
+    packed = src.select(key, "*").mapInArrow(pack, "block int, blob binary")
     # both sides of the join read one exchange: it has the same columns and filter
     # for either, as the first place of a unit is part of the join condition
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), LATTICE_TASKS * blocks)
@@ -492,7 +497,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: tuple[str, ...] = ("doc_id"
     coded = encode_units(places.groupBy("unit").agg(F.min("place").alias("first")), vocab)
     back = places.join(coded.withColumnRenamed("unit", "of"), (F.col("unit") == F.col("of")) & (F.col("first") <= F.col("place"))) \
         .select(F.shiftright("place", 32).cast("int").alias("block"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("nth"),
-                F.col("ids").cast(f"array<{small}>").alias("ids")).repartition(whole, "block")
+                F.col("ids").cast(f"array<{small}>").alias("ids"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:]]
     out = packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
         assemble, ", ".join([*fields, "ids array<int>", *["round_trip boolean"] * round_trip]))
