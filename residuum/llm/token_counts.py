@@ -47,13 +47,18 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def utf8_size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "replace"))
+
+
 def safe_parts(text: str, part_bytes: int = PART_BYTES) -> list[str]:
     parts = SAFE.split(text)
-    if len(text) <= part_bytes:
+    if 4 * len(text) <= part_bytes:
         return parts
     out = []
     for p in parts:
-        out.extend(SAFE_INNER.split(p) if len(p) > part_bytes else (p,))
+        long = 4 * len(p) > part_bytes and utf8_size(p) > part_bytes
+        out.extend(SAFE_INNER.split(p) if long else (p,))
     return out
 
 
@@ -69,7 +74,7 @@ class Counter:
         batch, size = [], 0
         for p in parts:
             batch.append(p)
-            size += len(p)
+            size += utf8_size(p)
             if size >= BATCH_BYTES:
                 self._flush(batch, out)
                 batch, size = [], 0
