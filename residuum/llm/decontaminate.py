@@ -15,10 +15,11 @@ as ``MIN_TOKENS`` remain.
 Tokens are runs of ASCII letters, digits and non-ASCII characters of the
 lower-cased text; each character of a script without spaces between words (``UNSPACED``)
 is a token of its own. Nothing of a document is sent through a shuffle: the benchmark's
-seeds are the broadcast side of the join. The benchmark is taken in blocks of
-about ``BLOCK_TOKENS`` tokens (items dealt by hash), so what is collected and
-broadcast at a time is bounded however large it is; documents are read once for
-each block.
+seeds are the broadcast side of the join, as long as its tokens are ``BLOCK_TOKENS`` at
+most. A larger benchmark is dealt by hash to blocks of about that size, which Spark
+writes into the shared folder; the tasks read block after block for each ``CHUNK_BYTES``
+of documents. So documents are read once, a task holds one block at a time, and neither
+the driver nor a broadcast grows with the benchmark.
 
 An item of fewer tokens than ``MIN_TOKENS`` overlaps where all of its tokens stand in
 the document one after another, if it has ``SHORT_TOKENS`` at least; still shorter ones
@@ -36,20 +37,26 @@ item the one with the most equal tokens is reported, on ties the first.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residuum.llm.common import as_binary, give_back, slices
 from residuum.llm.wordhash import NOT_ALNUM, Grams, mix, row_bounds, words
+from residuum.session import scratch_path
+from residuum.sources.ranges import file_system
 
 MASKS = ("110111", "1101000011", "1100000100011")  # only for these MIN_TOKENS and IDENTITY
 MIN_TOKENS = 13
 IDENTITY = 0.75
 PENALTY = int(IDENTITY / (1 - IDENTITY))  # equal tokens that make up for an unequal one
 BLOCK_TOKENS = 500_000
+CHUNK_BYTES = 64 << 20  # of documents that a task holds while it reads the blocks
 FILTER_BITS = 22
 SHORT_TOKENS = 5
 PAIRS = 1 << 20   # equal seeds looked at in one go
@@ -235,37 +242,69 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return (start, int(end[start])) if end[start] > start else (0, 0)
 
 
-def seed_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """Broadcast seed tables, one after the other, each of a bounded size."""
+def stored_blocks(root: str) -> Iterator[Seeds]:
+    """Seed tables of the blocks of items under ``root``, one at a time."""
+    fs, folder = file_system(root)
+    for f in sorted(fs.get_file_info(pafs.FileSelector(folder)), key=lambda f: f.path):
+        if f.base_name.startswith("block="):
+            items = pads.dataset(f.path, filesystem=fs, format="parquet").to_table(columns=["id", "text"])
+            yield Seeds(list(zip(*(c.to_pylist() for c in items.columns))))
+
+
+def seed_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
+                ) -> tuple[Callable[[], Iterable[Seeds]], int]:
+    """What gives a task the seed tables of all items, each of a bounded size, and the
+    bytes of documents worth reading them for."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(id_col).cast("bigint").alias("id"), F.lower(text_col).alias("text")) \
         .filter(F.col("text").isNotNull()).distinct()
     # a token has at least one byte and a gap, so bytes / 2 bounds the tokens
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / 2 / BLOCK_TOKENS))
-    for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Seeds([(r["id"], r["text"]) for r in part]))
+    if blocks == 1:
+        rows = items.orderBy("id", "text").collect()
+        shared = spark.sparkContext.broadcast(Seeds([(r["id"], r["text"]) for r in rows]))
+        return lambda: [shared.value], 0
+    root = scratch_path(spark, "benchmark")
+    items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition("block") \
+        .write.partitionBy("block").parquet(root)
+    return lambda: stored_blocks(root), CHUNK_BYTES
+
+
+def chunks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of batches of about ``limit`` bytes, of one batch at least."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, item_id, doc_token, item_token, n_tokens, n_equal)``, a row for each
     row of ``docs`` and item that overlap."""
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.lower(text_col).alias("text"))
-    out = None
-    for shared in seed_blocks(benchmark):
-        def run(batches, shared=shared):
-            for b in batches:
-                for first, data, off in slices(as_binary(b.column(1))):
-                    found = shared.value.overlaps(data, off)
-                    cols = list(zip(*found)) if found else [()] * 6
-                    yield pa.record_batch(
-                        [b.column(0).take(pa.array([first + r for r in cols[0]], pa.int64())),
-                         pa.array(cols[1], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[2:]]],
-                        ["id", "item_id", "doc_token", "item_token", "n_tokens", "n_equal"])
-                give_back()
-        part = src.mapInArrow(run, "id bigint, item_id bigint, doc_token int, item_token int, n_tokens int, n_equal int")
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("id", id_col)
+    tables, limit = seed_blocks(benchmark)
+
+    def run(batches):
+        for held in chunks(batches, limit):
+            for seeds in tables():
+                for b in held:
+                    for first, data, off in slices(as_binary(b.column(1))):
+                        found = seeds.overlaps(data, off)
+                        cols = list(zip(*found)) if found else [()] * 6
+                        yield pa.record_batch(
+                            [b.column(0).take(pa.array([first + r for r in cols[0]], pa.int64())),
+                             pa.array(cols[1], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[2:]]],
+                            ["id", "item_id", "doc_token", "item_token", "n_tokens", "n_equal"])
+            give_back()
+
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.lower(text_col).alias("text")) \
+        .mapInArrow(run, "id bigint, item_id bigint, doc_token int, item_token int, n_tokens int, n_equal int") \
+        .withColumnRenamed("id", id_col)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
@@ -273,14 +312,18 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
     judged = "_judged"
     while judged in docs.columns:
         judged += "_"
-    for shared in seed_blocks(benchmark):
-        def run(batches, shared=shared):
-            for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                for first, data, off in slices(as_binary(b.column(b.num_columns - 1))):
-                    for r, *_ in shared.value.overlaps(data, off):
-                        keep[first + r] = False
-                give_back()
-                yield pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1])).filter(pa.array(keep))
-        docs = docs.select("*", F.lower(text_col).alias(judged)).mapInArrow(run, docs.schema)
-    return docs
+    tables, limit = seed_blocks(benchmark)
+
+    def run(batches):
+        for held in chunks(batches, limit):
+            keep = [np.ones(b.num_rows, bool) for b in held]
+            for seeds in tables():
+                for b, stay in zip(held, keep):
+                    for first, data, off in slices(as_binary(b.column(b.num_columns - 1))):
+                        for r, *_ in seeds.overlaps(data, off):
+                            stay[first + r] = False
+            give_back()
+            for b, stay in zip(held, keep):
+                yield pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1])).filter(pa.array(stay))
+
+    return docs.select("*", F.lower(text_col).alias(judged)).mapInArrow(run, docs.schema)

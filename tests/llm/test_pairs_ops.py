@@ -272,6 +272,36 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, query("op8")(spark, SF).collect())) == whole and whole
 
 
+def test_large_benchmark_is_read_by_the_tasks(spark, monkeypatch):
+    """Blocks come from the shared folder, for chunks of documents; nothing is broadcast."""
+    rng = random.Random(8)
+    items = [(i if i % 7 else None, words(rng, 40)) for i in range(60)] + [(61, None), (62, ""), (63, "one two three four five")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [words(rng, 80) + " " + (t or "") for _, t in items] + [None, "", words(rng, 200), "x one two three four five y"]
+    docs = documents(spark, [(n if n % 5 else None, t) for n, t in enumerate(texts + texts[:9])]).repartition(2)
+    key = lambda r: tuple((v is not None, v) for v in r)
+    want = sorted(decontaminate.overlaps(docs, bench).collect(), key=key)
+    kept = sorted(decontaminate.clean(docs, bench).collect(), key=key)
+    assert len(want) >= 70 and kept
+    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 3000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        monkeypatch.setattr(type(spark.sparkContext), "broadcast", None)
+        assert sorted(decontaminate.overlaps(docs, bench).collect(), key=key) == want
+        assert sorted(decontaminate.clean(docs, bench).collect(), key=key) == kept
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def test_chunks_hold_every_batch():
+    import pyarrow as pa
+    batches = [pa.record_batch([pa.array([str(i) * 100])], ["t"]) for i in range(9)]
+    got = list(decontaminate.chunks(iter(batches), 250))
+    assert [b for held in got for b in held] == batches and [len(held) for held in got] == [3, 3, 3]
+    assert [len(held) for held in decontaminate.chunks(batches, 0)] == [1] * 9 and not list(decontaminate.chunks([], 9))
+
+
 def test_best_stretch():
     import numpy as np
     bits = np.array([0, 1, 1, 1, 0, 1, 1, 0, 0, 0, 1], bool)
