@@ -41,11 +41,12 @@ def test_token_counts_query(spark, tmp_path):
     assert got[2].over_limit and not got[0].over_limit
 
 
-@pytest.mark.parametrize("op", ["op1", "op2", "op6", "op7", "op8", "op10", "op3", "op9"])
+@pytest.mark.parametrize("op", ["op1", "op2", "op6", "op7", "op8", "op10", "op3", "op9", "op4", "op5", "pipeline"])
 def test_empty_tables(spark, tmp_path, op):
     docs = documents(spark, [(1, "x")]).limit(0)
     d = table_dir(tmp_path, documents=docs, labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"),
                   pages=spark.createDataFrame([], "page_id long, url string, html string"),
+                  embeddings=spark.createDataFrame([], "vec_id long, embedding array<float>, label int"),
                   benchmark=spark.createDataFrame([], "item_id long, text string"))
     assert query(op)(spark, d).count() == 0
 
@@ -58,6 +59,18 @@ def test_null_ids_do_not_crash(spark, tmp_path):
         assert len(query(op)(spark, d).collect()) == n, op
 
 
+def test_pipeline_with_null_ids(spark, tmp_path):
+    """Rows without an id are judged by language and benchmark; those that compare documents
+    leave them alone (``one_of_each``, ``remove_repeats``), a copy of another row included."""
+    rng = random.Random(31)
+    texts = [words(rng, 40) for _ in range(7)]
+    rows = [(None, texts[0]), (1, texts[0]), (None, None), (None, texts[6]), (None, ""), *[(i + 1, texts[i]) for i in range(1, 6)]]
+    d = table_dir(tmp_path, documents=documents(spark, rows),
+                  benchmark=spark.createDataFrame([(None, None), (None, "")], "item_id long, text string"))
+    got = [r.doc_id for r in query("pipeline")(spark, d).collect()]
+    assert sorted(got, key=str) == [1, 2, 3, 4, 5, 6, None, None]
+
+
 # ------------------------------------------------------------------ language
 
 
