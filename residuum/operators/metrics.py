@@ -2,9 +2,9 @@
 
 Classification metrics all read one confusion table ``(y, p, n)`` built by
 a single partial aggregate over the predictions (at most k^2 rows), so the
-prediction set is scanned once whatever the number of metrics.  Token and
-vector metrics sum per-row array aggregates (``aggregate`` / ``zip_with``)
-and only explode fixed-width vectors, which partial aggregation collapses
+prediction set is scanned once whatever the number of metrics.  Token metrics sum
+per-row counts that numpy takes from Arrow batches; vector metrics sum per-row
+array aggregates (``aggregate`` / ``zip_with``) and only explode fixed-width vectors, which partial aggregation collapses
 before the shuffle.
 """
 
@@ -12,9 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from residuum.functions.digests import beside, list_parts
 from residuum.functions.residues import IGNORE_LABEL
 
 
@@ -195,15 +199,29 @@ def classification_report(cm: DataFrame, names: DataFrame | None = None) -> Data
 # ------------------------------------------------------------ token metrics
 
 
+def _scored(labels: pa.Array, other: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Rows that have both arrays; then per label its row, the label, and whether it counts
+    (not -100, in a row that has both)."""
+    counts, values = list_parts(labels)
+    row = np.repeat(np.arange(len(labels)), counts)
+    both = (labels.is_valid().to_numpy(zero_copy_only=False) & other.is_valid().to_numpy(zero_copy_only=False))
+    real = pc.not_equal(values, pa.scalar(IGNORE_LABEL, values.type)).fill_null(False).to_numpy(zero_copy_only=False)
+    return both, row, values, real & both[row]
+
+
 def masked_token_accuracy(df: DataFrame, labels: str = "labels", preds: str = "preds"
                           ) -> DataFrame:
     """AGG15: correct / scored over positions whose label is not -100
     (a ratio of sums, not a mean of per-row ratios)."""
-    z = F.arrays_zip(F.col(labels).alias("l"), F.col(preds).alias("p"))
-    scored = F.filter(z, lambda x: x["l"] != F.lit(IGNORE_LABEL))
-    return df.agg(
-        F.sum(F.size(F.filter(scored, lambda x: x["l"] == x["p"]))).cast("long").alias("n_correct"),
-        F.sum(F.size(scored)).cast("long").alias("n_scored")
+    @F.arrow_udf("struct<correct: bigint, scored: bigint>")
+    def _hits(labels: pa.Array, preds: pa.Array) -> pa.Array:
+        both, row, values, scored = _scored(labels, preds)
+        hit = pc.equal(values, beside(list_parts(labels)[0], preds)).fill_null(False).to_numpy(zero_copy_only=False)
+        sums = [pa.array(np.bincount(row[m], minlength=len(labels)), mask=~both) for m in (scored & hit, scored)]
+        return pa.StructArray.from_arrays(sums, names=["correct", "scored"])
+
+    return df.select(_hits.asNondeterministic()(labels, preds).alias("_n")).agg(
+        F.sum("_n.correct").cast("long").alias("n_correct"), F.sum("_n.scored").cast("long").alias("n_scored")
     ).withColumn("accuracy", F.col("n_correct") / F.col("n_scored"))
 
 
@@ -212,10 +230,18 @@ def perplexity(df: DataFrame, labels: str = "labels", p_true: str = "p_true") ->
 
     ``p_true`` holds, per position, the model probability of the true token.
     """
-    z = F.arrays_zip(F.col(labels).alias("l"), F.col(p_true).alias("q"))
-    scored = F.filter(z, lambda x: x["l"] != F.lit(IGNORE_LABEL))
-    tot = df.agg(F.sum(F.aggregate(scored, F.lit(0.0), lambda a, x: a - F.log(x["q"])))
-                 .alias("sum_nll"), F.sum(F.size(scored)).cast("long").alias("n_scored"))
+    @F.arrow_udf("struct<nll: double, scored: bigint>")
+    def _nll(labels: pa.Array, p_true: pa.Array) -> pa.Array:
+        both, row, _, scored = _scored(labels, p_true)
+        row, q = row[scored], beside(list_parts(labels)[0], p_true).filter(pa.array(scored))
+        q = q.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+        known = both & (np.bincount(row[q <= 0], minlength=len(labels)) == 0)  # no logarithm: no sum
+        nll = np.bincount(row, -np.log(np.where(q <= 0, 1.0, q)), minlength=len(labels))
+        n = np.bincount(row, minlength=len(labels))
+        return pa.StructArray.from_arrays([pa.array(nll, mask=~known), pa.array(n, mask=~both)], names=["nll", "scored"])
+
+    tot = df.select(_nll.asNondeterministic()(labels, p_true).alias("_n")).agg(
+        F.sum("_n.nll").alias("sum_nll"), F.sum("_n.scored").cast("long").alias("n_scored"))
     return tot.select("n_scored", (F.col("sum_nll") / F.col("n_scored")).alias("mean_ce"),
                       F.exp(F.col("sum_nll") / F.col("n_scored")).alias("perplexity"))
 

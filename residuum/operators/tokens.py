@@ -1,18 +1,22 @@
 """Residue tokens, padding, masked-token corpus and batch ids.
 
-All per-position work is a higher-order SQL function on the row's arrays
-(``transform`` / ``zip_with`` / ``filter``), so it runs in the scan's tasks
-without exploding residues into rows.
+All per-position work runs on the row's arrays in the scan's tasks, without
+exploding residues into rows: token ids and masks with numpy on Arrow batches,
+the rest with higher-order SQL functions.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from residuum.functions.hashing import rank_key
+from residuum.functions.digests import below, keyed, list_like, list_parts, position_words
 from residuum.functions.residues import (CLS_ID, EOS_ID, ESM_TOKENS, IGNORE_LABEL, MASK_ID,
-                                         PAD_ID, UNK_ID, vocab_map)
+                                         PAD_ID, UNK_ID)
 from residuum.operators.ranking import row_index
 
 # A digest below these prefixes has probability 0.15 / 0.8 / 0.9.
@@ -26,16 +30,35 @@ def truncate_labels(labels: Column, max_length: int) -> Column:
     return F.slice(labels, 1, int(max_length))
 
 
+# token of every byte; a letter of several bytes is one unknown token
+_TOKEN = np.full(256, UNK_ID, dtype=np.int32)
+for _i, _t in enumerate(ESM_TOKENS):
+    if len(_t) == 1:
+        _TOKEN[ord(_t)] = _i
+
+
+def residue_ids(seq: Column) -> Column:
+    """Token id of every letter; empty for a null sequence."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def _ids(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0]:offsets[-1]]
+        first = (data & 0xC0) != 0x80  # bytes that begin a letter
+        letters = np.concatenate(([0], np.cumsum(first, dtype=np.int64)))[offsets - offsets[0]]
+        return pa.ListArray.from_arrays(pa.array(letters.astype(np.int32)), pa.array(_TOKEN[data[first]]))
+
+    return _ids.asNondeterministic()(F.coalesce(seq, F.lit("")))
+
+
 def tokenize_residues(seq: Column, max_length: int | None = 512,
                       add_special: bool = False) -> Column:
     """PRJ9: one token id per residue (unknown letters -> ``<unk>``), cut to
     ``max_length`` residues (``None``: whole sequence, for encoders without
     a context limit); optional begin/end tokens around them."""
     s = seq if max_length is None else F.substring(seq, 1, int(max_length))
-    vm = vocab_map()
-    ids = F.when(F.length(s) > 0, F.transform(
-        F.split(s, ""), lambda c: F.coalesce(F.try_element_at(vm, c), F.lit(UNK_ID)))
-    ).otherwise(F.array().cast("array<int>"))
+    ids = residue_ids(s)
     if add_special:
         ids = F.concat(F.array(F.lit(CLS_ID)), ids, F.array(F.lit(EOS_ID)))
     return ids
@@ -84,23 +107,27 @@ def mlm_mask(df: DataFrame, ids_col: str = "input_ids", key_col: str = "record_i
     labels become -100, or stay a copy with ``ignore_others=False``.  Of the targets, 80 % become ``<mask>``, 10 % a
     random token of the whole vocabulary, 10 % stay.
     """
-    specials = F.array(F.lit(CLS_ID), F.lit(EOS_ID), F.lit(PAD_ID))
+    specials = [CLS_ID, EOS_ID, PAD_ID]
+    element = df.schema[ids_col].dataType.elementType
+    out = T.StructType([T.StructField("labels", T.ArrayType(element)), T.StructField("ids", T.ArrayType(element))])
+
     # one digest per position: digits 1-8 choose the targets, 9-16 the kind of
     # replacement, 17-24 the random token
-    d = df.withColumn("_mlm", F.transform(ids_col, lambda t, i: F.struct(
-        t.alias("t"), rank_key(seed, F.col(key_col), i).alias("h"))))
-    d = d.withColumn("_mlm", F.transform("_mlm", lambda x: F.struct(
-        x["t"].alias("t"), x["h"].alias("h"),
-        (~F.array_contains(specials, x["t"]) & (x["h"] < F.lit(mlm_probability_prefix))).alias("c"))))
-
-    def new_token(x):
-        how = F.substring(x["h"], 9, 8)
-        rnd = (F.conv(F.substring(x["h"], 17, 8), 16, 10).cast("long") % F.lit(len(ESM_TOKENS))).cast("int")
-        return F.when(how < F.lit(P80), F.lit(MASK_ID)).when(how < F.lit(P90), rnd).otherwise(x["t"])
-
-    labels = F.transform("_mlm", lambda x: F.when(x["c"], x["t"]).otherwise(F.lit(IGNORE_LABEL) if ignore_others else x["t"]))
-    masked = F.transform("_mlm", lambda x: F.when(x["c"], new_token(x)).otherwise(x["t"]))
-    return d.withColumn("labels", labels).withColumn(ids_col, masked).drop("_mlm")
+    @F.arrow_udf(out)
+    def _mask(ids: pa.Array, key: pa.Array) -> pa.Array:
+        counts, values = list_parts(ids)
+        t = values.fill_null(IGNORE_LABEL).to_numpy(zero_copy_only=False)
+        h = position_words(seed, key.to_pylist(), counts)
+        chosen = below(h[:1], mlm_probability_prefix) & keyed(key, counts)
+        chosen &= ~np.isin(t, specials) & values.is_valid().to_numpy(zero_copy_only=False)
+        new = np.where(below(h[1:], P80), MASK_ID, np.where(below(h[1:], P90), h[2] % len(ESM_TOKENS), t))
+        labels = values if not ignore_others else pa.array(np.where(chosen, t, IGNORE_LABEL), values.type)
+        masked = pc.if_else(pa.array(chosen), pa.array(new.astype(t.dtype), values.type), values)
+        parts = [list_like(ids, counts, labels), list_like(ids, counts, masked)]
+        return pa.StructArray.from_arrays(parts, names=["labels", "ids"])
+
+    d = df.withColumn("_mlm", _mask.asNondeterministic()(F.col(ids_col), F.col(key_col).cast("string")))
+    return d.withColumn("labels", F.col("_mlm.labels")).withColumn(ids_col, F.col("_mlm.ids")).drop("_mlm")
 
 
 def ignore_index(labels: Column, other: Column) -> Column:

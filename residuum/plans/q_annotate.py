@@ -16,11 +16,11 @@ KEYWORDS = ["th", "the", "ther", "en", "ent", "ou", "our"]
 
 
 def _csv(c):
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return F.array_join(c.cast("array<string>"), ",")
 
 
 def _cat(c):
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), "")
+    return F.array_join(c.cast("array<string>"), "")
 
 
 def _kw_sql(col):

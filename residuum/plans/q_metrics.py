@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from residuum.functions.hashing import hash_bucket, rank_key
+from residuum.functions.digests import below, keyed, list_like, list_parts, position_words
+from residuum.functions.hashing import hash_bucket
 from residuum.operators import metrics as M
 from residuum.operators.balance import class_weights
 from residuum.operators.ranking import row_index
@@ -145,12 +149,22 @@ sc AS (SELECT record_id,
 
 def _token_model(spark, sf):
     m = masked(spark, sf).select("record_id", "labels")
-    k = F.col("record_id")
-    preds = F.transform("labels", lambda t, i: F.when(
-        rank_key(f"{SEED}-pred", k, i) < F.lit("40000000"), (t + 1) % 33).otherwise(t))
-    u = F.transform("labels", lambda t, i: F.lit(0.05) + F.lit(0.9) * F.conv(
-        F.substring(rank_key(f"{SEED}-p", k, i), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0))
-    return m.withColumn("preds", preds).withColumn("p_true", u)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def _preds(labels: pa.Array, key: pa.Array) -> pa.Array:
+        counts, values = list_parts(labels)
+        t = values.to_numpy(zero_copy_only=False)
+        wrong = below(position_words(f"{SEED}-pred", key.to_pylist(), counts)[:1], "40000000") & keyed(key, counts)
+        # the remainder keeps the sign, as Spark's
+        return list_like(labels, counts, pa.array(np.where(wrong, np.fmod(t + 1, 33), t), pa.int32()))
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def _p_true(labels: pa.Array, key: pa.Array) -> pa.Array:
+        counts, _ = list_parts(labels)
+        u = position_words(f"{SEED}-p", key.to_pylist(), counts)[0].astype(np.float64)
+        return list_like(labels, counts, pa.array(0.05 + 0.9 * u / 4294967296.0, mask=~keyed(key, counts)))
+
+    return m.withColumn("preds", _preds("labels", "record_id")).withColumn("p_true", _p_true("labels", "record_id"))
 
 
 @query("masked_token_accuracy", f"""WITH {PRED_SQL}
