@@ -18,12 +18,16 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from residuum.functions.digests import beside, list_parts
+
 N_SEQ_BUCKETS = 64
 N_TEXT_BUCKETS = 384
+MAX_TABLE_K = 3  # k-mers up to this length have a table of buckets (26**k rows)
 
 
 def md5_bucket(x: Column, n: int) -> Column:
@@ -80,11 +84,20 @@ def kmer_profile_sql(df: DataFrame, id_col: str, seq_col: str = "seq", k: int =
     Positions are exploded inside the scan task and counted with a partial
     aggregate, so at most ``n`` rows per sequence reach the shuffle.
     """
-    L = F.length(seq_col)
-    pos = F.when(L >= k, F.sequence(F.lit(1), L - k + 1)).otherwise(F.array().cast("array<int>"))
-    buckets = F.transform(pos, lambda p: md5_bucket(F.substring(F.col(seq_col), p, F.lit(k)), n))
-    km = df.select(id_col, F.explode(buckets).alias("bucket"))
-    return _normalised_counts(km, id_col)
+    # letters once per row: a substring counts its way from the start of the text
+    d = df.select(id_col, F.split(F.col(seq_col), "").alias("_ch"), F.length(seq_col).alias("_L"))
+    pos = F.when(F.col("_L") >= k, F.sequence(F.lit(1), F.col("_L") - k + 1)).otherwise(F.array().cast("array<int>"))
+    kmers = F.transform(pos, lambda p: F.concat(*[F.element_at(F.col("_ch"), p + i) for i in range(k)]))
+    km = d.select(id_col, F.explode(kmers).alias("_kmer"))
+    if k > MAX_TABLE_K:
+        return _normalised_counts(km.select(id_col, md5_bucket(F.col("_kmer"), n).alias("bucket")), id_col)
+    # the digest of an A-Z k-mer is taken once, not at each of its places
+    letter = [F.char(F.lit(65) + F.floor(F.col("id") / 26 ** i).cast("bigint") % 26) for i in range(k)]
+    table = df.sparkSession.range(26 ** k).select(F.concat(*letter).alias("_kmer"))
+    table = table.select("_kmer", md5_bucket(F.col("_kmer"), n).alias("_b"))
+    found = km.join(F.broadcast(table), "_kmer", "left")
+    bucket = F.when(F.col("_b").isNull(), md5_bucket(F.col("_kmer"), n)).otherwise(F.col("_b"))
+    return _normalised_counts(found.select(id_col, bucket.alias("bucket")), id_col)
 
 
 def _normalised_counts(items: DataFrame, id_col: str) -> DataFrame:
@@ -212,15 +225,34 @@ def vector_entries(df: DataFrame, id_col: str, vec_col: str = "embedding") -> Da
 
 
 def weighted_pool(vectors: Column, weights: Column, dim: int) -> Column:
-    """sum_i w_i v_i / sum_i w_i over positions (vectors: ARRAY<ARRAY<DOUBLE>>)."""
-    z = F.arrays_zip(vectors.alias("v"), weights.alias("w"))
-    acc0 = F.array_repeat(F.lit(0.0), dim)
-    tot = F.aggregate(z, acc0, lambda acc, x: F.zip_with(
-        acc, x["v"], lambda a, b: a + b * x["w"].cast("double")))
-    wsum = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w.cast("double"))
-    # divide once per vector (the sum is not re-evaluated per element)
-    return F.transform(F.arrays_zip(tot.alias("s"), F.array_repeat(wsum, dim).alias("n")),
-                       lambda x: x["s"] / x["n"])
+    """sum_i w_i v_i / sum_i w_i over positions (vectors: ARRAY<ARRAY<DOUBLE>>); null
+    where an array or a vector is null or the weights sum to zero.  Numpy sums Arrow
+    batches, whose bytes Spark bounds, so no row makes an object per position."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def _pool(vecs: pa.Array, w: pa.Array) -> pa.Array:
+        counts, inner = list_parts(vecs)
+        lengths, flat = list_parts(inner)
+        given = beside(counts, w)
+        bad = (lengths != dim) | ~given.is_valid().to_numpy(zero_copy_only=False)
+        holes = np.repeat(np.arange(len(lengths)), lengths)[flat.is_null().to_numpy(zero_copy_only=False)]
+        bad[holes] = True
+        row = np.repeat(np.arange(len(vecs)), counts)
+        known = vecs.is_valid().to_numpy(zero_copy_only=False) & w.is_valid().to_numpy(zero_copy_only=False)
+        known &= (np.bincount(row[bad], minlength=len(vecs)) == 0) & (counts == list_parts(w)[0]) & (counts > 0)
+        use = known[row]
+        v = flat.filter(pa.array(np.repeat(use, lengths))).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
+        x = given.filter(pa.array(use)).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        starts = (np.cumsum(counts[known]) - counts[known]).astype(np.int64)
+        out = np.zeros((len(vecs), dim))
+        if len(starts):
+            total = np.add.reduceat(x, starts)
+            known[known] = total != 0
+            out[known] = (np.add.reduceat(v * x[:, None], starts, axis=0) / np.where(total == 0, 1, total)[:, None])[total != 0]
+        offsets = pa.array(np.arange(len(vecs) + 1, dtype=np.int32) * dim)
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()), mask=pa.array(~known))
+
+    return _pool.asNondeterministic()(vectors, weights)
 
 
 def mean_pool_residues(vectors: Column, n_residues: Column, dim: int,

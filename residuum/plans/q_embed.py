@@ -79,9 +79,8 @@ def _pool_input(spark, sf):
         "mask", tokens.attention_mask(F.col("input_ids")))
 
 
-def _explode_pool(df, name):
-    return df.select(F.lit(name).alias("variant"), "record_id",
-                     F.posexplode("pooled").alias("dim", "value")).select(
+def _explode_pool(df):
+    return df.select("variant", "record_id", F.posexplode("pooled").alias("dim", "value")).select(
         "variant", "record_id", F.col("dim").cast("bigint"), r6(F.col("value")).alias("value"))
 
 
@@ -97,9 +96,10 @@ SELECT 'masked', record_id, d,
               + list_sum(list_transform(ids, lambda t: {VEC_SQL}))) / (len(ids) + 2), 6) FROM dims""")
 def q_mean_pool(spark, sf):
     p = _pool_input(spark, sf)
-    a = p.withColumn("pooled", embed.mean_pool_residues(F.col("vectors"), F.col("n"), DIM))
-    b = p.withColumn("pooled", embed.mean_pool_masked(F.col("vectors"), F.col("mask"), DIM))
-    return _explode_pool(a, "residues").unionByName(_explode_pool(b, "masked"))
+    both = p.select("record_id", embed.mean_pool_residues(F.col("vectors"), F.col("n"), DIM).alias("residues"),
+                    embed.mean_pool_masked(F.col("vectors"), F.col("mask"), DIM).alias("masked"))  # one pass for both
+    variants = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("pooled")) for v in ("residues", "masked")])
+    return _explode_pool(both.select("record_id", F.inline(variants)))
 
 
 @query("position_weighted_pool", f"""WITH {POOL_SQL},
