@@ -10,6 +10,8 @@ only advances generations, appends the per-generation log and checkpoints
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +47,44 @@ def point_mutate(seq: Column, key: Column, seed, step: int = 50,
 def edit_distance(a: Column, b: Column, bound: Column | None = None) -> Column:
     """PRJ21: Levenshtein distance.  With ``bound`` (any known upper bound,
     e.g. the number of substituted positions) the computation is banded and
-    still exact.  Without one the band is widened (8, 32, 128, ...) until the
+    still exact.  Where ``substitutions_only`` proves the distance, nothing is
+    aligned at all.  Without a bound the band is widened (8, 32, 128, ...) until the
     distance lies in it, so two sequences of length n at distance d cost
     about n * d steps and not n * n; only distances beyond the widest band
     take the plain computation."""
+    known = substitutions_only(a, b)
     if bound is not None:
-        return F.call_function("levenshtein", a, b, bound.cast("int"))
+        plain = F.call_function("levenshtein", a, b, bound.cast("int"))
+        return F.when(known.isNotNull() & (bound >= 0), F.when(known <= bound, known).otherwise(F.lit(-1))).otherwise(plain)
     widened = [F.nullif(F.call_function("levenshtein", a, b, F.lit(w)), F.lit(-1)) for w in BANDS]
-    return F.coalesce(*widened, F.levenshtein(a, b))
+    return F.coalesce(known, *widened, F.levenshtein(a, b))
+
+
+def substitutions_only(a: Column, b: Column) -> Column:
+    """The edit distance of two texts of one length where it is proved to be their number
+    of differing places, else null.  The proof cuts ``a`` into one piece per difference:
+    each edit lies in at most one piece, and a piece that ``b`` holds nowhere near needs
+    one, so as many edits are needed as there are pieces.  Near: ``h`` edits that end at
+    the same length leave the diagonal by at most ``h / 2``."""
+
+    @F.pandas_udf("int")
+    def _proved(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([_substitutions(x, y) for x, y in zip(xs, ys)], dtype="Int32")
+
+    return _proved.asNondeterministic()(a, b)
+
+
+def _substitutions(a: str | None, b: str | None) -> int | None:
+    if a is None or b is None or len(a) != len(b):
+        return None
+    x, y = (np.frombuffer(t.encode("utf-32-le"), dtype="<u4") for t in (a, b))
+    at = np.flatnonzero(x != y)
+    h, near = len(at), len(at) // 2
+    cuts = [0, *((at[1:] + at[:-1] + 1) // 2).tolist(), len(a)]
+    for lo, hi in zip(cuts[:-1], cuts[1:]) if h else ():
+        if b.find(a[lo:hi], max(0, lo - near), hi + near) >= 0:
+            return None
+    return h
 
 
 def compose_sequence(chars: Column) -> Column:
