@@ -69,9 +69,13 @@ def q_compose_sequence(spark, sf):
 
 
 def candidates(spark, sf):
-    r = records(spark, sf)
-    first = r.groupBy("class").agg(F.min_by(F.struct("record_id", "seq"), "record_pos").alias("r"))
-    return first.select(F.col("r.record_id").alias("candidate_id"), "r.seq", "class")
+    r = records(spark, sf).select("class", "record_pos", "record_id", "seq")
+    # the first positions from narrow rows; only their records carry a sequence
+    least = r.groupBy("class").agg(F.min("record_pos").alias("_p")).withColumnRenamed("class", "_c")
+    mine = F.broadcast(least).join(r, F.col("_c").eqNullSafe(F.col("class")) & (F.col("_p") == F.col("record_pos")), "inner")
+    first = mine.groupBy("_c").agg(F.min_by(F.struct("record_id", "seq"), "record_pos").alias("r"))
+    every = least.join(first.withColumnRenamed("_c", "_d"), F.col("_c").eqNullSafe(F.col("_d")), "left")
+    return every.select(F.col("r.record_id").alias("candidate_id"), "r.seq", F.col("_c").alias("class"))
 
 
 def targets(spark, sf, cands):
@@ -152,11 +156,11 @@ mf AS (SELECT candidate_id, ind, 1 - sum((y - t) ^ 2) / sum((y - m) ^ 2) AS f FR
          (SELECT *, avg(y) OVER (PARTITION BY k) AS m FROM my) GROUP BY 1, 2)"""
 
 
-def _mutated_population(spark, sf):
+def _mutated_population(spark, sf, c=None, t=None):
     """Generation 0 with every individual mutated apart, and its own fitness."""
-    c = candidates(spark, sf)
+    c = candidates(spark, sf).checkpoint() if c is None else c
     pop = evolve.mutate_population(evolve.seed_population(c, 50, f"{SEED}-start", 50), SEED, 0, 1.0)
-    return evolve.evaluate(pop, targets(spark, sf, c)).checkpoint()
+    return evolve.evaluate(pop, targets(spark, sf, c) if t is None else t).checkpoint()
 
 
 @query("tournament_select", f"""WITH {MUTPOP_SQL},
@@ -242,8 +246,8 @@ SELECT candidate_id, seq_md5, round(f, 6) AS fitness, true AS never_falls FROM t
 def q_hall_of_fame(spark, sf):
     """Best of a whole mutated generation, and that the run's best never falls
     below any generation's."""
-    pop = _mutated_population(spark, sf).withColumn("fitness", F.round("fitness", 9))
-    _, _, _, log, best = _run(spark, sf)
+    c, t, _, log, best = _run(spark, sf)
+    pop = _mutated_population(spark, sf, c, t).withColumn("fitness", F.round("fitness", 9))
     kept = log.groupBy("candidate_id").agg(F.max("max").alias("m")).join(best, "candidate_id") \
         .select("candidate_id", (F.col("fitness") >= F.col("m") - 1e-12).alias("never_falls"))
     top = evolve.hall_of_fame(pop).select("candidate_id", F.md5("seq").alias("seq_md5"),
@@ -255,12 +259,16 @@ def q_hall_of_fame(spark, sf):
 top AS (SELECT candidate_id, mut.seq, row_number() OVER (PARTITION BY candidate_id ORDER BY round(mf.f, 9) DESC, mut.seq) AS rn
         FROM mf JOIN mut USING (candidate_id, ind))
 SELECT cand.candidate_id, levenshtein(cand.seq, st.seq) AS dist_original_start,
-       levenshtein(cand.seq, top.seq) AS dist_original_best
+       levenshtein(cand.seq, top.seq) AS dist_original_best, true AS within_length
 FROM cand JOIN st USING (candidate_id) JOIN top USING (candidate_id) WHERE rn = 1""")
 def q_distance_report(spark, sf):
-    """Distances of the start and of the best of one mutated generation."""
-    c = candidates(spark, sf)
+    """Distances of the start and of the best of one mutated generation, and that the
+    best of the whole run is no farther from the original than its length."""
+    c, t, _, _, best = _run(spark, sf)
     start = evolve.seed_population(c, 1, f"{SEED}-start", 50)
-    best = evolve.hall_of_fame(_mutated_population(spark, sf).withColumn("fitness", F.round("fitness", 9)))
-    rep = evolve.distance_report(c, start, best)
-    return rep.select("candidate_id", *[F.col(d).cast("long").alias(d) for d in ("dist_original_start", "dist_original_best")])
+    run = evolve.distance_report(c, start, best).join(c.select("candidate_id", F.length("seq").alias("n")), "candidate_id") \
+        .select("candidate_id", F.col("dist_original_best").between(0, F.col("n")).alias("within_length"))
+    top = evolve.hall_of_fame(_mutated_population(spark, sf, c, t).withColumn("fitness", F.round("fitness", 9)))
+    rep = evolve.distance_report(c, start, top)
+    return rep.select("candidate_id", *[F.col(d).cast("long").alias(d) for d in ("dist_original_start", "dist_original_best")]) \
+        .join(run, "candidate_id")
