@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 32768  # positions hashed together
 
@@ -102,18 +103,63 @@ def keyed(keys: pa.Array, counts: np.ndarray) -> np.ndarray:
 
 
 def list_parts(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Lengths of an Arrow list array (0 for null) and its values, null lists left out."""
-    counts = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
-    return counts, lists.flatten()
+    """Lengths of an Arrow list array, or of packed values, (0 for null) and the values,
+    null lists left out.
+
+    Packed values are a binary column with one signed byte a value, -128 for null: such
+    a row crosses between the JVM and Python as one piece."""
+    if not packed(lists.type):
+        counts = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+        return counts, lists.flatten()
+    offsets, data = text_parts(lists)
+    data = data.view(np.int8)
+    none = data == NO_VALUE
+    return np.diff(offsets), pa.array(data, mask=none if none.any() else None)
 
 
 def list_like(lists: pa.Array, counts: np.ndarray, values: pa.Array) -> pa.Array:
-    """Values as a list array of these lengths; null where ``lists`` is."""
+    """Values as a list array of these lengths, packed if ``lists`` is; null where ``lists`` is."""
     offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    if packed(lists.type):
+        data = values.cast(pa.int8()).fill_null(NO_VALUE).to_numpy(zero_copy_only=False)
+        return _binary(lists, offsets, data)
     mask = lists.is_null() if lists.null_count else None
     return pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask)
 
 
+NO_VALUE = -128
+
+
+def packed(kind: pa.DataType) -> bool:
+    return pa.types.is_binary(kind) or pa.types.is_large_binary(kind)
+
+
+def text_parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (from 0) of strings or binaries and their bytes, none for null."""
+    if texts.null_count:
+        texts = texts.fill_null("" if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else b"")
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0]:offsets[-1]]
+    return offsets - offsets[0], data
+
+
+def lists_of(lists: pa.Array) -> list:
+    """Rows of a list array or of packed values as Python lists."""
+    counts, values = list_parts(lists)
+    flat, ends = values.to_pylist(), np.cumsum(counts)
+    return [flat[e - c:e] if known else None for c, e, known in zip(counts, ends, lists.is_valid().to_pylist())]
+
+
+def _binary(like: pa.Array, offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Pieces of ``data`` as a binary array; null where ``like`` is."""
+    if offsets[-1:].sum() != data.nbytes:
+        raise ValueError("pieces do not cover the data")
+    out = pa.Array.from_buffers(pa.binary(), len(offsets) - 1,
+                                [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    return pc.if_else(like.is_valid(), out, pa.scalar(None, pa.binary())) if like.null_count else out
+
+
 def beside(counts: np.ndarray, other: pa.Array) -> pa.Array:
     """Values of the list array ``other`` at the positions of arrays of these lengths;
     null where its array is shorter."""

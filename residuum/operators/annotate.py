@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from residuum.functions.digests import NO_VALUE
 
 
 def entry_id(header: Column) -> Column:
@@ -38,18 +42,37 @@ def mod_res_positions(mod_res: Column) -> Column:
                       F.array().cast("array<int>"))
 
 
-def ptm_mask(seq: Column, positions: Column) -> Column:
+def ptm_mask(seq: Column, positions: Column, packed: bool = False) -> Column:
     """PRJ5: 0/1 array as long as the sequence, 1 at the listed positions.
 
     Positions outside ``1..length`` are ignored here and reported by
-    ``ptm_rejects``; an empty sequence gives an empty mask.
+    ``ptm_rejects``; an empty sequence gives an empty mask.  ``packed`` gives
+    the same values one byte each (``digests.list_parts``).
     """
     n = F.length(seq)
+    if packed:
+        return _packed_mask(n, positions)
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n),
                                      lambda i: F.array_contains(positions, i).cast("int"))
                   ).otherwise(F.array().cast("array<int>"))
 
 
+def _packed_mask(length: Column, positions: Column) -> Column:
+    @F.arrow_udf(T.BinaryType())
+    def _mask(lengths: pa.Array, positions: pa.Array) -> pa.Array:
+        out = []
+        for n, found in zip(lengths.to_pylist(), positions.to_pylist()):
+            # a position that is not listed is unknown where the list has a null
+            row = np.full(n or 0, NO_VALUE if found is None or None in found else 0, dtype=np.int8)
+            for p in found or ():
+                if p is not None and 1 <= p <= len(row):
+                    row[p - 1] = 1
+            out.append(row.tobytes())
+        return pa.array(out, pa.binary())
+
+    return _mask(length, positions)
+
+
 def ptm_rejects(df: DataFrame, id_col: str, seq_col: str, pos_col: str) -> DataFrame:
     """Positions that do not fall on the sequence, with a reason."""
     e = df.select(id_col, F.length(seq_col).alias("seq_len"),

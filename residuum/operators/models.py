@@ -7,10 +7,13 @@ on encoder vectors; every fit and every score is a distributed Spark job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
@@ -20,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from residuum.functions.digests import NO_VALUE, beside, lists_of, text_parts
+from residuum.session import scratch_path
 
 
 def _features(df: DataFrame, col: str) -> DataFrame:
@@ -100,7 +105,7 @@ def residue_windows(df: DataFrame, id_col: str, seq_col: str, labels_col: str,
     The per-position structs are built on the row's own arrays first and
     only they are exploded, so no exploded row carries the whole sequence
     (which would cost O(length^2) per record)."""
-    names = [f"c{o:+d}".replace("+", "p").replace("-", "m") for o in range(-k, k + 1)]
+    names = _context_names(k)
     # letters and length once per row; the lambda below only indexes them
     d = df.select(id_col, *keep, F.split(F.col(seq_col), "").alias("_ch"), labels_col,
                   F.length(seq_col).alias("_L"))
@@ -114,6 +119,107 @@ def residue_windows(df: DataFrame, id_col: str, seq_col: str, labels_col: str,
     return e.select(id_col, *keep, "_r.*")
 
 
+HELD = 1 << 24  # residues whose contexts a task counts together
+SLICE = 1 << 22  # residues cut into contexts at once
+
+
+def counted_windows(df: DataFrame, seq_col: str, labels_col: str, k: int = 3,
+                    keep: Sequence[str] = ()) -> DataFrame:
+    """The rows of ``residue_windows`` without record and position, equal ones once with
+    their number ``n``: every residue of every record is counted.
+
+    A task counts the contexts of its own sequences in blocks of ``HELD`` residues, so
+    what is shuffled grows with the variety of contexts and no row stands for one
+    residue.  ``labels_col`` may be packed."""
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("label", T.IntegerType()),
+                           T.StructField("_ctx", T.StringType()), T.StructField("n", T.LongType())])
+    e = df.select(*keep, F.col(seq_col).alias("_seq"), F.col(labels_col).alias("_labels")) \
+        .mapInArrow(_count_contexts(k, tuple(keep)), schema)
+    per = e.groupBy(*keep, "label", "_ctx").agg(F.sum("n").alias("n"))
+    return per.select(*keep, "label", *[F.substring("_ctx", i + 1, 1).alias(c) for i, c in enumerate(_context_names(k))], "n")
+
+
+def _context_names(k: int) -> list[str]:
+    return [f"c{o:+d}".replace("+", "p").replace("-", "m") for o in range(-k, k + 1)]
+
+
+def _context_codes(seqs: pa.Array, labels: pa.Array, k: int):
+    """One number per residue, of its label and the letters around it, 7 bits each and
+    ``_`` beyond the ends; ``None`` if letters or labels do not fit."""
+    offsets, data = text_parts(seqs)
+    counts = np.diff(offsets)
+    values = beside(counts, labels)
+    known = values.is_valid().to_numpy(zero_copy_only=False)
+    label = np.where(known, values.fill_null(0).to_numpy(zero_copy_only=False), NO_VALUE).astype(np.int64)
+    if k > 3 or (data > 127).any() or (np.abs(label[known]) > 127).any():
+        return None
+    at = np.arange(len(data)) + k * (np.repeat(np.arange(len(counts)), counts) + 1)  # k letters between records
+    line = np.full(len(data) + k * (len(counts) + 1), ord("_"), dtype=np.int64)
+    line[at] = data
+    code = np.zeros(len(line) - 2 * k, dtype=np.int64)
+    for o in range(2 * k + 1):
+        code <<= 7
+        code |= line[o:len(code) + o]
+    return (code[at - k] << 8) | (label - NO_VALUE)
+
+
+def _counted_codes(code: np.ndarray, k: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Labels, contexts and numbers of the distinct codes."""
+    code, n = np.unique(code, return_counts=True)
+    label = (code & 255) + NO_VALUE
+    width = 2 * k + 1
+    letters = np.stack([(code >> (8 + 7 * (width - 1 - o))) & 127 for o in range(width)], axis=1).astype(np.uint8)
+    ends = np.arange(len(code) + 1, dtype=np.int32) * width
+    ctx = pa.Array.from_buffers(pa.string(), len(code), [None, pa.py_buffer(ends), pa.py_buffer(letters.ravel())])
+    return pa.array(label.astype(np.int32), mask=label == NO_VALUE), ctx, pa.array(n.astype(np.int64))
+
+
+def _counted_letters(seqs: pa.Array, labels: pa.Array, k: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The same for any letters, labels and widths."""
+    seen: Counter = Counter()
+    for seq, row in zip(seqs.to_pylist(), lists_of(labels)):
+        line = "_" * k + (seq or "") + "_" * k
+        for i in range(len(line) - 2 * k):
+            seen[row[i] if row is not None and i < len(row) else None, line[i:i + 2 * k + 1]] += 1
+    return (pa.array([x for x, _ in seen], pa.int32()), pa.array([c for _, c in seen], pa.string()),
+            pa.array(list(seen.values()), pa.int64()))
+
+
+def _count_contexts(k: int, keep: tuple[str, ...]):
+    """mapInArrow body: counted contexts of a task's rows, per value of ``keep``."""
+    def rows(b: pa.RecordBatch, group: tuple, counted: tuple) -> Iterator[pa.RecordBatch]:
+        label, ctx, n = counted
+        same = [pa.repeat(pa.scalar(v, b.schema.field(c).type), len(n)) for c, v in zip(keep, group)]
+        out = pa.RecordBatch.from_arrays([*same, label, ctx, n], names=[*keep, "label", "_ctx", "n"])
+        for lo in range(0, len(n), 100_000):
+            yield out.slice(lo, 100_000)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, b = {}, 0, None
+        for b in batches:
+            groups: dict[tuple, list[int]] = {}
+            ends = np.cumsum(pc.binary_length(b["_seq"]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+            values = zip(*(b[c].to_pylist() for c in keep)) if keep else [()] * len(b)
+            for i, group in enumerate(values):
+                groups.setdefault((group, ends[i]), []).append(i)
+            for (group, _), at in groups.items():
+                some = b.take(pa.array(at))
+                code = _context_codes(some["_seq"], some["_labels"], k)
+                if code is None:
+                    yield from rows(b, group, _counted_letters(some["_seq"], some["_labels"], k))
+                else:
+                    held.setdefault(group, []).append(code)
+                    size += len(code)
+                if size >= HELD:
+                    for g in list(held):
+                        yield from rows(b, g, _counted_codes(np.concatenate(held.pop(g)), k))
+                    size = 0
+        for g in list(held):
+            yield from rows(b, g, _counted_codes(np.concatenate(held.pop(g)), k))
+
+    return fn
+
+
 def context_columns(windows: DataFrame) -> list[str]:
     """The context columns of ``residue_windows``."""
     return [c for c in windows.columns if c.startswith("c")]
@@ -122,20 +228,24 @@ def context_columns(windows: DataFrame) -> list[str]:
 def context_counts(windows: DataFrame) -> DataFrame:
     """Distinct (context, label) of residue windows with their count ``n``.  Partial
     aggregates keep the distinct contexts of a task, so the fit's rows grow with the
-    variety of contexts (at most 21^(2k+1) a label) and not with the residues."""
-    return windows.groupBy(*context_columns(windows), "label").agg(F.count(F.lit(1)).alias("n"))
+    variety of contexts (at most 21^(2k+1) a label) and not with the residues.  Windows
+    of ``counted_windows`` add up their counts."""
+    n = F.sum("n") if "n" in windows.columns else F.count(F.lit(1))
+    return windows.groupBy(*context_columns(windows), "label").agg(n.alias("n"))
 
 
 def residue_classifier(windows: DataFrame, token_weights: DataFrame, num_features: int = 1 << 12,
                        max_iter: int = 20):
     """ML6: hashed context features + logistic regression weighted by the
     balanced residue-label weights (two rows: label 0 and 1).  The fit runs on
-    the distinct contexts; a context's weight is its count times its label's."""
+    the distinct contexts, counted once; a context's weight is its count times its label's."""
     ctx = context_columns(windows)
     hasher = FeatureHasher(inputCols=ctx, outputCol="features", numFeatures=num_features,
                            categoricalCols=ctx)
     w = F.broadcast(token_weights.select(F.col("label").alias("_l"), F.col("weight").alias("_w")))
-    counts = context_counts(windows)
+    path = scratch_path(windows.sparkSession, "contexts")
+    context_counts(windows).write.parquet(path)  # the fit reads its rows more than once
+    counts = windows.sparkSession.read.parquet(path)
     d = counts.join(w, counts["label"] == w["_l"], "left").drop("_l").fillna(0.0, ["_w"]) \
         .withColumn("_w", F.col("_w") * F.col("n"))
     lr = LogisticRegression(featuresCol="features", labelCol="label_d", weightCol="_w",

@@ -42,10 +42,10 @@ IDS_SQL = _ids_sql("seq")
 CUT_IDS_SQL = _ids_sql("substring(seq, 1, 1024)")
 
 
-def with_sites(spark, sf):
+def with_sites(spark, sf, packed=False):
     r = records(spark, sf)
     return r.withColumn("positions", annotate.mod_res_positions(F.col("modified_residue"))) \
-            .withColumn("labels", annotate.ptm_mask(F.col("seq"), F.col("positions")))
+            .withColumn("labels", annotate.ptm_mask(F.col("seq"), F.col("positions"), packed))
 
 
 SITES_SQL = REC_SQL + """,

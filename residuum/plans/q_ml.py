@@ -111,13 +111,18 @@ wt AS (SELECT CAST(sum(len(labels)) AS BIGINT) AS n, CAST(sum(list_sum(labels))
 SELECT label, count(*) AS n_residues, CASE WHEN label = 1 THEN (SELECT n1 FROM wt) ELSE (SELECT n - n1 FROM wt) END
        AS n_train_residues, true AS all_scored FROM r GROUP BY label""")
 def q_residue_classifier(spark, sf):
-    sp = split.family_split(with_sites(spark, sf), 0.2, SEED)
-    win = models.residue_windows(sp, "record_id", "seq", "labels", 3, keep=["split"])
+    sp = split.family_split(with_sites(spark, sf, packed=True), 0.2, SEED)
+    path = scratch_path(spark, "windows")  # fit and scores read the counted windows
+    models.counted_windows(sp, "seq", "labels", 3, keep=["split"]).write.parquet(path)
+    win = spark.read.parquet(path)
     # weights and fit see training families only
-    w = balance.token_class_weights(sp.where(F.col("split") == "train"), "labels")
+    path = scratch_path(spark, "weights")
+    balance.token_class_weights(sp.where(F.col("split") == "train"), "labels").write.parquet(path)
+    w = spark.read.parquet(path)  # two rows
     model = models.residue_classifier(win.where(F.col("split") == "train"), w)
-    pred = model.transform(win.where(F.col("split") == "test"))
-    per = pred.groupBy("label").agg(F.count(F.lit(1)).alias("n_residues"),
+    # a residue's score is that of its context
+    pred = model.transform(models.context_counts(win.where(F.col("split") == "test")))
+    per = pred.groupBy("label").agg(F.sum("n").alias("n_residues"),
                                     F.bool_and(F.col("prediction").isin(0.0, 1.0)).alias("all_scored"))
     return per.join(w.select("label", F.col("n_label").alias("n_train_residues")), "label")
 
