@@ -6,86 +6,147 @@ them for all positions of an Arrow batch together, in blocks that stay in the ca
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 32768  # positions hashed together
+TABLE = 1 << 17  # positions whose digits are made once
 
 _SHIFTS = (7, 12, 17, 22) * 4 + (5, 9, 14, 20) * 4 + (4, 11, 16, 23) * 4 + (6, 10, 15, 21) * 4
-_ADD = [np.uint32(int(abs(np.sin(i + 1)) * 2**32) & 0xFFFFFFFF) for i in range(64)]
+_ADD = [int(abs(np.sin(i + 1)) * 2**32) & 0xFFFFFFFF for i in range(64)]
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 
 
-def _compress(state: list[np.ndarray], words: np.ndarray) -> list[np.ndarray]:
-    """One md5 step: ``state`` (four words each) and ``words`` (16 rows), per column."""
+def _scalar(x: int) -> np.ndarray:
+    return np.array(x & 0xFFFFFFFF, dtype=np.uint32)
+
+
+_LEFT = [_scalar(s) for s in _SHIFTS]
+_RIGHT = [_scalar(32 - s) for s in _SHIFTS]
+
+
+def _compress(state: list[np.ndarray], words: list, steps: int = 64) -> list[np.ndarray]:
+    """One md5 step: ``state`` (four words each) and 16 ``words``, each an array or, the same
+    for all, an int.  The first word of the result needs 61 ``steps`` only."""
     a, b, c, d = (x.copy() for x in state)
     f, t = np.empty_like(a), np.empty_like(a)
-    for i in range(64):
+    for i in range(steps):
         if i < 16:
             g = i
-            np.bitwise_xor(c, d, out=f); np.bitwise_and(f, b, out=f); np.bitwise_xor(f, d, out=f)
+            np.bitwise_xor(c, d, f); np.bitwise_and(f, b, f); np.bitwise_xor(f, d, f)
         elif i < 32:
             g = (5 * i + 1) % 16
-            np.bitwise_xor(b, c, out=f); np.bitwise_and(f, d, out=f); np.bitwise_xor(f, c, out=f)
+            np.bitwise_xor(b, c, f); np.bitwise_and(f, d, f); np.bitwise_xor(f, c, f)
         elif i < 48:
             g = (3 * i + 5) % 16
-            np.bitwise_xor(b, c, out=f); np.bitwise_xor(f, d, out=f)
+            np.bitwise_xor(b, c, f); np.bitwise_xor(f, d, f)
         else:
             g = (7 * i) % 16
-            np.invert(d, out=f); np.bitwise_or(f, b, out=f); np.bitwise_xor(f, c, out=f)
-        f += a; f += words[g]; f += _ADD[i]
-        np.left_shift(f, np.uint32(_SHIFTS[i]), out=t)
-        np.right_shift(f, np.uint32(32 - _SHIFTS[i]), out=f)
-        f |= t; f += b
+            np.invert(d, f); np.bitwise_or(f, b, f); np.bitwise_xor(f, c, f)
+        np.add(f, a, f)
+        if isinstance(words[g], int):
+            np.add(f, _scalar(words[g] + _ADD[i]), f)
+        else:
+            np.add(f, words[g], f); np.add(f, _scalar(_ADD[i]), f)
+        np.left_shift(f, _LEFT[i], t); np.right_shift(f, _RIGHT[i], f)
+        np.bitwise_or(f, t, f); np.add(f, b, f)
         a, d, c, b, f = d, c, b, f, a
-    return [x + y for x, y in zip(state, (a, b, c, d))]
+    # after 61 steps the first word still stands second
+    new = (a, b, c, d) if steps == 64 else (b,)
+    return [x + y for x, y in zip(state, new)]
+
+
+def _digits(pos: np.ndarray, skip: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Little-endian words with the decimal digits of the positions after ``skip`` free
+    bytes and the closing 0x80 of md5, and the numbers of bits of the digits."""
+    digits = np.searchsorted(10 ** np.arange(1, 19), pos, side="right") + 1
+    most = int(digits.max(initial=1))
+    out = np.zeros((len(pos), -(-(skip + most + 1) // 4) * 4), dtype=np.uint8)
+    every = np.arange(len(pos))
+    out[every, skip + digits] = 0x80
+    for j in range(most):
+        has = every[digits > j]
+        out[has, skip + digits[has] - 1 - j] = 48 + (pos[has] // 10**j) % 10
+    w = out.view("<u4")
+    return [np.ascontiguousarray(w[:, j]) for j in range(w.shape[1])], (digits * 8).astype(np.uint32)
 
 
-def _endings(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the decimal numbers 0..n-1, each with the closing 0x80 of md5, and their
-    numbers of digits."""
-    pos = np.arange(n)
-    digits = np.searchsorted(10 ** np.arange(1, 10), pos, side="right") + 1
-    out = np.zeros((n, int(digits.max(initial=1)) + 1), dtype=np.uint8)
-    out[pos, digits] = 0x80
-    for j in range(out.shape[1] - 1):
-        has = pos[digits > j]
-        out[has, digits[has] - 1 - j] = 48 + (has // 10**j) % 10
-    return out, digits
+@functools.lru_cache(4)
+def _table(skip: int, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    return _digits(np.arange(n), skip)
 
 
-def position_words(seed, keys: list, counts: np.ndarray) -> np.ndarray:
+def _endings(pos: np.ndarray, skip: int, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """``_digits`` of positions below ``n``, from a table as far as it goes."""
+    if n > TABLE and int(pos.max()) >= TABLE:
+        return _digits(pos, skip)
+    words, bits = _table(skip, TABLE if n > 1 << 13 else 1 << 13)
+    return [w[pos] for w in words], bits[pos]
+
+
+def position_words(seed, keys: list, counts: np.ndarray, n_words: int = 4) -> np.ndarray:
     """The digests of positions 0..count-1 of every key, keys one after the other, as
-    four rows of big-endian words (word 0: hex digits 1-8, ...)."""
+    four rows of big-endian words (word 0: hex digits 1-8, ...), or the first of them
+    (``n_words`` 1).
+
+    Positions whose texts begin alike in length and end in the same 64-byte block are
+    hashed together, so most of the 16 words of a step are the same for all."""
     texts = [f"{seed}:{k}:".encode() for k in keys]
-    longest = max(map(len, texts), default=0)
-    prefixes = np.zeros((len(texts), ((longest + 11 + 8) // 64 + 1) * 64), dtype=np.uint8)
-    for r, t in enumerate(texts):
-        prefixes[r, :len(t)] = np.frombuffer(t, dtype=np.uint8)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum(counts)))
-    endings, digits = _endings(int(counts.max(initial=0)))
-    wide = np.arange(endings.shape[1])
-    out = np.empty((4, int(starts[-1])), dtype=np.uint32)
-    for lo in range(0, out.shape[1], BLOCK):
-        flat = np.arange(lo, min(lo + BLOCK, out.shape[1]))
-        row = np.searchsorted(starts, flat, side="right") - 1
-        pos, at, every = flat - starts[row], lengths[row], np.arange(len(flat))
-        m = prefixes[row]
-        m[every[:, None], at[:, None] + wide] = endings[pos]
-        at = at + digits[pos]
-        steps, w = (at + 8) // 64 + 1, m.view("<u4")
-        w[every, steps * 16 - 2] = at * 8
-        state = [np.full(len(flat), s, dtype=np.uint32) for s in _START]
-        for s in range(int(steps.max())):
-            new = _compress(state, np.ascontiguousarray(w[:, s * 16:s * 16 + 16].T))
-            more = steps > s
-            state = new if more.all() else [np.where(more, x, y) for x, y in zip(new, state)]
-        out[:, lo:lo + len(flat)] = np.stack(state).byteswap()
+    counts = np.asarray(counts, dtype=np.int64)
+    starts = np.cumsum(counts) - counts
+    out = np.empty((n_words, int(counts.sum())), dtype=np.uint32)
+    for length in np.unique(lengths[counts > 0]).tolist():
+        at = np.flatnonzero((lengths == length) & (counts > 0))
+        whole, rest = divmod(length, 64)
+        raw = b"".join(texts[r].ljust((whole + 1) * 64, b"\0") for r in at)
+        prefix = np.frombuffer(raw, dtype="<u4").reshape(len(at), -1)
+        state = [np.full(len(at), s, dtype=np.uint32) for s in _START]
+        for s in range(whole):
+            state = _compress(state, list(np.ascontiguousarray(prefix[:, s * 16:s * 16 + 16].T)))
+        # up to this position the digits, 0x80 and the length fit the block
+        cut = np.minimum(counts[at], 10 ** min(55 - rest, 18) if rest < 55 else 0)
+        for blocks, lo, hi in ((1, 0 * cut, cut), (2, cut, counts[at])):
+            _hash_positions(out, starts[at], lo, hi, prefix[:, whole * 16:], state, length, blocks)
     return out
 
 
+def _hash_positions(out: np.ndarray, starts: np.ndarray, lo: np.ndarray, hi: np.ndarray, prefix: np.ndarray,
+                    state: list[np.ndarray], length: int, blocks: int) -> None:
+    """Fills ``out`` for positions lo..hi-1 of rows, which begin at ``starts``."""
+    ends, rest = np.cumsum(hi - lo), length % 64
+    for s in range(0, int(ends[-1:].sum()), BLOCK):
+        e = min(s + BLOCK, int(ends[-1]))
+        i, j = np.searchsorted(ends, (s, e - 1), side="right") + (0, 1)
+        first = ends[i:j] - (hi - lo)[i:j]
+        n = np.minimum(ends[i:j], e) - np.maximum(first, s)
+        pos = np.arange(s, e) - np.repeat(first - lo[i:j], n)
+
+        def each(x: np.ndarray):
+            return int(x[0]) if (x == x[0]).all() else np.repeat(x, n)
+
+        words = [0] * (16 * blocks)
+        for w in range(-(-rest // 4)):
+            words[w] = each(prefix[i:j, w])
+        digits, bits = _endings(pos, rest % 4, int(hi.max()))
+        for w, x in enumerate(digits, rest // 4):
+            if w < len(words) - 2:
+                words[w] = x if isinstance(words[w], int) and words[w] == 0 else x | np.uint32(words[w]) \
+                    if isinstance(words[w], int) else x | words[w]
+        words[-2] = bits + np.uint32(length * 8)
+        h = [np.repeat(x[i:j], n) for x in state]
+        for b in range(blocks):
+            last = b == blocks - 1 and len(out) == 1
+            h = _compress(h, words[16 * b:16 * b + 16], 61 if last else 64)
+        to = np.repeat(starts[i:j], n) + pos
+        to = slice(to[0], to[0] + len(to)) if to[-1] - to[0] == len(to) - 1 else to
+        for w in range(len(out)):
+            out[w, to] = h[w].byteswap()
+
+
 def below(words, prefix: str) -> np.ndarray:
     """Whether the hex digits of ``words`` (most significant word first) sort before
     ``prefix`` (lower-case hex digits, at most as many)."""
@@ -102,32 +163,50 @@ def keyed(keys: pa.Array, counts: np.ndarray) -> np.ndarray:
     return np.repeat(keys.is_valid().to_numpy(zero_copy_only=False), counts)
 
 
-def list_parts(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+def list_parts(lists: pa.Array, kind: type = np.int8) -> tuple[np.ndarray, pa.Array]:
     """Lengths of an Arrow list array, or of packed values, (0 for null) and the values,
     null lists left out.
 
-    Packed values are a binary column with one signed byte a value, -128 for null: such
-    a row crosses between the JVM and Python as one piece."""
+    Packed values are a binary column, with one signed byte a value, -128 for null, or
+    one ``kind``, such as doubles with NaN for null: such a row crosses between the JVM
+    and Python as one piece."""
     if not packed(lists.type):
         counts = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
         return counts, lists.flatten()
     offsets, data = text_parts(lists)
-    data = data.view(np.int8)
-    none = data == NO_VALUE
-    return np.diff(offsets), pa.array(data, mask=none if none.any() else None)
+    data = data.view(kind)
+    none = data == NO_VALUE if kind is np.int8 else np.isnan(data)
+    return np.diff(offsets) // data.itemsize, pa.array(data, mask=none if none.any() else None)
 
 
 def list_like(lists: pa.Array, counts: np.ndarray, values: pa.Array) -> pa.Array:
     """Values as a list array of these lengths, packed if ``lists`` is; null where ``lists`` is."""
-    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    offsets = np.concatenate(([0], np.cumsum(counts)))
     if packed(lists.type):
         data = values.cast(pa.int8()).fill_null(NO_VALUE).to_numpy(zero_copy_only=False)
-        return _binary(lists, offsets, data)
+        return pieces(lists, offsets, data, pa.binary())
     mask = lists.is_null() if lists.null_count else None
-    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values, mask=mask)
 
 
 NO_VALUE = -128
+SLICE = 1 << 18  # values (bytes of texts) that a function takes at once
+
+
+def in_slices(fn):
+    """An Arrow function of rows that takes the rows of a batch in slices, which stay in
+    the cache; the first array tells their size."""
+    @functools.wraps(fn)
+    def run(*arrays):
+        first = arrays[0]
+        flat = packed(first.type) or pa.types.is_string(first.type) or pa.types.is_large_string(first.type)
+        sizes = pc.binary_length(first) if flat else pc.list_value_length(first)
+        ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist(), len(first)]
+        parts = [fn(*(a.slice(lo, hi - lo) for a in arrays)) for lo, hi in zip(cuts, cuts[1:]) if hi > lo]
+        return pa.concat_arrays(parts) if len(parts) > 1 else parts[0] if parts else fn(*arrays)
+
+    return run
 
 
 def packed(kind: pa.DataType) -> bool:
@@ -151,19 +230,21 @@ def lists_of(lists: pa.Array) -> list:
     return [flat[e - c:e] if known else None for c, e, known in zip(counts, ends, lists.is_valid().to_pylist())]
 
 
-def _binary(like: pa.Array, offsets: np.ndarray, data: np.ndarray) -> pa.Array:
-    """Pieces of ``data`` as a binary array; null where ``like`` is."""
-    if offsets[-1:].sum() != data.nbytes:
-        raise ValueError("pieces do not cover the data")
-    out = pa.Array.from_buffers(pa.binary(), len(offsets) - 1,
-                                [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-    return pc.if_else(like.is_valid(), out, pa.scalar(None, pa.binary())) if like.null_count else out
+def pieces(like: pa.Array, offsets: np.ndarray, data: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Values ``offsets[i]`` to ``offsets[i + 1]`` of ``data`` as strings or binaries; null
+    where ``like`` is."""
+    data, offsets = np.ascontiguousarray(data), offsets * data.itemsize
+    if offsets[-1] > 2**31 - 1:
+        raise OverflowError("more than 2 GB in an Arrow batch: lower spark.sql.execution.arrow.maxBytesPerBatch")
+    out = pa.Array.from_buffers(kind, len(offsets) - 1,
+                                [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+    return pc.if_else(like.is_valid(), out, pa.scalar(None, kind)) if like.null_count else out
 
 
-def beside(counts: np.ndarray, other: pa.Array) -> pa.Array:
+def beside(counts: np.ndarray, other: pa.Array, kind: type = np.int8) -> pa.Array:
     """Values of the list array ``other`` at the positions of arrays of these lengths;
     null where its array is shorter."""
-    there, values = list_parts(other)
+    there, values = list_parts(other, kind)
     if np.array_equal(there, counts):
         return values
     row = np.repeat(np.arange(len(counts)), counts)

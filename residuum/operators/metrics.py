@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residuum.functions.digests import beside, list_parts
+from residuum.functions.digests import beside, in_slices, list_parts
 from residuum.functions.residues import IGNORE_LABEL
 
 
@@ -212,8 +212,9 @@ def _scored(labels: pa.Array, other: pa.Array) -> tuple[np.ndarray, np.ndarray,
 def masked_token_accuracy(df: DataFrame, labels: str = "labels", preds: str = "preds"
                           ) -> DataFrame:
     """AGG15: correct / scored over positions whose label is not -100
-    (a ratio of sums, not a mean of per-row ratios)."""
+    (a ratio of sums, not a mean of per-row ratios).  Both may be packed."""
     @F.arrow_udf("struct<correct: bigint, scored: bigint>")
+    @in_slices
     def _hits(labels: pa.Array, preds: pa.Array) -> pa.Array:
         both, row, values, scored = _scored(labels, preds)
         hit = pc.equal(values, beside(list_parts(labels)[0], preds)).fill_null(False).to_numpy(zero_copy_only=False)
@@ -228,12 +229,14 @@ def masked_token_accuracy(df: DataFrame, labels: str = "labels", preds: str = "p
 def perplexity(df: DataFrame, labels: str = "labels", p_true: str = "p_true") -> DataFrame:
     """AGG16: mean cross-entropy over non-ignored positions, and its exp.
 
-    ``p_true`` holds, per position, the model probability of the true token.
+    ``p_true`` holds, per position, the model probability of the true token; it may
+    be packed doubles, as ``labels`` may be packed.
     """
     @F.arrow_udf("struct<nll: double, scored: bigint>")
+    @in_slices
     def _nll(labels: pa.Array, p_true: pa.Array) -> pa.Array:
         both, row, _, scored = _scored(labels, p_true)
-        row, q = row[scored], beside(list_parts(labels)[0], p_true).filter(pa.array(scored))
+        row, q = row[scored], beside(list_parts(labels)[0], p_true, np.float64).filter(pa.array(scored))
         q = q.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
         known = both & (np.bincount(row[q <= 0], minlength=len(labels)) == 0)  # no logarithm: no sum
         nll = np.bincount(row, -np.log(np.where(q <= 0, 1.0, q)), minlength=len(labels))

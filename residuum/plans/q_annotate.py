@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from residuum.functions.residues import ESM_TOKENS
+from residuum.functions.residues import ESM_TOKENS, residue_letters
 from residuum.operators import annotate, balance, tokens
 from residuum.plans.registry import query
 from residuum.sources.testbed import REC_SQL, read_table, records
@@ -143,9 +143,9 @@ def q_truncate_labels(spark, sf):
                     F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_sites"))
 
 
-def tokenized(spark, sf, max_length=None):
-    return records(spark, sf).withColumn(
-        "input_ids", tokens.tokenize_residues(F.col("seq"), max_length, add_special=True))
+def tokenized(spark, sf, max_length=None, packed=False):
+    return records(spark, sf, residue_letters).withColumn(
+        "input_ids", tokens.tokenize_residues(F.col("seq"), max_length, add_special=True, packed=packed))
 
 
 @query("tokenize_residues", f"""WITH {REC_SQL},
@@ -220,8 +220,9 @@ mlm AS (SELECT record_id, ids,
         FROM drawn)"""
 
 
-def masked(spark, sf):
-    return tokens.mlm_mask(tokenized(spark, sf), seed=SEED)
+def masked(spark, sf, ignore_others=True):
+    """Masked corpus; labels and ids are packed."""
+    return tokens.mlm_mask(tokenized(spark, sf, packed=True), seed=SEED, ignore_others=ignore_others)
 
 
 @query("mlm_mask", f"""WITH {MLM_SQL}
@@ -230,10 +231,9 @@ SELECT record_id, len(list_filter(labels, lambda x: x <> -100)) AS n_targets,
        md5(array_to_string(input_ids, ',')) AS ids_md5 FROM mlm""")
 def q_mlm_mask(spark, sf):
     m = masked(spark, sf)
-    return m.select("record_id",
-                    F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("n_targets"),
-                    F.md5(_csv(F.col("labels"))).alias("labels_md5"),
-                    F.md5(_csv(F.col("input_ids"))).alias("ids_md5"))
+    return m.select("record_id", tokens.n_targets(F.col("labels")).alias("n_targets"),
+                    tokens.ids_md5(F.col("labels")).alias("labels_md5"),
+                    tokens.ids_md5(F.col("input_ids")).alias("ids_md5"))
 
 
 @query("mlm_labels_copy", f"""WITH {MLM_SQL},
@@ -242,9 +242,9 @@ SELECT record_id, md5(array_to_string(copies.ids, ',')) AS labels_md5, md5(array
 FROM copies JOIN mlm USING (record_id)""")
 def q_mlm_labels_copy(spark, sf):
     """Every position keeps its own id as label while the ids are masked."""
-    m = tokens.mlm_mask(tokenized(spark, sf), seed=SEED, ignore_others=False)
-    return m.select("record_id", F.md5(_csv(F.col("labels"))).alias("labels_md5"),
-                    F.md5(_csv(F.col("input_ids"))).alias("ids_md5"))
+    m = masked(spark, sf, ignore_others=False)
+    return m.select("record_id", tokens.ids_md5(F.col("labels")).alias("labels_md5"),
+                    tokens.ids_md5(F.col("input_ids")).alias("ids_md5"))
 
 
 @query("ignore_index", f"""WITH {MLM_SQL}
@@ -252,8 +252,8 @@ SELECT record_id, len(list_filter(labels, lambda x: x <> -100)) AS n_kept,
        CAST(coalesce(list_sum(list_filter(labels, lambda x: x <> -100)), 0) AS BIGINT) AS label_sum
 FROM mlm""")
 def q_ignore_index(spark, sf):
-    m = masked(spark, sf).withColumn("kept", tokens.ignore_index(F.col("labels"),
-                                                                  F.col("input_ids")))
+    m = masked(spark, sf).withColumn("kept", tokens.ignore_index(F.col("labels"), F.col("input_ids"),
+                                                                  packed=True))
     return m.select("record_id", F.size("kept").cast("long").alias("n_kept"),
                     F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + x["label"])
                     .alias("label_sum"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from residuum.functions.digests import below, keyed, list_like, list_parts, position_words
+from residuum.functions.digests import below, in_slices, keyed, list_like, list_parts, pieces, position_words
 from residuum.functions.hashing import hash_bucket
 from residuum.operators import metrics as M
 from residuum.operators.balance import class_weights
@@ -148,21 +148,28 @@ sc AS (SELECT record_id,
 
 
 def _token_model(spark, sf):
+    """Stand-in predictions and probabilities; all three columns are packed."""
     m = masked(spark, sf).select("record_id", "labels")
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @F.arrow_udf(T.BinaryType())
+    @in_slices
     def _preds(labels: pa.Array, key: pa.Array) -> pa.Array:
         counts, values = list_parts(labels)
         t = values.to_numpy(zero_copy_only=False)
-        wrong = below(position_words(f"{SEED}-pred", key.to_pylist(), counts)[:1], "40000000") & keyed(key, counts)
-        # the remainder keeps the sign, as Spark's
-        return list_like(labels, counts, pa.array(np.where(wrong, np.fmod(t + 1, 33), t), pa.int32()))
+        wrong = below(position_words(f"{SEED}-pred", key.to_pylist(), counts, 1), "40000000") & keyed(key, counts)
+        preds = t.copy()
+        preds[wrong] = np.fmod(t[wrong] + 1, 33)  # the remainder keeps the sign, as Spark's
+        return list_like(labels, counts, pa.array(preds))
 
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    @F.arrow_udf(T.BinaryType())
+    @in_slices
     def _p_true(labels: pa.Array, key: pa.Array) -> pa.Array:
         counts, _ = list_parts(labels)
-        u = position_words(f"{SEED}-p", key.to_pylist(), counts)[0].astype(np.float64)
-        return list_like(labels, counts, pa.array(0.05 + 0.9 * u / 4294967296.0, mask=~keyed(key, counts)))
+        u = position_words(f"{SEED}-p", key.to_pylist(), counts, 1)[0].astype(np.float64)
+        p = 0.05 + 0.9 * u / 4294967296.0
+        if key.null_count:
+            p[~keyed(key, counts)] = np.nan
+        return pieces(labels, np.concatenate(([0], np.cumsum(counts))), p, pa.binary())
 
     return m.withColumn("preds", _preds("labels", "record_id")).withColumn("p_true", _p_true("labels", "record_id"))
 

@@ -26,14 +26,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(data_path(sf_dir, name))
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, strip=residue_only) -> DataFrame:
     """``documents`` as sequence records (spread over the cores when the
-    scan has fewer splits than cores; a no-op on large inputs)."""
+    scan has fewer splits than cores; a no-op on large inputs).  ``strip``
+    keeps the residues of a text: ``residue_only`` or ``residue_letters``."""
     d = spread(read_table(spark, sf_dir, "documents"), "doc_id")
     return d.select(
         F.col("doc_id").cast("string").alias("record_id"),
         F.col("doc_id").alias("record_pos"),
-        residue_only(F.col("text")).alias("seq"),
+        strip(F.col("text")).alias("seq"),
         F.col("lang").alias("class"),
         F.expr("nullif(source, 'src7')").alias("family"),
         F.concat_ws(" ", F.col("doc_id").cast("string"), "source", "lang",

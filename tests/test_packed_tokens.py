@@ -1,12 +1,19 @@
 """Packed labels and tokens, and windows counted in their tasks, against the plain forms."""
 
+import array
+import hashlib
+import math
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from residuum.operators import annotate, balance, models
+from residuum.functions import digests
+from residuum.functions.residues import residue_letters, residue_only
+from residuum.operators import annotate, balance, models, tokens
+from residuum.operators import metrics as M
 
 
 def _plain(rows, k):
@@ -82,3 +89,59 @@ def test_packed_masks_and_their_weights(spark):
     for some in (rows, rows + odd):
         v = values(some)
         assert balance.token_class_weights(v, "packed").collect() == balance.token_class_weights(v, "plain").collect()
+
+
+def _pack(rows):
+    return None if rows is None else bytes((-128 if x is None else x) & 255 for x in rows)
+
+
+def _unpack(data, kind="b"):
+    return None if data is None else [None if x == -128 or x != x else x for x in memoryview(data).cast(kind).tolist()]
+
+
+IDS = [("a", [0, *[4 + i % 20 for i in range(1500)], 2]), (None, [0, 5, 2]), ("b", None), ("c", []), ("d", [None, 7, 1, 8] * 9), ("k" * 70, [9] * 40)]
+
+
+def test_digests_of_positions_in_one_and_two_blocks():
+    keys = ["1", *["k" * n for n in (44, 47, 50, 51, 52, 53, 60, 61, 124, 200)], "é", "", "12345"]
+    counts = np.array([1200, 120, 11, 1500, 150, 12, 11, 101, 0, 12, 3, 7, 0, digests.TABLE + 500])
+    want = [hashlib.md5(f"42:{k}:{i}".encode()).hexdigest() for k, c in zip(keys, counts) for i in range(c)]
+    for n in (4, 1):
+        w = digests.position_words(42, keys, counts, n)
+        assert ["".join(f"{x:08x}" for x in col) for col in w.T.tolist()] == [h[:8 * n] for h in want]
+
+
+def test_slices_of_a_batch_are_its_rows(monkeypatch):
+    monkeypatch.setattr(digests, "SLICE", 8)
+    lists = pa.array([r for _, r in IDS] * 3, pa.list_(pa.int32()))
+    keys = pa.array([k for k, _ in IDS] * 3)
+    seen = []
+
+    @digests.in_slices
+    def same(a, b):
+        assert len(a) == len(b)
+        seen.append(len(a))
+        counts, values = digests.list_parts(a)
+        return digests.list_like(a, counts, values)
+
+    for a in (lists, pa.array([_pack(r) for _, r in IDS] * 3, pa.binary()), lists.slice(3, 0)):
+        assert same(a, keys.slice(0, len(a))).to_pylist() == a.to_pylist()
+    assert len(seen) > 10
+
+
+def test_packed_sequences_and_tokens(spark):
+    df = spark.createDataFrame([("LAé界xX-b o\nw",), ("",), (None,), ("😀kK",), ("ac" * 700,)], "t string").repartition(1)
+    for r in df.select(residue_only(F.col("t")).alias("a"), residue_letters(F.col("t")).alias("b")).collect():
+        assert r.a == r.b
+    for special in (True, False):
+        for longest in (None, 3):
+            got = df.select(tokens.tokenize_residues(F.col("t"), longest, special).alias("a"),
+                            tokens.tokenize_residues(F.col("t"), longest, special, packed=True).alias("b")).collect()
+            assert all(_unpack(r.b) == r.a for r in got)
+
+
+def test_packed_token_accuracy(spark):
+    rows = [([-100, 5, 6, None], [1, 5, 7, 2]), ([5, 6], [5]), (None, [1]), ([7], None), ([], []), ([8, -100], [8, 8, 8])]
+    plain = spark.createDataFrame(rows, "labels array<int>, preds array<int>")
+    packed = spark.createDataFrame([tuple(map(_pack, r)) for r in rows], "labels binary, preds binary").repartition(1)
+    assert M.masked_token_accuracy(packed).collect() == M.masked_token_accuracy(plain).collect()
