@@ -145,3 +145,21 @@ def test_packed_token_accuracy(spark):
     plain = spark.createDataFrame(rows, "labels array<int>, preds array<int>")
     packed = spark.createDataFrame([tuple(map(_pack, r)) for r in rows], "labels binary, preds binary").repartition(1)
     assert M.masked_token_accuracy(packed).collect() == M.masked_token_accuracy(plain).collect()
+
+
+def test_packed_masks_and_their_digests(spark):
+    plain = spark.createDataFrame(IDS, "record_id string, input_ids array<int>").repartition(1)
+    packed = spark.createDataFrame([(k, _pack(r)) for k, r in IDS], "record_id string, input_ids binary").repartition(1)
+
+    def joined(c):
+        return F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
+
+    for copy in (False, True):
+        a, b = tokens.mlm_mask(plain, ignore_others=not copy), tokens.mlm_mask(packed, ignore_others=not copy)
+        want = {r.record_id: (r.labels, r.input_ids) for r in a.collect()}
+        assert {r.record_id: (_unpack(r.labels), _unpack(r.input_ids)) for r in b.collect()} == want
+        want = a.select("record_id", F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("n"),
+                        joined("labels").alias("x"), joined("input_ids").alias("y"))
+        got = b.select("record_id", tokens.n_targets(F.col("labels")), tokens.ids_md5(F.col("labels")), tokens.ids_md5(F.col("input_ids")))
+        want = {tuple(r) if r.x is not None else (r.record_id, None, None, None) for r in want.collect()}
+        assert set(map(tuple, got.collect())) == want
