@@ -163,3 +163,12 @@ def test_packed_masks_and_their_digests(spark):
         got = b.select("record_id", tokens.n_targets(F.col("labels")), tokens.ids_md5(F.col("labels")), tokens.ids_md5(F.col("input_ids")))
         want = {tuple(r) if r.x is not None else (r.record_id, None, None, None) for r in want.collect()}
         assert set(map(tuple, got.collect())) == want
+
+
+def test_packed_perplexity(spark):
+    rows = [([-100, 5, 6, None], [.1, .5, .25, .2]), ([5, 6], [.5]), (None, [.5]), ([7], None), ([], []), ([8, -100], [0.0, .5, .5]), ([9], [None])]
+    plain = spark.createDataFrame(rows, "labels array<int>, p_true array<double>")
+    packed = spark.createDataFrame([(_pack(a), None if p is None else array.array("d", [math.nan if x is None else x for x in p]).tobytes())
+                                    for a, p in rows], "labels binary, p_true binary").repartition(1)
+    a, b = M.perplexity(plain).first(), M.perplexity(packed).first()
+    assert a.n_scored == b.n_scored and math.isclose(a.mean_ce, b.mean_ce) and math.isclose(a.perplexity, b.perplexity)
