@@ -172,3 +172,11 @@ def test_packed_perplexity(spark):
                                     for a, p in rows], "labels binary, p_true binary").repartition(1)
     a, b = M.perplexity(plain).first(), M.perplexity(packed).first()
     assert a.n_scored == b.n_scored and math.isclose(a.mean_ce, b.mean_ce) and math.isclose(a.perplexity, b.perplexity)
+
+
+def test_packed_pairs_without_ignored(spark):
+    rows = [([-100, 5, 6, None], [1, 5, 7, 2]), ([5, 6], [5]), (None, [1]), ([7], None), ([], []), ([8, -100], [8, None, 8]), ([-100], [3])]
+    plain = spark.createDataFrame(rows, "a array<int>, b array<int>")
+    packed = spark.createDataFrame([tuple(map(_pack, r)) for r in rows], "a binary, b binary").repartition(1)
+    want = sorted(map(str, plain.select(tokens.ignore_index(F.col("a"), F.col("b")).alias("k")).collect()))
+    assert sorted(map(str, packed.select(tokens.ignore_index(F.col("a"), F.col("b"), packed=True).alias("k")).collect())) == want
