@@ -168,7 +168,9 @@ def _counted_codes(code: np.ndarray, k: int) -> tuple[pa.Array, pa.Array, pa.Arr
     code, n = np.unique(code, return_counts=True)
     label = (code & 255) + NO_VALUE
     width = 2 * k + 1
-    letters = np.stack([(code >> (8 + 7 * (width - 1 - o))) & 127 for o in range(width)], axis=1).astype(np.uint8)
+    letters = np.empty((len(code), width), dtype=np.uint8)
+    for o in range(width):
+        letters[:, o] = (code >> (8 + 7 * (width - 1 - o))) & 127
     ends = np.arange(len(code) + 1, dtype=np.int32) * width
     ctx = pa.Array.from_buffers(pa.string(), len(code), [None, pa.py_buffer(ends), pa.py_buffer(letters.ravel())])
     return pa.array(label.astype(np.int32), mask=label == NO_VALUE), ctx, pa.array(n.astype(np.int64))
