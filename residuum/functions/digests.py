@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 32768  # positions hashed together
+BLOCK = 65536  # positions hashed together: few calls of numpy, arrays that stay in the cache
 TABLE = 1 << 17  # positions whose digits are made once
 
 _SHIFTS = (7, 12, 17, 22) * 4 + (5, 9, 14, 20) * 4 + (4, 11, 16, 23) * 4 + (6, 10, 15, 21) * 4
@@ -20,6 +20,7 @@ _ADD = [int(abs(np.sin(i + 1)) * 2**32) & 0xFFFFFFFF for i in range(64)]
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 
 
+@functools.lru_cache(1 << 12)
 def _scalar(x: int) -> np.ndarray:
     return np.array(x & 0xFFFFFFFF, dtype=np.uint32)
 
@@ -28,11 +29,25 @@ _LEFT = [_scalar(s) for s in _SHIFTS]
 _RIGHT = [_scalar(32 - s) for s in _SHIFTS]
 
 
-def _compress(state: list[np.ndarray], words: list, steps: int = 64) -> list[np.ndarray]:
+def _space(n: int) -> np.ndarray:
+    """Six arrays of ``n`` words for ``_compress``; each begins a cache line, where numpy's
+    loops are faster."""
+    width = -(-n // 16) * 16
+    raw = np.empty((6 * width + 16) * 4, dtype=np.uint8)
+    skip = -raw.ctypes.data % 64
+    return raw[skip:skip + 6 * width * 4].view(np.uint32).reshape(6, width)
+
+
+def _compress(state: list, words: list, steps: int = 64, space: np.ndarray | None = None) -> list[np.ndarray]:
     """One md5 step: ``state`` (four words each) and 16 ``words``, each an array or, the same
-    for all, an int.  The first word of the result needs 61 ``steps`` only."""
-    a, b, c, d = (x.copy() for x in state)
-    f, t = np.empty_like(a), np.empty_like(a)
+    for all, an int.  The first word of the result needs 61 ``steps`` only.  The work is done
+    in ``space``, all of its arrays as long as the result."""
+    if space is None:
+        n = next(len(x) for x in [*state, *words] if not isinstance(x, int))
+        space = _space(n)[:, :n]
+    a, b, c, d, f, t = space
+    for x, y in zip((a, b, c, d), state):
+        x[...] = y
     for i in range(steps):
         if i < 16:
             g = i
@@ -46,17 +61,17 @@ def _compress(state: list[np.ndarray], words: list, steps: int = 64) -> list[np.
         else:
             g = (7 * i) % 16
             np.invert(d, f); np.bitwise_or(f, b, f); np.bitwise_xor(f, c, f)
-        np.add(f, a, f)
         if isinstance(words[g], int):
-            np.add(f, _scalar(words[g] + _ADD[i]), f)
+            np.add(a, _scalar(words[g] + _ADD[i]), a)
         else:
-            np.add(f, words[g], f); np.add(f, _scalar(_ADD[i]), f)
-        np.left_shift(f, _LEFT[i], t); np.right_shift(f, _RIGHT[i], f)
-        np.bitwise_or(f, t, f); np.add(f, b, f)
-        a, d, c, b, f = d, c, b, f, a
+            np.add(a, words[g], a); np.add(a, _scalar(_ADD[i]), a)
+        np.add(a, f, a)
+        np.left_shift(a, _LEFT[i], t); np.right_shift(a, _RIGHT[i], a)
+        np.bitwise_or(a, t, a); np.add(a, b, a)
+        a, d, c, b = d, c, b, a
     # after 61 steps the first word still stands second
     new = (a, b, c, d) if steps == 64 else (b,)
-    return [x + y for x, y in zip(state, new)]
+    return [x + (_scalar(y) if isinstance(y, int) else y) for x, y in zip(new, state)]
 
 
 def _digits(pos: np.ndarray, skip: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -74,7 +89,7 @@ def _digits(pos: np.ndarray, skip: int) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.ascontiguousarray(w[:, j]) for j in range(w.shape[1])], (digits * 8).astype(np.uint32)
 
 
-@functools.lru_cache(4)
+@functools.lru_cache(8)  # four ``skip``, two lengths
 def _table(skip: int, n: int) -> tuple[list[np.ndarray], np.ndarray]:
     return _digits(np.arange(n), skip)
 
@@ -118,8 +133,10 @@ def _hash_positions(out: np.ndarray, starts: np.ndarray, lo: np.ndarray, hi: np.
                     state: list[np.ndarray], length: int, blocks: int) -> None:
     """Fills ``out`` for positions lo..hi-1 of rows, which begin at ``starts``."""
     ends, rest = np.cumsum(hi - lo), length % 64
-    for s in range(0, int(ends[-1:].sum()), BLOCK):
-        e = min(s + BLOCK, int(ends[-1]))
+    total = int(ends[-1:].sum())
+    space = _space(min(BLOCK, total))
+    for s in range(0, total, BLOCK):
+        e = min(s + BLOCK, total)
         i, j = np.searchsorted(ends, (s, e - 1), side="right") + (0, 1)
         first = ends[i:j] - (hi - lo)[i:j]
         n = np.minimum(ends[i:j], e) - np.maximum(first, s)
@@ -137,14 +154,14 @@ def _hash_positions(out: np.ndarray, starts: np.ndarray, lo: np.ndarray, hi: np.
                 words[w] = x if isinstance(words[w], int) and words[w] == 0 else x | np.uint32(words[w]) \
                     if isinstance(words[w], int) else x | words[w]
         words[-2] = bits + np.uint32(length * 8)
-        h = [np.repeat(x[i:j], n) for x in state]
+        h = [each(x[i:j]) for x in state]
         for b in range(blocks):
             last = b == blocks - 1 and len(out) == 1
-            h = _compress(h, words[16 * b:16 * b + 16], 61 if last else 64)
-        to = np.repeat(starts[i:j], n) + pos
-        to = slice(to[0], to[0] + len(to)) if to[-1] - to[0] == len(to) - 1 else to
+            h = _compress(h, words[16 * b:16 * b + 16], 61 if last else 64, space[:, :e - s])
+        begin, end = starts[i] + pos[0], starts[j - 1] + pos[-1]
+        to = slice(begin, end + 1) if end - begin == e - s - 1 else np.repeat(starts[i:j], n) + pos
         for w in range(len(out)):
-            out[w, to] = h[w].byteswap()
+            out[w, to] = h[w].byteswap(True)
 
 
 def below(words, prefix: str) -> np.ndarray:

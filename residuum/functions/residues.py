@@ -41,10 +41,10 @@ def residue_only(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, pattern, ""))
 
 
-# upper-case residue of every byte, 0 for others; a letter of several bytes has none
-_RESIDUE = np.zeros(256, dtype=np.uint8)
-for _a in AMINO_ACIDS:
-    _RESIDUE[[ord(_a), ord(_a.lower())]] = ord(_a)
+# upper-case letter of every byte, and the bytes that are no residue; a letter of several
+# bytes has none
+_UPPER = bytes(range(256)).upper()
+_OTHER = bytes(i for i in range(256) if chr(i) not in AMINO_ACIDS + AMINO_ACIDS.lower())
 
 
 def residue_letters(text: Column) -> Column:
@@ -54,10 +54,10 @@ def residue_letters(text: Column) -> Column:
     @in_slices
     def _strip(texts: pa.Array) -> pa.Array:
         offsets, data = text_parts(texts)
-        letters = _RESIDUE[data]
-        kept = letters != 0
-        ends = np.concatenate(([0], np.cumsum(kept)))[offsets]
-        return pieces(texts, ends, letters[kept], pa.string())
+        whole, at = data.tobytes(), offsets.tolist()
+        rows = [whole[i:j].translate(_UPPER, _OTHER) for i, j in zip(at, at[1:])]
+        ends = np.cumsum([0, *map(len, rows)])
+        return pieces(texts, ends, np.frombuffer(b"".join(rows), dtype=np.uint8), pa.string())
 
     return _strip(text)
 

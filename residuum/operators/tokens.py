@@ -193,24 +193,18 @@ def ids_md5(ids: Column) -> Column:
     @in_slices
     def _md5(ids: pa.Array) -> pa.Array:
         counts, values = list_parts(ids)
-        at = np.cumsum(counts) - counts
-        codes = values.fill_null(NO_VALUE).to_numpy(zero_copy_only=False).astype(np.int64) - NO_VALUE
-        out = []
-        for known, s, n in zip(ids.is_valid().to_pylist(), at.tolist(), counts.tolist()):
-            c = codes[s:s + n]
-            out.append(hashlib.md5(_DECIMALS[c][_DECIMAL_BYTES[c]].tobytes()[:-1]).hexdigest() if known else None)
-        return pa.array(out, pa.string())
+        codes = values.fill_null(NO_VALUE).to_numpy(zero_copy_only=False).view(np.uint8)
+        offsets, text = text_parts(_DECIMALS.take(pa.array(codes)))  # all the texts, one after the other
+        ends = offsets[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return pa.array([hashlib.md5(text[s:max(s, e - 1)]).hexdigest() if known else None
+                         for known, s, e in zip(ids.is_valid().to_pylist(), ends, ends[1:])], pa.string())
 
     return _md5.asNondeterministic()(ids)
 
 
-# decimals of -127..127 with a comma, in five bytes each, and which of these count; null
-# (-128) is left out, as array_join leaves it out
-_DECIMALS = np.zeros((256, 5), dtype=np.uint8)
-for _i in range(1, 256):
-    _d = f"{_i + NO_VALUE},".encode()
-    _DECIMALS[_i, :len(_d)] = np.frombuffer(_d, dtype=np.uint8)
-_DECIMAL_BYTES = _DECIMALS != 0
+# decimals of 0..127, -128..-1 with a comma, by the unsigned byte; null (-128) is left out,
+# as array_join leaves it out
+_DECIMALS = pa.array(["" if i == NO_VALUE & 255 else f"{i - (i & 128) * 2}," for i in range(256)], pa.large_string())
 
 
 def n_targets(labels: Column) -> Column:

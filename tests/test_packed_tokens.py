@@ -4,6 +4,7 @@ import array
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -180,3 +181,38 @@ def test_packed_pairs_without_ignored(spark):
     packed = spark.createDataFrame([tuple(map(_pack, r)) for r in rows], "a binary, b binary").repartition(1)
     want = sorted(map(str, plain.select(tokens.ignore_index(F.col("a"), F.col("b")).alias("k")).collect()))
     assert sorted(map(str, packed.select(tokens.ignore_index(F.col("a"), F.col("b"), packed=True).alias("k")).collect())) == want
+
+
+def test_digests_of_many_short_blocks(monkeypatch):
+    monkeypatch.setattr(digests, "BLOCK", 50)
+    keys = ["7", "12", "k" * 55, "", "34", "k" * 70, "8"]
+    counts = np.array([49, 160, 30, 0, 1, 75, 1020])
+    want = [hashlib.md5(f"s:{k}:{i}".encode()).hexdigest() for k, c in zip(keys, counts) for i in range(c)]
+    for n in (4, 1):
+        w = digests.position_words("s", keys, counts, n)
+        assert ["".join(f"{x:08x}" for x in col) for col in w.T.tolist()] == [h[:8 * n] for h in want]
+
+
+def test_a_block_of_digests_is_made_in_its_space():
+    n = 40_000
+    space = digests._space(n)[:, :n]
+    assert all(row.ctypes.data % 64 == 0 for row in space)
+    words = [np.arange(n, dtype=np.uint32), 5, *[0] * 14]
+    tracemalloc.start()
+    try:
+        got = digests._compress([*digests._START], words, 64, space)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 5 * 4 * n  # the four words of the result, nothing for the work
+    for i in (0, 1, n - 1):
+        one = digests._compress([np.array([s], dtype=np.uint32) for s in digests._START], [np.array([i], dtype=np.uint32), *words[1:]])
+        assert [int(x[i]) for x in got] == [int(x[0]) for x in one]
+
+
+def test_digests_of_all_packed_values(spark):
+    rows = [list(range(-127, 128)), [], [None], [None, 5, None], [-100] * 700, None, [0], [127, None, -127]]
+    df = spark.createDataFrame([(k, _pack(r)) for k, r in enumerate(rows)], "k int, ids binary").repartition(1)
+    got = {r.k: r.h for r in df.select("k", tokens.ids_md5(F.col("ids")).alias("h")).collect()}
+    assert got == {k: None if r is None else hashlib.md5(",".join(str(x) for x in r if x is not None).encode()).hexdigest()
+                   for k, r in enumerate(rows)}
