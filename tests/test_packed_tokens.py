@@ -216,3 +216,23 @@ def test_digests_of_all_packed_values(spark):
     got = {r.k: r.h for r in df.select("k", tokens.ids_md5(F.col("ids")).alias("h")).collect()}
     assert got == {k: None if r is None else hashlib.md5(",".join(str(x) for x in r if x is not None).encode()).hexdigest()
                    for k, r in enumerate(rows)}
+
+
+def test_dual_task_loss_of_own_rows(spark, tmp_path):
+    from residuum.plans.q_metrics import q_dual_task_loss
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ACDxé kY") for _ in range(rng.randint(0, 900))) for _ in range(40)] + [None, "", "b" * 30]
+    rows = [(10 ** (k % 7) + k, t, "en", "src1", len(t or "")) for k, t in enumerate(texts)] + [(None, "ACD" * 30, None, None, None)]
+    vectors = [(k, [rng.random() for _ in range(4)], k % 3) for k in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def drawn(seed, key, i):
+        return int(hashlib.md5(f"{seed}:{key}:{i}".encode()).hexdigest()[:8], 16)
+
+    nll = [-math.log(0.05 + 0.9 * drawn("42-p", key, i) / 2**32) for key, t, *_ in rows if key is not None
+           for i in range(1, 1 + sum(c in "ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy" for c in t or "")) if drawn(42, key, i) < 0x26666666]
+    errors = [(y - (y * 0.9 + k % 5 * 0.01)) ** 2 for k, v, _ in vectors for y in v]
+    got = q_dual_task_loss(spark, str(tmp_path)).first()
+    assert math.isclose(got.ce, sum(nll) / len(nll), abs_tol=2e-6)
+    assert math.isclose(got.mse, sum(errors) / len(errors), abs_tol=2e-6) and math.isclose(got.loss, 100 * sum(errors) / len(errors), abs_tol=2e-4)
